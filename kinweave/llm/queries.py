@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, pii, rules, sharding, urlrules
+from . import classifier, decontam, jaccard, linededup, packing, pii, rules, sharding, urlrules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +19,30 @@ def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.report(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.report(table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+def op7_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.report(table(spark, sf_dir, "documents"))
 
@@ -31,6 +51,9 @@ def op10_urlrules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_linededup, op4_rules, op9_sharding, op10_urlrules)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_pii, op2_linededup, op3_decontam, op4_rules, op5_jaccard, op6_packing, op7_classifier, op8_warc, op9_sharding, op10_urlrules)
+}
 
 ORACLES: dict[str, str] = {}
