@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -184,13 +185,16 @@ def occurrences(words: np.ndarray, item: np.ndarray, shift: int, window: int) ->
 
 
 def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
-    """(doc_id, body, n_words, n_hit, items, near): near has the items whose anchors come within ``slop`` of their places."""
+    """(row, n_words, n_hit, items, near): each row of ``docs`` as a struct; near has the items whose anchors come within ``slop`` of their places.
+
+    The documents always move to their candidates, whose number grows with the corpus.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             candidates = batch.column("candidates")
             out: list[list] = [[], [], [], []]
-            for first, last, data, offsets in chunks(batch.column("text")):
+            for first, last, data, offsets in chunks(pc.struct_field(batch.column("row"), "text")):
                 hashes, firsts = word_hashes(data, offsets)
                 for i in range(last - first):
                     words = hashes[firsts[i] : firsts[i + 1]]
@@ -202,16 +206,17 @@ def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = S
                             found.add(c["item_id"])
                     for column, value in zip(out, (len(words), int(hit.sum()), sorted(found - {None}), sorted(near - {None})), strict=True):
                         column.append(value)
+            listed = pa.list_(pa.string())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("body"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.string())), pa.array(out[3], pa.list_(pa.string()))],
-                ["doc_id", "body", "n_words", "n_hit", "items", "near"],
+                [batch.column("row"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], listed), pa.array(out[3], listed)],
+                ["row", "n_words", "n_hit", "items", "near"],
             )
 
-    docs = docs_with_body(docs)
     candidate = F.struct("item_id", "shift", "exact", "words")
-    per_doc = stored(search(docs, items, window, slop).groupBy("body").agg(F.collect_list(candidate).alias("candidates")), "candidates")
-    joined = docs.join(per_doc, "body", "left").select("doc_id", "body", "text", "candidates")
-    return joined.mapInArrow(compare, "doc_id long, body long, n_words long, n_hit long, items array<string>, near array<string>")
+    per_doc = stored(search(docs_with_body(docs), items, window, slop).groupBy("body").agg(F.collect_list(candidate).alias("candidates")), "candidates")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", "text").alias("body"))
+    joined = rows.join(per_doc.hint("merge"), "body", "left").select("row", "candidates")
+    return joined.mapInArrow(compare, f"row {rows.schema['row'].dataType.simpleString()}, n_words long, n_hit long, items array<string>, near array<string>")
 
 
 def contaminated() -> Column:
@@ -220,7 +225,7 @@ def contaminated() -> Column:
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
     return judge(docs.select("doc_id", "text"), items).select(
-        "doc_id",
+        "row.doc_id",
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
@@ -232,6 +237,4 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that aren't contaminated."""
-    bad = stored(judge(docs.select("doc_id", "text"), items).where(contaminated()).select(F.col("body").alias("bad")).distinct(), "contaminated")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", "text").alias("body"))
-    return rows.join(bad, F.col("body") == F.col("bad"), "left_anti").select("row.*")
+    return judge(docs, items).where(~contaminated()).select("row.*")
