@@ -1,7 +1,9 @@
-"""Registered queries over the driver's tables and their SQL."""
+"""All registered queries over the driver's tables and their SQL."""
 
 from __future__ import annotations
 
+from . import hierarchy, linking, naming
+
 FLAGSHIP = "link_suppliers"
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES = linking.QUERIES | hierarchy.QUERIES | naming.QUERIES
+ORACLES = linking.ORACLES | hierarchy.ORACLES | naming.ORACLES
