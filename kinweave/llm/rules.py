@@ -49,7 +49,7 @@ def letters(pattern: str) -> Column:
 RULES = (
     Rule("many_symbols", lambda: F.col("n_symbols") * 10 > F.col("n_words") * 2),
     Rule("word_length", lambda: (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 15 * F.col("n_words"))),
-    Rule("same_lines", lambda: F.col("n_dup_lines") * 10 > F.col("n_lines") * 3),
+    Rule("same_lines", lambda: (F.col("n_dup_lines") >= 4) & (F.col("n_dup_lines") * 10 > F.col("n_lines") * 3)),  # a share of a few lines says little
     Rule("shouting", lambda: letters("[^A-Z]") > letters("[^a-z]")),
     Rule("exclamations", lambda: letters("[^!]") * 10 > F.col("n_words")),
 )

@@ -61,7 +61,7 @@ m AS (SELECT d.doc_id, t, len(w)::BIGINT AS n_words, length(array_to_string(w, '
   FROM d LEFT JOIN r USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (n_symbols * 10 > n_words * 2 OR word_chars < 2 * n_words OR word_chars > 15 * n_words
- OR n_dup_lines * 10 > n_lines * 3 OR length(regexp_replace(t, '[^A-Z]', '', 'g')) > length(regexp_replace(t, '[^a-z]', '', 'g')) OR length(regexp_replace(t, '[^!]', '', 'g')) * 10 > n_words) AS kept FROM f"""
+ OR (n_dup_lines >= 4 AND n_dup_lines * 10 > n_lines * 3) OR length(regexp_replace(t, '[^A-Z]', '', 'g')) > length(regexp_replace(t, '[^a-z]', '', 'g')) OR length(regexp_replace(t, '[^!]', '', 'g')) * 10 > n_words) AS kept FROM f"""
 
 JACCARD = f"""
 WITH RECURSIVE d AS (SELECT doc_id, {LOW_WORDS} AS w FROM documents),
