@@ -11,20 +11,24 @@ from kinweave.operators.ranking import Measure
 
 from .tables import SHIFT, orders, side, suppliers, table
 
-SUPPLIER_MEASURES = [
-    Measure("nation", 20, F.col("a_nation") == F.col("b_nation")),
-    Measure("flags", 10, similarity.of_counts(F.col("a_flags"), F.col("b_flags"))),
-    Measure("balance", 8, F.col("a_balance") == F.col("b_balance")),
-    Measure("lines", 3, similarity.of_counts(F.col("a_lines"), F.col("b_lines"))),
-    Measure("orders", 3, similarity.of_counts(F.col("a_orders"), F.col("b_orders"))),
-    Measure("parts", 2, similarity.of_sets(F.col("a_parts"), F.col("b_parts"))),
-]
-ORDER_MEASURES = [
-    Measure("status", 10, F.col("a_status") == F.col("b_status")),
-    Measure("priority", 10, F.col("a_priority") == F.col("b_priority")),
-    Measure("price", 8, F.col("a_price") == F.col("b_price")),
-    Measure("lines", 3, similarity.of_counts(F.col("a_lines"), F.col("b_lines"))),
-]
+def supplier_measures() -> list[Measure]:
+    return [
+        Measure("nation", 20, F.col("a_nation") == F.col("b_nation")),
+        Measure("flags", 10, similarity.of_counts(F.col("a_flags"), F.col("b_flags"))),
+        Measure("balance", 8, F.col("a_balance") == F.col("b_balance")),
+        Measure("lines", 3, similarity.of_counts(F.col("a_lines"), F.col("b_lines"))),
+        Measure("orders", 3, similarity.of_counts(F.col("a_orders"), F.col("b_orders"))),
+        Measure("parts", 2, similarity.of_sets(F.col("a_parts"), F.col("b_parts"))),
+    ]
+
+
+def order_measures() -> list[Measure]:
+    return [
+        Measure("status", 10, F.col("a_status") == F.col("b_status")),
+        Measure("priority", 10, F.col("a_priority") == F.col("b_priority")),
+        Measure("price", 8, F.col("a_price") == F.col("b_price")),
+        Measure("lines", 3, similarity.of_counts(F.col("a_lines"), F.col("b_lines"))),
+    ]
 
 
 def named(frame: DataFrame, letter: str) -> DataFrame:
@@ -44,11 +48,11 @@ def order_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def link_suppliers(spark, sf_dir):
-    return ranking.link(supplier_pairs(spark, sf_dir), SUPPLIER_MEASURES).withColumn("score", F.round("score", 6))
+    return ranking.link(supplier_pairs(spark, sf_dir), supplier_measures()).withColumn("score", F.round("score", 6))
 
 
 def order_scores(spark, sf_dir):
-    return ranking.score(order_pairs(spark, sf_dir), ORDER_MEASURES)
+    return ranking.score(order_pairs(spark, sf_dir), order_measures())
 
 
 def member_candidates(spark, sf_dir):
@@ -56,12 +60,12 @@ def member_candidates(spark, sf_dir):
 
 
 def rank_members(spark, sf_dir):
-    scored = ranking.score(order_pairs(spark, sf_dir), ORDER_MEASURES, limit=ranking.cutoff(31.0))
+    scored = ranking.score(order_pairs(spark, sf_dir), order_measures(), limit=ranking.cutoff(31.0))
     return ranking.ranked(scored).select("a", "b", F.round("score", 6).alias("score"), "place")
 
 
 def score_parts(spark, sf_dir):
-    scored = ranking.score(order_pairs(spark, sf_dir), ORDER_MEASURES, limit=ranking.cutoff(31.0))
+    scored = ranking.score(order_pairs(spark, sf_dir), order_measures(), limit=ranking.cutoff(31.0))
     return scored.select("a", "b", F.explode("parts").alias("p")).select("a", "b", "p.name", F.round("p.similarity", 6).alias("similarity"), "p.weight", F.round(F.col("p.similarity") * F.col("p.weight"), 6).alias("weighted"))
 
 
@@ -117,14 +121,14 @@ def identity_prematch(spark, sf_dir):
 
 
 def match_status(spark, sf_dir):
-    linked = ranking.link(order_pairs(spark, sf_dir), ORDER_MEASURES).select(F.col("a").alias("id"), F.lit(True).alias("matched"))
+    linked = ranking.link(order_pairs(spark, sf_dir), order_measures()).select(F.col("a").alias("id"), F.lit(True).alias("matched"))
     members = orders(spark, sf_dir, 1).join(linked, "id", "left")
     return members.groupBy("status").agg(F.count("*").alias("total"), F.count_if(F.coalesce("matched", F.lit(False))).alias("matched"))
 
 
 def fully_matched(spark, sf_dir):
     members = orders(spark, sf_dir, 1).select("id", "owner", (F.col("id") % 10 != 0).alias("matchable"))
-    linked = ranking.link(order_pairs(spark, sf_dir), ORDER_MEASURES)
+    linked = ranking.link(order_pairs(spark, sf_dir), order_measures())
     return state.fully_matched(members.select(F.col("owner").alias("id")).distinct(), members, linked)
 
 
@@ -153,7 +157,7 @@ def member_name_match(spark, sf_dir):
 def fixpoint_link(spark, sf_dir):
     """Link orders of already linked customers, and customers all of whose orders but one are linked, until nothing changes."""
     pairs = order_pairs(spark, sf_dir)
-    seeds = ranking.link(pairs, ORDER_MEASURES).select("a", "b")
+    seeds = ranking.link(pairs, order_measures()).select("a", "b")
     open_pairs = pairs.where("a_status = b_status AND a_priority = b_priority").select("a", "b")
 
     def step(matches: DataFrame) -> DataFrame:
@@ -213,7 +217,7 @@ def aligned_ratio(spark, sf_dir):
 
 def similarity_report(spark, sf_dir):
     """Share of linked orders of a customer, in steps of a twentieth."""
-    linked = ranking.link(order_pairs(spark, sf_dir), ORDER_MEASURES).select(F.col("a").alias("id"), (F.col("score") / 31.0).alias("s"))
+    linked = ranking.link(order_pairs(spark, sf_dir), order_measures()).select(F.col("a").alias("id"), (F.col("score") / 31.0).alias("s"))
     rows = orders(spark, sf_dir, 1).join(linked, "id", "left").groupBy("owner").agg(F.round(F.sum(F.coalesce("s", F.lit(0.0))) / F.count("*"), 6).alias("similarity"))
     return rows.withColumn("step", bucket(F.col("similarity")))
 
