@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 LOWERED = np.arange(256, dtype=np.uint8)
 LOWERED[65:91] += 32
