@@ -41,3 +41,21 @@ def at_or_after(wanted: DataFrame, entries: DataFrame, slot: str, at: str, entit
     after = Window.partitionBy(slot).orderBy("_at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
     merged = left.unionByName(right).withColumn(entity, F.first("_entity", ignorenulls=True).over(after))
     return merged.where("_row IS NOT NULL").select("_row.*", entity)
+
+
+def resolved_members(wanted: DataFrame, paths: DataFrame, members: DataFrame, interfaces: DataFrame | None = None) -> DataFrame:
+    """``wanted`` (owner, name) with the member of that name in the owner or the nearest owner above it; null if there is none.
+
+    Owners that are ``interfaces`` (owner) come after all others, members that are abstract after those that aren't, and
+    of equal ones the smallest counts. ``paths`` is a closure (sub, sup, distance).
+    """
+    found = wanted.select("owner", "name").distinct().join(paths.select(F.col("sub").alias("owner"), F.col("sup").alias("holder"), "distance"), "owner")
+    abstract = F.col("abstract") if "abstract" in members.columns else F.lit(False)
+    found = found.join(members.select(F.col("owner").alias("holder"), "name", "member", abstract.alias("open")), ["holder", "name"])
+    if interfaces is not None:
+        found = found.join(interfaces.select(F.col("owner").alias("holder"), F.lit(True).alias("face")), "holder", "left")
+    else:
+        found = found.withColumn("face", F.lit(False))
+    rank = F.struct(F.coalesce("face", F.lit(False)), "open", "distance", "member")
+    best = found.groupBy("owner", "name").agg(F.min_by("member", rank).alias("member"))
+    return wanted.join(best, ["owner", "name"], "left")

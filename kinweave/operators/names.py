@@ -59,3 +59,14 @@ def short_first(name: Column) -> Column:
 def nest_aware(name: Column) -> Column:
     """Sort key: part by part of a nested name, shorter parts first, and an outer name before its inner ones."""
     return F.transform(F.split(name, r"\$"), lambda part: F.struct(F.length(part), part))
+
+
+def natural(name: Column) -> Column:
+    """Sort key: runs of digits by length and then value, other runs as they are."""
+    runs = F.regexp_extract_all(name, F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+
+    def key(run: Column) -> Column:
+        digits = run.rlike("^[0-9]")
+        return F.struct(digits, F.when(digits, F.length(run)).otherwise(0), run)
+
+    return F.transform(runs, key)

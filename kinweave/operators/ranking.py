@@ -89,3 +89,13 @@ def link(pairs: DataFrame, measures: list[Measure], level: str = "initial") -> D
     """One pass: score, cut, accept, and make one-to-one."""
     top = largest(measures, level)
     return one_to_one(accepted(score(pairs, measures, level, cutoff(top)), top))
+
+
+def members_full(scored: DataFrame, counts: DataFrame, top: float, absolute: float = 0.8, relative: float = 0.08) -> DataFrame:
+    """(owner, similarity): sum of the accepted members' normal scores over the larger number of members.
+
+    ``scored`` has (owner, a, b, score), ``counts`` (owner, n) with the larger number of members of the two owners.
+    """
+    owners = scored.select("a", "owner").distinct()
+    sums = accepted(scored, top, absolute, relative).join(owners, "a").groupBy("owner").agg(F.sum(normal(F.col("score"), top)).alias("total"))
+    return counts.join(sums, "owner", "left").select("owner", (F.coalesce("total", F.lit(0.0)) / F.col("n")).alias("similarity"))

@@ -56,6 +56,13 @@ def nearest_override(spark, sf_dir):
     return graph.nearest_override(graph.closure(places(spark, sf_dir)), place_members(spark, sf_dir))
 
 
+def resolve_member(spark, sf_dir):
+    """For every place and member name, the member it finds in itself or upwards."""
+    paths = graph.closure(places(spark, sf_dir))
+    wanted = paths.select(F.col("sub").alias("owner")).distinct().select("owner", F.explode(F.array(F.lit("m0"), F.lit("m1"), F.lit("p"))).alias("name"))
+    return lookups.resolved_members(wanted, paths, place_members(spark, sf_dir).where("NOT apart"))
+
+
 MEMBERS = f"""{PATHS}, o AS (SELECT DISTINCT dst AS owner, coalesce(try_cast(substr(dst, 2, 10) AS INT), 0) AS k FROM edges),
 mem AS (SELECT owner || '.m' || (k % 2) AS member, owner, 'm' || (k % 2) AS name, false AS apart FROM o UNION ALL SELECT owner || '.p', owner, 'p', k % 3 = 0 FROM o)"""
 
@@ -109,6 +116,8 @@ reach AS (SELECT a, b FROM tie UNION SELECT reach.a, tie.b FROM reach JOIN tie O
 SELECT a AS member, min(b) AS grouped FROM reach GROUP BY 1 UNION ALL SELECT member, member FROM mem WHERE apart""",
     "nearest_override": f"""{MEMBERS}, ov AS (SELECT m.member, p.member AS parent FROM mem m JOIN paths ON m.owner = sub AND distance > 0 JOIN mem p ON p.owner = sup AND p.name = m.name WHERE NOT m.apart AND NOT p.apart)
 SELECT member, parent FROM ov o WHERE NOT EXISTS (SELECT 1 FROM ov x JOIN ov y ON x.parent = y.member WHERE x.member = o.member AND y.parent = o.parent)""",
+    "resolve_member": f"""{MEMBERS}, f AS (SELECT sub AS owner, name, arg_min(member, {{'d': distance, 'm': member}}) AS member FROM paths JOIN mem ON sup = mem.owner AND NOT apart GROUP BY 1, 2)
+SELECT w.owner, w.name, f.member FROM (SELECT DISTINCT sub AS owner, name FROM paths, (VALUES ('m0'), ('m1'), ('p')) v(name)) w LEFT JOIN f USING (owner, name)""",
     "top10_children": f"""{PATHS}, e AS (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY src) AS r FROM edges) SELECT dst, src FROM e WHERE r <= 10 OR src IN (SELECT sup FROM paths WHERE sub = 'c7')""",
     "local_then_shared_lookup": """SELECT part, CASE WHEN part % 3 = 0 OR part % 2 = 0 THEN p_name END AS name,
 CASE WHEN p_name IS NULL THEN 'placeholder' WHEN part % 3 = 0 THEN 'local' WHEN part % 2 = 0 THEN 'shared' ELSE 'placeholder' END AS found
@@ -124,7 +133,7 @@ FROM events c WHERE c.event_type = 'click'""",
 QUERIES = {
     f.__name__: f
     for f in (
-        inverse_edges, ancestor_closure, hierarchy_depth, assignable_pairs, sibling_count, hierarchy_components, nearest_override, top10_children, local_then_shared_lookup, unique_name_lookup,
+        inverse_edges, ancestor_closure, hierarchy_depth, assignable_pairs, sibling_count, hierarchy_components, nearest_override, resolve_member, top10_children, local_then_shared_lookup, unique_name_lookup,
         interval_lookup, asof_lookup,
     )
 }

@@ -154,6 +154,14 @@ def member_name_match(spark, sf_dir):
     return state.member_matches(owners, a, b, "priority")
 
 
+def members_full(spark, sf_dir):
+    """How well a customer's orders on one side are found on the other."""
+    sizes = orders(spark, sf_dir, 1).groupBy("owner").agg(F.count("*").alias("n")).unionByName(orders(spark, sf_dir, 0).groupBy((F.col("owner") - SHIFT).alias("owner")).agg(F.count("*").alias("n")))
+    counts = sizes.groupBy("owner").agg(F.max("n").alias("n"))
+    found = ranking.members_full(order_scores(spark, sf_dir).withColumn("owner", F.col("a_owner")), counts, 31.0)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
 def fixpoint_link(spark, sf_dir):
     """Link orders of already linked customers, and customers all of whose orders but one are linked, until nothing changes."""
     pairs = order_pairs(spark, sf_dir)
@@ -283,6 +291,10 @@ UNION ALL SELECT id, id + {SHIFT}, 'member' FROM ord WHERE odd = 1 AND owner % 4
     "match_fanout": f"""WITH {A_ORD} SELECT a.id AS a, b.id AS b FROM ord a JOIN ord b ON a.odd = 1 AND b.odd = 0 AND a.owner + {SHIFT} = b.owner AND a.priority = b.priority AND strftime(a.day, '%Y-%m') = strftime(b.day, '%Y-%m')""",
     "member_name_match": f"""WITH {A_ORD}, u AS (SELECT odd, owner, priority, min(id) AS id FROM ord GROUP BY 1, 2, 3 HAVING count(*) = 1)
 SELECT x.id AS a, y.id AS b FROM u x JOIN u y ON x.odd = 1 AND y.odd = 0 AND x.owner + {SHIFT} = y.owner AND x.priority = y.priority""",
+    "members_full": f"""WITH {A_ORD}, {accepted_sql("scored", "31e0").replace("0.85", "0.8").replace("0.085e0", "0.08e0")},
+t AS (SELECT owner, sum(pow(score / 31e0, 2)) AS s FROM acc JOIN ord ON acc.a = ord.id GROUP BY 1),
+c AS (SELECT owner, max(n) AS n FROM (SELECT CASE WHEN odd = 1 THEN owner ELSE owner - {SHIFT} END AS owner, odd, count(*) AS n FROM ord GROUP BY 1, 2) GROUP BY 1)
+SELECT owner, round(coalesce(s, 0) / n, 6) AS similarity FROM c LEFT JOIN t USING (owner)""",
     "position_similarity": f"""WITH {A_ORD}, p AS (SELECT id % {SHIFT} AS key, odd, owner, day, id, row_number() OVER w - 1 AS place, count(*) OVER (PARTITION BY owner) AS n FROM ord WINDOW w AS (PARTITION BY owner ORDER BY day, id)),
 q AS (SELECT *, coalesce(last_value(CASE WHEN key % 4 = 0 THEN place END IGNORE NULLS) OVER (PARTITION BY owner ORDER BY day, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1, 0) AS low,
   coalesce(first_value(CASE WHEN key % 4 = 0 THEN place END IGNORE NULLS) OVER (PARTITION BY owner ORDER BY day, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), n) AS high FROM p),
@@ -298,7 +310,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         link_suppliers, member_candidates, rank_members, score_parts, accept_margin, deconflict, perfect_members, best_match, count_similarity, flag_similarity, numeric_constants,
-        identity_set_similarity, identity_prematch, match_status, fully_matched, unmatch_cascade, match_fanout, member_name_match, fixpoint_link, position_similarity, sequence_similarity,
+        identity_set_similarity, identity_prematch, match_status, fully_matched, unmatch_cascade, match_fanout, member_name_match, members_full, fixpoint_link, position_similarity, sequence_similarity,
         sequence_alignment, aligned_ratio, similarity_report,
     )
 }
