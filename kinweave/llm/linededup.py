@@ -130,7 +130,8 @@ def drop_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, batches:
         F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"),
         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("body"),
     )
-    return keyed.join(stored(gone, "lines_gone"), ["id", "body"], "left").select("row", lines_of(F.col("row")[text]).alias("lines"), "gone")
+    # one way at every size: what goes grows with the corpus, so it is never sent to all tasks
+    return keyed.join(stored(gone, "lines_gone").hint("merge"), ["id", "body"], "left").select("row", lines_of(F.col("row")[text]).alias("lines"), "gone")
 
 
 def kept_text() -> Column:
