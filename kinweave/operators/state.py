@@ -55,6 +55,20 @@ def fully_matched(entities: DataFrame, members: DataFrame, matches: DataFrame) -
     return entities.select("id").join(open_.withColumn("open", F.lit(True)), "id", "left").select("id", F.col("open").isNull().alias("fully"))
 
 
+def potential(entities: DataFrame, others: DataFrame, matches: DataFrame) -> DataFrame:
+    """(id, potential): whether anything on the other side could be an entity; both sides have (id, scope, name, disguised).
+
+    A matched entity has its partner. Another one needs an unmatched entity of its scope with its name, or with any name if
+    either is disguised. Counts of each scope tell, so no pairs are made.
+    """
+    free = others.join(matches.select(F.col("b").alias("id")), "id", "left_anti")
+    scopes = free.groupBy("scope").agg(F.count("*").alias("free"), F.count_if("disguised").alias("masked"))
+    names = free.where("NOT disguised").select("scope", "name").distinct().withColumn("same", F.lit(True))
+    rows = entities.join(matches.select(F.col("a").alias("id"), F.lit(True).alias("met")), "id", "left").join(scopes, "scope", "left").join(names, ["scope", "name"], "left")
+    found = F.coalesce("met", F.lit(False)) | (F.coalesce("masked", F.lit(0)) > 0) | F.coalesce("same", F.lit(False)) | (F.col("disguised") & (F.coalesce("free", F.lit(0)) > 0))
+    return rows.select("id", found.alias("potential"))
+
+
 def fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], passes: int = 50) -> DataFrame:
     """Repeat ``step`` (state to new pairs) until it finds nothing. Each pass is one job, written before the next."""
     state = stored(state.select("a", "b"), "matches")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinweave.functions.text import bucket
-from kinweave.operators import ranking, sequences, similarity, state
+from kinweave.operators import assignment, ranking, sequences, similarity, state
 from kinweave.operators.ranking import Measure
 
 from .tables import SHIFT, orders, side, suppliers, table
@@ -223,6 +223,31 @@ def aligned_ratio(spark, sf_dir):
     return counted.select("a", F.round(similarity.ratio(F.col("kept"), F.col("lost")), 6).alias("ratio"))
 
 
+def aligned_reference_ratio(spark, sf_dir):
+    """Users as callers, each matched with the next one, and steps of fifty of an event's value as what it refers to."""
+    events = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", F.floor(F.col("value") / 50).alias("target")))).alias("x"))
+    refs = events.select(F.col("user_id").alias("caller"), F.posexplode("x").alias("place", "e")).select("caller", "place", "e.target").where("target IS NOT NULL")
+    pairs = refs.select(F.col("target").alias("a"), F.col("target").alias("b")).distinct()
+    places_ = sequence_alignment(spark, sf_dir).select(F.col("a").alias("caller"), "place", F.col("partner").alias("partner_place"))
+    matches = places_.select("caller").distinct().withColumn("partner", F.col("caller") + 1)
+    return sequences.reference_ratio(pairs, refs, refs, places_, matches).withColumn("ratio", F.round("ratio", 6))
+
+
+def greedy_member_similarity(spark, sf_dir):
+    """Orders as methods of customers: priority and status are their shape, the number of lines their size."""
+    shaped = lambda parity: orders(spark, sf_dir, parity).select("owner", "day", "id", F.concat_ws("|", "priority", "status").alias("shape"), F.col("lines").alias("size"))
+    a, b = shaped(1), shaped(0)
+    pairs = a.select(F.col("owner").alias("a")).distinct().withColumn("b", F.col("a") + SHIFT)
+    return assignment.greedy_similarity(pairs, a, b, ["day", "id"]).withColumn("similarity", F.round("similarity", 6))
+
+
+def potential_match(spark, sf_dir):
+    """Orders of one customer could be each other if their priorities agree, or one is disguised (urgent and high ones are)."""
+    told = lambda parity, shift: orders(spark, sf_dir, parity).select("id", (F.col("owner") - shift).alias("scope"), F.col("priority").alias("name"), F.col("priority").isin("1-URGENT", "2-HIGH").alias("disguised"))
+    linked = ranking.link(order_pairs(spark, sf_dir), order_measures()).select("a", "b")
+    return state.potential(told(1, 0), told(0, SHIFT), linked)
+
+
 def similarity_report(spark, sf_dir):
     """Share of linked orders of a customer, in steps of a twentieth."""
     linked = ranking.link(order_pairs(spark, sf_dir), order_measures()).select(F.col("a").alias("id"), (F.col("score") / 31.0).alias("s"))
@@ -286,6 +311,9 @@ FROM nation LEFT JOIN la ON n_nationkey = la.n LEFT JOIN lb ON n_nationkey = lb.
 SELECT status, count(*) AS total, count(one.a) AS matched FROM ord LEFT JOIN one ON ord.id = one.a WHERE odd = 1 GROUP BY status""",
     "fully_matched": f"""WITH {A_ORD}, c AS (SELECT * FROM scored WHERE score > {CUT}), {accepted_sql("c", "31e0")}
 SELECT owner AS id, bool_and(id % 10 = 0 OR one.a IS NOT NULL) AS fully FROM ord LEFT JOIN one ON ord.id = one.a WHERE odd = 1 GROUP BY owner""",
+    "potential_match": f"""WITH {A_ORD}, c AS (SELECT * FROM scored WHERE score > {CUT}), {accepted_sql("c", "31e0")},
+n AS (SELECT *, priority IN ('1-URGENT', '2-HIGH') AS disguised FROM ord), f AS (SELECT * FROM n WHERE odd = 0 AND id NOT IN (SELECT b FROM one))
+SELECT id, id IN (SELECT a FROM one) OR EXISTS (SELECT 1 FROM f WHERE f.owner = n.owner + {SHIFT} AND (f.disguised OR n.disguised OR f.priority = n.priority)) AS potential FROM n WHERE odd = 1""",
     "unmatch_cascade": f"""WITH {A_ORD} SELECT DISTINCT owner AS a, owner + {SHIFT} AS b, 'owner' AS kind FROM ord WHERE odd = 1 AND owner % 4 <> 0
 UNION ALL SELECT id, id + {SHIFT}, 'member' FROM ord WHERE odd = 1 AND owner % 4 <> 0""",
     "match_fanout": f"""WITH {A_ORD} SELECT a.id AS a, b.id AS b FROM ord a JOIN ord b ON a.odd = 1 AND b.odd = 0 AND a.owner + {SHIFT} = b.owner AND a.priority = b.priority AND strftime(a.day, '%Y-%m') = strftime(b.day, '%Y-%m')""",
@@ -311,6 +339,6 @@ QUERIES = {
     for f in (
         link_suppliers, member_candidates, rank_members, score_parts, accept_margin, deconflict, perfect_members, best_match, count_similarity, flag_similarity, numeric_constants,
         identity_set_similarity, identity_prematch, match_status, fully_matched, unmatch_cascade, match_fanout, member_name_match, members_full, fixpoint_link, position_similarity, sequence_similarity,
-        sequence_alignment, aligned_ratio, similarity_report,
+        sequence_alignment, aligned_ratio, aligned_reference_ratio, greedy_member_similarity, potential_match, similarity_report,
     )
 }

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinweave.functions import filters
-from kinweave.operators import graph, lookups, names, ranking, sequences, similarity, state
+from kinweave.operators import assignment, graph, lookups, names, ranking, sequences, similarity, state
 from kinweave.operators.components import components
 from kinweave.sources import matchfile
 
@@ -155,3 +155,56 @@ def test_match_files(spark, tmp_path):
     matchfile.write(matchfile.lines(owners, members), f"file://{tmp_path}/out")
     back = matchfile.read(spark, f"file://{tmp_path}/out/part-*").select("tag", "first", "second", "owner_a").collect()
     assert sorted(map(tuple, back)) == [("c", "A", "B", "A"), ("c", "D", "E", "D"), ("f", "f1", "g1", "D"), ("m", "m1", "n1", "A")]
+
+
+def plain_greedy(a, b, carry):
+    """Straight from the definition, over all pairs."""
+    if not a or not b:
+        return float(not a and not b)
+    free, total, best, score = list(range(len(b))), 0.0, None, 0.0
+    for shape, size in a:
+        if not carry:
+            best, score = None, 0.0
+        for j in free:
+            own = 1 - abs(size - b[j][1]) / max(size, b[j][1]) if shape == b[j][0] else 0.0
+            if own > score:
+                best, score = j, own
+        if best is not None:
+            total += score
+            free = [j for j in free if j != best]
+    return total / max(len(a), len(b))
+
+
+@pytest.mark.parametrize("carry", [True, False])
+def test_greedy_assignment(spark, carry):
+    rng = random.Random(7)
+    lists = {k: [(rng.choice("xyz"), rng.randrange(1, 6)) for _ in range(rng.randrange(7))] for k in range(60)}
+    rows = [(k, i, s, n) for k, members in lists.items() for i, (s, n) in enumerate(members)]
+    members = spark.createDataFrame(rows, "owner long, place int, shape string, size int")
+    pairs = spark.createDataFrame([(k, (k * 7 + 1) % 60) for k in lists], "a long, b long")
+    got = {(r.a, r.b): r.similarity for r in assignment.greedy_similarity(pairs, members, members, ["place"], carry).collect()}
+    assert got == {(k, (k * 7 + 1) % 60): pytest.approx(plain_greedy(lists[k], lists[(k * 7 + 1) % 60], carry)) for k in lists}
+    assert assignment.greedy([{"shape": None, "size": None}], [{"shape": None, "size": None}]) == 1.0
+
+
+def test_references_at_aligned_places(spark):
+    rng = random.Random(8)
+    a, b = ({c: [rng.randrange(4) for _ in range(rng.randrange(1, 9))] for c in range(12)} for _ in range(2))
+    matched = {c: (c * 5 + 1) % 12 for c in range(9)}
+    places = {c: sequences.align([x % 2 for x in a[c]], [x % 2 for x in b[p]]) for c, p in matched.items()}
+    want = {}
+    for x in range(4):
+        kept = lost = 0
+        for c in a:
+            if x in a[c] and (c not in matched or x not in b[matched[c]]):
+                lost += 1
+            elif x in a[c]:
+                met = [b[matched[c]][p] == x for t, p in zip(a[c], places[c], strict=True) if t == x and p >= 0]
+                kept, lost = kept + sum(met), lost + len(met) - sum(met)
+        want[x] = kept / (kept + lost) if kept + lost else 1.0
+    refs = lambda side: spark.createDataFrame([(c, i, x) for c, xs in side.items() for i, x in enumerate(xs)], "caller long, place int, target long")
+    aligned = spark.createDataFrame([(c, i, p) for c, ps in places.items() for i, p in enumerate(ps)], "caller long, place int, partner_place int")
+    pairs = spark.createDataFrame([(x, x) for x in range(5)], "a long, b long")
+    matches = spark.createDataFrame(list(matched.items()), "caller long, partner long")
+    got = {r.a: r.ratio for r in sequences.reference_ratio(pairs, refs(a), refs(b), aligned, matches).collect()}
+    assert got == {x: pytest.approx(want.get(x, 1.0)) for x in range(5)}
