@@ -21,11 +21,17 @@ def by_unique_name(wanted: DataFrame, entities: DataFrame, owner: str, name: str
     return wanted.join(single, [owner, name], "left")
 
 
-def overlapping(wanted: DataFrame, ranges: DataFrame, slot: str, entity: str) -> DataFrame:
-    """``wanted`` (slot, start, stop) with the first entity of that slot whose range overlaps; null if none does."""
-    met = wanted.alias("w").join(
-        ranges.alias("r"), (F.col(f"w.{slot}") == F.col(f"r.{slot}")) & (F.col("r.start") < F.col("w.stop")) & (F.col("r.stop") > F.col("w.start"))
-    )
+def overlapping(wanted: DataFrame, ranges: DataFrame, slot: str, entity: str, width: int = 64) -> DataFrame:
+    """``wanted`` (slot, start, stop) with the first entity of that slot whose range overlaps; null if none does.
+
+    Both sides are filed by slot and every step of ``width`` that they touch, so ranges meet only their neighbours, however many
+    a slot has; pairs that meet in several steps are one after the aggregation. An empty range overlaps nothing.
+    """
+    steps = F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.greatest("stop", F.col("start") + 1) - 1) / width)))
+    left, right = wanted.withColumn("_step", steps), ranges.withColumn("_step", steps)
+    same = (F.col(f"w.{slot}") == F.col(f"r.{slot}")) & (F.col("w._step") == F.col("r._step"))
+    met = left.alias("w").join(right.alias("r"), same & (F.col("r.start") < F.col("w.stop")) & (F.col("r.stop") > F.col("w.start")))
+    met = met.where("w.start < w.stop AND r.start < r.stop")
     first = met.groupBy(*[F.col(f"w.{c}").alias(c) for c in wanted.columns]).agg(F.min_by(f"r.{entity}", F.struct("r.start", f"r.{entity}")).alias(entity))
     return wanted.join(first, wanted.columns, "left")
 

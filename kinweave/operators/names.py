@@ -19,18 +19,43 @@ def least_uid(a: Column, b: Column) -> Column:
     return F.coalesce(F.least(a, b), F.lit(-1).cast("long"))
 
 
-def numbered(rows: DataFrame, order: list[str], column: str, start: int = 0, buckets: int = 64) -> DataFrame:
-    """``rows`` numbered from ``start`` in ``order``, without gaps.
+def ranged(rows: DataFrame, order: list[str], buckets: int) -> DataFrame:
+    """``rows`` dealt over partitions by ranges of ``order``, with the partition as _part.
 
-    Rows are ranged over partitions by the order, counted per partition, and numbered inside it after the sum of
-    the counts before; only the counts, one for each of ``buckets`` partitions, meet in one task.
+    Written once: the ranges come from a sample, and all that is computed from them has to see the same ones.
     """
-    # written once: the ranges come from a sample, and counts and rows have to see the same ones
-    ranged = stored(rows.repartitionByRange(buckets, *order).withColumn("_part", F.spark_partition_id()), "ranged")
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return ranged.withColumn("_at", within).join(before.select("_part", "_before"), "_part").select(*rows.columns, (F.col("_before") + F.col("_at") - 1 + start).cast("long").alias(column))
+    return stored(rows.repartitionByRange(buckets, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+
+
+def numbered(rows: DataFrame, order: list[str], column: str, start: int = 0, buckets: int = 64, group: str | None = None) -> DataFrame:
+    """``rows`` numbered from ``start`` in ``order``, without gaps; in each ``group`` anew if that is given. The group isn't null.
+
+    Rows are ranged over partitions by group and order, counted per partition, and numbered inside it after the sum of
+    the counts before. Only the counts, one for each of ``buckets`` partitions and group in it, meet in one task, so a large
+    group is numbered by many tasks.
+    """
+    keys = [group] if group else []
+    dealt = ranged(rows, [*keys, *order], buckets)
+    counts = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*keys, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
+    at = (F.col("_before") + F.col("_at") - 1 + start).cast("long")
+    return dealt.withColumn("_at", within).join(before, [*keys, "_part"]).select(*rows.columns, at.alias(column))
+
+
+def followed(rows: DataFrame, group: str, order: str, column: str, buckets: int = 64) -> DataFrame:
+    """``rows`` with the value of ``order`` in the next row of their ``group``, null in the last one.
+
+    As in ``numbered``, a large group lies in many partitions: the last row of one takes the first value of the group's next
+    partition. Null groups are one group.
+    """
+    dealt = ranged(rows, [group, order], buckets)
+    firsts = dealt.groupBy(group, "_part").agg(F.min(order).alias("_first"))
+    onward = firsts.select(F.col(group).alias("_group"), F.col("_part").alias("_own"), F.lead("_first").over(Window.partitionBy(group).orderBy("_part")).alias("_onward"))
+    here = dealt.withColumn("_next", F.lead(order).over(Window.partitionBy(group, "_part").orderBy(order)))
+    joined = here.join(onward, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_own")))
+    return joined.select(*rows.columns, F.coalesce("_next", "_onward").alias(column))
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str, column: str, replace: bool) -> DataFrame:

@@ -37,9 +37,9 @@ def uid_assign(spark, sf_dir):
 
 def temp_names(spark, sf_dir):
     """Temporary names of the suppliers' disguised members: a counter in each nation."""
-    s = table(spark, sf_dir, "supplier").where("s_suppkey % 4 <> 0")
-    counter = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_name")) - 1
-    return s.select(F.col("s_suppkey").alias("id"), F.concat(F.lit("m"), counter.cast("string")).alias("name"))
+    s = table(spark, sf_dir, "supplier").where("s_suppkey % 4 <> 0").select("s_suppkey", "s_nationkey", "s_name")
+    counted = names.numbered(s, ["s_name"], "counter", group="s_nationkey")
+    return counted.select(F.col("s_suppkey").alias("id"), F.concat(F.lit("m"), F.col("counter").cast("string")).alias("name"))
 
 
 def slot_offsets(spark, sf_dir):
@@ -69,8 +69,10 @@ def link_components(spark, sf_dir):
     """A supplier's accessor among its lines: same nation's customer with equal balance sign, preferring one with orders."""
     s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
     read = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("read", F.lit(1))
-    both = s.join(c.join(read, "c_custkey", "left"), (F.col("s_nationkey") == F.col("c_nationkey")) & ((F.col("s_acctbal") < 0) == (F.col("c_acctbal") < 0)))
-    return both.groupBy(F.col("s_suppkey").alias("id")).agg(F.min_by("c_custkey", F.struct(-F.coalesce("read", F.lit(0)), "c_custkey")).alias("linked"))
+    # all suppliers of a nation and sign get the same customer, so that is chosen before the join
+    best = c.join(read, "c_custkey", "left").groupBy("c_nationkey", (F.col("c_acctbal") < 0).alias("owing"))
+    best = best.agg(F.min_by("c_custkey", F.struct(-F.coalesce("read", F.lit(0)), "c_custkey")).alias("linked"))
+    return s.join(best, (F.col("s_nationkey") == F.col("c_nationkey")) & ((F.col("s_acctbal") < 0) == F.col("owing"))).select(F.col("s_suppkey").alias("id"), "linked")
 
 
 def display_filter(spark, sf_dir):
@@ -95,7 +97,9 @@ def postfix_filter(spark, sf_dir):
 
 
 def _placed(rows: DataFrame, key, group: str = "brand") -> DataFrame:
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(key, "id"))).select("id", "place")
+    """Places in a group. There are few groups however many rows, so each is numbered by many tasks."""
+    numbered = names.numbered(rows.select("id", group, key.alias("key")), ["key", "id"], "place", 1, group=group)
+    return numbered.select("id", F.col("place").cast("int").alias("place"))
 
 
 def short_first_sort(spark, sf_dir):
@@ -147,7 +151,10 @@ def descriptor_names(spark, sf_dir):
 
 
 def sorted_name_list(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_join(F.sort_array(F.collect_list("s_name")), "\n").alias("names"))
+    """Suppliers of an order, by name."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").join(s, "l_suppkey")
+    return rows.groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list("s_name")), "\n").alias("names"))
 
 
 def file_identity(spark, sf_dir):
@@ -158,8 +165,7 @@ def file_identity(spark, sf_dir):
 def jaccard_docs(spark, sf_dir):
     """Documents that share a line of 40 characters or more with the next document of their source."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.array_distinct(F.split("text", "\n")).alias("lines"))
-    following = F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id"))
-    pairs = d.select("doc_id", "source").withColumn("next", following).where("next IS NOT NULL").select("doc_id", "next")
+    pairs = names.followed(d.select("doc_id", "source"), "source", "doc_id", "next").where("next IS NOT NULL").select("doc_id", "next")
     both = pairs.join(d.select("doc_id", F.col("lines").alias("x")), "doc_id").join(d.select(F.col("doc_id").alias("next"), F.col("lines").alias("y")), "next")
     return both.select("doc_id", "next", F.round(similarity.of_sets(F.col("x"), F.col("y")), 6).alias("similarity"))
 
@@ -223,7 +229,7 @@ SELECT id, regexp_extract(f, '^(.*)/[^/]*$', 1) AS package, nullif(o, '') AS out
 CASE WHEN size & 8 <> 0 THEN 'static' END, CASE WHEN size >= 16 THEN '0x' || lower(to_hex(size - size % 16)) END], lambda x: x IS NOT NULL), ' ') AS flags FROM p""",
     "descriptor_names": f"""WITH {PART} SELECT l_orderkey, CASE WHEN count(*) = count(CASE WHEN size < 49 THEN 1 END) THEN '(' || string_agg(brand, '' ORDER BY brand) || ')' END AS descriptor
 FROM lineitem JOIN p ON l_partkey = id GROUP BY 1""",
-    "sorted_name_list": "SELECT s_nationkey, string_agg(s_name, chr(10) ORDER BY s_name) AS names FROM supplier GROUP BY 1",
+    "sorted_name_list": "SELECT l_orderkey, string_agg(s_name, chr(10) ORDER BY s_name) AS names FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1",
     "file_identity": "SELECT doc_id, strlen(text)::BIGINT AS size, sha256(text) AS sha256, to_base64(unhex(md5(text))) AS hash FROM documents",
     "jaccard_docs": """WITH d AS (SELECT doc_id, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS nxt, list_distinct(string_split(text, chr(10))) AS l FROM documents)
 SELECT x.doc_id, x.nxt AS next, round(len(list_intersect(x.l, y.l)) / len(list_distinct(list_concat(x.l, y.l)))::DOUBLE, 6) AS similarity FROM d x JOIN d y ON x.nxt = y.doc_id""",

@@ -208,3 +208,30 @@ def test_references_at_aligned_places(spark):
     matches = spark.createDataFrame(list(matched.items()), "caller long, partner long")
     got = {r.a: r.ratio for r in sequences.reference_ratio(pairs, refs(a), refs(b), aligned, matches).collect()}
     assert got == {x: pytest.approx(want.get(x, 1.0)) for x in range(5)}
+
+
+def test_large_groups_are_numbered_and_followed_over_many_partitions(spark):
+    rows = [("hot" if i % 3 else "g" + str(i % 5), (i * 7919) % 1000) for i in range(1000)]
+    frame = spark.createDataFrame(rows, "grouped string, at long")
+    numbered = sorted(map(tuple, names.numbered(frame, ["at"], "n", 5, buckets=9, group="grouped").collect()))
+    followed = sorted(map(tuple, names.followed(frame, "grouped", "at", "next", buckets=9).collect()))
+    want_numbers, want_next = [], []
+    for group in sorted({g for g, _ in rows}):
+        at = sorted(a for g, a in rows if g == group)
+        want_numbers += [(group, a, 5 + i) for i, a in enumerate(at)]
+        want_next += [(group, a, b) for a, b in zip(at, [*at[1:], None], strict=True)]
+    assert numbered == want_numbers and followed == want_next
+    empty = frame.where("at < 0")
+    assert names.numbered(empty, ["at"], "n", group="grouped").count() == names.followed(empty, "grouped", "at", "next").count() == 0
+
+
+def test_overlaps_across_steps(spark):
+    rng = random.Random(3)
+    spans = lambda n: [(rng.randrange(3), s := rng.randrange(-40, 200), s + rng.randrange(40), i) for i in range(n)]
+    wanted, ranges = sorted({x[:3] for x in spans(60)}), spans(80)
+    got = lookups.overlapping(spark.createDataFrame(wanted, "slot int, start int, stop int"), spark.createDataFrame(ranges, "slot int, start int, stop int, entity int"), "slot", "entity", width=8)
+    want = []
+    for slot, start, stop in wanted:
+        met = [(s, e) for k, s, t, e in ranges if k == slot and start < stop and s < t and s < stop and t > start]
+        want.append((slot, start, stop, min(met)[1] if met else None))
+    assert sorted(tuple(r) for r in got.select("slot", "start", "stop", "entity").collect()) == want
