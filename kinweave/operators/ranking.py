@@ -65,7 +65,7 @@ def accepted(scored: DataFrame, top: float, absolute: float = ABSOLUTE, relative
 
     The two best are found by two aggregations, so no task has to hold an a's whole ranking.
     """
-    best = scored.groupBy("a").agg(F.max_by("b", F.struct("score", -F.col("b"))).alias("best"), F.max("score").alias("top_score"))
+    best = scored.groupBy("a").agg(F.min_by("b", F.struct(-F.col("score"), F.col("b"))).alias("best"), F.max("score").alias("top_score"))
     others = scored.join(best, "a").where(F.col("b") != F.col("best")).groupBy("a").agg(F.max("score").alias("second"))
     ahead = F.col("second").isNull() | (normal(F.col("second"), top) < normal(F.col("top_score"), top) * (1 - relative))
     kept = best.join(others, "a", "left").where((normal(F.col("top_score"), top) >= absolute) & ahead)
