@@ -12,6 +12,8 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import inner_of, outer_of, package_of
+
 BOOLEAN = {"eq", "equals", "and", "or", "not", "startswith", "endswith", "contains"}
 PAIRS: dict[str, Callable[[Column, Column], Column]] = {
     "eq": lambda a, b: F.coalesce(a == b, F.lit(False)),
@@ -22,14 +24,36 @@ PAIRS: dict[str, Callable[[Column, Column], Column]] = {
     "contains": lambda a, b: F.contains(a, b),
 }
 PAIRS["equals"] = PAIRS["eq"]
+PARTS: dict[str, Callable[[Column], Column]] = {
+    "class": lambda a: F.substring_index(a, "/", -1),
+    "package": package_of,
+    "inner": inner_of,
+    "outer": lambda a: F.coalesce(outer_of(a), F.lit("")),
+}
+
 
+def compiled(text: str, columns: Mapping[str, Column], start: Column, ancestors: Column | None = None) -> Column:
+    """Condition of a filter; ``columns`` are its named values; ``a`` and ``b``, if given there, are the source item and the candidate.
 
-def compiled(text: str, columns: Mapping[str, Column], start: Column) -> Column:
-    """Condition of a filter; ``columns`` are its named values."""
+    ``ancestors`` are the names of all that the candidate can stand for, itself included: what ``instanceof`` asks of it.
+    """
     try:
         stack: list[tuple[Column, bool]] = [(start, False)]
-        for token in text.split():
-            if token in PAIRS:
+        for word in text.split():
+            token = word.lower() if word.lower() in PAIRS or word.lower() in PARTS or word.lower() in ("not", "dup", "swap", "instanceof") else word
+            if token in columns:
+                stack.append((columns[token], False))
+            elif token == "instanceof":
+                (b, _), (a, _) = stack.pop(), stack.pop()
+                if ancestors is None or not (a is start or a is columns.get("b")):
+                    raise ValueError("instanceof is about the candidate, and needs its ancestors")
+                stack.append((F.array_contains(ancestors, b), True))
+            elif token in PARTS:
+                a, a_is = stack.pop()
+                if a_is:
+                    raise ValueError(f"{token} needs a name")
+                stack.append((PARTS[token](a), False))
+            elif token in PAIRS:
                 (b, b_is), (a, a_is) = stack.pop(), stack.pop()
                 if token in ("and", "or") and not (a_is and b_is):
                     raise ValueError(f"{token} needs two conditions")
@@ -43,8 +67,6 @@ def compiled(text: str, columns: Mapping[str, Column], start: Column) -> Column:
                 stack.append(stack[-1])
             elif token == "swap":
                 stack[-1], stack[-2] = stack[-2], stack[-1]
-            elif token in columns:
-                stack.append((columns[token], False))
             else:
                 stack.append((F.lit(token.strip('"')), False))
         if len(stack) == 1 and stack[0][1]:

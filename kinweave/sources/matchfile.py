@@ -41,6 +41,41 @@ def parsed(lines: DataFrame) -> DataFrame:
     )
 
 
+def header(lines: DataFrame) -> DataFrame:
+    """(file, section, ord, size, algorithm, hash, name) of the input files and patterns in the header, from (file, line, value).
+
+    Sections are ``a``, ``b``, ``cp``, ``cp a`` and ``cp b``, with a file a line: its name; or size, SHA-256 and name; or size, algorithm,
+    hash and name. A pattern has its key as section (``non-obf cls a`` and so on) and itself as name. The header ends at the
+    first line after the file's first one that isn't indented; hashes are base64.
+    """
+    whole = Window.partitionBy("file")
+    first = F.min("line").over(whole)
+    rows = lines.withColumn("first", first).withColumn("end", F.min(F.when((F.col("line") > F.col("first")) & (F.col("value") != "") & ~F.startswith("value", F.lit("\t")), F.col("line"))).over(whole))
+    rows = rows.where((F.col("line") > F.col("first")) & (F.col("end").isNull() | (F.col("line") < F.col("end"))))
+    title = F.regexp_extract("value", "^\t(a|b|cp|cp a|cp b):$", 1)
+    pattern = F.regexp_extract("value", "^\t(non-obf (?:cls|mem) [ab])\t", 1)
+    so_far = whole.orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({"title": title, "pattern": pattern}).withColumn("section", F.last(F.when(F.col("title") != "", F.col("title")), ignorenulls=True).over(so_far))
+    fields = F.split(F.substring("value", 3, 1 << 30), "\t")
+    n, at = F.size(fields), lambda i: F.get(fields, F.lit(i))
+    files = rows.where(F.startswith("value", F.lit("\t\t")) & F.col("section").isNotNull()).select(
+        "file", "section", F.col("line").alias("ord"), F.when(n >= 3, at(0).try_cast("long")).alias("size"),
+        F.when(n == 3, "SHA256").when(n >= 4, at(1)).alias("algorithm"), F.when(n == 3, at(1)).when(n >= 4, at(2)).alias("hash"), F.element_at(fields, -1).alias("name"),
+    )
+    none = F.lit(None).cast("string")
+    patterns = rows.where("pattern <> ''").select("file", F.col("pattern").alias("section"), F.col("line").alias("ord"), none.cast("long").alias("size"), none.alias("algorithm"), none.alias("hash"), F.substring("value", F.length("pattern") + 3, F.lit(1 << 30)).alias("name"))
+    return files.unionByName(patterns)
+
+
+def header_lines(saved_at: str, files: list[tuple], patterns: dict[str, str] | None = None) -> list[str]:
+    """Lines of a header: ``files`` are (section, size, algorithm, hash, name), a handful for each project."""
+    out = [f"Matches saved {saved_at}, input files:"]
+    for section in ("a", "b", "cp", "cp a", "cp b"):
+        out.append(f"\t{section}:")
+        out += ["\t\t" + "\t".join(map(str, row[1:])) for row in files if row[0] == section]
+    return out + [f"\t{key}\t{value}" for key, value in (patterns or {}).items()]
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Parsed lines of match files; each file is read whole, so its lines keep their order."""
     files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))

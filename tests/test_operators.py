@@ -235,3 +235,22 @@ def test_overlaps_across_steps(spark):
         met = [(s, e) for k, s, t, e in ranges if k == slot and start < stop and s < t and s < stop and t > start]
         want.append((slot, start, stop, min(met)[1] if met else None))
     assert sorted(tuple(r) for r in got.select("slot", "start", "stop", "entity").collect()) == want
+
+
+def test_filters_about_parts_and_ancestors(spark):
+    rows = spark.createDataFrame([("p/q/A$B", ["p/q/A$B", "Base"]), ("A", ["A"])], "name string, up array<string>")
+    kept = lambda text: [r.name for r in rows.where(filters.compiled(text, {"b": rows["name"]}, rows["name"], rows["up"])).orderBy("name").collect()]
+    assert kept("Base instanceof") == ["p/q/A$B"] and kept("class A eq") == ["A"] and kept("package p/q EQ") == ["p/q/A$B"]
+    assert kept("inner B eq") == ["p/q/A$B"] and kept("outer p/q/A eq") == ["p/q/A$B"] and kept("b eq") == ["A", "p/q/A$B"]
+    assert kept("instanceof") == kept("x y instanceof") == ["A", "p/q/A$B"]
+
+
+def test_header_of_match_files(spark):
+    files = [("a", 5, "SHA256", "aGFzaA==", "one.jar"), ("a", 6, "SHA1", "aA==", "two words.jar"), ("cp b", 7, "SHA1", "bA==", "lib.jar")]
+    lines = matchfile.header_lines("2020-01-01T00:00:00Z", files, {"non-obf cls a": "a/.*", "non-obf mem b": "x\ty"})
+    lines[2:2] = ["\t\told.jar", "\t\t9\tYQ==\tolder.jar"]
+    lines += ["c\tA\tB", "\tm\tx\ty", "\t\tma\t0\t0", ""]
+    frame = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, line int, value string")
+    got = [tuple(r)[1:] for r in matchfile.header(frame).orderBy("ord").drop("ord").collect()]
+    assert got == [("a", None, None, None, "old.jar"), ("a", 9, "SHA256", "YQ==", "older.jar"), *files, ("non-obf cls a", None, None, None, "a/.*"), ("non-obf mem b", None, None, None, "x\ty")]
+    assert matchfile.parsed(frame).count() == 3
