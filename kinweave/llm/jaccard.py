@@ -3,8 +3,9 @@
 Texts with the same words are one class and are looked at once. Each class gets ``TREES`` labels of ``DEPTH``
 one-byte minhashes. A tree of the forest is the sorted trie of its labels; the classes below one node of it, a
 common prefix, are candidates. The join begins with whole labels and shortens the prefixes by one byte at a time,
-until the estimated recall reaches its target: each link found with similarity s stands for 1 / p(s) links, where
-p(s) = 1 - (1 - s ** depth) ** TREES is the chance that a pair as similar meets below some node.
+until the recall reaches its target for the least similar links too: p(s) = 1 - (1 - s ** depth) ** TREES is the chance
+that a pair of similarity s meets below some node, and p(THRESHOLD) has to reach it. What was found has no say, so a
+pair's chance doesn't hang on the rest of the corpus.
 
 A node's classes are compared in blocks: ``BLOCK`` classes a side, so a node of m classes becomes about
 (m / BLOCK) ** 2 / 2 units of bounded size, and no pair is ever written as a row. A unit first drops classes whose signatures
@@ -42,7 +43,6 @@ LEAST_DEPTH = 5
 BLOCK = 128
 #: Signatures that agree in a smaller share aren't compared: five standard deviations below the threshold.
 LIKELY = THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / (TREES * DEPTH)) ** 0.5
-BINS = 10
 
 _seeds = mix(np.arange(1, 2 * TREES * DEPTH + 1, dtype=U))
 FACTORS = (_seeds[: TREES * DEPTH] >> U(32)).astype(np.uint32) | np.uint32(1)
@@ -182,10 +182,7 @@ def likely(units: DataFrame, depth: int, before: int | None) -> DataFrame:
 
 
 def verified(units: DataFrame, depth: int, before: int | None) -> DataFrame:
-    """(words_id, root, n_links, bins): links of each class in each unit, and an end of its local component.
-
-    bins counts a class's links by similarity, each link at one of its ends.
-    """
+    """(words_id, root, n_links): links of each class in each unit, and an end of its local component."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in by_unit(batches):
@@ -206,9 +203,6 @@ def verified(units: DataFrame, depth: int, before: int | None) -> DataFrame:
                 while root[b] != b:
                     root[b] = b = root[root[b]]
                 root[max(a, b)] = min(a, b)
-            bins = np.zeros((len(ids), BINS), dtype=np.int64)
-            grade = np.minimum(((both[rows, columns] / joint[rows, columns] - THRESHOLD) / (1 - THRESHOLD) * BINS).astype(int).clip(0), BINS - 1)
-            np.add.at(bins, (rows, grade), 1)
             linked = np.flatnonzero(n_links)
             roots = []
             for a in linked.tolist():
@@ -216,23 +210,21 @@ def verified(units: DataFrame, depth: int, before: int | None) -> DataFrame:
                     a = root[a]
                 roots.append(ids[a])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[i] for i in linked], pa.binary()), pa.array(roots, pa.binary()), pa.array(n_links[linked]), pa.array(list(bins[linked]), pa.list_(pa.int64()))],
-                ["words_id", "root", "n_links", "bins"],
+                [pa.array([ids[i] for i in linked], pa.binary()), pa.array(roots, pa.binary()), pa.array(n_links[linked])],
+                ["words_id", "root", "n_links"],
             )
 
-    return units.repartition(*UNIT).sortWithinPartitions(*UNIT).mapInArrow(verify, "words_id binary, root binary, n_links long, bins array<long>")
+    return units.repartition(*UNIT).sortWithinPartitions(*UNIT).mapInArrow(verify, "words_id binary, root binary, n_links long")
 
 
-def recall(bins: list[int], depth: int) -> float:
-    """Estimated share of all links that were found at ``depth``, from the found ones' similarities."""
-    s = THRESHOLD + (1 - THRESHOLD) / BINS * np.arange(BINS)
-    found = np.array(bins, dtype=float)
-    return float(found.sum() / (found / (1 - (1 - s**depth) ** TREES)).sum()) if found.sum() else 1.0
+def recall(s: float, depth: int) -> float:
+    """Share of the links of similarity ``s`` that are found at ``depth``."""
+    return 1 - (1 - s**depth) ** TREES
 
 
 def links(docs: DataFrame, classes: DataFrame, target: float = TARGET_RECALL) -> DataFrame:
     """(words_id, root, n_links) over all rounds."""
-    found, bins, before = None, [0] * BINS, None
+    found, before = None, None
     for depth in range(DEPTH, LEAST_DEPTH - 1, -1):
         withsig = nodes(classes, depth).join(classes.select("words_id", "sig"), "words_id")
         units = stored(likely(withsig, depth, before), "units")
@@ -240,13 +232,11 @@ def links(docs: DataFrame, classes: DataFrame, target: float = TARGET_RECALL) ->
         rows = docs.select(F.xxhash64("doc_id", "text").alias("body"), "text").join(wanted.select("body"), "body", "left_semi")
         sets = shingled(rows).groupBy("words_id").agg(F.any_value("shingles").alias("shingles"))
         round_ = stored(verified(units.join(sets, "words_id"), depth, before), "links")
-        total = round_.agg(*[F.sum(F.get("bins", F.lit(i))) for i in range(BINS)]).first()
-        bins = [a + (b or 0) for a, b in zip(bins, total, strict=True)]
         found = round_ if found is None else found.unionByName(round_)
         before = depth
-        if recall(bins, depth) >= target:
+        if recall(THRESHOLD, depth) >= target:
             break
-    return found.drop("bins")
+    return found
 
 
 def near_classes(docs: DataFrame, target: float = TARGET_RECALL) -> tuple[DataFrame, DataFrame]:

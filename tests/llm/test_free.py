@@ -134,6 +134,23 @@ def test_jaccard_rounds_count_no_pair_twice(near, monkeypatch):
     assert sorted(map(repr, jaccard.report(near).collect())) == once
 
 
+def test_borderline_links_are_found_beside_a_hot_group(spark):
+    """Pairs at 0.8 that share no whole label, beside near-identical copies that bring the bulk of all links."""
+    rng = random.Random(9)
+    sign = lambda text: jaccard.signature(words.shingle_hashes(words.word_hashes(*words.bytes_of(pa.array([text])))[0], jaccard.SHINGLE))
+    labels = lambda sig: {(t, sig[t * jaccard.DEPTH : (t + 1) * jaccard.DEPTH]) for t in range(jaccard.TREES)}
+    docs = []
+    while len(docs) < 8:
+        start = " ".join(f"w{rng.randrange(10**6)}" for _ in range(12))
+        a, b = start + " one", start + " two"
+        if not labels(sign(a)) & labels(sign(b)):
+            docs += [(len(docs), a), (len(docs) + 1, b)]
+    long = [f"v{i}" for i in range(300)]
+    docs += [(100 + i, " ".join(long[: 7 * i] + [f"x{i}"] + long[7 * i + 1 :])) for i in range(30)]
+    got = sorted(map(tuple, jaccard.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()))
+    assert got == sorted(brute_groups(docs)) and [x[3] for x in got[:8]] == [1] * 8
+
+
 def test_one_of_each_group_stays(near):
     kept = jaccard.keep_one(near)
     # two texts share the id 2000, so the id of a group alone doesn't tell those groups apart
