@@ -1,4 +1,4 @@
-"""Connected components by smallest label, with pointer jumping."""
+"""Connected components by smallest label, with roots hooked to smaller ones."""
 
 from __future__ import annotations
 
@@ -8,27 +8,42 @@ from pyspark.sql import functions as F
 from kinweave.storage import stored
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", passes: int = 100) -> DataFrame:
+def flattened(labels: DataFrame) -> DataFrame:
+    """``labels`` (node, label) with every label replaced by its own label, until nothing moves."""
+    while True:
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
+        jumped = labels.join(jump, "label").select("node", F.col("beyond").alias("label"), (F.col("beyond") != F.col("label")).alias("moved"))
+        jumped = stored(jumped, "labels")
+        labels = jumped.select("node", "label")
+        if jumped.where("moved").isEmpty():
+            return labels
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label) for every end of an edge; the label is the smallest node of its component.
 
-    Each pass takes the smallest label among a node's neighbours, then the label of that label, so the number of passes grows
-    with the logarithm of a component's width. Only edges and labels move; nothing is gathered by component.
+    Each round hooks every node to its smallest neighbour, if that is smaller than itself, and follows the hooks to their
+    ends, the roots. The edges between different roots are the next round's edges; without any, the components are whole.
+    A round leaves only the nodes without a smaller neighbour, and following takes the logarithm of a hook chain's length,
+    so chains of any width settle in few rounds. Only edges and labels move; nothing is gathered by component.
     Edges with a null end are left out.
     """
     ends = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).where("node IS NOT NULL AND other IS NOT NULL")
-    both = stored(ends.unionByName(ends.select(F.col("other").alias("node"), F.col("node").alias("other"))).where("node <> other").distinct(), "edges")
-    alone = ends.where("node = other").select("node").distinct()
-    labels = stored(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), "labels")
-    for _ in range(passes):
-        near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        lowered = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("next"))
-        lowered = stored(lowered, "lowered")
-        jump = lowered.select(F.col("node").alias("next"), F.col("next").alias("beyond"))
-        jumped = lowered.join(jump, "next").select("node", F.least("next", "beyond").alias("label"), (F.least("next", "beyond") != F.col("label")).alias("moved"))
-        jumped = stored(jumped, "labels")
-        labels = jumped.select("node", "label")
-        if jumped.where("moved").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {passes} passes")
+    ends = stored(ends.select(F.greatest("node", "other").alias("high"), F.least("node", "other").alias("low")).distinct(), "edges")
+    alone = ends.where("high = low").select(F.col("high").alias("node"))
+    open_ = ends.where("high <> low")
+    rounds: list[DataFrame] = []
+    while not open_.isEmpty():
+        hooks = open_.select(F.col("high").alias("node"), F.col("low").alias("label")).unionByName(open_.select(F.col("low").alias("node"), F.col("low").alias("label")))
+        rounds.append(flattened(stored(hooks.groupBy("node").agg(F.min("label").alias("label")), "hooks")))
+        highs, lows = (rounds[-1].select(F.col("node").alias(end), F.col("label").alias(f"{end}_root")) for end in ("high", "low"))
+        moved = open_.join(highs, "high").join(lows, "low").where("high_root <> low_root")
+        open_ = stored(moved.select(F.greatest("high_root", "low_root").alias("high"), F.least("high_root", "low_root").alias("low")).distinct(), "edges")
+    if not rounds:
+        return alone.select("node", F.col("node").alias("label"))
+    labels = rounds.pop()
+    # a round's labels are the next round's nodes, as far as they had edges left
+    while rounds:
+        later = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
+        labels = stored(rounds.pop().join(later, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
     return labels.unionByName(alone.join(labels, "node", "left_anti").select("node", F.col("node").alias("label")))

@@ -70,14 +70,21 @@ def potential(entities: DataFrame, others: DataFrame, matches: DataFrame) -> Dat
 
 
 def fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], passes: int = 50) -> DataFrame:
-    """Repeat ``step`` (state to new pairs) until it finds nothing. Each pass is one job, written before the next."""
+    """Repeat ``step`` (state to new pairs) until it finds nothing. Each pass is one job, written before the next.
+
+    There may be any number of passes as long as the pairs grow; more than ``passes`` in a row that only replace pairs are an error.
+    """
     state = stored(state.select("a", "b"), "matches")
-    for _ in range(passes):
+    most, idle = state.count(), 0
+    while True:
         new = stored(step(state).select("a", "b"), "new_matches")
         if new.isEmpty():
             return state
         state = stored(replaced(state, new), "matches")
-    return state
+        n = state.count()
+        most, idle = max(most, n), 0 if n > most else idle + 1
+        if idle > passes:
+            raise RuntimeError(f"fixpoint did not settle: {idle} passes without a further pair")
 
 
 def schedule(level_passes: Callable[[str, str], bool]) -> None:

@@ -87,6 +87,24 @@ def test_components(spark):
     assert got == root
 
 
+def test_components_of_long_chains(spark):
+    """Chains with random ids, whose labels once needed a pass for nearly each node."""
+    rng = random.Random(4)
+    ids = rng.sample(range(10**6), 3000)
+    chains = [ids[:2000], ids[2000:2500], sorted(ids[2500:])]
+    edges = [(a, b) for c in chains for a, b in zip(c, c[1:], strict=False)]
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: min(c) for c in chains for n in c}
+
+
+def test_fixpoint_goes_on_while_it_finds_pairs_and_never_returns_early(spark):
+    start = spark.createDataFrame([(0, 0)], "a long, b long")
+    grow = lambda s: s.groupBy().agg(F.max("a").alias("m")).where("m < 6").select((F.col("m") + 1).alias("a"), (F.col("m") + 1).alias("b"))
+    assert sorted(map(tuple, state.fixpoint(start, grow, passes=2).collect())) == [(i, i) for i in range(7)]
+    with pytest.raises(RuntimeError):
+        state.fixpoint(start, lambda s: s.select("a", (1 - F.col("b")).alias("b")), passes=2)
+
+
 def test_closure_of_a_diamond_and_a_cycle(spark):
     edges = spark.createDataFrame([("d", "b"), ("d", "c"), ("b", "a"), ("c", "a"), ("x", "y"), ("y", "x")], "src string, dst string")
     got = {(r.sub, r.sup): r.distance for r in graph.closure(edges).collect()}
