@@ -54,7 +54,7 @@ def explicit(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    """Distinct tokens: host labels, first directory, depth and name of the first query parameter."""
+    """Distinct tokens: host labels, first directory and name of the first query parameter; others are left out, as in the SQL."""
     labels = F.transform(F.filter(F.split(host, r"\."), lambda x: x != ""), lambda x: F.concat(F.lit("host="), x))
     first = F.regexp_extract(path, r"^/([^/]*)/", 1)
     query = F.regexp_extract(url, r"\?([^=&#]*)", 1)
@@ -70,7 +70,7 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """Rules (antecedent, verdict, confidence, support) from rows (tokens, verdict).
 
-    A longer rule is pruned if a shorter one with its tokens has the same verdict and no less confidence: it adds nothing.
+    Rules of more than ``max_tokens`` tokens are left out, as in the SQL. Redundant rules stay: they change no verdict.
     """
     if labelled.isEmpty():
         return labelled.sparkSession.createDataFrame([], "antecedent array<string>, verdict string, confidence double, support double")
