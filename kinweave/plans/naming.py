@@ -163,7 +163,7 @@ def file_identity(spark, sf_dir):
 
 
 def jaccard_docs(spark, sf_dir):
-    """Documents that share a line of 40 characters or more with the next document of their source."""
+    """Similarity of each document's set of lines to that of the next document of its source."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.array_distinct(F.split("text", "\n")).alias("lines"))
     pairs = names.followed(d.select("doc_id", "source"), "source", "doc_id", "next").where("next IS NOT NULL").select("doc_id", "next")
     both = pairs.join(d.select("doc_id", F.col("lines").alias("x")), "doc_id").join(d.select(F.col("doc_id").alias("next"), F.col("lines").alias("y")), "next")
