@@ -7,10 +7,15 @@ until the recall reaches its target for the least similar links too: p(s) = 1 -
 that a pair of similarity s meets below some node, and p(THRESHOLD) has to reach it. What was found has no say, so a
 pair's chance doesn't hang on the rest of the corpus.
 
-A node's classes are compared in blocks: ``BLOCK`` classes a side, so a node of m classes becomes about
-(m / BLOCK) ** 2 / 2 units of bounded size, and no pair is ever written as a row. A unit first drops classes whose signatures
-are too different from all others', then compares the sets of shingles exactly, by products of 0/1 matrices. A pair that
-meets below several nodes is counted at the first one only, which both signatures tell.
+A tree's nodes are its sorted label prefixes. A node's classes are compared in blocks of about ``BLOCK`` classes and
+``BLOCK_SHINGLES`` shingles a side, so a node of m classes becomes about (m / BLOCK) ** 2 / 2 units of bounded size, and no
+pair is ever written as a row. A unit first drops classes whose signatures are too different from all others', then compares
+the sets of shingles exactly, by products of 0/1 matrices. A pair that meets below several nodes is counted at the first one
+only, which both signatures tell.
+
+A unit names the smallest class of each of its connected parts. Each class is tied to the smallest class that its units
+name, and so is every other class they name: in a group of m like texts that is m ties and a few for each block, where
+tying a class to what every unit names would be m * m / BLOCK.
 
 Result: one row per document, with the class id (smallest doc_id of all texts connected by links), the smallest doc_id
 with the same words, and the number of links (other classes with a similarity of ``THRESHOLD`` or more).
@@ -27,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.operators.components import components
@@ -39,10 +44,12 @@ SHINGLE = 5
 THRESHOLD = 0.8
 TREES, DEPTH = 32, 8
 TARGET_RECALL = 0.9995
-LEAST_DEPTH = 5
-BLOCK = 128
-#: Signatures that agree in a smaller share aren't compared: five standard deviations below the threshold.
+BLOCK = 256
+BLOCK_SHINGLES = 1 << 18
+#: Signatures that agree in a smaller share aren't compared: five standard deviations below the threshold. That keeps all
+#: but 3 in 10 million links of the threshold's similarity, which ``recall`` counts.
 LIKELY = THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / (TREES * DEPTH)) ** 0.5
+LIKELY_KEPT = 1 - 3e-7
 
 _seeds = mix(np.arange(1, 2 * TREES * DEPTH + 1, dtype=U))
 FACTORS = (_seeds[: TREES * DEPTH] >> U(32)).astype(np.uint32) | np.uint32(1)
@@ -58,22 +65,30 @@ def signature(shingles: np.ndarray) -> bytes:
     return ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
+def body_of(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """128 bits that tell apart rows with other ids or texts; a null is not an empty text."""
+    known = F.concat_ws("\n", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.when(F.col(text).isNull(), "-").otherwise("+"), F.coalesce(text, F.lit("")))
+    return F.unhex(F.md5(known.cast("binary")))
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, body, words_id, sig): words_id tells texts with the same words; sig is null without words."""
+    """(doc_id, body, words_id, sig, n_words): words_id tells texts with the same words; sig is null without words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sigs = [], []
+            ids, sigs, sizes = [], [], []
             for first, last, data, offsets in chunks(batch.column("text")):
                 hashes, firsts = word_hashes(data, offsets)
                 for i in range(last - first):
                     words = hashes[firsts[i] : firsts[i + 1]]
                     ids.append(hashlib.blake2b(words.tobytes(), digest_size=16).digest())
                     sigs.append(signature(shingle_hashes(words, SHINGLE)) if len(words) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("body"), pa.array(ids, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "body", "words_id", "sig"])
+                    sizes.append(len(words))
+            columns = [batch.column("doc_id"), batch.column("body"), pa.array(ids, pa.binary()), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "body", "words_id", "sig", "n_words"])
 
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("body"), "text")
-    return rows.mapInArrow(sign, "doc_id long, body long, words_id binary, sig binary")
+    rows = docs.select("doc_id", body_of().alias("body"), "text")
+    return rows.mapInArrow(sign, "doc_id long, body binary, words_id binary, sig binary, n_words long")
 
 
 def shingled(docs: DataFrame) -> DataFrame:
@@ -94,13 +109,19 @@ def shingled(docs: DataFrame) -> DataFrame:
 
 
 def nodes(classes: DataFrame, depth: int) -> DataFrame:
-    """(tree, node, low, high, side, words_id): the units that each class takes part in, below nodes with several classes."""
-    leaf = classes.select("words_id", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    # substring counts a binary's bytes
-    leaf = leaf.select("words_id", "tree", F.xxhash64("tree", F.substring("sig", F.col("tree") * DEPTH + 1, F.lit(depth))).alias("node"))
-    shared = leaf.groupBy("tree", "node").agg(F.count("*").alias("m")).where("m > 1")
-    cut = F.ceil(F.col("m") / BLOCK).cast("int")
-    members = leaf.join(shared, ["tree", "node"]).withColumns({"cut": cut, "side": F.pmod(F.xxhash64("words_id"), cut).cast("int")})
+    """(tree, node, low, high, side, words_id): the units that each class takes part in, below nodes with several classes.
+
+    A node is a prefix of ``depth`` bytes, as a number. Long texts make more blocks, so that a block's shingles stay bounded too.
+    """
+    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
+    leaf = classes.select("words_id", "sig", "n_words", tree.alias("tree"))
+    # substring counts a binary's bytes; eight of them may have a sign
+    prefix = F.conv(F.hex(F.substring("sig", F.col("tree") * DEPTH + 1, F.lit(depth))), 16, -10).cast("long")
+    leaf = leaf.select("words_id", "n_words", "tree", prefix.alias("node"))
+    shared = leaf.groupBy("tree", "node").agg(F.count("*").alias("m"), F.sum("n_words").alias("n_words")).where("m > 1")
+    cut = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("n_words") / BLOCK_SHINGLES)).cast("int")
+    shared = shared.select("tree", "node", F.least(cut, F.col("m").cast("int")).alias("cut"))
+    members = leaf.select("words_id", "tree", "node").join(shared, ["tree", "node"]).withColumn("side", F.pmod(F.xxhash64("words_id"), "cut").cast("int"))
     units = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
     return units.select("tree", "node", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "words_id")
 
@@ -150,13 +171,14 @@ def fresh_pairs(unit: pa.Table, depth: int, before: int | None) -> np.ndarray:
     return ok
 
 
-def common(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections."""
+def common(sets: list[np.ndarray], ok: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the pairs (row, column) for which ``ok`` may hold."""
+    rows, columns = np.flatnonzero(ok.any(axis=1)), np.flatnonzero(ok.any(axis=0))
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, place, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = n[place] > 1
     owner, place = owner[shared], (np.cumsum(n > 1) - 1)[place[shared]]
-    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    out = np.zeros((len(rows), len(columns)), dtype=np.float32)
     order = np.argsort(place, kind="stable")
     owner, place = owner[order], place[order]
     width = 4096
@@ -164,8 +186,10 @@ def common(sets: list[np.ndarray]) -> np.ndarray:
         a, b = np.searchsorted(place, [first, first + width])
         held = np.zeros((len(sets), width), dtype=np.float32)
         held[owner[a:b], place[a:b] - first] = 1
-        out += held @ held.T
-    return np.rint(out).astype(np.int64)
+        out += held[rows] @ held[columns].T
+    whole = np.zeros(ok.shape, dtype=np.int64)
+    whole[np.ix_(rows, columns)] = np.rint(out)
+    return whole
 
 
 def likely(units: DataFrame, depth: int, before: int | None) -> DataFrame:
@@ -181,55 +205,55 @@ def likely(units: DataFrame, depth: int, before: int | None) -> DataFrame:
     return units.repartition(*UNIT).sortWithinPartitions(*UNIT).mapInArrow(sift, units.schema)
 
 
+def local_roots(links: np.ndarray) -> np.ndarray:
+    """The first place that each place is connected with: the least neighbour's label, until nothing moves."""
+    joined = links | links.T
+    label = np.arange(len(links))
+    while True:
+        moved = np.minimum(label, np.where(joined, label, len(links)).min(axis=1))
+        moved = moved[moved]
+        if (moved == label).all():
+            return label
+        label = moved
+
+
 def verified(units: DataFrame, depth: int, before: int | None) -> DataFrame:
-    """(words_id, root, n_links): links of each class in each unit, and an end of its local component."""
+    """(words_id, root, n_links): links of each class in each unit, and the smallest class of its part of the unit."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in by_unit(batches):
             ok = fresh_pairs(unit, depth, before)
             sets = [np.asarray(s.values).view(U) for s in unit.column("shingles").combine_chunks()] if unit.num_rows else []
-            both, sizes = common(sets), np.array([len(s) for s in sets])
+            both, sizes = common(sets, ok), np.array([len(s) for s in sets])
             joint = sizes[:, None] + sizes[None, :] - both
             links = ok & (both >= THRESHOLD * joint - 1e-9)
             if not links.any():
                 continue
             n_links = links.sum(axis=0) + links.sum(axis=1)
             ids = unit.column("words_id").to_pylist()
-            root = list(range(len(ids)))
-            rows, columns = np.nonzero(links)
-            for a, b in zip(rows.tolist(), columns.tolist(), strict=True):
-                while root[a] != a:
-                    root[a] = a = root[root[a]]
-                while root[b] != b:
-                    root[b] = b = root[root[b]]
-                root[max(a, b)] = min(a, b)
             linked = np.flatnonzero(n_links)
-            roots = []
-            for a in linked.tolist():
-                while root[a] != a:
-                    a = root[a]
-                roots.append(ids[a])
+            roots = [ids[a] for a in local_roots(links)[linked].tolist()]  # rows are in the order of words_id
             yield pa.RecordBatch.from_arrays(
                 [pa.array([ids[i] for i in linked], pa.binary()), pa.array(roots, pa.binary()), pa.array(n_links[linked])],
                 ["words_id", "root", "n_links"],
             )
 
-    return units.repartition(*UNIT).sortWithinPartitions(*UNIT).mapInArrow(verify, "words_id binary, root binary, n_links long")
+    return units.repartition(*UNIT).sortWithinPartitions(*UNIT, "words_id").mapInArrow(verify, "words_id binary, root binary, n_links long")
 
 
 def recall(s: float, depth: int) -> float:
     """Share of the links of similarity ``s`` that are found at ``depth``."""
-    return 1 - (1 - s**depth) ** TREES
+    return (1 - (1 - s**depth) ** TREES) * LIKELY_KEPT
 
 
 def links(docs: DataFrame, classes: DataFrame, target: float = TARGET_RECALL) -> DataFrame:
-    """(words_id, root, n_links) over all rounds."""
+    """(words_id, root, n_links) over all rounds; prefixes of one byte find a share of ``LIKELY_KEPT``, which no target can exceed."""
     found, before = None, None
-    for depth in range(DEPTH, LEAST_DEPTH - 1, -1):
+    for depth in range(DEPTH, 0, -1):
         withsig = nodes(classes, depth).join(classes.select("words_id", "sig"), "words_id")
         units = stored(likely(withsig, depth, before), "units")
         wanted = stored(units.select("words_id").distinct().join(classes.select("words_id", "body"), "words_id"), "wanted")
-        rows = docs.select(F.xxhash64("doc_id", "text").alias("body"), "text").join(wanted.select("body"), "body", "left_semi")
+        rows = docs.select(body_of().alias("body"), "text").join(wanted.select("body"), "body", "left_semi")
         sets = shingled(rows).groupBy("words_id").agg(F.any_value("shingles").alias("shingles"))
         round_ = stored(verified(units.join(sets, "words_id"), depth, before), "links")
         found = round_ if found is None else found.unionByName(round_)
@@ -239,19 +263,28 @@ def links(docs: DataFrame, classes: DataFrame, target: float = TARGET_RECALL) ->
     return found
 
 
+def ties(found: DataFrame) -> DataFrame:
+    """(a, b): each class with the smallest one that its units name, and the others they name with that one too."""
+    least = F.min("root").over(Window.partitionBy("words_id"))
+    named = found.select("words_id", "root", least.alias("low"))
+    return named.select(F.col("words_id").alias("a"), F.col("low").alias("b")).unionByName(named.select(F.col("root").alias("a"), F.col("low").alias("b"))).distinct()
+
+
 def near_classes(docs: DataFrame, target: float = TARGET_RECALL) -> tuple[DataFrame, DataFrame]:
     """(doc_id, body, words_id) of every document; (words_id, copy_id, class_id, n_links) of every class."""
     rows = stored(signed(docs.select("doc_id", "text")), "signed")
-    classes = rows.groupBy("words_id").agg(F.min("doc_id").alias("copy_id"), F.min_by("body", F.struct("doc_id", "body")).alias("body"), F.any_value("sig").alias("sig"))
+    classes = rows.groupBy("words_id").agg(
+        F.min("doc_id").alias("copy_id"), F.min_by("body", F.struct("doc_id", "body")).alias("body"), F.any_value("sig").alias("sig"), F.any_value("n_words").alias("n_words")
+    )
     classes = stored(classes, "classes")
     found = stored(links(docs, classes.where("sig IS NOT NULL"), target), "all_links")
-    groups = components(found, "words_id", "root").withColumnRenamed("node", "words_id")
+    groups = components(ties(found)).withColumnRenamed("node", "words_id")
     counts = found.groupBy("words_id").agg(F.sum("n_links").alias("n_links"))
     joined = classes.select("words_id", "copy_id").join(groups, "words_id", "left").join(counts, "words_id", "left")
     joined = stored(joined.withColumn("label", F.coalesce("label", "words_id")), "class_labels")
     lowest = joined.groupBy("label").agg(F.min("copy_id").alias("class_id"))
     out = joined.join(lowest, "label").select("words_id", "copy_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "label")
-    return rows.drop("sig"), stored(out, "near_classes")
+    return rows.drop("sig", "n_words"), stored(out, "near_classes")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -264,6 +297,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows, classes = near_classes(docs)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "body")
     firsts = stored(rows.join(classes.select("words_id", "label"), "words_id").groupBy("label").agg(F.min_by("body", order).alias("first")), "firsts")
-    wrapped = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", "text").alias("body"))
+    wrapped = docs.select(F.struct(*docs.columns).alias("row"), body_of().alias("body"))
     chosen = wrapped.join(firsts.select(F.col("first").alias("body")), "body", "left_semi")
     return chosen.groupBy("body").agg(F.any_value("row").alias("row")).select("row.*")
