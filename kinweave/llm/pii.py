@@ -2,10 +2,11 @@
 
 Everything runs as column expressions over one scan, without an exchange. A kind's pattern cuts the text
 into matches and the gaps between them, so a running sum of their lengths gives each match's place in code
-points, and the end of the gap before a match is its context.
+points, and the end of the gap before a match is its context. The running sum takes log n passes over the lengths, so
+a text with n matches costs n log n steps.
 
 The patterns are written with possessive repeats and guarded starts: they find what the plain forms find, but
-a run of n characters costs n steps, where the plain forms may take n * n or overflow the matcher's stack.
+a run of n characters costs n steps, where the plain forms may take n * n or overflow the expression engine's stack.
 
 Defined cases: a null text counts as empty and has no spans; a null doc_id is passed through; rows are judged
 one by one, so repeated rows give repeated results; other columns of the input are dropped.
@@ -19,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.functions.columns import let
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 CONTEXT_CHARS = 40
 THRESHOLD = 0.5
@@ -32,6 +35,7 @@ MAIL_WORDS = r"(?i)(?:mail|contact|write to)"
 IP_WORDS = r"(?i)(?:address|server|host|client)"
 IBAN_WORDS = r"(?i)(?:iban|account|konto|compte|cuenta)"
 SSN_WORDS = r"(?i)(?:ssn|social security|soc\. sec)"
+SECRET_WORDS = r"(?i)(?:token|secret|passw|api[ _-]?key|access[ _-]?key|private[ _-]?key)"
 INTERNATIONAL = r"\+[0-9 ().-]*$"
 
 
@@ -89,24 +93,32 @@ KINDS = (
     Kind("iban", r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)", lambda m, before: mod97(m), 0.6, IBAN_WORDS),
     Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", lambda m, before: ~m.rlike(r"^(?:000|666|9)|-00-|-0000$"), 0.3, SSN_WORDS),
     Kind("localphone", r"\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}", lambda m, before: ~before.rlike(INTERNATIONAL), 0.3, PHONE_WORDS),
+    Kind("secret", r"[A-Za-z0-9_-]{20,}+", lambda m, before: m.rlike("[0-9]") & m.rlike("[A-Za-z]"), 0.3, SECRET_WORDS, needs="secret"),
 )
 
 
+def running(lengths: Column) -> Column:
+    """Inclusive running sums of an array: pass k adds what stands 2 ** k places before."""
+
+    def add(acc: Column, k: Column) -> Column:
+        return F.transform(acc, lambda x, i: x + F.coalesce(F.get(acc, i - F.call_function("shiftleft", F.lit(1), k)), F.lit(0)))
+
+    passes = F.sequence(F.lit(0), F.ceil(F.log2(F.size(lengths))).cast("int") - 1)
+    return F.when(F.size(lengths) > 1, F.aggregate(passes, lengths, add)).otherwise(lengths)
+
+
 def _spans(kind: Kind, pieces: Column) -> Column:
     """Spans (start, end, score) of one kind from its pieces: an array of (gap, match), the last match null."""
 
-    def step(acc: Column, piece: Column) -> Column:
-        start = acc["at"] + F.length(piece["gap"])
+    def judged(piece: Column, end: Column) -> Column:
         before = F.right(piece["gap"], F.lit(CONTEXT_CHARS))
         score = F.lit(kind.score) + F.when(before.rlike(kind.context), kind.boost).otherwise(0.0)
-        end = start + F.coalesce(F.length(piece["match"]), F.lit(0))
         confirmed = F.when(piece["match"].isNull(), False).otherwise(kind.confirm(piece["match"], before))
         taken = confirmed if kind.base else F.when(confirmed, score >= THRESHOLD).otherwise(False)
-        found = F.when(taken, F.concat(acc["found"], F.array(F.struct(start.alias("start"), end.alias("end"), score.alias("score")))))
-        return F.struct(end.alias("at"), found.otherwise(acc["found"]).alias("found"))
+        return F.when(taken, F.struct((end - F.length(piece["match"])).alias("start"), end.alias("end"), score.alias("score")))
 
-    nothing = F.array().cast("array<struct<start:int,end:int,score:double>>")
-    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), nothing.alias("found")), step, lambda acc: acc["found"])
+    lengths = F.transform(pieces, lambda p: F.length(p["gap"]) + F.coalesce(F.length(p["match"]), F.lit(0)))
+    return let(lengths, lambda own: F.filter(F.zip_with(pieces, running(own), judged), lambda span: span.isNotNull()))
 
 
 def find_pii(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
@@ -115,14 +127,12 @@ def find_pii(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
     Base kinds keep every confirmed match; other kinds need a score of ``THRESHOLD``.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    has = {"at": F.contains(t, F.lit("@")), "digit": t.rlike("[0-9]")}
+    has = {"at": F.contains(t, F.lit("@")), "digit": t.rlike("[0-9]"), "secret": t.rlike(SECRET_WORDS)}
     none = F.array().cast("array<string>")
     cut = docs.select(*keep, t.alias("_text"), *[v.alias(f"_{k}") for k, v in has.items()]).select(
         *keep,
         *[F.when(F.col(f"_{k.needs}"), F.regexp_extract_all("_text", F.lit(k.pattern), F.lit(0))).otherwise(none).alias(f"_m_{k.name}") for k in kinds],
         "_text",
-        "_at",
-        "_digit",
     )
     cut = cut.select(
         *keep,

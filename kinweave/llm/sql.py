@@ -12,7 +12,8 @@ WITH k(kind, ord, p, words) AS (VALUES
  ('card', 3, '[0-9]([\\x20-]?[0-9])+', ''), ('phone', 4, '\\+[0-9][\\x20().0-9-]+[0-9]', ''),
  ('iban', 5, '[A-Z]{{2}}[0-9]{{2}}([A-Z0-9]{{11,30}}|( [A-Z0-9]{{4}}){{2,7}}( [A-Z0-9]{{1,3}})?)', ''),
  ('ssn', 6, '[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}', '(?i)(ssn|social security|soc\\. sec)'),
- ('localphone', 7, '\\(?[0-9]{{3}}\\)?[ .-][0-9]{{3}}[.-][0-9]{{4}}', '(?i)(phone|mobile|call|fax|whatsapp|tel[.:]|telef)')),
+ ('localphone', 7, '\\(?[0-9]{{3}}\\)?[ .-][0-9]{{3}}[.-][0-9]{{4}}', '(?i)(phone|mobile|call|fax|whatsapp|tel[.:]|telef)'),
+ ('secret', 8, '[A-Za-z0-9_-]{{20,}}', '(?i)(token|secret|passw|api[ _-]?key|access[ _-]?key|private[ _-]?key)')),
 d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 m AS (SELECT doc_id, kind, ord, words, regexp_extract_all(t, p) AS ms, regexp_split_to_array(t, p) AS gs FROM d, k),
 x AS (SELECT doc_id, kind, ord, words, ms[i] AS m, gs[i] AS gap,
@@ -27,6 +28,7 @@ z AS (SELECT doc_id, kind, ord, s::INT AS s, (s + length(m))::INT AS e FROM y WH
   WHEN 'phone' THEN length(digits) BETWEEN 9 AND 15
   WHEN 'iban' THEN length(code) BETWEEN 15 AND 34 AND list_reduce(list_transform(string_split(substr(code, 5) || substr(code, 1, 4), ''), lambda c: CASE WHEN c >= 'A' THEN ord(c) - 55 ELSE c::INT END),
     lambda a, v: CASE WHEN v > 9 THEN (a * 100 + v) % 97 ELSE (a * 10 + v) % 97 END, 0) = 1
+  WHEN 'secret' THEN regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND regexp_matches(before, words)
   WHEN 'ssn' THEN NOT regexp_matches(m, '^(000|666|9)|-00-|-0000$') AND regexp_matches(before, words)
   ELSE NOT regexp_matches(before, '\\+[0-9 ().-]*$') AND regexp_matches(before, words) END)
 SELECT d.doc_id, count(CASE WHEN kind = 'email' THEN 1 END) AS n_email, count(CASE WHEN kind = 'ip' THEN 1 END) AS n_ip, count(CASE WHEN kind = 'card' THEN 1 END) AS n_card,

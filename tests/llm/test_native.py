@@ -65,6 +65,20 @@ def test_pii_spans_keep_the_base_ones_and_add_confirmed_ones(docs, plain):
     assert [(k, EDGE_TEXTS[7][int(a) : int(b)]) for k, a, b in found] == [("ssn", "123-45-6789"), ("localphone", "(555) 123-4567"), ("localphone", "555-123-4567")]
 
 
+def test_pii_finds_secrets_by_their_context(spark):
+    key = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"
+    texts = [f'token = "{key}"', f"just {key}", "my api key: " + "x" * 30, "secret " + "a1" * 9]
+    found = pii.digest(pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).orderBy("doc_id").collect()
+    assert [r.spans for r in found] == ["secret:9:49", "", "", ""]
+
+
+def test_pii_in_a_text_with_very_many_matches(spark):
+    one = "call +49 30 1234567, "
+    n = 400_000
+    row = pii.find_pii(spark.createDataFrame([(1, one * n)], "doc_id long, text string")).select(F.size("phone").alias("n"), F.get("phone", F.lit(n - 1)).alias("last")).first()
+    assert row.n == n and (row["last"].start, row["last"].end) == (len(one) * (n - 1) + 5, len(one) * n - 2)
+
+
 def test_line_dedup(docs, plain):
     assert by_id(linededup.dedup_report(docs).collect()) == by_id(brute.line_dedup(plain))
 
