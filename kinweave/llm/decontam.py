@@ -1,16 +1,17 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-Items are cut into windows of 13 words (an item with fewer words is one window). Items come in blocks of bounded
-size, and all documents are gone through for each block:
+Items are cut into windows of 13 words (an item with fewer words is one window).
 
-1. count the block's terms over all documents, and choose the two rarest places of each window (its anchors);
-2. store the postings (term, document, positions) of the anchors' terms;
-3. shift each position by the anchor's place in its item, and intersect the lists of a window's two anchors: equal
-   shifts are candidates for the exact phrase, shifts at most ``slop`` apart are proximity matches;
-4. compare the item with the document's words along each candidate shift; runs of 13 equal words are the occurrences.
+1. Count the benchmark's terms over all documents; the two rarest places of each window are its anchors.
+2. Store the postings (term, document, positions) of all anchors' terms: one index for the whole benchmark.
+3. Shift each position by the anchor's place in its item, and intersect the lists of a window's two anchors: equal
+   shifts are candidates for the exact phrase, shifts at most ``slop`` apart are proximity matches.
+4. Compare a candidate's words with the document's at their place. A candidate has the words of all windows with the
+   same anchors, 2 * 13 - 1 at most, so a document's candidates follow its own matches and not the length of items.
 
-Step 3 misses nothing, as an occurrence of a window holds both of its anchors at one shift. Documents are compared with
-candidates only, whose number follows the occurrences of rare terms.
+Step 3 misses nothing, as an occurrence of a window holds both of its anchors at one shift. Terms are held by tasks in
+blocks of ``MAX_TERMS`` at most; a benchmark of more different words takes further passes over the documents. Everything else about
+items is a table. Rows with equal id and text share their postings, so repeated rows don't meet each other.
 
 Defined cases: null and empty texts have no words and no hits; an item without words has no windows; items without an
 id mark hits and aren't listed; rows with the same doc_id are different documents; repeated items count once; empty tables give
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.storage import stored
@@ -33,12 +34,14 @@ from .words import U, chunks, word_hashes
 
 WINDOW = 13
 SLOP = 10
-#: Words in a block of items, at most (but for one item that alone has more): the driver and each task hold one block.
-BLOCK_WORDS = 200_000
+#: Different terms that the driver and each task hold at once, but for the spread of a hash.
+MAX_TERMS = 2_000_000
+#: Parts of each anchor's postings, so that a frequent one isn't a single join key.
+SALTS = 8
 
 
 def docs_with_body(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("body"))
+    return docs.select("text", F.xxhash64("doc_id", "text").alias("body"))
 
 
 def item_words(items: DataFrame) -> DataFrame:
@@ -61,17 +64,17 @@ def item_words(items: DataFrame) -> DataFrame:
     return distinct.mapInArrow(cut, "item long, item_id string, words array<long>").where(F.size("words") > 0)
 
 
-def blocks(items: DataFrame) -> Iterator[list]:
-    """Rows of ``item_words`` in lists of about ``BLOCK_WORDS`` words."""
-    sized = items.select("item", F.size("words").alias("n"))
-    total = sized.agg(F.sum("n")).first()[0] or 0
-    n_blocks = max(1, -(-2 * total // BLOCK_WORDS))
-    for block in range(n_blocks if total else 0):
-        yield items.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == block).collect()
+def blocks(terms: DataFrame) -> Iterator[np.ndarray]:
+    """The different values of ``terms`` (term) in sorted arrays of about ``MAX_TERMS``."""
+    terms = stored(terms.distinct(), "terms")
+    n_blocks = -(-terms.count() // MAX_TERMS)
+    for block in range(n_blocks):
+        own = terms.where(F.pmod(F.xxhash64("term"), F.lit(n_blocks)) == block).toArrow().column("term").to_numpy()
+        yield np.sort(own.view(U))
 
 
-def term_counts(docs: DataFrame, terms: np.ndarray) -> dict[int, int]:
-    """Occurrences of each of ``terms`` (sorted hashes) in all documents."""
+def term_counts(docs: DataFrame, terms: np.ndarray) -> DataFrame:
+    """(term, n): occurrences of each of ``terms`` (sorted hashes) in all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(terms), dtype=np.int64)
@@ -83,8 +86,7 @@ def term_counts(docs: DataFrame, terms: np.ndarray) -> dict[int, int]:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(terms[seen].view(np.int64)), pa.array(total[seen])], ["term", "n"])
 
-    counted = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    return {int(np.int64(r.term).view(U)): r.n for r in counted.collect()}
+    return docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def lookup(terms: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,23 +96,27 @@ def lookup(terms: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return place, (terms[place] == hashes) if len(terms) else np.zeros(len(hashes), dtype=bool)
 
 
-def anchors(rows: list, counts: dict[int, int], window: int) -> list[tuple[int, int, int, int, int]]:
-    """(item, term, place, second term, second place) of every window: its two rarest places, ties to the left."""
-    found = set()
-    for row in rows:
-        words = np.array(row.words, dtype=np.int64).view(U)
-        rarity = [(counts.get(int(w), 0), i) for i, w in enumerate(words)]
-        n = min(window, len(words))
-        for start in range(len(words) - n + 1):
-            two = sorted(rarity[start : start + n])[:2]
-            (_, one), (_, other) = two[0], two[-1]
-            if rarity[one][0]:  # else no document can hold the window
-                found.add((row.item, int(words[one].view(np.int64)), one, int(words[other].view(np.int64)), other))
-    return sorted(found)
+def anchors(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
+    """(item, item_id, term, place, other, other_place, begin, words): the two rarest places of windows, ties to the left.
+
+    ``words``, from place ``begin`` on, are those of all windows with these anchors: such windows follow each other.
+    """
+    places = items.select("item", "item_id", F.size("words").alias("size"), F.posexplode("words").alias("at", "word"))
+    known = places.join(counts, places.word == counts.term, "left").select("item", "item_id", "size", "at", "word", F.coalesce("n", F.lit(0)).alias("n"))
+    frame = Window.partitionBy("item").orderBy("at").rowsBetween(0, window - 1)
+    held = F.collect_list(F.struct("n", "at", "word")).over(frame)
+    width = F.least(F.col("size"), F.lit(window))
+    windows = known.select("item", "item_id", "at", "size", F.transform(held, lambda x: x["word"]).alias("words"), F.slice(F.sort_array(held), 1, 2).alias("two"))
+    windows = windows.where(F.col("at") + width <= F.col("size")).withColumns({"one": F.col("two")[0], "last": F.element_at("two", -1)})
+    windows = windows.where("one.n > 0")  # else no document can hold the window
+    keys = [F.col("one.word").alias("term"), F.col("one.at").alias("place"), F.col("last.word").alias("other"), F.col("last.at").alias("other_place")]
+    grouped = windows.groupBy("item", "item_id", *keys).agg(F.sort_array(F.collect_list(F.struct("at", "words"))).alias("w"))
+    rest = F.transform(F.slice("w", F.lit(2), F.size("w")), lambda x: F.element_at(x["words"], -1))
+    return grouped.select("item", "item_id", "term", "place", "other", "other_place", F.col("w")[0]["at"].alias("begin"), F.concat(F.col("w")[0]["words"], rest).alias("words"))
 
 
 def postings(docs: DataFrame, terms: np.ndarray) -> DataFrame:
-    """(term, doc_id, body, positions) of ``terms`` in all documents."""
+    """(term, body, positions) of ``terms`` in all documents."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,61 +133,64 @@ def postings(docs: DataFrame, terms: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(terms[term[new]].view(np.int64)),
-                        batch.column("doc_id").take(owner),
                         batch.column("body").take(owner),
                         pa.ListArray.from_arrays(pa.array(np.r_[new, len(at)].astype(np.int32)), pa.array((at - firsts[doc]).astype(np.int32))),
                     ],
-                    ["term", "doc_id", "body", "positions"],
+                    ["term", "body", "positions"],
                 )
 
-    return docs.mapInArrow(post, "term long, doc_id long, body long, positions array<int>")
+    return docs.select("body", "text").mapInArrow(post, "term long, body long, positions array<int>").distinct()
+
+
+PAIR = ["item", "place", "other_place"]
 
 
 def intersect(index: DataFrame, pairs: DataFrame, slop: int) -> DataFrame:
-    """(item, doc_id, body, shift, exact): shifts at which both anchors of a window lie, at most ``slop`` apart.
+    """(item, place, other_place, body, shift, exact): shifts at which both anchors of a window lie, at most ``slop`` apart.
 
     Shifts are met by buckets of ``slop`` + 1: a bucket of one anchor and document holds that many places at most.
     """
     width = slop + 1
-    posted = index.select("term", "doc_id", "body", F.explode("positions").alias("at"))
-    one = posted.join(pairs.select("item", "term", "place", "other_place"), "term").select("item", "place", "other_place", "doc_id", "body", (F.col("at") - F.col("place")).alias("shift"))
-    two = posted.join(pairs.select("item", F.col("other").alias("term"), "place", "other_place"), "term")
-    two = two.select("item", "place", "other_place", F.col("body"), (F.col("at") - F.col("other_place")).alias("other_shift"))
+    posted = index.select("term", "body", F.pmod(F.xxhash64("body"), F.lit(SALTS)).cast("int").alias("salt"), F.explode("positions").alias("at"))
+    salted = pairs.select(*PAIR, "term", "other", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    one = posted.join(salted.drop("other"), ["term", "salt"]).select(*PAIR, "body", (F.col("at") - F.col("place")).alias("shift"))
+    two = posted.join(salted.drop("term").withColumnRenamed("other", "term"), ["term", "salt"]).select(*PAIR, "body", (F.col("at") - F.col("other_place")).alias("other_shift"))
     one = one.withColumn("bucket", F.floor(F.col("shift") / width))
     two = two.withColumn("bucket", F.explode(F.array(*[F.floor(F.col("other_shift") / width) + i for i in (-1, 0, 1)])))
-    met = one.join(two, ["item", "place", "other_place", "body", "bucket"]).where(F.abs(F.col("shift") - F.col("other_shift")) <= slop)
-    return met.groupBy("item", "doc_id", "body", "shift").agg(F.max(F.col("shift") == F.col("other_shift")).alias("exact"))
+    met = one.join(two, [*PAIR, "body", "bucket"]).where(F.abs(F.col("shift") - F.col("other_shift")) <= slop)
+    return met.groupBy(*PAIR, "body", "shift").agg(F.max(F.col("shift") == F.col("other_shift")).alias("exact"))
 
 
 def search(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
-    """(item, item_id, words, doc_id, body, shift, exact): all candidates of all blocks."""
+    """(body, candidates, near): each document's exact candidates (words, places, item ids), and the ids of all items near by."""
     spark = docs.sparkSession
     items = stored(item_words(items), "items")
-    met = spark.createDataFrame([], "item long, doc_id long, body long, shift int, exact boolean")
-    for rows in blocks(items):
-        vocabulary = np.unique(np.concatenate([np.array(r.words, dtype=np.int64).view(U) for r in rows]))
-        pairs = anchors(rows, term_counts(docs, vocabulary), window)
-        if pairs:
-            chosen = np.unique(np.array([[p[1], p[3]] for p in pairs], dtype=np.int64).view(U))
-            index = stored(postings(docs, chosen), "postings")
-            table = spark.createDataFrame(pairs, "item long, term long, place int, other long, other_place int")
-            met = met.unionByName(stored(intersect(index, table, slop), "met"))
-    return met.join(items, "item")
-
-
-def runs_of(equal: np.ndarray, n: int) -> np.ndarray:
-    """Starts of the runs of ``n`` true values."""
-    sums = np.r_[0, np.cumsum(equal)]
-    return np.flatnonzero(sums[n:] - sums[:-n] == n)
-
-
-def occurrences(words: np.ndarray, item: np.ndarray, shift: int, window: int) -> list[tuple[int, int]]:
-    """(start, end) in ``words`` of the item's windows that occur along ``shift``."""
-    n = min(window, len(item))
-    low, high = max(shift, 0), min(shift + len(item), len(words))
-    if high - low < n:
-        return []
-    return [(low + s, low + s + n) for s in runs_of(words[low:high] == item[low - shift : high - shift], n)]
+    counts = spark.createDataFrame([], "term long, n long")
+    for terms in blocks(items.select(F.explode("words").alias("term"))):
+        counts = counts.unionByName(stored(term_counts(docs, terms), "term_counts"))
+    pairs = stored(anchors(items, counts, window), "anchors")
+    index = spark.createDataFrame([], "term long, body long, positions array<int>")
+    for terms in blocks(pairs.select("term").unionByName(pairs.select(F.col("other").alias("term")))):
+        index = index.unionByName(stored(postings(docs, terms), "postings"))
+    met = stored(intersect(index, pairs, slop), "met")
+    exact = met.where("exact").join(pairs.select(*PAIR, "item_id", "begin", "words"), PAIR)
+    same = exact.groupBy("body", "words").agg(F.collect_set(F.col("begin") + F.col("shift")).alias("places"), F.collect_set("item_id").alias("item_ids"))
+    found = same.groupBy("body").agg(F.collect_list(F.struct("words", "places", "item_ids")).alias("candidates"))
+    near = met.select("item", "body").distinct().join(items.select("item", "item_id"), "item").groupBy("body").agg(F.collect_set("item_id").alias("near"))
+    return near.join(found, "body", "left")
+
+
+def occurrences(words: np.ndarray, phrase: np.ndarray, places: np.ndarray, window: int) -> np.ndarray:
+    """Starts in ``words`` of the windows of ``phrase`` that occur with it at one of ``places``, which may reach beyond the ends."""
+    n = min(window, len(phrase))
+    found = [np.zeros(0, dtype=np.int64)]
+    for first in range(0, len(places), 4096):
+        at = places[first : first + 4096, None] + np.arange(len(phrase))
+        inside = (at >= 0) & (at < len(words))
+        equal = inside & (words[np.where(inside, at, 0)] == phrase)
+        sums = np.concatenate([np.zeros((len(at), 1), dtype=np.int64), np.cumsum(equal, axis=1)], axis=1)
+        found.append(at[:, : len(phrase) - n + 1][sums[:, n:] - sums[:, :-n] == n])
+    return np.unique(np.concatenate(found))
 
 
 def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
@@ -193,29 +202,30 @@ def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = S
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             candidates = batch.column("candidates")
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], []]
             for first, last, data, offsets in chunks(pc.struct_field(batch.column("row"), "text")):
                 hashes, firsts = word_hashes(data, offsets)
                 for i in range(last - first):
                     words = hashes[firsts[i] : firsts[i + 1]]
-                    hit, found, near = np.zeros(len(words), dtype=bool), set(), set()
+                    edges, found = np.zeros(len(words) + 1, dtype=np.int64), set()
                     for c in candidates[first + i].as_py() or ():
-                        near.add(c["item_id"])
-                        for start, end in occurrences(words, np.array(c["words"], dtype=np.int64).view(U), c["shift"], window) if c["exact"] else ():
-                            hit[start:end] = True
-                            found.add(c["item_id"])
-                    for column, value in zip(out, (len(words), int(hit.sum()), sorted(found - {None}), sorted(near - {None})), strict=True):
+                        phrase = np.array(c["words"], dtype=np.int64).view(U)
+                        starts = occurrences(words, phrase, np.array(c["places"], dtype=np.int64), window)
+                        if len(starts):
+                            edges[starts] += 1
+                            np.subtract.at(edges, starts + min(window, len(phrase)), 1)
+                            found.update(c["item_ids"])
+                    hit = np.cumsum(edges)[:-1] > 0
+                    for column, value in zip(out, (len(words), int(hit.sum()), sorted(found)), strict=True):
                         column.append(value)
-            listed = pa.list_(pa.string())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], listed), pa.array(out[3], listed)],
+                [batch.column("row"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.string())), batch.column("near")],
                 ["row", "n_words", "n_hit", "items", "near"],
             )
 
-    candidate = F.struct("item_id", "shift", "exact", "words")
-    per_doc = stored(search(docs_with_body(docs), items, window, slop).groupBy("body").agg(F.collect_list(candidate).alias("candidates")), "candidates")
+    per_doc = stored(search(docs_with_body(docs), items, window, slop), "candidates")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", "text").alias("body"))
-    joined = rows.join(per_doc.hint("merge"), "body", "left").select("row", "candidates")
+    joined = rows.join(per_doc.hint("merge"), "body", "left").select("row", "candidates", F.coalesce("near", F.array().cast("array<string>")).alias("near"))
     return joined.mapInArrow(compare, f"row {rows.schema['row'].dataType.simpleString()}, n_words long, n_hit long, items array<string>, near array<string>")
 
 

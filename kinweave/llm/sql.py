@@ -50,9 +50,15 @@ d AS (SELECT doc_id, {LOW_WORDS} AS w FROM documents),
 dw AS (SELECT doc_id, n, i, w[i:i + n - 1] AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw))),
 hit AS (SELECT doc_id, item_id, i, n FROM dw JOIN bw USING (n, win)),
 pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY 1),
-its AS (SELECT doc_id, count(*) AS n_items, string_agg(v, ',' ORDER BY v) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS v FROM hit) GROUP BY 1)
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(v, ',' ORDER BY v) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS v FROM hit) GROUP BY 1),
+dp AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS q, unnest(w) AS t FROM d), cnt AS (SELECT t, count(*) AS c FROM dp GROUP BY 1),
+bp AS (SELECT item_id, w, p, coalesce(c, 0) AS c FROM (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS t FROM b) LEFT JOIN cnt USING (t)),
+bc AS (SELECT item_id, w, list(c ORDER BY p) AS cs FROM bp GROUP BY 1, 2),
+two AS (SELECT item_id, w, list_sort(list_transform(range(i, i + n), lambda p: {{'c': cs[p], 'p': p}})) AS s FROM (SELECT *, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM bc)),
+anchor AS (SELECT DISTINCT item_id, w[s[1].p] AS t1, s[1].p AS p1, w[s[least(2, len(s))].p] AS t2, s[least(2, len(s))].p AS p2 FROM two WHERE s[1].c > 0),
+nr AS (SELECT x.doc_id, count(DISTINCT item_id) AS n_near FROM anchor JOIN dp x ON x.t = t1 JOIN dp y ON y.t = t2 AND y.doc_id = x.doc_id WHERE abs((x.q - p1) - (y.q - p2)) <= 10 GROUP BY 1)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
- coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)"""
+ coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0) AS n_near FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN nr USING (doc_id)"""
 
 RULES = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),

@@ -80,7 +80,7 @@ def test_contamination(spark, near):
 def test_contamination_by_blocks_is_the_same(spark, near, monkeypatch):
     items = items_of(spark, plain(near), random.Random(1))
     whole = sorted(map(repr, decontam.report(near, items).collect()))
-    monkeypatch.setattr(decontam, "BLOCK_WORDS", 150)
+    monkeypatch.setattr(decontam, "MAX_TERMS", 150)
     assert sorted(map(repr, decontam.report(near, items).collect())) == whole
 
 
@@ -90,6 +90,45 @@ def test_proximity(spark):
     assert {r.doc_id: (r.n_hit, r.n_near) for r in decontam.report(docs, items).collect()} == {1: (0, 1), 2: (0, 0)}
 
 
+def brute_near(docs, items, slop=10):
+    """Items whose windows' two rarest places come near their own distance, by document."""
+    count = Counter(w for _, t in docs for w in brute.low_words(t))
+    out = []
+    for _, text in docs:
+        at = {}
+        for q, w in enumerate(brute.low_words(text)):
+            at.setdefault(w, []).append(q)
+        near = set()
+        for item, t in items:
+            w = brute.low_words(t)
+            n = min(13, len(w))
+            for start in range(len(w) - n + 1 if w else 0):
+                two = sorted((count[w[p]], p) for p in range(start, start + n))[:2]
+                (c, p1), (_, p2) = two[0], two[-1]
+                if c and any(abs((x - p1) - (y - p2)) <= slop for x in at.get(w[p1], ()) for y in at.get(w[p2], ())):
+                    near.add(item)
+                    break
+        out.append(len(near - {None}))
+    return out
+
+
+def test_near_items_equal_a_plain_count(spark, near):
+    some = near.where("length(text) < 3000 or text is null")
+    docs = plain(some)
+    items = items_of(spark, plain(near), random.Random(1))
+    expected = brute_near(docs, [(r.item_id, r.text) for r in items.collect()])
+    got = decontam.report(some, items).select("doc_id", "n_words", "n_near").collect()
+    assert sum(expected) > 10
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr((i, len(brute.low_words(t)), n)) for (i, t), n in zip(docs, expected, strict=True))
+
+
+def test_many_repeated_rows(spark):
+    item = " ".join(f"word{i}" for i in range(30))
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.range(40_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("before " + item).alias("text"))
+    assert [tuple(r) for r in decontam.report(docs, items).groupBy("n_words", "n_hit", "n_items", "n_near").count().collect()] == [(31, 30, 1, 1, 40_000)]
+
+
 def brute_groups(docs):
     sets = [brute.shingles(t) for _, t in docs]
     keys = [tuple(brute.low_words(t)) for _, t in docs]
