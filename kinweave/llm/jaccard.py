@@ -7,7 +7,7 @@ until the recall reaches its target for the least similar links too: p(s) = 1 -
 that a pair of similarity s meets below some node, and p(THRESHOLD) has to reach it. What was found has no say, so a
 pair's chance doesn't hang on the rest of the corpus.
 
-A tree's nodes are its sorted label prefixes. A node's classes are compared in blocks of about ``BLOCK`` classes and
+The rounds' units are written first and compared together, so texts move once. A tree's nodes are its sorted label prefixes. A node's classes are compared in blocks of about ``BLOCK`` classes and
 ``BLOCK_SHINGLES`` shingles a side, so a node of m classes becomes about (m / BLOCK) ** 2 / 2 units of bounded size, and no
 pair is ever written as a row. A unit first drops classes whose signatures are too different from all others', then compares
 the sets of shingles exactly, by products of 0/1 matrices. A pair that meets below several nodes is counted at the first one
@@ -109,7 +109,7 @@ def shingled(docs: DataFrame) -> DataFrame:
 
 
 def nodes(classes: DataFrame, depth: int) -> DataFrame:
-    """(tree, node, low, high, side, words_id): the units that each class takes part in, below nodes with several classes.
+    """(depth, tree, node, low, high, side, words_id): the units that each class takes part in, below nodes with several classes.
 
     A node is a prefix of ``depth`` bytes, as a number. Long texts make more blocks, so that a block's shingles stay bounded too.
     """
@@ -123,10 +123,10 @@ def nodes(classes: DataFrame, depth: int) -> DataFrame:
     shared = shared.select("tree", "node", F.least(cut, F.col("m").cast("int")).alias("cut"))
     members = leaf.select("words_id", "tree", "node").join(shared, ["tree", "node"]).withColumn("side", F.pmod(F.xxhash64("words_id"), "cut").cast("int"))
     units = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
-    return units.select("tree", "node", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "words_id")
+    return units.select(F.lit(depth).alias("depth"), "tree", "node", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "words_id")
 
 
-UNIT = ["tree", "node", "low", "high"]
+UNIT = ["depth", "tree", "node", "low", "high"]
 
 
 def by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -149,21 +149,21 @@ def by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(rest)
 
 
-def fresh_pairs(unit: pa.Table, depth: int, before: int | None) -> np.ndarray:
+def fresh_pairs(unit: pa.Table) -> np.ndarray:
     """Matrix of the pairs (row < column) that this unit has to compare.
 
     Left out: pairs of one side in a unit of two sides, pairs that meet in an earlier tree, or that met at the
     prefixes of the round before, and pairs whose signatures are too different.
     """
     sigs = np.frombuffer(b"".join(unit.column("sig").to_pylist()), dtype=np.uint8).reshape(unit.num_rows, TREES * DEPTH)
-    tree, low, high = (unit.column(c)[0].as_py() for c in ("tree", "low", "high"))
+    depth, tree, low, high = (unit.column(c)[0].as_py() for c in ("depth", "tree", "low", "high"))
     ok = np.triu(np.ones((len(sigs), len(sigs)), dtype=bool), 1)
     if low != high:
         side = unit.column("side").to_numpy()
         ok = (side[:, None] == low) & (side[None, :] == high)
     labels = sigs.reshape(len(sigs), TREES, DEPTH).copy().view(">u8")[:, :, 0].astype(U)
     for t in range(TREES):
-        for d in ([depth] if t < tree else []) + ([before] if before else []):
+        for d in ([depth] if t < tree else []) + ([depth + 1] if depth < DEPTH else []):
             prefix = labels[:, t] >> U(8 * (DEPTH - d))
             ok &= prefix[:, None] != prefix[None, :]
     for row in np.flatnonzero(ok.any(axis=1)):
@@ -192,12 +192,12 @@ def common(sets: list[np.ndarray], ok: np.ndarray) -> np.ndarray:
     return whole
 
 
-def likely(units: DataFrame, depth: int, before: int | None) -> DataFrame:
+def likely(units: DataFrame) -> DataFrame:
     """The rows of ``units`` (with signatures) that have a pair to compare."""
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in by_unit(batches):
-            ok = fresh_pairs(unit, depth, before)
+            ok = fresh_pairs(unit)
             some = np.flatnonzero(ok.any(axis=0) | ok.any(axis=1))
             if len(some):
                 yield from unit.take(pa.array(some)).combine_chunks().to_batches()
@@ -217,12 +217,12 @@ def local_roots(links: np.ndarray) -> np.ndarray:
         label = moved
 
 
-def verified(units: DataFrame, depth: int, before: int | None) -> DataFrame:
+def verified(units: DataFrame) -> DataFrame:
     """(words_id, root, n_links): links of each class in each unit, and the smallest class of its part of the unit."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in by_unit(batches):
-            ok = fresh_pairs(unit, depth, before)
+            ok = fresh_pairs(unit)
             sets = [np.asarray(s.values).view(U) for s in unit.column("shingles").combine_chunks()] if unit.num_rows else []
             both, sizes = common(sets, ok), np.array([len(s) for s in sets])
             joint = sizes[:, None] + sizes[None, :] - both
@@ -248,19 +248,17 @@ def recall(s: float, depth: int) -> float:
 
 def links(docs: DataFrame, classes: DataFrame, target: float = TARGET_RECALL) -> DataFrame:
     """(words_id, root, n_links) over all rounds; prefixes of one byte find a share of ``LIKELY_KEPT``, which no target can exceed."""
-    found, before = None, None
+    units = None
     for depth in range(DEPTH, 0, -1):
-        withsig = nodes(classes, depth).join(classes.select("words_id", "sig"), "words_id")
-        units = stored(likely(withsig, depth, before), "units")
-        wanted = stored(units.select("words_id").distinct().join(classes.select("words_id", "body"), "words_id"), "wanted")
-        rows = docs.select(body_of().alias("body"), "text").join(wanted.select("body"), "body", "left_semi")
-        sets = shingled(rows).groupBy("words_id").agg(F.any_value("shingles").alias("shingles"))
-        round_ = stored(verified(units.join(sets, "words_id"), depth, before), "links")
-        found = round_ if found is None else found.unionByName(round_)
-        before = depth
+        round_ = stored(likely(nodes(classes, depth).join(classes.select("words_id", "sig").hint("merge"), "words_id")), "units")
+        units = round_ if units is None else units.unionByName(round_)
         if recall(THRESHOLD, depth) >= target:
             break
-    return found
+    # one way at every size: what is wanted grows with the corpus
+    wanted = stored(units.select("words_id").distinct().join(classes.select("words_id", "body").hint("merge"), "words_id"), "wanted")
+    rows = docs.select(body_of().alias("body"), "text").join(wanted.select("body").hint("merge"), "body", "left_semi")
+    sets = shingled(rows).dropDuplicates(["words_id"])
+    return stored(verified(units.join(sets.hint("merge"), "words_id")), "links")
 
 
 def ties(found: DataFrame) -> DataFrame:
@@ -277,7 +275,7 @@ def near_classes(docs: DataFrame, target: float = TARGET_RECALL) -> tuple[DataFr
         F.min("doc_id").alias("copy_id"), F.min_by("body", F.struct("doc_id", "body")).alias("body"), F.any_value("sig").alias("sig"), F.any_value("n_words").alias("n_words")
     )
     classes = stored(classes, "classes")
-    found = stored(links(docs, classes.where("sig IS NOT NULL"), target), "all_links")
+    found = links(docs, classes.where("sig IS NOT NULL"), target)
     groups = components(ties(found)).withColumnRenamed("node", "words_id")
     counts = found.groupBy("words_id").agg(F.sum("n_links").alias("n_links"))
     joined = classes.select("words_id", "copy_id").join(groups, "words_id", "left").join(counts, "words_id", "left")
