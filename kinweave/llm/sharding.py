@@ -1,16 +1,17 @@
 """Shards of near-equal size: a minimax partition of ordered, atomic groups of equal texts.
 
-Groups are ordered by the checksum of their text. A capacity is feasible if walking the groups in order, and
-starting a new shard whenever the next group doesn't fit, needs no more shards than there are. The smallest
-feasible capacity is found by binary search, and the groups are cut there.
-
-The driver never sees the groups, only sums over ranges of checksums: at first 16**3 ranges, then finer ones
-only where a cut may still fall, until the cuts fall between single groups. A range that holds one group can't
-be refined, so the result is the exact minimax partition of the groups. The number of ranges held is bounded by
-``MAX_RANGES``, whatever the size of the input.
-
-A group at least as large as an equal share gets a shard of its own, and the rest are shared among the other
-shards; else the smallest feasible capacity would be that group's size and would leave most shards empty.
+Groups are ordered by the binary digits of their size, long ones first, and then by the checksum of their text: small groups come last, where they
+even out what larger ones leave. A shard is one group, whatever its size, or several that follow each other and have
+no more than the capacity together. A capacity is feasible if walking the groups in order, and starting a new shard
+whenever the next group doesn't fit, needs no more shards than there are. The smallest feasible capacity is found by
+binary search, and the groups are cut there. As no shard can be smaller than its largest group, the largest shard is as small
+as in any contiguous partition; a group above an equal share fills a shard where it stands, by the same rule as all
+others, and the rest stay near-equal.
+
+The driver never sees the groups, only sums over ranges of checksums: at first 256 for each number of digits, then finer ones
+only where a cut may fall. A walk that takes ranges whole gives a feasible capacity; a walk that may cut ranges anywhere
+shows that no smaller one is. Ranges in which either walk cuts are refined until both agree, so the result is the
+exact minimax partition of the groups. The number of ranges added at a time is bounded by ``MAX_RANGES``, whatever the size of the input.
 
 Slots are dealt without gathering a shard in one task: rows are counted in small bins, the bins' counts are
 summed up in order, and rows are numbered within their bin.
@@ -27,8 +28,9 @@ from pyspark.sql import functions as F
 from kinweave.storage import stored
 
 MAX_RANGES = 65_536
-FIRST_DIGITS = 3
-ALL_DIGITS = 32
+FIRST_DIGITS = 4
+ALL_DIGITS = 34
+SALTS = 64
 ROW_BYTES = 16
 BIN_ROWS = 20_000
 
@@ -50,114 +52,114 @@ def ranges(groups: DataFrame, digits: int) -> list[tuple[str, int, int]]:
     return sorted(tuple(row) for row in found.collect())
 
 
-def walk(sizes: list[int], capacity: int, shards: int) -> list[int] | None:
-    """Place of the first group of each shard but the first, or None if ``capacity`` isn't feasible."""
-    cuts, load = [], 0
-    for place, size in enumerate(sizes):
-        if load + size > capacity and load:
-            cuts.append(place)
-            load = 0
+Atom = tuple[str, int, int]
+
+
+def walk(atoms: list[Atom], capacity: int, shards: int, fluid: bool = False) -> list[tuple[int, int]] | None:
+    """(place, part) at which each shard but the first begins, or None if ``capacity`` isn't feasible.
+
+    ``atoms`` are (prefix, size, groups). One group may exceed the capacity, alone in its shard. Ranges of several groups are taken
+    whole, and then must not exceed the capacity, or may be cut at any ``part`` of their size if ``fluid``.
+    """
+    cuts: list[tuple[int, int]] = []
+    load, full = 0, False
+    for place, (_, size, n) in enumerate(atoms):
+        part = 0
+        if n > 1 and size > capacity and not fluid:
+            return None
+        while True:
+            whole = n == 1 or not fluid
+            room = 0 if full else capacity - load
+            if size - part <= room or (whole and load == 0 and not full):
+                load += size - part
+                full = load >= capacity
+                break
+            taken = 0 if whole else max(0, room)
+            part += taken
+            cuts.append((place, part))
+            load, full = 0, False
             if len(cuts) == shards:
                 return None
-        if size > capacity:
-            return None
-        load += size
     return cuts
 
 
-def minimax(sizes: list[int], shards: int) -> tuple[int, list[int]]:
+def minimax(atoms: list[Atom], shards: int, fluid: bool = False) -> tuple[int, list[tuple[int, int]]]:
     """The smallest feasible capacity and its cuts."""
-    low, high = max([-(-sum(sizes) // shards), *sizes, 0]), max(sum(sizes), 1)
+    low, high = 1, max(1, sum(size for _, size, _ in atoms))
     while low < high:
         middle = (low + high) // 2
-        if walk(sizes, middle, shards) is None:
+        if walk(atoms, middle, shards, fluid) is None:
             low = middle + 1
         else:
             high = middle
-    return high, walk(sizes, high, shards)
+    return high, walk(atoms, high, shards, fluid)
 
 
-def doubtful(atoms: list[tuple[str, int, int]], capacity: int, shards: int) -> list[str]:
-    """Prefixes of ranges with several groups in which a cut of the exact partition may fall.
+def doubtful(atoms: list[Atom], capacity: int, cuts: list[tuple[int, int]], shards: int) -> set[int]:
+    """Places of ranges to refine; none if ``capacity`` and ``cuts`` are those of the single groups.
 
-    No capacity below ``low`` can be feasible. The j-th cut lies beyond what j shards reach if ranges are taken
-    whole at ``low``, and no further than j times ``capacity``.
+    A cut is certain if the range after it is one group. The capacity is if even a walk that may cut ranges needs it; a
+    walk with less that is feasible cuts inside a range, or it would have been feasible with whole ranges too.
     """
-    single = max([size for _, size, n in atoms if n == 1], default=0)
-    low = max(-(-sum(size for _, size, _ in atoms) // shards), single)
-    found = {prefix for prefix, size, n in atoms if n > 1 and size > low}
-    least, load, at = [0], 0, 0
-    for _, size, _ in atoms:
-        if load + size > low and load:
-            least.append(at)
-            load = 0
-        load += size
-        at += size
-    at, j = 0, 1
-    ends = []
-    for prefix, size, n in atoms:
-        ends.append((prefix, at, at + size, n))
-        at += size
-    for j in range(1, shards):
-        begin = least[j] if j < len(least) else at
-        begin, end = min(begin, j * low), j * capacity
-        found |= {prefix for prefix, start, stop, n in ends if n > 1 and start <= end and stop >= begin}
-    return sorted(found)
+    found = {place for place, _ in cuts if atoms[place][2] > 1}
+    smaller = walk(atoms, capacity - 1, shards, fluid=True)
+    if smaller is not None:
+        least = minimax(atoms, shards, fluid=True)[1]
+        for few in (smaller, least):
+            found |= {place for place, _ in few if atoms[place][2] > 1}
+    return found
 
 
 def contiguous_cuts(groups: DataFrame, shards: int) -> list[str]:
-    """Checksum prefixes at which shards begin, from the exact minimax partition of ``groups`` (key, size)."""
-    digits = FIRST_DIGITS
-    atoms = ranges(groups, digits)
+    """Key prefixes at which shards begin, from the exact minimax partition of ``groups`` (key, size)."""
+    atoms = ranges(groups, FIRST_DIGITS)
     while True:
-        capacity, cuts = minimax([size for _, size, _ in atoms], shards)
-        open_ranges = doubtful(atoms, capacity, shards)
-        if not open_ranges or digits == ALL_DIGITS:
-            return [atoms[place][0] for place in cuts]
+        capacity, cuts = minimax(atoms, shards)
+        open_ranges = [atoms[place][0] for place in sorted(doubtful(atoms, capacity, cuts, shards))]
+        if not open_ranges:
+            return [atoms[place][0] for place, _ in cuts]
         more = 1
-        while len(open_ranges) * 16 ** (more + 1) <= MAX_RANGES and digits + more < ALL_DIGITS:
+        while len(open_ranges) * 16 ** (more + 1) <= MAX_RANGES and max(map(len, open_ranges)) + more < ALL_DIGITS:
             more += 1
-        # ranges of several levels may be open; all of them have at most ``digits`` digits
-        digits = min(ALL_DIGITS, digits + more)
-        inside = F.lit(False)
-        for length in sorted({len(p) for p in open_ranges}):
-            inside = inside | F.substring("key", 1, length).isin([p for p in open_ranges if len(p) == length])
         shut = set(open_ranges)
-        atoms = sorted([a for a in atoms if a[0] not in shut] + ranges(groups.where(inside), digits))
+        atoms = [a for a in atoms if a[0] not in shut]
+        for length in sorted({len(p) for p in open_ranges}):  # ranges of several levels may be open
+            inside = groups.where(F.substring("key", 1, length).isin([p for p in open_ranges if len(p) == length]))
+            atoms += ranges(inside, min(ALL_DIGITS, length + more))
+        atoms.sort()
 
 
 def assign(docs: DataFrame, shards: int = 40, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot) for every row of ``docs``."""
-    rows = stored(sized(docs, text, doc_id), "shard_rows")
-    groups = stored(rows.groupBy("key").agg(F.sum("size").alias("size")), "shard_groups")
-    own: list[str] = []
-    free = shards
-    while free > 1:  # at most one pass per shard: each takes out a group of an equal share or more
-        rest = groups.where(~F.col("key").isin(own)) if own else groups
-        total = rest.agg(F.sum("size")).first()[0] or 0
-        giants = [r["key"] for r in rest.where(F.col("size") * free > F.lit(total)).orderBy(F.desc("size"), "key").limit(free - 1).collect()]
-        if not giants:
-            break
-        own += giants
-        free -= len(giants)
-    cuts = contiguous_cuts(groups.where(~F.col("key").isin(own)) if own else groups, free)
+    """(doc_id, size, text_crc32, shard, slot) for every row of ``docs``.
 
+    Groups are summed up in ``SALTS`` parts, and rows learn their group's size from their own part, so that a group with
+    most rows isn't a single join key.
+    """
+    spread = F.xxhash64(F.monotonically_increasing_id())
+    rows = sized(docs, text, doc_id).withColumn("spread", spread).withColumn("salt", F.pmod("spread", F.lit(SALTS)).cast("int"))
+    rows = stored(rows, "shard_rows")
+    parts = stored(rows.groupBy("key", "salt").agg(F.sum("size").alias("size")), "shard_parts")
+    groups = parts.groupBy("key").agg(F.sum("size").alias("size"))
+    digits = F.lpad(F.hex(64 - F.length(F.bin("size"))), 2, "0")
+    groups = stored(groups.select("key", F.concat(digits, "key").alias("place"), "size"), "shard_groups")
+    cuts = contiguous_cuts(groups.select(F.col("place").alias("key"), "size"), shards)
     shard: Column = F.lit(0)
     if cuts:
-        shard = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("key")))
-    for place, key in enumerate(own):
-        shard = F.when(F.col("key") == key, free + place).otherwise(shard)
-    return slotted(rows.withColumn("shard", shard.cast("int")), shards)
+        shard = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("place")))
+    # one way at every size: parts and groups grow with the corpus
+    of_part = parts.drop("size").join(groups.select("key", shard.cast("int").alias("shard")).hint("merge"), "key")
+    return slotted(rows.join(of_part.hint("merge"), ["key", "salt"]), shards)
 
 
 def slotted(rows: DataFrame, shards: int) -> DataFrame:
-    """``rows`` with a slot, gapless from 0 in each shard."""
+    """``rows`` with a slot, gapless from 0 in each shard. Bins go by each row's place in the stored table, so equal rows spread too."""
+    rows = stored(rows, "sharded")
     bins = max(1, -(-rows.count() // (shards * BIN_ROWS))) * 4
-    rows = rows.withColumn("bin", F.pmod(F.xxhash64("doc_id", "key"), F.lit(bins)).cast("int"))
+    rows = rows.withColumn("bin", F.pmod("spread", F.lit(bins)).cast("int"))
     counts = rows.groupBy("shard", "bin").agg(F.count("*").alias("n"))
     in_order = Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("shard", "bin", F.coalesce(F.sum("n").over(in_order), F.lit(0)).alias("before"))
-    within = Window.partitionBy("shard", "bin").orderBy("key", "doc_id")
+    within = Window.partitionBy("shard", "bin").orderBy("key", "doc_id", "spread")
     numbered = rows.withColumn("at", F.row_number().over(within))
     return numbered.join(before, ["shard", "bin"]).select(
         "doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("at") - 1).cast("long").alias("slot")

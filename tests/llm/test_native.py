@@ -1,6 +1,7 @@
 """The operators that are DataFrame operations throughout, against plain Python."""
 
 import random
+from bisect import bisect_left
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,31 +117,49 @@ def test_rules_sample_is_bounded(docs):
 
 
 def best_capacity(sizes, shards):
-    """By trying every set of cuts, largest shard first to be small."""
-    best = {(0, 0): 0}
-    for k in range(1, shards + 1):
-        for end in range(len(sizes) + 1):
-            best[k, end] = min((max(best[k - 1, cut], sum(sizes[cut:end])) for cut in range(end + 1) if (k - 1, cut) in best), default=10**9)
-    return best[shards, len(sizes)]
+    """By trying every set of cuts: (smallest largest shard, smallest largest one of several groups)."""
+
+    def search(cost):
+        best = {(0, 0): 0}
+        for k in range(1, shards + 1):
+            for end in range(len(sizes) + 1):
+                best[k, end] = min((max(best[k - 1, cut], cost(sizes[cut:end])) for cut in range(end + 1) if (k - 1, cut) in best), default=10**9)
+        return best[shards, len(sizes)]
+
+    return search(sum), search(lambda own: sum(own) if len(own) > 1 else 0)
+
+
+def loads_of(sizes, places):
+    return [sizes[a:b] for a, b in zip([0, *places], [*places, len(sizes)], strict=True)]
 
 
 def test_minimax_capacity():
     rng = random.Random(3)
-    for _ in range(60):
+    for _ in range(200):
         sizes = [rng.choice([1, 2, 3, 40, rng.randrange(1, 30)]) for _ in range(rng.randrange(1, 14))]
         shards = rng.randrange(1, 6)
-        capacity, cuts = sharding.minimax(sizes, shards)
-        assert capacity == best_capacity(sizes, shards) and len(cuts) < shards
+        _, cuts = sharding.minimax([("", size, 1) for size in sizes], shards)
+        parts = loads_of(sizes, [place for place, _ in cuts])
+        largest, several = best_capacity(sizes, shards)
+        assert max(map(sum, parts)) == largest and len(parts) <= shards
+        assert max((sum(p) for p in parts if len(p) > 1), default=0) == several
 
 
-def test_contiguous_cuts_are_exact_though_ranges_start_coarse(spark, monkeypatch):
+@pytest.mark.parametrize("giants", [(), (40_000,), (9_000, 60_000, 70_000)])
+def test_contiguous_cuts_are_exact_though_ranges_start_coarse(spark, monkeypatch, giants):
     monkeypatch.setattr(sharding, "FIRST_DIGITS", 1)
     monkeypatch.setattr(sharding, "MAX_RANGES", 64)
     rng = random.Random(5)
-    groups = sorted((f"{rng.randrange(16**6):06x}" + "0" * 26, rng.randrange(16, 400)) for _ in range(700))
+    groups = sorted({f"{rng.randrange(16**6):06x}" + "0" * 26: size for size in [*giants, *(rng.randrange(16, 400) for _ in range(700))]}.items())
     cuts = sharding.contiguous_cuts(spark.createDataFrame(groups, "key string, size long"), 9)
-    loads = [sum(s for k, s in groups if low <= k < high) for low, high in zip(["", *cuts], [*cuts, "g"], strict=True)]
-    assert max(loads) == sharding.minimax([s for _, s in groups], 9)[0]
+    _, exact = sharding.minimax([(k, s, 1) for k, s in groups], 9)
+    assert [bisect_left(groups, (cut,)) for cut in cuts] == [place for place, _ in exact]
+
+
+def test_equal_rows_spread_over_bins(spark):
+    rows = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text"))
+    out = sharding.assign(rows, 4).collect()
+    assert len({r.shard for r in out}) == 1 and sorted(r.slot for r in out) == list(range(3000))
 
 
 def test_sharding(docs, plain):
