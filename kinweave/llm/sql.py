@@ -87,16 +87,19 @@ WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n, sha256(coale
 SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN n >= 100 AND page_id <> low THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 100 AND page_id <> low THEN low END AS refers_to FROM q"""
 
 URLS = f"""
-WITH u AS (SELECT page_id, coalesce(url, '') AS url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+WITH RECURSIVE u AS (SELECT page_id, coalesce(url, '') AS url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, url, rest, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host FROM u),
 v AS (SELECT page_id, url, host, regexp_extract(substr(rest, length(host) + 1), '^[^?#]*') AS path FROM h),
 r(rh, rp, says) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
 f AS (SELECT v.*, rh || rp AS rule, says, row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC) AS k FROM v LEFT JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)),
-e AS (SELECT *, list_distinct(list_concat(list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'host=' || x),
-  list_filter(['dir=' || translate(regexp_extract(path, '^/([^/]*)/', 1), '{UPPER}', '{LOWER}'), 'query=' || translate(regexp_extract(url, '\\?([^=&#]*)', 1), '{UPPER}', '{LOWER}')], lambda x: x <> 'dir=' AND x <> 'query='))) AS toks FROM f WHERE k = 1),
-lab AS (SELECT page_id, says, unnest(toks) AS t FROM e WHERE says IS NOT NULL), total AS (SELECT count(*) AS n FROM e WHERE says IS NOT NULL),
-sets AS (SELECT [t] AS ante, says FROM lab UNION ALL SELECT [x.t, y.t], x.says FROM lab x JOIN lab y ON x.page_id = y.page_id AND x.t < y.t),
+g AS (SELECT *, list_filter(string_split(regexp_extract(path, '^.*/'), '/'), lambda x: x <> '') AS dirs,
+  list_filter(list_transform(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda x: regexp_extract(x, '^[^=]*')), lambda x: x <> '') AS names FROM f WHERE k = 1),
+e AS (SELECT *, list_sort(list_distinct(list_concat(list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'host=' || x), list_transform(dirs, lambda x: 'dir=' || translate(x, '{UPPER}', '{LOWER}')),
+  list_transform(names, lambda x: 'query=' || translate(x, '{UPPER}', '{LOWER}')), ['depth=' || len(dirs)]))) AS toks FROM g),
+total AS (SELECT count(*) AS n FROM e WHERE says IS NOT NULL),
+parts AS (SELECT says, toks, 0 AS last, []::VARCHAR[] AS ante FROM e WHERE says IS NOT NULL UNION ALL SELECT says, toks, i, list_append(ante, toks[i]) FROM (SELECT *, unnest(range(last + 1, len(toks) + 1)) AS i FROM parts)),
+sets AS (SELECT ante, says FROM parts WHERE len(ante) > 0),
 mined AS (SELECT ante, verdict, k, k / c::DOUBLE AS conf, k / n::DOUBLE AS sup FROM (SELECT ante, count(*) AS c FROM sets GROUP BY 1) JOIN (SELECT ante, says AS verdict, count(*) AS k FROM sets GROUP BY 1, 2) USING (ante), total
   WHERE k >= ceil(0.002 * n) AND k / c::DOUBLE >= 0.9),
-best AS (SELECT e.page_id, arg_min(verdict, {{'a': -round(conf, 9), 'b': -round(sup, 9), 'c': -len(ante), 'd': array_to_string(ante, ' '), 'e': verdict}}) AS said FROM e JOIN mined ON list_has_all(toks, ante) WHERE says IS NULL GROUP BY 1)
+best AS (SELECT e.page_id, arg_min(verdict, {{'a': -round(conf, 9), 'b': -round(sup, 9), 'c': len(ante), 'd': verdict}}) AS said FROM e JOIN mined ON list_has_all(toks, ante) WHERE says IS NULL GROUP BY 1)
 SELECT page_id, host, path, rule, coalesce(says, said, 'allow') AS verdict FROM e LEFT JOIN best USING (page_id)"""

@@ -2,13 +2,20 @@
 
 An explicit rule (host, path) fits its host and all subdomains if the URL's path starts with the rule's path;
 the longest one wins. URLs that no explicit rule fits are judged by mined rules: FP-growth finds token
-combinations that come with a label often enough (support) and nearly always (confidence). Labels are the
-verdicts of the explicit rules. Mined rules are kept in an inverted index, each filed under its rarest token, so a
-URL meets only the few rules filed under its tokens, and then has to hold all tokens of the rule.
+combinations, of any length, that come with a label often enough (support) and nearly always (confidence). Labels are the
+verdicts of the explicit rules. Tokens are the labels of the host, all directories of the path, the names of all query
+parameters, and the number of directories.
+
+Tokens that the same labelled URLs have are one to the miner, and one to the URLs that are judged: rules that differ in such
+tokens only are equally sure. So a long URL, or many copies of one, don't make a combination of each set of its tokens.
+
+A rule is redundant, and goes, if one with a part of its tokens has at least its confidence: every URL that it fits is
+decided by the shorter rule. The other rules are kept in an inverted index, each filed under its rarest token, so a
+URL meets only the few rules filed under its tokens, and then has to hold all tokens of the rule. The same index finds the redundant rules.
 
 Defined cases: a null URL, or one without "://", has an empty host and path, no rule and the default verdict;
-null page_ids and repeated rows are judged like others; without any mined rule all other verdicts are the default; other
-columns are dropped.
+null page_ids and repeated rows are judged like others; without any mined rule all other verdicts are the default; a very long
+URL has a token for each directory and parameter; of mined rules that tie, the shorter one decides, then "allow"; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -31,7 +38,8 @@ RULES = (
 )
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.9
-MAX_TOKENS = 2
+#: Parts of the rows of one URL, so that a frequent one isn't a single join key.
+SALTS = 16
 DEFAULT = "allow"
 LABELS = ("label=allow", "label=block")
 
@@ -54,31 +62,38 @@ def explicit(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    """Distinct tokens: host labels, first directory and name of the first query parameter; others are left out, as in the SQL."""
-    labels = F.transform(F.filter(F.split(host, r"\."), lambda x: x != ""), lambda x: F.concat(F.lit("host="), x))
-    first = F.regexp_extract(path, r"^/([^/]*)/", 1)
-    query = F.regexp_extract(url, r"\?([^=&#]*)", 1)
-    return F.array_distinct(
-        F.concat(
-            labels,
-            F.when(first != "", F.array(F.concat(F.lit("dir="), lowered(first)))).otherwise(F.array().cast("array<string>")),
-            F.when(query != "", F.array(F.concat(F.lit("query="), lowered(query)))).otherwise(F.array().cast("array<string>")),
-        )
-    )
+    """Distinct tokens: host labels, directories, names of query parameters, and the number of directories."""
+
+    def named(kind: str, values: Column) -> Column:
+        return F.transform(F.filter(values, lambda x: x != ""), lambda x: F.concat(F.lit(kind + "="), lowered(x)))
+
+    folders = F.filter(F.split(F.regexp_extract(path, "^.*/", 0), "/", -1), lambda x: x != "")
+    query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+    names = F.transform(F.split(query, "&", -1), lambda x: F.regexp_extract(x, "^[^=]*", 0))
+    depth = F.array(F.concat(F.lit("depth="), F.size(folders).cast("string")))
+    return F.array_distinct(F.concat(named("host", F.split(host, r"\.", -1)), named("dir", folders), named("query", names), depth))
+
 
+def alike(labelled: DataFrame) -> DataFrame:
+    """(token, face): the smallest of the tokens that the same rows of ``labelled`` (n, tokens) have; sets of rows are known by 128 bits."""
+    rows = labelled.select("n", F.explode("tokens").alias("token"))
+    sets = rows.groupBy("token").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("n")).alias("h1"), F.bit_xor(F.xxhash64(F.lit("second"), "n")).alias("h2"))
+    faces = sets.groupBy("k", "h1", "h2").agg(F.min("token").alias("face"))
+    return sets.join(faces, ["k", "h1", "h2"]).select("token", "face")
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """Rules (antecedent, verdict, confidence, support) from rows (tokens, verdict).
 
-    Rules of more than ``max_tokens`` tokens are left out, as in the SQL. Redundant rules stay: they change no verdict.
-    """
+def faced(rows: DataFrame, faces: DataFrame, key: str) -> DataFrame:
+    """``rows`` (key, tokens) with the faces of their tokens in place of these, without unknown ones."""
+    return rows.select(key, F.explode("tokens").alias("token")).join(faces, "token").groupBy(key).agg(F.sort_array(F.collect_set("face")).alias("tokens"))
+
+
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """Rules (antecedent, verdict, confidence, support) from rows (tokens, verdict), redundant ones included."""
     if labelled.isEmpty():
         return labelled.sparkSession.createDataFrame([], "antecedent array<string>, verdict string, confidence double, support double")
     baskets = labelled.select(F.array_append("tokens", F.concat(F.lit("label="), F.col("verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where(
-        F.get("consequent", F.lit(0)).isin(*LABELS) & (F.size("antecedent") <= max_tokens) & ~F.arrays_overlap("antecedent", F.array(*map(F.lit, LABELS)))
-    )
+    rules = model.associationRules.where(F.get("consequent", F.lit(0)).isin(*LABELS) & ~F.arrays_overlap("antecedent", F.array(*map(F.lit, LABELS))))
     return rules.select(
         F.sort_array("antecedent").alias("antecedent"),
         F.substring_index(F.get("consequent", F.lit(0)), "=", -1).alias("verdict"),
@@ -94,11 +109,20 @@ def indexed(rules: DataFrame, labelled: DataFrame) -> DataFrame:
     return filed.groupBy("antecedent", "verdict", "confidence", "support").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
 
 
+def pruned(index: DataFrame) -> DataFrame:
+    """The rules of ``index`` that aren't redundant."""
+    long = index.select("antecedent", "confidence", F.explode("antecedent").alias("token"))
+    short = index.select("token", F.col("antecedent").alias("part"), F.col("confidence").alias("as_sure"))
+    met = long.join(short, "token").where((F.size("part") < F.size("antecedent")) & (F.col("as_sure") >= F.col("confidence")))
+    redundant = met.where(F.size(F.array_except("part", "antecedent")) == 0).select("antecedent").distinct()
+    return index.join(redundant, "antecedent", "left_anti")
+
+
 def match(urls: DataFrame, index: DataFrame) -> DataFrame:
-    """(url, mined): verdict of the best mined rule of each distinct URL: by confidence, support, length, then text."""
+    """(url, mined): verdict of the best mined rule of each distinct URL: by confidence, support, fewer tokens, then verdict."""
     posted = urls.select("url", "tokens", F.explode("tokens").alias("token")).join(index, "token")
     fits = posted.where(F.size(F.array_except("antecedent", "tokens")) == 0)
-    rank = F.struct(-F.col("confidence"), -F.col("support"), -F.size("antecedent"), F.array_join("antecedent", " "), "verdict")
+    rank = F.struct(-F.col("confidence"), -F.col("support"), F.size("antecedent"), "verdict")
     return fits.groupBy("url").agg(F.min_by("verdict", rank).alias("mined"))
 
 
@@ -109,8 +133,12 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     split = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     text, verdict = explicit(F.col("host"), F.col("path"), rules)
     seen = split.withColumns({"rule": text, "said": verdict})
-    labelled = stored(seen.where("said IS NOT NULL").select(tokens(url, F.col("host"), F.col("path")).alias("tokens"), F.col("said").alias("verdict")), "url_labels")
-    index = stored(indexed(mine(labelled), labelled), "url_rules")
-    others = seen.where("said IS NULL AND url IS NOT NULL").select("url", tokens(url, F.col("host"), F.col("path")).alias("tokens")).dropDuplicates(["url"])
-    mined = match(others, index)
-    return seen.join(mined, "url", "left").select("page_id", "host", "path", "rule", F.coalesce("said", "mined", F.lit(DEFAULT)).alias("verdict"))
+    own = tokens(url, F.col("host"), F.col("path")).alias("tokens")
+    labelled = stored(seen.where("said IS NOT NULL").select(F.monotonically_increasing_id().alias("n"), own, F.col("said").alias("verdict")), "url_labels")
+    faces = stored(alike(labelled), "url_faces")
+    known = stored(faced(labelled, faces, "n").join(labelled.select("n", "verdict"), "n").select("tokens", "verdict"), "url_baskets")
+    index = stored(pruned(stored(indexed(mine(known), known), "url_rules")), "url_index")
+    others = faced(seen.where("said IS NULL AND url IS NOT NULL").select("url", own).dropDuplicates(["url"]), faces, "url")
+    mined = match(others, index).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = seen.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(mined, ["url", "salt"], "left").select("page_id", "host", "path", "rule", F.coalesce("said", "mined", F.lit(DEFAULT)).alias("verdict"))

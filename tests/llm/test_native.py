@@ -201,6 +201,36 @@ def test_mined_rules(spark, sf_dir):
     urls = spark.createDataFrame([("u1", ["host=a", "dir=x", "z"]), ("u2", ["host=c"]), ("u3", ["host=a", "dir=y"])], "url string, tokens array<string>")
     index = urlrules.indexed(urlrules.mine(labelled, 0.05, 0.9), labelled)
     assert {tuple(r) for r in urlrules.match(urls, index).collect()} == {("u1", "block"), ("u3", "allow")}
+    few = urlrules.pruned(index)
+    assert {tuple(r.antecedent) for r in few.collect()} == {("dir=x", "host=a"), ("dir=y",), ("host=b",)}
+    assert {tuple(r) for r in urlrules.match(urls, few).collect()} == {("u1", "block"), ("u3", "allow")}
+
+
+def test_rules_of_three_tokens_decide(spark):
+    """Any two of the three tokens say little; all of them say block."""
+    rows = [(["a", "b", "c"], "block")] * 20 + [(t, "allow") for t in (["a", "b"], ["a", "c"], ["b", "c"]) for _ in range(20)]
+    labelled = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    few = urlrules.pruned(urlrules.indexed(urlrules.mine(labelled, 0.05, 0.9), labelled))
+    assert {(tuple(r.antecedent), r.verdict) for r in few.collect()} == {(("a", "b", "c"), "block")}
+
+
+def test_url_edge_rows(spark):
+    long = "https://x.org.net/" + "/".join(f"d{i}" for i in range(3000)) + "/p?" + "&".join(f"k{i}=1" for i in range(3000))
+    rows = [(None, "http://a.example.org/es/1"), (1, "http://a.example.org/es/1"), (1, "http://a.example.org/es/1"), (2, long), (3, None), (None, None)]
+    rows += [(10 + i, f"http://a.example.org/{'/'.join(f'e{j}' for j in range(40))}/{i}") for i in range(5)]  # labelled, and of 40 directories each
+    pages = spark.createDataFrame([(*r, "h", "r", "v", 1) for r in rows], "page_id long, url string, host string, rule string, verdict string, salt int")
+    out = urlrules.judge(pages).collect()
+    assert len(out) == 11 and sum(r.host == "" and r.verdict == "allow" for r in out) == 2
+    assert sorted((r.page_id is None, r.rule) for r in out if r.rule and r.rule != "org/") == [(False, "example.org/es/")] * 2 + [(True, "example.org/es/")]
+    split = urlrules.host_and_path(F.col("url"))
+    found = pages.where("page_id = 2").select(urlrules.tokens(F.col("url"), *split).alias("t")).first().t
+    assert len(found) == 3 + 3000 + 3000 + 1 and found[-1] == "depth=3000"
+
+
+def test_equal_rules_tie_by_length_then_verdict(spark):
+    index = spark.createDataFrame([(["a", "c"], "block", 1.0, 0.5, "a"), (["b"], "allow", 1.0, 0.5, "b"), (["d"], "block", 1.0, 0.5, "d")], "antecedent array<string>, verdict string, confidence double, support double, token string")
+    urls = spark.createDataFrame([("u", ["a", "b", "c", "d"])], "url string, tokens array<string>")
+    assert urlrules.match(urls, index).first().mined == "allow"
 
 
 def test_empty_tables(spark, empty):
