@@ -290,6 +290,22 @@ def test_warc(spark, tmp_path):
     assert back == {(r.header, "" if "revisit" in r.header.split("\r\n")[1] else r.payload) for r in records.collect()}
 
 
+def test_warc_by_classes_of_size(spark, monkeypatch):
+    """Files of few records, of all classes, with very long payloads and ids of all signs."""
+    monkeypatch.setattr(warc, "SIZES", (100, 10_000))
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    monkeypatch.setattr(warc, "BATCH_BYTES", 5_000)
+    long = "WARC/1.1\r\n\r\n\r\n" * 300_000
+    rows = [(i, "u", t) for i, t in [(-(2**63), "x" * 99), (2**63 - 1, "y" * 5000), (-5, "y" * 5000), (7, long), (8, long), (0, "é\r\n" * 40), *((100 + k, f"{k} " * (k % 90)) for k in range(400))]]
+    out = {tuple(r) for r in warc.report(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    first = {}
+    for i, _, t in sorted(rows):
+        first.setdefault(t, i)
+    assert out == {
+        (i, len(t.encode()), brute.sha(t), *(("revisit", first[t]) if len(t.encode()) >= 100 and first[t] != i else ("response", None))) for i, _, t in rows
+    }
+
+
 def test_warc_finds_broken_payloads(spark):
     pages = spark.createDataFrame([(1, "u", "payload")], "page_id long, url string, html string")
     path = warc.write(pages)
