@@ -1,9 +1,10 @@
 """Line dedup against levelled sorted runs of line hashes.
 
-A run is a table (h1, h2, n_docs, keep_id) dealt and sorted by the 128-bit line hash. A batch of documents
-merge-anti-joins the runs: a key that they have settled already (enough documents, and a keeper beyond the
-batch's) adds nothing; all other keys go into a new run of level 0. When a level holds ``fanout`` runs, they
-are merged into one run of the next level, so a corpus of n batches has about ``fanout`` * log(n) runs.
+A run is a table (h1, h2, n_docs, keep_id) bucketed and sorted by the 128-bit line hash; all runs of a corpus have the same
+buckets. A batch of documents is counted by hash, dealt into these buckets, and merge-anti-joins each run: a key that a run has
+settled already (enough documents, and a keeper beyond the batch's) adds nothing; all other keys go into a new run of level 0.
+Two runs of one level are merged into one run of the next level, by a full join on the hash, so a corpus of n batches has log(n) runs
+at most. Anti-joins, merges and the last totals go bucket by bucket: only a batch's own counts are shuffled, no run ever is.
 
 A key's lines are removed from all documents but its keeper (the largest doc_id holding it) once the key has
 been found in ``min_docs`` documents, over all batches.
@@ -15,11 +16,11 @@ never leave; extra columns are carried along and may have any names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.functions.columns import let
-from kinweave.storage import stored
+from kinweave.storage import fresh_path, stored
 
 # The white space that is stripped, and the letters that are lowered.
 STRIPPED = " \t\n\x0b\x0c\r"
@@ -27,6 +28,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 HASH = ["h1", "h2"]
 NO_ID = -(2**63)
+BUCKET_LINES = 500_000
 
 
 def lines_of(text: Column) -> Column:
@@ -65,66 +67,79 @@ def line_table(docs: DataFrame, batches: int, min_chars: int, text: str = "text"
     return rows.select(F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int").alias("batch"), "id", "body", "x.*")
 
 
-class LineRuns:
-    """The levelled runs of one corpus; ``add`` takes batches in any order."""
+def same_key(a: DataFrame, b: DataFrame) -> Column:
+    return (a.h1 == b.h1) & (a.h2 == b.h2)
 
-    def __init__(self, min_docs: int = 5, fanout: int = 3):
-        self.min_docs, self.fanout = min_docs, fanout
-        self.levels: list[list[DataFrame]] = [[]]
 
-    def runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level]
+class LineRuns:
+    """The levelled runs of one corpus; ``add`` takes batches in any order, ``close`` forgets the runs' tables."""
 
-    def totals(self) -> DataFrame | None:
-        """Documents and keeper of every key over all runs."""
-        runs = self.runs()
-        if not runs:
-            return None
-        return runs[0] if len(runs) == 1 else self._merged(runs)
+    def __init__(self, spark: SparkSession, buckets: int, min_docs: int = 5):
+        self.spark, self.buckets, self.min_docs = spark, buckets, min_docs
+        self.levels: list[DataFrame | None] = []
+        self.names: list[str] = []
 
-    def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        all_rows = runs[0]
-        for run in runs[1:]:
-            all_rows = all_rows.unionByName(run)
-        return all_rows.groupBy(*HASH).agg(F.sum("n_docs").alias("n_docs"), F.max("keep_id").alias("keep_id"))
+    def runs(self) -> list[DataFrame]:
+        return [run for run in self.levels if run is not None]
+
+    @staticmethod
+    def merged(a: DataFrame, b: DataFrame) -> DataFrame:
+        """Documents and keeper of every key of two runs; equal buckets meet where they are."""
+        other = b.withColumnsRenamed({"n_docs": "n_too", "keep_id": "keep_too"})
+        docs = F.coalesce("n_docs", F.lit(0)) + F.coalesce("n_too", F.lit(0))
+        return a.join(other.hint("merge"), HASH, "full_outer").select(*HASH, docs.alias("n_docs"), F.greatest("keep_id", "keep_too").alias("keep_id"))
+
+    def unsettled(self, batch: DataFrame) -> DataFrame:
+        """The keys of a bucketed ``batch`` that no run has settled."""
+        for run in self.runs():
+            settled = run.where(F.col("n_docs") >= self.min_docs).select(*HASH, F.col("keep_id").alias("_settled"))
+            batch = batch.join(settled.hint("merge"), same_key(batch, settled) & (settled["_settled"] >= batch.keep_id), "left_anti")
+        return batch
 
     def add(self, lines: DataFrame) -> None:
         """Take a batch of ``line_table`` rows."""
-        own = lines.where("first").groupBy(*HASH).agg(F.count("*").alias("n_docs"), F.max("id").alias("keep_id"))
-        known = self.totals()
-        if known is not None:
-            settled = known.where(F.col("n_docs") >= self.min_docs).select(*HASH, F.col("keep_id").alias("_settled"))
-            own = own.join(settled, [own.h1 == settled.h1, own.h2 == settled.h2, settled["_settled"] >= own.keep_id], "left_anti")
-        self.levels[0].append(self._written(own, 0))
-        self._compact()
-
-    def _written(self, run: DataFrame, level: int) -> DataFrame:
-        """``run`` comes out of a grouping by the hash, so its partitions only have to be sorted."""
-        return stored(run.sortWithinPartitions(*HASH), f"line_run_{level}")
-
-    def _compact(self) -> None:
-        level = 0
-        while len(self.levels[level]) >= self.fanout:
-            merged = self._written(self._merged(self.levels[level]), level + 1)
-            self.levels[level] = []
-            if level + 1 == len(self.levels):
-                self.levels.append([])
-            self.levels[level + 1].append(merged)
-            level += 1
-
-    def removed(self, lines: DataFrame) -> DataFrame:
-        """The rows of ``lines`` that go. The shared keys are written first: their size decides how they are joined."""
-        shared = stored(self.totals().where(F.col("n_docs") >= self.min_docs), "shared_lines")
-        return lines.join(shared, HASH).where(F.col("id") < F.col("keep_id")).select("id", "body", "pos")
+        own = self._written(lines.where("first").groupBy(*HASH).agg(F.count("*").alias("n_docs"), F.max("id").alias("keep_id")))
+        run = self._written(self.unsettled(own)) if self.runs() else own
+        for level, held in enumerate(self.levels):
+            if held is None:
+                self.levels[level] = run
+                return
+            run, self.levels[level] = self._written(self.merged(held, run)), None
+        self.levels.append(run)
+
+    def _written(self, run: DataFrame) -> DataFrame:
+        path = fresh_path(self.spark, "line_run")
+        name = path.rpartition("/")[2].replace("-", "_")
+        run.write.bucketBy(self.buckets, *HASH).sortBy(*HASH).option("path", path).saveAsTable(name)
+        self.names.append(name)
+        return self.spark.table(name)
+
+    def shared(self) -> DataFrame:
+        """(h1, h2, keep_id) of the keys found in enough documents, as a table of its own."""
+        total, *larger = self.runs()
+        for run in larger:
+            total = self._written(self.merged(run, total))
+        return stored(total.where(F.col("n_docs") >= self.min_docs).select(*HASH, "keep_id"), "shared_lines")
+
+    def close(self) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def drop_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, batches: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(row, lines, gone): each row of ``docs`` as a struct, its lines, and the places of those that go, or null."""
     lines = stored(line_table(docs, batches, min_chars, text, doc_id), "lines")
-    runs = LineRuns(min_docs)
-    for batch in range(batches):
-        runs.add(lines.where(F.col("batch") == batch))
-    gone = runs.removed(lines).groupBy("id", "body").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    # as many buckets as an exchange has partitions, but fewer for few lines
+    buckets = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + lines.count() // BUCKET_LINES)
+    runs = LineRuns(docs.sparkSession, buckets, min_docs)
+    try:
+        for batch in range(batches):
+            runs.add(lines.where(F.col("batch") == batch))
+        shared = runs.shared()
+    finally:
+        runs.close()
+    removed = lines.join(shared, HASH).where(F.col("id") < F.col("keep_id")).select("id", "body", "pos")
+    gone = removed.groupBy("id", "body").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
     keyed = docs.select(
         F.struct(*docs.columns).alias("row"),
         F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"),

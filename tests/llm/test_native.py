@@ -89,6 +89,20 @@ def test_line_dedup_by_any_number_of_batches(docs):
     assert one == two == seven
 
 
+def test_runs_are_never_shuffled(spark, docs):
+    lines = linededup.line_table(docs, 3, 40)
+    runs = linededup.LineRuns(spark, 4)
+    for batch in range(3):
+        runs.add(lines.where(F.col("batch") == batch))
+    assert len(runs.runs()) == 2
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    joined = runs.unsettled(runs.runs()[0])
+    assert "SortMergeJoin" in plan(joined) and "Bucketed: true" in plan(joined) and "Exchange" not in plan(joined)
+    assert "FullOuter" in plan(runs.merged(*runs.runs())) and "Exchange" not in plan(runs.merged(*runs.runs()))
+    runs.close()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run")]
+
+
 def test_line_dedup_keeps_columns_and_untouched_texts(docs, plain):
     out = linededup.dedup_texts(docs)
     assert out.columns == docs.columns
