@@ -1,11 +1,13 @@
 """Packing of token sequences by Karmarkar-Karp multiway differencing.
 
 Each task tokenizes its documents; a document's full windows are sequences of their own, and its rest waits. A block of
-rests is packed into as few windows as its tokens need: every rest starts as a partial partition (one
-filled window and empty others), and the two partial partitions with the largest imbalance are merged again and again,
-the fullest window of one with the emptiest of the other, until one partition with near-equal windows is left. A
-window beyond the capacity is cut there; what it has too much goes into windows with room, and the number of windows
-rises if there is none.
+rests is packed: every rest starts as a partial partition (one filled window and empty others), and the two partial
+partitions with the largest imbalance are merged again and again, the fullest window of one with the emptiest of the
+other, until one partition with near-equal windows is left.
+
+There are as many windows as the tokens need. Where rests are kept whole, the number of windows rises, and differencing
+begins again, as long as a window exceeds the capacity. Where rests may be cut, which pads least and is what the query does, a window
+beyond the capacity is cut there and its excess goes into windows with room; there always is some, so the number never has to rise.
 
 A block has ``BLOCK_RESTS`` rests at most, so a task's memory is bounded, and the padding is less than a window for each block.
 Sequence ids hold the task's number and a counter: blocks of different tasks never meet, and a task that is run again
@@ -87,36 +89,37 @@ def differencing(sizes: list[int], windows: int) -> list[list[int]]:
     return heap[0][3] if heap else []
 
 
-def pack(sizes: list[int], capacity: int = CAPACITY) -> list[list[tuple[int, int, int]]]:
-    """Windows of pieces (place, start, length) of ``sizes``, none above ``capacity``."""
+def pack(sizes: list[int], capacity: int = CAPACITY, whole: bool = False) -> list[list[tuple[int, int, int]]]:
+    """Windows of pieces (place, start, length) of ``sizes``, none above ``capacity``; a size is cut unless ``whole``."""
     windows = -(-sum(sizes) // capacity)
-    while True:
-        packed, loads, spare = [], [], []
-        for members in differencing(sizes, windows):
-            pieces, room = [], capacity
-            for i in sorted(members, key=lambda i: -sizes[i]):
-                if room:
-                    pieces.append((i, 0, min(room, sizes[i])))
-                if sizes[i] > room:
-                    spare.append((i, room, sizes[i] - room))
-                room = max(0, room - sizes[i])
-            packed.append(pieces)
-            loads.append(room)
-        for w in np.argsort(loads, kind="stable"):
-            while spare and loads[w]:
-                i, start, length = spare.pop()
-                taken = min(length, loads[w])
-                packed[w].append((i, start, taken))
-                loads[w] -= taken
-                if taken < length:
-                    spare.append((i, start + taken, length - taken))
-        if not spare:
-            return packed
+    parts = differencing(sizes, windows)
+    while whole and max((sum(sizes[i] for i in members) for members in parts), default=0) > capacity:
         windows += 1
-
-
-def packed(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, ranks: str = RANKS, text: str = "text") -> DataFrame:
-    """The pieces of all documents: see ``SCHEMA``."""
+        parts = differencing(sizes, windows)
+    packed, loads, spare = [], [], []
+    for members in parts:
+        pieces, room = [], capacity
+        for i in sorted(members, key=lambda i: -sizes[i]):
+            if room:
+                pieces.append((i, 0, min(room, sizes[i])))
+            if sizes[i] > room:
+                spare.append((i, room, sizes[i] - room))
+            room = max(0, room - sizes[i])
+        packed.append(pieces)
+        loads.append(room)
+    for w in np.argsort(loads, kind="stable"):
+        while spare and loads[w]:
+            i, start, length = spare.pop()
+            taken = min(length, loads[w])
+            packed[w].append((i, start, taken))
+            loads[w] -= taken
+            if taken < length:
+                spare.append((i, start + taken, length - taken))
+    return packed
+
+
+def packed(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, ranks: str = RANKS, text: str = "text", whole: bool = False) -> DataFrame:
+    """The pieces of all documents: see ``SCHEMA``. ``whole`` cuts documents at full windows only, for more padding."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary, ranks)
@@ -136,7 +139,7 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
 
         def close_block() -> None:
             nonlocal sequence, rests
-            for window in pack([len(ids) for _, ids, _, _ in rests], capacity):
+            for window in pack([len(ids) for _, ids, _, _ in rests], capacity, whole):
                 offset = 0
                 for i, start, length in window:
                     doc, ids, begin, total = rests[i]

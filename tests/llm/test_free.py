@@ -212,6 +212,44 @@ def test_pack():
         assert len(out) == -(-sum(sizes) // 1024)
 
 
+def test_pack_of_whole_rests_raises_the_windows():
+    rng = random.Random(2)
+    for n in [0, 1, 2, 17, 200]:
+        sizes = [rng.randrange(1, 1025) for _ in range(n)]
+        out = packing.pack(sizes, whole=True)
+        assert sorted((i, length) for w in out for i, s, length in w if s == 0) == list(enumerate(sizes))
+        assert all(sum(p[2] for p in w) <= 1024 for w in out)
+    assert len(packing.pack([600] * 10, whole=True)) == 10 > -(-6000 // 1024)
+
+
+def test_both_tokenizers_give_the_same_ids():
+    """Every code point, alone and beside letters, digits, spaces and others."""
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    exact, encode = Tokenizer.from_file(path(packing.VOCABULARY)), packing.encoder(packing.VOCABULARY, packing.RANKS)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for step in range(0, len(points), 4096):
+        own = points[step : step + 4096]
+        texts = [" ".join("".join(own[i : i + 3]) for i in range(0, len(own), 3)), "".join(f"a{c}1 {c}{c}'s{c}  {c}\n" for c in own)]
+        for text, found in zip(texts, exact.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert found.ids == encode(text)
+
+
+def test_packing_of_repeated_rows_and_long_texts(spark):
+    long = "some words of a very long text " * 200_000
+    rows = [(None, "same")] * 3000 + [(1, long), (1, long), (2, None), (2, "")]
+    out = packing.packed(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).toPandas()
+    whole = len(packing.encoder(packing.VOCABULARY, packing.RANKS)(long)) + 1
+    n = len(packing.encoder(packing.VOCABULARY, packing.RANKS)("same")) + 1
+    assert out.length.sum() == 3000 * n + 2 * whole + 2 and (out.doc_id.isna() & (out.start == 0)).sum() == 3000
+    loads = out.groupby("sequence_id").length.sum()
+    assert loads.max() <= 1024 and len(loads) * 1024 - loads.sum() < 3 * 2 * 1024
+    for _, own in out.groupby("sequence_id"):
+        own = own.sort_values("offset")
+        assert (own.offset == own.length.cumsum() - own.length).all()
+
+
 def test_differencing_is_near_equal():
     rng = random.Random(4)
     sizes = [rng.randrange(1, 200) for _ in range(600)]
@@ -264,6 +302,73 @@ def test_classifier_edges(spark, near):
     assert all(r.held_out == (brute.crc(str(r.doc_id).encode()) % 5 == 0) for r in out if r.doc_id is not None)
 
 
+def plain_best_split(x, g, h, edges):
+    """The best (gain, feature, limit) by trying all of them."""
+    best = (1e-9, None, None)
+    total = g.sum() ** 2 / (h.sum() + classifier.RIDGE)
+    for f in range(x.shape[1]):
+        for limit in edges[f]:
+            low = x[:, f] <= limit
+            if min(low.sum(), (~low).sum()) >= classifier.LEAST_ROWS:
+                gain = g[low].sum() ** 2 / (h[low].sum() + classifier.RIDGE) + g[~low].sum() ** 2 / (h[~low].sum() + classifier.RIDGE) - total
+                if gain > best[0] + 1e-9:
+                    best = (gain, f, limit)
+    return best
+
+
+def test_splits_are_the_best_ones_and_leaves_their_newton_steps():
+    rng = np.random.default_rng(1)
+    x = np.round(rng.normal(size=(400, 4)), 1)
+    y = ((x[:, 1] > 0.3) & (x[:, 2] < 0.5) | (rng.random(400) < 0.1)).astype(float)
+    forest = classifier.fit(x, y)
+    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, classifier.BINS + 1)[1:-1])) for f in range(4)]
+    raw = np.full(400, np.log(y.mean() / (1 - y.mean())))
+    for t in range(3):
+        p = 1 / (1 + np.exp(-raw))
+        g, h = y - p, p * (1 - p)
+        node = np.zeros(400, dtype=int)
+        for k in range(2**classifier.DEPTH - 1):
+            inside = node == k
+            gain, feature, limit = plain_best_split(x[inside], g[inside], h[inside], edges) if inside.any() else (0, None, None)
+            if feature is None:
+                assert forest.limit[t, k] == np.inf
+                node[inside] = 2 * k + 1
+            else:
+                low = x[:, forest.feature[t, k]] <= forest.limit[t, k]
+                a, b = inside & low, inside & ~low
+                own = g[a].sum() ** 2 / (h[a].sum() + 1) + g[b].sum() ** 2 / (h[b].sum() + 1) - g[inside].sum() ** 2 / (h[inside].sum() + 1)
+                assert abs(own - gain) < 1e-6
+                node[a], node[b] = 2 * k + 1, 2 * k + 2
+        for leaf in range(2**classifier.DEPTH):
+            own = node == leaf + 2**classifier.DEPTH - 1
+            if own.any():
+                assert abs(forest.leaf[t, leaf] - classifier.RATE * g[own].sum() / (h[own].sum() + classifier.RIDGE)) < 1e-9
+                raw[own] += forest.leaf[t, leaf]
+
+
+def test_flat_traversal_equals_a_walk_from_node_to_node():
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(500, 6)), 1)
+    forest = classifier.fit(x, ((x[:, 0] > 0) ^ (x[:, 5] > 0.2)).astype(float))
+    for row, got in zip(x, forest.raw(x), strict=True):
+        total = forest.start
+        for features, limits, leaves in zip(forest.feature, forest.limit, forest.leaf, strict=True):
+            node = 0
+            while node < len(features):
+                node = 2 * node + (2 if row[features[node]] > limits[node] else 1)
+            total += leaves[node - len(features)]
+        assert abs(total - got) < 1e-9
+
+
+def test_statistics_of_a_very_long_text():
+    text = "Some words, and others: 12! " * 100_000
+    one, many = classifier.statistics(pa.array([text, None, "x"])), classifier.statistics(pa.array([text]))
+    assert (one[0] == many[0]).all() and not one[1].any() and abs(one[0][STAT["words"]] - np.log1p(500_000)) < 1e-9
+
+
+STAT = {name: i for i, name in enumerate(classifier.STATISTICS)}
+
+
 def test_forest_separates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 5))
