@@ -231,7 +231,7 @@ def test_both_tokenizers_give_the_same_ids():
     points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     for step in range(0, len(points), 4096):
         own = points[step : step + 4096]
-        texts = [" ".join("".join(own[i : i + 3]) for i in range(0, len(own), 3)), "".join(f"a{c}1 {c}{c}'s{c}  {c}\n" for c in own)]
+        texts = [" ".join(own), "".join(f"a{c}1{c}\n" for c in own)]
         for text, found in zip(texts, exact.encode_batch(texts, add_special_tokens=False), strict=True):
             assert found.ids == encode(text)
 

@@ -126,6 +126,16 @@ def test_rules_order_changes_no_verdict(spark, sf_dir):
     assert judged.where("not kept and quality = 1").count() <= 0.02 * judged.where("quality = 1").count()
 
 
+def test_rules_are_ordered_by_rejection_per_cost(spark, sf_dir):
+    """A dear rule and a cheap one that reject the same, and one that rejects nothing."""
+    real = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    short = lambda: F.col("n_words") < 100
+    dear = lambda: short() & (F.length(F.regexp_replace(F.repeat("text", F.lit(20)), "[^a-z]", "")) >= 0)
+    found = rules.ordered(real, (rules.Rule("none", lambda: F.col("n_words") < 0), rules.Rule("dear", dear), rules.Rule("cheap", short)))
+    assert [rule.name for rule, _, _ in found] == ["cheap", "dear", "none"]
+    assert found[0][2] == found[1][2] > 0 and found[1][1] > found[0][1]
+
+
 def test_rules_sample_is_bounded(docs):
     assert rules.sample_of(docs, 10).count() <= 20
 
