@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import hierarchy, linking, naming
+from . import equality, hierarchy, linking, mappings, modelling, naming
 
 FLAGSHIP = "link_suppliers"
-QUERIES = linking.QUERIES | hierarchy.QUERIES | naming.QUERIES
-ORACLES = linking.ORACLES | hierarchy.ORACLES | naming.ORACLES
+MODULES = (linking, hierarchy, naming, modelling, mappings, equality)
+QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+ORACLES = {name: text for module in MODULES for name, text in module.ORACLES.items()}
