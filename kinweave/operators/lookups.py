@@ -39,13 +39,13 @@ def overlapping(wanted: DataFrame, ranges: DataFrame, slot: str, entity: str, wi
 def at_or_after(wanted: DataFrame, entries: DataFrame, slot: str, at: str, entity: str) -> DataFrame:
     """``wanted`` with the entity of that slot at the smallest place not before ``at``.
 
-    Both tables are merged by slot and place, and the next entry is carried back, so no slot's pairs are made.
+    Both tables are merged by slot and falling place, and the last entry so far is carried on, so no slot's pairs are made and each row is visited once.
     """
     left = wanted.select(slot, F.col(at).alias("_at"), F.struct(*wanted.columns).alias("_row"), F.lit(None).cast(entries.schema[entity].dataType).alias("_entity"))
     best = entries.groupBy(slot, at).agg(F.min(entity).alias("_entity"))
     right = best.select(slot, F.col(at).alias("_at"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), "_entity")
-    after = Window.partitionBy(slot).orderBy("_at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    merged = left.unionByName(right).withColumn(entity, F.first("_entity", ignorenulls=True).over(after))
+    after = Window.partitionBy(slot).orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    merged = left.unionByName(right).withColumn(entity, F.last("_entity", ignorenulls=True).over(after))
     return merged.where("_row IS NOT NULL").select("_row.*", entity)
 
 

@@ -63,19 +63,20 @@ def ranked(scored: DataFrame) -> DataFrame:
 def accepted(scored: DataFrame, top: float, absolute: float = ABSOLUTE, relative: float = RELATIVE) -> DataFrame:
     """(a, b, score): each a's best b, if it is good enough and far enough ahead of the second.
 
-    The two best are found by two aggregations, so no task has to hold an a's whole ranking.
+    Only the first two places are asked for, so each task cuts its part of a ranking down to two rows before the exchange, and
+    the candidates are computed once.
     """
-    best = scored.groupBy("a").agg(F.min_by("b", F.struct(-F.col("score"), F.col("b"))).alias("best"), F.max("score").alias("top_score"))
-    others = scored.join(best, "a").where(F.col("b") != F.col("best")).groupBy("a").agg(F.max("score").alias("second"))
-    ahead = F.col("second").isNull() | (normal(F.col("second"), top) < normal(F.col("top_score"), top) * (1 - relative))
-    kept = best.join(others, "a", "left").where((normal(F.col("top_score"), top) >= absolute) & ahead)
-    return kept.select("a", F.col("best").alias("b"), F.col("top_score").alias("score"))
+    two = ranked(scored.select("a", "b", "score")).where("place <= 2")
+    at = lambda place, column: F.max(F.when(F.col("place") == place, F.col(column)))
+    best = two.groupBy("a").agg(at(1, "b").alias("b"), at(1, "score").alias("score"), at(2, "score").alias("second"))
+    ahead = F.col("second").isNull() | (normal(F.col("second"), top) < normal(F.col("score"), top) * (1 - relative))
+    return best.where((normal(F.col("score"), top) >= absolute) & ahead).select("a", "b", "score")
 
 
 def one_to_one(pairs: DataFrame) -> DataFrame:
-    """Without the pairs whose b is claimed more than once: all claims of such a b go."""
-    once = pairs.groupBy("b").agg(F.count("*").alias("claims")).where("claims = 1").select("b")
-    return pairs.join(once, "b", "left_semi")
+    """Without the pairs whose b is claimed more than once: all claims of such a b go. A pair that is alone is its group's only row."""
+    once = pairs.groupBy("b").agg(F.count("*").alias("claims"), F.any_value(F.struct(*pairs.columns)).alias("pair"))
+    return once.where("claims = 1").select("pair.*")
 
 
 def perfect(scored: DataFrame, top: float) -> DataFrame:

@@ -84,7 +84,7 @@ def local_then_shared_lookup(spark, sf_dir):
 
 def unique_name_lookup(spark, sf_dir):
     wanted = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("owner"), F.col("c_mktsegment").alias("name")).distinct()
-    entities = table(spark, sf_dir, "customer").where("c_custkey % 9 = 0").select(F.col("c_nationkey").alias("owner"), F.col("c_mktsegment").alias("name"), F.col("c_custkey").alias("entity"))
+    entities = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("owner"), F.col("c_mktsegment").alias("name"), F.col("c_custkey").alias("entity"))
     return lookups.by_unique_name(wanted, entities, "owner", "name", "entity").select("owner", "name", "entity")
 
 
@@ -123,7 +123,7 @@ SELECT w.owner, w.name, f.member FROM (SELECT DISTINCT sub AS owner, name FROM p
     "local_then_shared_lookup": """SELECT part, CASE WHEN part % 3 = 0 OR part % 2 = 0 THEN p_name END AS name,
 CASE WHEN p_name IS NULL THEN 'placeholder' WHEN part % 3 = 0 THEN 'local' WHEN part % 2 = 0 THEN 'shared' ELSE 'placeholder' END AS found
 FROM (SELECT DISTINCT l_partkey AS part FROM lineitem) LEFT JOIN part ON p_partkey = part""",
-    "unique_name_lookup": """WITH e AS (SELECT c_nationkey AS owner, c_mktsegment AS name, min(c_custkey) AS entity FROM customer WHERE c_custkey % 9 = 0 GROUP BY 1, 2 HAVING count(*) = 1)
+    "unique_name_lookup": """WITH e AS (SELECT c_nationkey AS owner, c_mktsegment AS name, min(c_custkey) AS entity FROM customer GROUP BY 1, 2 HAVING count(*) = 1)
 SELECT owner, name, entity FROM (SELECT DISTINCT c_nationkey AS owner, c_mktsegment AS name FROM customer) LEFT JOIN e USING (owner, name)""",
     "interval_lookup": """SELECT c.user_id AS slot, c.event_id AS start, c.event_id + 10 AS stop, (SELECT min(v.event_id) FROM events v WHERE v.event_type = 'view' AND v.user_id = c.user_id AND v.event_id < c.event_id + 10
 AND v.event_id + 10 > c.event_id) AS entity FROM events c WHERE c.event_type = 'click'""",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinweave.functions.text import bucket
-from kinweave.operators import assignment, ranking, sequences, similarity, state
+from kinweave.operators import assignment, positions, ranking, sequences, similarity, state
 from kinweave.operators.ranking import Measure
 
 from .tables import SHIFT, orders, side, suppliers, table
@@ -105,18 +105,18 @@ def numeric_constants(spark, sf_dir):
 def identity_set_similarity(spark, sf_dir):
     """Nations as sets of customers: a customer is matched if its key divides by 3, and a candidate for those in its segment."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    a = c.where("c_custkey % 5 <> 0").select(F.col("c_nationkey").alias("a"), F.col("c_custkey").alias("x"))
-    b = c.where("c_custkey % 7 <> 0").select(F.col("c_nationkey").alias("b"), F.col("c_custkey").alias("y"))
+    a = c.where("c_mktsegment <> 'BUILDING'").select(F.col("c_nationkey").alias("a"), F.col("c_custkey").alias("x"))
+    b = c.where("c_acctbal > 500").select(F.col("c_nationkey").alias("b"), F.col("c_custkey").alias("y"))
     pairs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("a"), F.col("n_nationkey").alias("b"))
-    matches = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("x"), F.col("c_custkey").alias("y"))
-    free = c.where("c_custkey % 3 <> 0 AND c_custkey % 11 <> 0")
+    matches = c.where("c_acctbal > 4000").select(F.col("c_custkey").alias("x"), F.col("c_custkey").alias("y"))
+    free = c.where("c_acctbal <= 4000 AND c_mktsegment <> 'MACHINERY'")
     candidates = free.select(F.col("c_custkey").alias("x"), F.col("c_custkey").alias("y"))
     return similarity.of_identities(pairs, a, b, matches, candidates).withColumn("similarity", F.round("similarity", 6))
 
 
 def identity_prematch(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), (F.col("s_suppkey") % 3 == 0).alias("disguised"))
-    other = s.select((F.col("id") + SHIFT).alias("id"), "name", (F.col("id") % 2 == 0).alias("disguised"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), (F.col("s_acctbal") < 1000).alias("disguised"), F.col("s_nationkey").alias("nation"))
+    other = s.select((F.col("id") + SHIFT).alias("id"), "name", (F.col("nation") > 18).alias("disguised"))
     return state.prematch(s, other, "name")
 
 
@@ -127,7 +127,7 @@ def match_status(spark, sf_dir):
 
 
 def fully_matched(spark, sf_dir):
-    members = orders(spark, sf_dir, 1).select("id", "owner", (F.col("id") % 10 != 0).alias("matchable"))
+    members = orders(spark, sf_dir, 1).select("id", "owner", (F.col("price") > 40000).alias("matchable"))
     linked = ranking.link(order_pairs(spark, sf_dir), order_measures())
     return state.fully_matched(members.select(F.col("owner").alias("id")).distinct(), members, linked)
 
@@ -136,7 +136,7 @@ def unmatch_cascade(spark, sf_dir):
     a = orders(spark, sf_dir, 1)
     owners = a.select(F.col("owner").alias("a")).distinct().withColumn("b", F.col("a") + SHIFT)
     member_pairs = a.select(F.col("id").alias("a"), (F.col("id") + SHIFT).alias("b"))
-    kept, members = state.unmatched(owners, owners.where("a % 4 = 0").select("a"), member_pairs, a)
+    kept, members = state.unmatched(owners, table(spark, sf_dir, "customer").where("c_acctbal < 2500").select(F.col("c_custkey").alias("a")), member_pairs, a)
     return kept.withColumn("kind", F.lit("owner")).unionByName(members.withColumn("kind", F.lit("member")))
 
 
@@ -177,25 +177,17 @@ def fixpoint_link(spark, sf_dir):
 
 
 def position_similarity(spark, sf_dir):
-    """Relative place of an order among its customer's orders, between the nearest linked neighbours (orders whose key divides by 4)."""
-    by_day = Window.partitionBy("owner").orderBy("day", "id")
-    before, after = by_day.rowsBetween(Window.unboundedPreceding, -1), by_day.rowsBetween(1, Window.unboundedFollowing)
+    """Relative place of an order among its customer's orders, between the nearest linked neighbours: open orders on both sides."""
 
-    def placed(parity: int, letter: str) -> DataFrame:
-        rows = orders(spark, sf_dir, parity).withColumn("key", F.col("id") % SHIFT)
-        place = F.row_number().over(by_day) - 1
-        rows = rows.withColumns({"place": place, "n": F.count("*").over(Window.partitionBy("owner"))})
-        linked = F.when(F.col("key") % 4 == 0, F.col("place"))
-        rows = rows.withColumns({"low": F.coalesce(F.last(linked, ignorenulls=True).over(before) + 1, F.lit(0)), "high": F.coalesce(F.first(linked, ignorenulls=True).over(after), F.col("n"))})
-        return rows.select("key", *[F.col(c).alias(f"{letter}_{c}") for c in ("place", "n", "low", "high")])
+    def placed(parity: int) -> DataFrame:
+        by_day = Window.partitionBy("owner").orderBy("day", "id")
+        return orders(spark, sf_dir, parity).withColumn("place", F.row_number().over(by_day) - 1).select("id", "owner", "place", "status")
 
-    def relative(letter: str):
-        wide = F.col(f"{letter}_high") - F.col(f"{letter}_low")
-        return F.when(wide <= 1, 0.5).otherwise((F.col(f"{letter}_place") - F.col(f"{letter}_low")) / (wide - 1))
-
-    both = placed(1, "a").join(placed(0, "b"), "key")
-    same = (F.col("a_place") == F.col("b_place")) & (F.col("a_n") == F.col("b_n"))
-    return both.select("key", F.round(F.when(same, 1.0).otherwise(1 - F.abs(relative("a") - relative("b"))), 6).alias("similarity"))
+    a, b = placed(1), placed(0)
+    pairs = a.select(F.col("id").alias("a"), "status", (F.col("id") + SHIFT).alias("b")).join(b.select(F.col("id").alias("b")), "b")
+    linked = pairs.where("status = 'O'").select(F.col("a").alias("x"), F.col("b").alias("y"))
+    found = positions.of_places(pairs, a.drop("status"), b.drop("status"), linked)
+    return found.select(F.col("a").alias("key"), F.round("similarity", 6).alias("similarity"))
 
 
 def user_letters(spark, sf_dir) -> DataFrame:
@@ -301,21 +293,21 @@ FROM sup a JOIN sup b ON a.odd = 1 AND b.odd = 0 AND a.nation = b.nation AND a.b
 SELECT a, b, round(1 - bit_count(xor(x, y) & 7) / 3e0, 6) AS similarity FROM f""",
     "numeric_constants": """WITH q AS (SELECT l_orderkey, l_linenumber % 2 AS odd, list_distinct(list(l_quantity)) AS s FROM lineitem GROUP BY 1, 2)
 SELECT x.l_orderkey AS "order", round(len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s)))::DOUBLE, 6) AS similarity FROM q x JOIN q y ON x.l_orderkey = y.l_orderkey AND x.odd = 1 AND y.odd = 0""",
-    "identity_set_similarity": """WITH a AS (SELECT c_nationkey AS n, c_custkey AS k FROM customer WHERE c_custkey % 5 <> 0), b AS (SELECT c_nationkey AS n, c_custkey AS k FROM customer WHERE c_custkey % 7 <> 0),
-la AS (SELECT a.n, count(*) AS na, sum(CASE WHEN a.k % 3 <> 0 AND a.k % 11 = 0 THEN 1 WHEN b.k IS NULL THEN 1 ELSE 0 END) AS lost FROM a LEFT JOIN b ON a.n = b.n AND a.k = b.k GROUP BY 1),
-lb AS (SELECT b.n, count(*) AS nb, sum(CASE WHEN b.k % 3 <> 0 AND b.k % 11 = 0 THEN 1 WHEN a.k IS NULL THEN 1 ELSE 0 END) AS lost FROM b LEFT JOIN a ON a.n = b.n AND a.k = b.k GROUP BY 1)
+    "identity_set_similarity": """WITH a AS (SELECT c_nationkey AS n, c_custkey AS k, c_acctbal <= 4000 AND c_mktsegment = 'MACHINERY' AS never FROM customer WHERE c_mktsegment <> 'BUILDING'), b AS (SELECT c_nationkey AS n, c_custkey AS k, c_acctbal <= 4000 AND c_mktsegment = 'MACHINERY' AS never FROM customer WHERE c_acctbal > 500),
+la AS (SELECT a.n, count(*) AS na, sum(CASE WHEN a.never THEN 1 WHEN b.k IS NULL THEN 1 ELSE 0 END) AS lost FROM a LEFT JOIN b ON a.n = b.n AND a.k = b.k GROUP BY 1),
+lb AS (SELECT b.n, count(*) AS nb, sum(CASE WHEN b.never THEN 1 WHEN a.k IS NULL THEN 1 ELSE 0 END) AS lost FROM b LEFT JOIN a ON a.n = b.n AND a.k = b.k GROUP BY 1)
 SELECT n_nationkey AS a, n_nationkey AS b, CASE WHEN na IS NULL AND nb IS NULL THEN 1e0 WHEN na IS NULL OR nb IS NULL THEN 0e0 ELSE round((na + nb - la.lost - lb.lost) / (na + nb)::DOUBLE, 6) END AS similarity
 FROM nation LEFT JOIN la ON n_nationkey = la.n LEFT JOIN lb ON n_nationkey = lb.n""",
-    "identity_prematch": f"SELECT s_suppkey AS a, s_suppkey + {SHIFT} AS b FROM supplier WHERE s_suppkey % 3 <> 0 AND s_suppkey % 2 <> 0",
+    "identity_prematch": f"SELECT s_suppkey AS a, s_suppkey + {SHIFT} AS b FROM supplier WHERE s_acctbal >= 1000 AND s_nationkey <= 18",
     "match_status": f"""WITH {A_ORD}, c AS (SELECT * FROM scored WHERE score > {CUT}), {accepted_sql("c", "31e0")}
 SELECT status, count(*) AS total, count(one.a) AS matched FROM ord LEFT JOIN one ON ord.id = one.a WHERE odd = 1 GROUP BY status""",
     "fully_matched": f"""WITH {A_ORD}, c AS (SELECT * FROM scored WHERE score > {CUT}), {accepted_sql("c", "31e0")}
-SELECT owner AS id, bool_and(id % 10 = 0 OR one.a IS NOT NULL) AS fully FROM ord LEFT JOIN one ON ord.id = one.a WHERE odd = 1 GROUP BY owner""",
+SELECT owner AS id, bool_and(price <= 40000 OR one.a IS NOT NULL) AS fully FROM ord LEFT JOIN one ON ord.id = one.a WHERE odd = 1 GROUP BY owner""",
     "potential_match": f"""WITH {A_ORD}, c AS (SELECT * FROM scored WHERE score > {CUT}), {accepted_sql("c", "31e0")},
 n AS (SELECT *, priority IN ('1-URGENT', '2-HIGH') AS disguised FROM ord), f AS (SELECT * FROM n WHERE odd = 0 AND id NOT IN (SELECT b FROM one))
 SELECT id, id IN (SELECT a FROM one) OR EXISTS (SELECT 1 FROM f WHERE f.owner = n.owner + {SHIFT} AND (f.disguised OR n.disguised OR f.priority = n.priority)) AS potential FROM n WHERE odd = 1""",
-    "unmatch_cascade": f"""WITH {A_ORD} SELECT DISTINCT owner AS a, owner + {SHIFT} AS b, 'owner' AS kind FROM ord WHERE odd = 1 AND owner % 4 <> 0
-UNION ALL SELECT id, id + {SHIFT}, 'member' FROM ord WHERE odd = 1 AND owner % 4 <> 0""",
+    "unmatch_cascade": f"""WITH {A_ORD} SELECT DISTINCT owner AS a, owner + {SHIFT} AS b, 'owner' AS kind FROM ord WHERE odd = 1 AND owner NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 2500)
+UNION ALL SELECT id, id + {SHIFT}, 'member' FROM ord WHERE odd = 1 AND owner NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 2500)""",
     "match_fanout": f"""WITH {A_ORD} SELECT a.id AS a, b.id AS b FROM ord a JOIN ord b ON a.odd = 1 AND b.odd = 0 AND a.owner + {SHIFT} = b.owner AND a.priority = b.priority AND strftime(a.day, '%Y-%m') = strftime(b.day, '%Y-%m')""",
     "member_name_match": f"""WITH {A_ORD}, u AS (SELECT odd, owner, priority, min(id) AS id FROM ord GROUP BY 1, 2, 3 HAVING count(*) = 1)
 SELECT x.id AS a, y.id AS b FROM u x JOIN u y ON x.odd = 1 AND y.odd = 0 AND x.owner + {SHIFT} = y.owner AND x.priority = y.priority""",
@@ -323,11 +315,14 @@ SELECT x.id AS a, y.id AS b FROM u x JOIN u y ON x.odd = 1 AND y.odd = 0 AND x.o
 t AS (SELECT owner, sum(pow(score / 31e0, 2)) AS s FROM acc JOIN ord ON acc.a = ord.id GROUP BY 1),
 c AS (SELECT owner, max(n) AS n FROM (SELECT CASE WHEN odd = 1 THEN owner ELSE owner - {SHIFT} END AS owner, odd, count(*) AS n FROM ord GROUP BY 1, 2) GROUP BY 1)
 SELECT owner, round(coalesce(s, 0) / n, 6) AS similarity FROM c LEFT JOIN t USING (owner)""",
-    "position_similarity": f"""WITH {A_ORD}, p AS (SELECT id % {SHIFT} AS key, odd, owner, day, id, row_number() OVER w - 1 AS place, count(*) OVER (PARTITION BY owner) AS n FROM ord WINDOW w AS (PARTITION BY owner ORDER BY day, id)),
-q AS (SELECT *, coalesce(last_value(CASE WHEN key % 4 = 0 THEN place END IGNORE NULLS) OVER (PARTITION BY owner ORDER BY day, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1, 0) AS low,
-  coalesce(first_value(CASE WHEN key % 4 = 0 THEN place END IGNORE NULLS) OVER (PARTITION BY owner ORDER BY day, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), n) AS high FROM p),
-r AS (SELECT *, CASE WHEN high - low <= 1 THEN 0.5e0 ELSE (place - low) / (high - low - 1)::DOUBLE END AS rel FROM q)
-SELECT a.key, round(CASE WHEN a.place = b.place AND a.n = b.n THEN 1e0 ELSE 1 - abs(a.rel - b.rel) END, 6) AS similarity FROM r a JOIN r b ON a.key = b.key AND a.odd = 1 AND b.odd = 0""",
+    "position_similarity": f"""WITH {A_ORD}, p AS (SELECT id % {SHIFT} AS key, odd, owner, status, row_number() OVER (PARTITION BY owner ORDER BY day, id) - 1 AS place, count(*) OVER (PARTITION BY owner) AS n FROM ord),
+x AS (SELECT a.key, a.owner, a.place, a.n, b.place AS b_place, b.n AS b_n, CASE WHEN a.status = 'O' THEN b.place END AS met FROM p a LEFT JOIN p b ON a.key = b.key AND b.odd = 0 WHERE a.odd = 1),
+y AS (SELECT *, coalesce(last_value(CASE WHEN met IS NOT NULL THEN place END IGNORE NULLS) OVER up + 1, 0) AS low, coalesce(last_value(met IGNORE NULLS) OVER up + 1, 0) AS low_b,
+  coalesce(first_value(CASE WHEN met IS NOT NULL THEN place END IGNORE NULLS) OVER down, n) AS high, coalesce(first_value(met IGNORE NULLS) OVER down, b_n) AS high_b FROM x
+  WINDOW up AS (PARTITION BY owner ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), down AS (PARTITION BY owner ORDER BY place ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+z AS (SELECT *, low_b >= high_b OR low_b > b_place OR high_b <= b_place AS whole FROM y WHERE b_place IS NOT NULL),
+r AS (SELECT *, CASE WHEN whole THEN 0 ELSE low END AS s, CASE WHEN whole THEN n ELSE high END AS e, CASE WHEN whole THEN 0 ELSE low_b END AS sb, CASE WHEN whole THEN b_n ELSE high_b END AS eb FROM z)
+SELECT key, round(CASE WHEN place = b_place AND n = b_n THEN 1e0 ELSE 1 - abs(CASE WHEN e - s <= 1 THEN 0.5e0 ELSE (place - s) / (e - s - 1)::DOUBLE END - CASE WHEN eb - sb <= 1 THEN 0.5e0 ELSE (b_place - sb) / (eb - sb - 1)::DOUBLE END) END, 6) AS similarity FROM r""",
     "sequence_similarity": """WITH s AS (SELECT user_id, string_agg(substr(event_type, 1, 1), '' ORDER BY ts, event_id) AS x FROM events GROUP BY 1)
 SELECT a.user_id AS a, round(1 - levenshtein(a.x, b.x) / greatest(len(a.x), len(b.x))::DOUBLE, 6) AS similarity FROM s a JOIN s b ON a.user_id = b.user_id - 1""",
     "similarity_report": f"""WITH {A_ORD}, c AS (SELECT * FROM scored WHERE score > {CUT}), {accepted_sql("c", "31e0")},

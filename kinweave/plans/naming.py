@@ -31,13 +31,13 @@ def uid_min(spark, sf_dir):
 
 def uid_assign(spark, sf_dir):
     """Ids for parts without one, in the order of their names, a brand and type sharing one id."""
-    missing = parts(spark, sf_dir).where("id % 3 <> 0").groupBy("brand", "type").agg(F.min(F.struct("name", "id")).alias("first"))
+    missing = parts(spark, sf_dir).where("size > 15").groupBy("brand", "type").agg(F.min(F.struct("name", "id")).alias("first"))
     return names.numbered(missing.select("brand", "type", F.col("first.name").alias("name"), F.col("first.id").alias("id")), ["name", "id"], "uid", 1000).select("brand", "type", "uid")
 
 
 def temp_names(spark, sf_dir):
     """Temporary names of the suppliers' disguised members: a counter in each nation."""
-    s = table(spark, sf_dir, "supplier").where("s_suppkey % 4 <> 0").select("s_suppkey", "s_nationkey", "s_name")
+    s = table(spark, sf_dir, "supplier").where("s_acctbal > 500").select("s_suppkey", "s_nationkey", "s_name")
     counted = names.numbered(s, ["s_name"], "counter", group="s_nationkey")
     return counted.select(F.col("s_suppkey").alias("id"), F.concat(F.lit("m"), F.col("counter").cast("string")).alias("name"))
 
@@ -57,7 +57,7 @@ def propagate_names(spark, sf_dir):
 
 def mapping_upsert(spark, sf_dir):
     p = parts(spark, sf_dir).select("id", F.when(F.col("id") % 2 == 0, F.col("name")).alias("name"))
-    new = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), F.concat(F.lit("line "), F.col("l_orderkey").cast("string")).alias("name")).where("id % 3 = 0")
+    new = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), F.concat(F.lit("line "), F.col("l_orderkey").cast("string")).alias("name"))
     return names.upserted(p, new, "id", "name", False)
 
 
@@ -77,7 +77,7 @@ def link_components(spark, sf_dir):
 
 def display_filter(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
-    return s.where("s_acctbal > 0 AND s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("id"), "s_name")
+    return s.where("s_acctbal > 0 AND s_nationkey < 20").select(F.col("s_suppkey").alias("id"), "s_name")
 
 
 def text_filter(spark, sf_dir):
@@ -198,17 +198,17 @@ ORACLES = {
     "resolve_name": f"WITH {PART} SELECT id, CASE WHEN id % 5 = 0 THEN 'mapped ' || name WHEN id % 3 = 0 THEN 'partner ' || brand WHEN size > 40 THEN type ELSE name END AS name FROM p",
     "uid_min": f"""WITH {PART}, u AS (SELECT id, CASE WHEN id % 4 = 0 THEN NULL ELSE id * 2 END AS x, CASE WHEN id % 6 = 0 THEN NULL ELSE id + 100 END AS y FROM p)
 SELECT id, coalesce(least(x, y), x, y, -1) AS uid FROM u""",
-    "uid_assign": f"""WITH {PART}, f AS (SELECT brand, type, min({{'n': name, 'i': id}}) AS s FROM p WHERE id % 3 <> 0 GROUP BY 1, 2) SELECT brand, type, row_number() OVER (ORDER BY s.n, s.i) + 999 AS uid FROM f""",
-    "temp_names": "SELECT s_suppkey AS id, 'm' || (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name) - 1) AS name FROM supplier WHERE s_suppkey % 4 <> 0",
+    "uid_assign": f"""WITH {PART}, f AS (SELECT brand, type, min({{'n': name, 'i': id}}) AS s FROM p WHERE size > 15 GROUP BY 1, 2) SELECT brand, type, row_number() OVER (ORDER BY s.n, s.i) + 999 AS uid FROM f""",
+    "temp_names": "SELECT s_suppkey AS id, 'm' || (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name) - 1) AS name FROM supplier WHERE s_acctbal > 500",
     "slot_offsets": """WITH r AS (SELECT l_orderkey, coalesce(sum(CASE WHEN l_quantity > 25 THEN 2 ELSE 1 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice
 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS slot FROM lineitem) SELECT l_orderkey, sum(slot)::BIGINT AS slots, max(slot)::BIGINT AS last FROM r GROUP BY 1""",
     "propagate_names": f"WITH {PART}, f AS (SELECT brand, arg_min(name, id) AS first FROM p WHERE id % 7 = 0 GROUP BY 1) SELECT id, CASE WHEN id % 7 = 0 THEN name ELSE first END AS mapped FROM p LEFT JOIN f USING (brand)",
-    "mapping_upsert": f"""WITH {PART}, n AS (SELECT l_partkey AS id, min('line ' || l_orderkey) AS v FROM lineitem WHERE l_partkey % 3 = 0 GROUP BY 1)
+    "mapping_upsert": f"""WITH {PART}, n AS (SELECT l_partkey AS id, min('line ' || l_orderkey) AS v FROM lineitem GROUP BY 1)
 SELECT id, coalesce(CASE WHEN id % 2 = 0 THEN name END, v) AS name FROM p LEFT JOIN n USING (id)""",
     "mapping_export_once": f"WITH {PART} SELECT brand, min(id) AS id, arg_min(name, id) AS name FROM p GROUP BY 1",
     "link_components": """WITH b AS (SELECT s_suppkey AS id, c_custkey, row_number() OVER (PARTITION BY s_suppkey ORDER BY CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 0 ELSE 1 END, c_custkey) AS r
 FROM supplier JOIN customer ON s_nationkey = c_nationkey AND (s_acctbal < 0) = (c_acctbal < 0)) SELECT id, c_custkey AS linked FROM b WHERE r = 1""",
-    "display_filter": "SELECT s_suppkey AS id, s_name FROM supplier WHERE s_acctbal > 0 AND s_suppkey % 2 = 0",
+    "display_filter": "SELECT s_suppkey AS id, s_name FROM supplier WHERE s_acctbal > 0 AND s_nationkey < 20",
     "text_filter": "WITH t AS (SELECT p_partkey AS id, lower(printf('%.3f', p_retailprice) || ' ' || p_name) AS line FROM part) SELECT * FROM t WHERE contains(line, '1')",
     "postfix_filter": f"""WITH {PART}, k AS (SELECT 0 AS f, id FROM p UNION ALL SELECT 1, id FROM p UNION ALL SELECT 2, id FROM p WHERE brand = 'Brand#11' UNION ALL SELECT 3, id FROM p WHERE brand <> 'Brand#22')
 SELECT f AS filter, count(*) AS n, sum(id)::BIGINT AS ids FROM k GROUP BY 1""",
