@@ -1,14 +1,22 @@
 """Class files in archives as model rows: one row for each class, member, reference and constant.
 
 Archives are read by the binary file source; each is opened and parsed in the task that reads it. A row is (archive, kind, owner, id,
-name, other, flags, value): kind says which of the columns are used. A file that isn't a class file gives one row of kind "rejected".
+name, other, flags, value): kind says which of the columns are used. A file that isn't a class file, or an archive that can't be opened,
+gives one row of kind "rejected".
+
+Kinds: class (other is its parent), implements, outer, field, method, signature (value, of the class or member that is the owner), the constants string, int,
+long, float and double, calls, reads, writes and "class ref" (other), code (id is the place, flags the opcode, name the slot of an instruction on a
+variable, or what a dynamic call would call: then other is its maker, and value the maker's tag and whether it is an interface's), and local (id is the place in the table of
+variables, name and other the variable's name and type, flags its slot, value the number of instructions before its range).
 """
 
 from __future__ import annotations
 
+import bisect
 import io
 import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,6 +32,11 @@ TWO_BYTES = {17, 19, 20, 132, *range(153, 169), *range(178, 185), 187, 189, 192,
 FOUR_BYTES = {185, 186, 200, 201}
 CALLS, READS, WRITES = {182, 183, 184, 185}, {178, 180}, {179, 181}
 TYPES = {187, 189, 192, 193, 197}
+DYNAMIC = 186
+#: Instructions on variables with the slot behind them, and the first of each four that have it in themselves.
+SLOT_BEHIND = {*range(21, 26), *range(54, 59), 132, 169}
+SLOT_INSIDE = (*range(26, 46, 4), *range(59, 79, 4))
+BATCH_ROWS = 20_000
 
 
 class Reader:
@@ -84,7 +97,7 @@ def rows_of(archive: str, data: bytes) -> list[tuple]:
     def cls(i: int) -> str | None:
         return text(pool[i][1]) if i else None
 
-    def attributes() -> dict[str, bytes]:
+    def attributes(r: Reader = r) -> dict[str, bytes]:
         found = {}
         for _ in range(r.take(">H")):
             name, size = r.take(">HI")
@@ -92,11 +105,22 @@ def rows_of(archive: str, data: bytes) -> list[tuple]:
             r.at += size
         return found
 
+    def signature(owner: str, found: dict[str, bytes]) -> list[tuple]:
+        return [(archive, "signature", owner, None, None, None, None, text(struct.unpack(">H", found["Signature"])[0]))] if "Signature" in found else []
+
+    def handle(i: int) -> tuple[int, str, bool]:
+        """(tag, class/name and descriptor, whether of an interface) of a method handle."""
+        tag, place = pool[i][1]
+        holder, named = pool[place][1]
+        name, desc = pool[named][1]
+        return tag, f"{cls(holder)}/{text(name)}{';;' if tag < 5 else ''}{text(desc)}", pool[place][0] == 11
+
     flags, this, parent = r.take(">HHH")
     me = cls(this)
     out = [(archive, "class", None, me, me, cls(parent), flags, None)]
     for _ in range(r.take(">H")):
         out.append((archive, "implements", me, None, None, cls(r.take(">H")), None, None))
+    bodies = []
     for kind in ("field", "method"):
         for place in range(r.take(">H")):
             access, name, desc = r.take(">HHH")
@@ -107,12 +131,20 @@ def rows_of(archive: str, data: bytes) -> list[tuple]:
             if "ConstantValue" in found:
                 tag, value = pool[struct.unpack(">H", found["ConstantValue"])[0]]
                 out.append((archive, NUMBERS.get(tag, "string"), owner, None, None, None, None, text(value) if tag == 8 else str(value)))
+            out += signature(owner, found)
             if "Code" in found:
-                size = struct.unpack_from(">I", found["Code"], 4)[0]
-                out += code_rows(archive, owner, found["Code"][8 : 8 + size], pool, text, cls)
+                bodies.append((owner, found["Code"]))
     found = attributes()
-    if "Signature" in found:
-        out.append((archive, "signature", me, None, None, None, None, text(struct.unpack(">H", found["Signature"])[0])))
+    makers = bootstraps(found.get("BootstrapMethods", b"\0\0"), handle, pool)
+    for owner, body in bodies:
+        size = struct.unpack_from(">I", body, 4)[0]
+        code = body[8 : 8 + size]
+        out += code_rows(archive, owner, code, pool, text, cls, makers)
+        rest = Reader(body)
+        rest.at = 8 + size
+        rest.at += 2 + 8 * struct.unpack_from(">H", body, rest.at)[0]
+        out += local_rows(archive, owner, code, attributes(rest).get("LocalVariableTable", b"\0\0"), text)
+    out += signature(me, found)
     if "EnclosingMethod" in found:
         out.append((archive, "outer", me, None, None, cls(struct.unpack_from(">H", found["EnclosingMethod"])[0]), None, None))
     elif "InnerClasses" in found:
@@ -124,11 +156,40 @@ def rows_of(archive: str, data: bytes) -> list[tuple]:
     return out
 
 
-def code_rows(archive: str, owner: str, code: bytes, pool: list, text, cls) -> list[tuple]:
+def bootstraps(data: bytes, handle, pool: list) -> list[tuple]:
+    """(maker's handle, second argument as a handle or null) of each entry of the table of makers."""
+    r, out = Reader(data), []
+    for _ in range(r.take(">H")):
+        maker, n = r.take(">HH")
+        arguments = [r.take(">H") for _ in range(n)]
+        out.append((handle(maker), handle(arguments[1])[1] if n > 1 and pool[arguments[1]][0] == 15 else None))
+    return out
+
+
+def local_rows(archive: str, owner: str, code: bytes, table: bytes, text) -> list[tuple]:
+    """The table of variables, with the number of instructions before each range in place of its first byte."""
+    starts = [at for at, _, _ in instructions(code)]
+    r, out = Reader(table), []
+    for entry in range(r.take(">H")):
+        start, _, name, desc, slot = r.take(">HHHHH")
+        out.append((archive, "local", owner, str(entry), text(name), text(desc), slot, str(bisect.bisect_left(starts, start))))
+    return out
+
+
+def slot_of(code: bytes, op: int, operands: int) -> str | None:
+    """The slot of an instruction on a variable."""
+    if op == 196:
+        return str(struct.unpack_from(">H", code, operands + 1)[0])
+    if op in SLOT_BEHIND:
+        return str(code[operands])
+    return next((str(op - first) for first in SLOT_INSIDE if first <= op < first + 4), None)
+
+
+def code_rows(archive: str, owner: str, code: bytes, pool: list, text, cls, makers: list[tuple] = ()) -> list[tuple]:
     """Instructions in order, and what they refer to."""
     out = []
     for place, (_, op, operands) in enumerate(instructions(code)):
-        kind, other, value = None, None, None
+        kind, other, value, name_ = None, None, None, slot_of(code, op, operands)
         if op in CALLS | READS | WRITES:
             holder, named = pool[struct.unpack_from(">H", code, operands)[0]][1]
             name, desc = pool[named][1]
@@ -140,34 +201,58 @@ def code_rows(archive: str, owner: str, code: bytes, pool: list, text, cls) -> l
             tag, raw = pool[code[operands] if op == 18 else struct.unpack_from(">H", code, operands)[0]]
             kind = "string" if tag == 8 else "class ref" if tag == 7 else NUMBERS.get(tag)
             other, value = (text(raw), None) if tag == 7 else (None, text(raw) if tag == 8 else str(raw))
+        elif op == DYNAMIC:
+            (tag, maker, interface), target = makers[pool[struct.unpack_from(">H", code, operands)[0]][1][0]]
+            name_, other, value = target, maker, f"{tag} {str(interface).lower()}"
         elif op in (16, 17, 188):
             kind, value = "int", str(struct.unpack_from(">h" if op == 17 else ">b", code, operands)[0])
-        out.append((archive, "code", owner, str(place), None, other, op, value))
+        out.append((archive, "code", owner, str(place), name_, other, op, value))
         if kind:
             out.append((archive, kind, owner, None, None, other, None, value))
     return out
 
 
+def entries(data: bytes) -> Iterator[tuple[str | None, bytes | Exception]]:
+    """(name, bytes) of the class files in an archive, or of a single file; what can't be opened has its error in place of bytes."""
+    if data[:2] != b"PK":
+        yield None, data
+        return
+    try:
+        with zipfile.ZipFile(io.BytesIO(data)) as archive:
+            for name in archive.namelist():
+                if name.endswith(".class"):
+                    try:
+                        yield name, archive.read(name)
+                    except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, EOFError) as error:
+                        yield name, error
+    except zipfile.BadZipFile as error:
+        yield None, error
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Rows of all class files in archives or single files under ``path``."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [part.split()[0] for part in SCHEMA.split(", ")]
-        types = [pa.int32() if n == "flags" else pa.string() for n in names]
         for batch in batches:
             for path_, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                data, rows = content.as_py(), []
-                files = [(None, data)]
-                if data[:2] == b"PK":
-                    archive = zipfile.ZipFile(io.BytesIO(data))
-                    files = ((n, archive.read(n)) for n in archive.namelist() if n.endswith(".class"))
-                for name, body in files:
+                rows: list[tuple] = []
+                for name, body in entries(content.as_py()):
                     try:
+                        if isinstance(body, Exception):
+                            raise ValueError(str(body))
                         rows += rows_of(path_, body)
                     except (ValueError, IndexError, KeyError, TypeError, struct.error) as error:
                         rows.append((path_, "rejected", None, name, None, None, None, str(error)))
-                columns = zip(*rows, strict=True) if rows else [()] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+                    if len(rows) > BATCH_ROWS:
+                        yield batch_of(rows)
+                        rows = []
+                yield batch_of(rows)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        names = [part.split()[0] for part in SCHEMA.split(", ")]
+        types = [pa.int32() if n == "flags" else pa.string() for n in names]
+        columns = zip(*rows, strict=True) if rows else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
     return files.mapInArrow(parse, SCHEMA)

@@ -3,17 +3,18 @@
 References are resolved upwards: a call of an inherited member belongs to the class that declares it. What no class of the side
 declares stays a plain entity of kind "placeholder" under its own name, so both sides can agree on it.
 Names that don't fully match ``plain`` are disguised. Of several classes with one name, the first archive's counts.
+A dynamic call that makes a lambda is a call of the lambda's body. Arguments and local variables become entities too if they are asked for.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.functions.text import outer_of
-from kinweave.operators import graph, lookups
+from kinweave.operators import graph, lookups, structure
 from kinweave.operators.measures import Model
 from kinweave.storage import stored
 
@@ -22,6 +23,8 @@ GIVEN_MEMBERS = ("<init>", "<clinit>")
 REFERENCES = ("calls", "reads", "writes")
 CONSTANTS = ("string", "int", "long", "float", "double")
 PRIVATE_OR_STATIC = 0x0002 | 0x0008
+STATIC, ENUM, DYNAMIC = 0x0008, 0x4000, 186
+MAIN, MAIN_FLAGS = "main([Ljava/lang/String;)V", 0x0009
 
 
 def split_member(reference: Column) -> tuple[Column, Column]:
@@ -58,9 +61,46 @@ def class_in(type_: Column) -> Column:
     return F.when(found != "", found)
 
 
-def extract(rows: DataFrame, plain: str = r"(?!)", prefix: str = "") -> Model:
-    """The model of ``rows`` (see ``classfile``); ``prefix`` goes before each id, so the ids of two sides differ."""
+def with_lambdas(rows: DataFrame) -> DataFrame:
+    """``rows`` with the bodies of lambdas in place of the makers of dynamic calls, and a row for each such call."""
+    dynamic = (F.col("kind") == "code") & (F.col("flags") == DYNAMIC)
+    maker = F.regexp_extract("other", r"^(.*)/([^/(]*)(\(.*)$", 1), F.regexp_extract("other", r"^(.*)/([^/(]*)(\(.*)$", 2), F.regexp_extract("other", r"^(.*)/([^/(]*)(\(.*)$", 3)
+    tag, interface = F.substring_index("value", " ", 1).try_cast("int"), F.substring_index("value", " ", -1) == "true"
+    target = structure.dynamic_target(tag, *maker, interface, F.array(F.lit(None).cast("string"), F.col("name")))["target"]
+    code = rows.withColumn("_target", F.when(dynamic, target))
+    calls = code.where("_target IS NOT NULL").select(*[F.lit("calls").alias(c) if c == "kind" else F.col("_target").alias(c) if c == "other" else F.col(c) if c in ("archive", "owner", "_class") else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
+    code = code.withColumns({"value": F.when(dynamic, F.col("other")).otherwise(F.col("value")), "other": F.when(dynamic, F.col("_target")).otherwise(F.col("other")), "name": F.when(~dynamic, F.col("name"))})
+    return code.drop("_target").unionByName(calls)
+
+
+def variables_of(members: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, owner, kind, name, type, ord, slot, start) of the arguments and local variables of methods.
+
+    An argument's name is that of the entry with its slot whose range begins with the code. Entries that are neither an
+    argument nor the object itself are local variables, in the order of their ranges.
+    """
+    methods = members.where("kind = 'method'").select(F.col("member").alias("id"), F.col("desc").alias("descriptor"), (F.col("flags").bitwiseAND(F.lit(STATIC)) != 0).alias("static"))
+    arguments = structure.arguments_of(methods).withColumnRenamed("id", "owner")
+    table = rows.where("kind = 'local'").select("owner", F.col("id").cast("int").alias("entry"), "name", F.col("other").alias("type"), F.col("flags").alias("slot"), F.col("value").cast("int").alias("start"))
+    at_start = table.where("start = 0").groupBy("owner", "slot").agg(F.min_by("name", "entry").alias("name"))
+    named = arguments.join(at_start, ["owner", "slot"], "left").select(
+        F.concat("owner", F.lit("/arg"), F.col("index").cast("string")).alias("id"), "owner", F.lit("argument").alias("kind"), "name", "type", F.col("index").cast("int").alias("ord"), F.col("slot").cast("int").alias("slot"), F.lit(0).alias("start")
+    )
+    own = arguments.select("owner", "slot", F.lit(0).alias("start")).unionByName(methods.where("NOT static").select(F.col("id").alias("owner"), F.lit(0).alias("slot"), F.lit(0).alias("start")))
+    rest = table.join(own, ["owner", "slot", "start"], "left_anti")
+    placed = rest.withColumn("ord", F.row_number().over(Window.partitionBy("owner").orderBy("start", "entry")) - 1)
+    local = placed.select(F.concat("owner", F.lit("/lv"), F.col("ord").cast("string")).alias("id"), "owner", F.lit("variable").alias("kind"), "name", "type", "ord", "slot", "start")
+    return named.unionByName(local)
+
+
+def extract(rows: DataFrame, plain: str = r"(?!)", prefix: str = "", plain_members: str | None = None, variables: bool = False) -> Model:
+    """The model of ``rows`` (see ``classfile``); ``prefix`` goes before each id, so the ids of two sides differ.
+
+    ``plain`` is matched with whole names of classes. ``plain_members`` is matched with ``class/name(...)...`` of methods and ``class/name;;type`` of fields;
+    without it, ``plain`` is matched with members' short names. The main method and the two given methods of enums are never disguised.
+    """
     rows = stored(first_wins(rows), "class_rows")
+    rows = with_lambdas(rows)
     of = lambda *kinds: rows.where(F.col("kind").isin(*kinds))
     classes = of("class").select("id", "other", "flags")
     members = of("field", "method").select(F.concat_ws("/", "owner", "id").alias("member"), "owner", F.col("id").alias("name"), F.col("name").alias("short"), F.col("other").alias("desc"), "kind", "flags", F.col("value").cast("int").alias("ord"))
@@ -69,7 +109,7 @@ def extract(rows: DataFrame, plain: str = r"(?!)", prefix: str = "") -> Model:
     apart = (F.col("flags").bitwiseAND(F.lit(PRIVATE_OR_STATIC)) != 0) | F.col("short").isin(*GIVEN_MEMBERS)
     members = stored(members.withColumn("apart", apart), "class_members")
 
-    code = of("code").select("owner", F.col("id").cast("int").alias("place"), F.col("flags").cast("string").alias("op"), "other", "value")
+    code = of("code").select("owner", F.col("id").cast("int").alias("place"), F.col("flags").cast("string").alias("op"), "other", "value", "name")
     refers = of(*REFERENCES).select("owner", "kind", "other").distinct()
     holder, name = split_member(F.col("other"))
     named = refers.select("other").distinct().select("other", holder.alias("owner"), name.alias("name"))
@@ -110,6 +150,16 @@ def extract(rows: DataFrame, plain: str = r"(?!)", prefix: str = "") -> Model:
     tokens = own.unionByName(lifted).distinct()
 
     ops = code.join(target, "other", "left").withColumn("rel", F.when(c("op").isin("182", "183", "184", "185"), "calls").when(c("op").isin("178", "180"), "reads").when(c("op").isin("179", "181"), "writes"))
+    ops = ops.withColumn("rel", F.when((c("op") == str(DYNAMIC)) & c("target").isNotNull(), "calls").otherwise(c("rel")))
+    if variables:
+        vars_ = stored(variables_of(members, rows), "class_variables")
+        # a local variable's range may begin with the instruction after the one that sets it
+        touched = of("code").where("name IS NOT NULL").select("owner", F.col("id").cast("int").alias("place"), F.col("name").cast("int").alias("slot"))
+        held = touched.join(vars_.select("owner", "slot", "start", c("id").alias("var")), ["owner", "slot"]).where("start <= place + 1")
+        held = held.groupBy("owner", "place").agg(F.max_by("var", F.struct("start", "var")).alias("var"))
+        ops = ops.join(held, ["owner", "place"], "left").withColumns({"target": F.coalesce("var", "target"), "rel": F.when(c("var").isNotNull(), "uses").otherwise(c("rel"))}).drop("var")
+        typed_vars = vars_.select(c("id").alias("member"), class_in(c("type")).alias("class"))
+        edges = stored(edges.unionByName(edge("type", c("member"), c("class"), typed_vars)).distinct(), "class_edges")
     ops = ops.select("owner", F.lit("code").alias("sort"), "place", F.concat_ws(" ", "op", "value").alias("value"), F.coalesce("target", "other").alias("target"), "rel")
     args = typed.where("kind = 'method' AND NOT last").select(c("member").alias("owner"), F.lit("arg type").alias("sort"), c("at").alias("place"), F.regexp_replace("type", "L[^;]+;", "L").alias("value"), c("class").alias("target"), F.lit(None).cast("string").alias("rel"))
     seq = ops.unionByName(args)
@@ -120,23 +170,38 @@ def extract(rows: DataFrame, plain: str = r"(?!)", prefix: str = "") -> Model:
     known = lambda n: n.rlike(f"^(?:{plain})$")
     none = F.lit(None)
     size = code.groupBy(c("owner").alias("member")).agg(F.count("*").cast("int").alias("size"))
+    main = (c("name") == MAIN) & (c("flags") == MAIN_FLAGS)
+    enums = classes.where(c("flags").bitwiseAND(F.lit(ENUM)) != 0).select(c("id").alias("owner"), F.lit(True).alias("enum"))
+    members = members.join(enums, "owner", "left").withColumn("given", main | (F.coalesce("enum", F.lit(False)) & ((c("name") == F.concat(F.lit("values()[L"), "owner", F.lit(";"))) | (c("name") == F.concat(F.lit("valueOf(Ljava/lang/String;)L"), "owner", F.lit(";"))))) | c("short").isin(*GIVEN_MEMBERS))
+    of_plan = known(c("short")) if plain_members is None else c("member").rlike(f"^(?:{plain_members})$")
     value = of(*CONSTANTS).groupBy(c("owner").alias("member")).agg(F.min("value").alias("init"))
     first = classes.join(depth, "id", "left").join(children, "other", "left").join(signature, "id", "left").select(
         "id", F.lit("class").alias("kind"), none.cast("string").alias("owner"), c("id").alias("name"), (~known(c("id"))).alias("disguised"), "flags", "signature",
         F.coalesce("depth", F.lit(0)).cast("int").alias("depth"), F.coalesce("siblings", F.lit(0)).cast("int").alias("siblings"), none.cast("int").alias("ord"), none.cast("string").alias("value"), none.cast("string").alias("shape"), none.cast("int").alias("size"),
     )
-    second = members.join(size, "member", "left").join(value, "member", "left").select(
-        c("member").alias("id"), "kind", "owner", c("short").alias("name"), (~known(c("short")) & ~c("short").isin(*GIVEN_MEMBERS)).alias("disguised"), "flags", none.cast("string").alias("signature"),
+    signed = signature.withColumnRenamed("id", "member")
+    second = members.join(size, "member", "left").join(value, "member", "left").join(signed, "member", "left").select(
+        c("member").alias("id"), "kind", "owner", c("short").alias("name"), (~of_plan & ~c("given")).alias("disguised"), "flags", "signature",
         F.lit(0).alias("depth"), F.lit(0).alias("siblings"), "ord", F.when(c("kind") == "field", c("init")).alias("value"), F.regexp_replace("desc", "L[^;]+;", "L").alias("shape"), "size",
     )
     told = first.unionByName(second)
+    if variables:
+        open_ = second.select(c("id").alias("owner"), c("disguised").alias("hidden"))
+        fourth = vars_.join(open_, "owner").select(
+            "id", "kind", "owner", c("name"), (c("hidden") | c("name").isNull()).alias("disguised"), F.lit(0).alias("flags"), none.cast("string").alias("signature"),
+            F.lit(0).alias("depth"), F.lit(0).alias("siblings"), "ord", none.cast("string").alias("value"), F.regexp_replace("type", "L[^;]+;", "L").alias("shape"), none.cast("int").alias("size"),
+        )
+        told = told.unionByName(fourth)
     others = edges.select(c("dst").alias("id")).unionByName(seq.where("target IS NOT NULL").select(c("target").alias("id"))).distinct().join(told.select("id"), "id", "left_anti")
     third = others.select("id", F.lit("placeholder").alias("kind"), none.cast("string").alias("owner"), c("id").alias("name"), F.lit(False).alias("disguised"), F.lit(0).alias("flags"), *[
         none.cast(t).alias(n) for n, t in (("signature", "string"), ("depth", "int"), ("siblings", "int"), ("ord", "int"), ("value", "string"), ("shape", "string"), ("size", "int"))
     ])
+    everything = told.unionByName(third)
+    if variables:
+        everything = everything.join(vars_.select("id", "slot"), "id", "left")
     marked = lambda frame, *columns: frame.withColumns({x: F.concat(F.lit(prefix), c(x)) for x in columns})
     return Model(
-        stored(marked(told.unionByName(third), "id", "owner"), "entity"),
+        stored(marked(everything, "id", "owner"), "entity"),
         stored(marked(edges, "src", "dst"), "edge"),
         stored(marked(tokens, "owner"), "token"),
         stored(marked(seq, "owner", "target"), "seq"),
