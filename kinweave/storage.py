@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
+_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,7 +32,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/kinweave/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/kinweave/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -39,3 +45,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
+
+
+def emptied(spark: SparkSession, *paths: str) -> None:
+    """Put an empty table in place of each of ``paths``, so that their space is free. Only for tables that no plan reads again."""
+    for path in paths:
+        spark.range(0, 0, 1, 1).write.mode("overwrite").parquet(path)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside are emptied at the end: what they served for has to be written by then, to a path made outside."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        emptied(spark, *_scopes.pop())
