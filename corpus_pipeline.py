@@ -1,6 +1,10 @@
 """From raw documents to packed sequences: five stages, each written and read again as the next one's input.
 
-Rows with the same doc_id, null ids and null texts go through as the stages' operators define; see their modules.
+Defined cases, stage by stage: rows with the same doc_id are different documents; a null doc_id is never held out of training, is smaller
+than any other where the largest id keeps a line, and comes last where one document of a group stays; null and empty texts are
+scored, are near copies of each other (one stays), are never contaminated, and become one end id. Repeated rows are near copies of each other.
+An empty table goes through as one; without labels every document is kept. All stages but the last return the columns of documents, with extra
+columns carried along under any names. ``run`` frees what a stage wrote for itself, and its input, once its output is written.
 """
 
 from __future__ import annotations
@@ -8,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kinweave.llm import classifier, decontam, jaccard, linededup, packing
-from kinweave.storage import fresh_path
+from kinweave.storage import emptied, fresh_path, scope
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +53,12 @@ def with_chars(docs: DataFrame) -> DataFrame:
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = fresh_path(spark, f"stage-{name.replace(' ', '-')}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            emptied(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
