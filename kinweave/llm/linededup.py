@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.functions.columns import let
-from kinweave.storage import fresh_path, stored
+from kinweave.storage import emptied, fresh_path, stored
 
 # The white space that is stripped, and the letters that are lowered.
 STRIPPED = " \t\n\x0b\x0c\r"
@@ -72,12 +72,12 @@ def same_key(a: DataFrame, b: DataFrame) -> Column:
 
 
 class LineRuns:
-    """The levelled runs of one corpus; ``add`` takes batches in any order, ``close`` forgets the runs' tables."""
+    """The levelled runs of one corpus; ``add`` takes batches in any order, ``close`` forgets the runs' tables and frees their space."""
 
     def __init__(self, spark: SparkSession, buckets: int, min_docs: int = 5):
         self.spark, self.buckets, self.min_docs = spark, buckets, min_docs
         self.levels: list[DataFrame | None] = []
-        self.names: list[str] = []
+        self.names: dict[str, str] = {}
 
     def runs(self) -> list[DataFrame]:
         return [run for run in self.levels if run is not None]
@@ -111,7 +111,7 @@ class LineRuns:
         path = fresh_path(self.spark, "line_run")
         name = path.rpartition("/")[2].replace("-", "_")
         run.write.bucketBy(self.buckets, *HASH).sortBy(*HASH).option("path", path).saveAsTable(name)
-        self.names.append(name)
+        self.names[name] = path
         return self.spark.table(name)
 
     def shared(self) -> DataFrame:
@@ -124,6 +124,7 @@ class LineRuns:
     def close(self) -> None:
         for name in self.names:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        emptied(self.spark, *self.names.values())
 
 
 def drop_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, batches: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

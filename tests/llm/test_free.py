@@ -429,6 +429,48 @@ def test_empty_tables(spark, near):
     assert warc.report(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_stages_equal_plain_versions(spark, sf_dir, near, tmp_path):
+    """Each stage on rows with null and repeated ids, null, empty and repeated texts, and clashing columns."""
+    docs = near.where("length(text) < 3000 or text is null")
+    rows = plain(docs)
+    rng = random.Random(1)
+    items = items_of(spark, plain(near), rng)
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.read.parquet(f"{sf_dir}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+
+    scores = [(r.doc_id, r.score) for r in classifier.report(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).collect()]
+    kept = stages["quality"](spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter(i for i, score in scores if score >= 0.3)
+
+    lined = stages["lines"](spark, docs, str(tmp_path))
+    expected = Counter((i, digest) for i, _, _, digest in brute.line_dedup(rows))
+    assert lined.columns == docs.columns and Counter((r.doc_id, brute.sha(r.text or "")) for r in lined.collect()) == expected
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in lined.collect())
+
+    one = stages["near copies"](spark, docs, str(tmp_path))
+    groups = {g[1] for g in brute_groups(rows)}
+    assert one.columns == docs.columns and {r.doc_id for r in one.collect()} >= groups - {None} and one.count() < len(rows)
+
+    clean = stages["benchmark"](spark, docs, str(tmp_path))
+    hit = brute.contamination(rows, [(r.item_id, r.text) for r in items.collect()])
+    assert clean.columns == docs.columns and Counter(plain(clean)) == Counter(d for d, h in zip(rows, hit, strict=True) if not h[5])
+
+    pieces = stages["sequences"](spark, docs, str(tmp_path)).toPandas()
+    encode = packing.encoder(packing.VOCABULARY, packing.RANKS)
+    assert pieces.length.sum() == sum(len(encode(t or "")) + 1 for _, t in rows) and pieces.groupby("sequence_id").length.sum().max() <= 1024
+
+
+def test_stages_take_empty_tables(spark, near, tmp_path):
+    none = near.limit(0)
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, none, str(tmp_path))
+        assert out.count() == 0 and (name == "sequences" or out.columns == none.columns)
+    assert stage and corpus_pipeline.STAGES[0][1](spark, near, str(tmp_path)).count() == near.count()
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     counts = [docs.count()]
