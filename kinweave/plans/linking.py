@@ -270,6 +270,20 @@ acc AS (SELECT a, b, score FROM best WHERE r = 1 AND pow(score / {top}, 2) >= 0.
 one AS (SELECT * FROM acc WHERE b IN (SELECT b FROM acc GROUP BY b HAVING count(*) = 1))"""
 
 
+#: Passes that the SQL of ``fixpoint_link`` spells out; it is right if the last ones find nothing, which it checks.
+UNROLLED = 24
+
+
+def unrolled_sql() -> str:
+    """Passes of the only candidates left, one after another; an error if the last pass still finds a pair."""
+    ctes, known = [], "one0"
+    for i in range(UNROLLED):
+        ctes.append(f"""l{i} AS MATERIALIZED (SELECT a, min(b) AS b FROM opx WHERE a NOT IN (SELECT a FROM {known}) AND b NOT IN (SELECT b FROM {known}) GROUP BY a HAVING count(*) = 1),
+n{i} AS MATERIALIZED (SELECT a, b FROM l{i} WHERE b IN (SELECT b FROM l{i} GROUP BY b HAVING count(*) = 1)), one{i + 1} AS MATERIALIZED (SELECT * FROM {known} UNION ALL SELECT * FROM n{i})""")
+        known = f"one{i + 1}"
+    return ", ".join(ctes) + f" SELECT a, b FROM {known} WHERE CASE WHEN (SELECT count(*) FROM n{UNROLLED - 1}) > 0 THEN error('more passes are needed') ELSE true END"
+
+
 ORACLES = {
     "link_suppliers": f"""WITH {A_SUP},
 sp AS (SELECT a.id AS a, b.id AS b, 20 * (a.nation = b.nation)::INT + 8 * (a.balance = b.balance)::INT
@@ -323,6 +337,8 @@ y AS (SELECT *, coalesce(last_value(CASE WHEN met IS NOT NULL THEN place END IGN
 z AS (SELECT *, low_b >= high_b OR low_b > b_place OR high_b <= b_place AS whole FROM y WHERE b_place IS NOT NULL),
 r AS (SELECT *, CASE WHEN whole THEN 0 ELSE low END AS s, CASE WHEN whole THEN n ELSE high END AS e, CASE WHEN whole THEN 0 ELSE low_b END AS sb, CASE WHEN whole THEN b_n ELSE high_b END AS eb FROM z)
 SELECT key, round(CASE WHEN place = b_place AND n = b_n THEN 1e0 ELSE 1 - abs(CASE WHEN e - s <= 1 THEN 0.5e0 ELSE (place - s) / (e - s - 1)::DOUBLE END - CASE WHEN eb - sb <= 1 THEN 0.5e0 ELSE (b_place - sb) / (eb - sb - 1)::DOUBLE END) END, 6) AS similarity FROM r""",
+    "fixpoint_link": f"""WITH {A_ORD}, c AS (SELECT * FROM scored WHERE score > {CUT}), {accepted_sql("c", "31e0")}, opx AS MATERIALIZED (SELECT a, b FROM opair WHERE ast = bst AND apr = bpr),
+one0 AS MATERIALIZED (SELECT a, b FROM one), {unrolled_sql()}""",
     "sequence_similarity": """WITH s AS (SELECT user_id, string_agg(substr(event_type, 1, 1), '' ORDER BY ts, event_id) AS x FROM events GROUP BY 1)
 SELECT a.user_id AS a, round(1 - levenshtein(a.x, b.x) / greatest(len(a.x), len(b.x))::DOUBLE, 6) AS similarity FROM s a JOIN s b ON a.user_id = b.user_id - 1""",
     "similarity_report": f"""WITH {A_ORD}, c AS (SELECT * FROM scored WHERE score > {CUT}), {accepted_sql("c", "31e0")},
