@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.operators import mapping
-from kinweave.sources import mappingfile
+from kinweave.sources import mappingfile, matchfile
 
 from .tables import table
 
@@ -223,8 +223,43 @@ SELECT kind, cls, descriptor, src AS member, src, coalesce(dst, src) AS dst, NUL
 UNION ALL SELECT 'comment', cls, NULL, src, NULL, NULL, comment FROM o WHERE comment IS NOT NULL
 UNION ALL SELECT DISTINCT 'class', cls, NULL, NULL, cls, 'Named$' || cls, NULL FROM o"""
 
+PAIR_LINE = {"line": "o_orderkey * 2", "kind": "'c'", "a": "'c' || o_custkey", "b": "'d' || o_orderkey", "side": "CAST(NULL AS VARCHAR(9))", "id": "CAST(NULL AS VARCHAR(20))"}
+OFF_LINE = {"line": "o_orderkey * 2 - 7001", "kind": "'c'", "a": "CAST(NULL AS VARCHAR(20))", "b": "CAST(NULL AS VARCHAR(20))", "side": "CASE WHEN o_orderstatus = 'O' THEN 'a' ELSE 'b' END", "id": "CASE WHEN o_orderstatus = 'O' THEN 'c' || o_custkey ELSE 'd' || o_orderkey END"}
+
+
+def match_resolution(spark, sf_dir):
+    """Orders as lines of a match file, customers with a balance and large orders as what is known."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    rows = made(o, PAIR_LINE).unionByName(made(o.where("o_orderpriority > '5'"), OFF_LINE))
+    known = made(c.where("c_acctbal > 0"), {"side": "'a'", "kind": "'c'", "id": "'c' || c_custkey"}).unionByName(made(o.where("o_totalprice > 100000"), {"side": "'b'", "kind": "'c'", "id": "'d' || o_orderkey"}))
+    return matchfile.resolved(rows, known)
+
+
+MATCH_RESOLUTION = f"""WITH off AS (SELECT side, id, min(line) AS since FROM ({sql_of(OFF_LINE, "orders WHERE o_orderpriority > '5'")}) GROUP BY 1, 2)
+SELECT o_orderkey * 2 AS line, 'c' AS kind, 'c' || o_custkey AS a, 'd' || o_orderkey AS b, CASE WHEN c_custkey IS NULL OR o_totalprice <= 100000 THEN 'unknown' WHEN x.since < o_orderkey * 2 OR y.since < o_orderkey * 2 THEN 'void' ELSE 'matched' END AS state
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0 LEFT JOIN off x ON x.side = 'a' AND x.id = 'c' || o_custkey LEFT JOIN off y ON y.side = 'b' AND y.id = 'd' || o_orderkey"""
+
+
+def match_lines(spark, sf_dir):
+    """Customers, orders and lines as content of a match file, with what can't be matched."""
+    c, o, line = (table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
+    owners = made(c.where("c_acctbal > 0"), {"a": "'c' || c_custkey", "b": "'d' || c_custkey"})
+    members = made(o.where("o_orderstatus <> 'F'"), {"owner": "'c' || o_custkey", "kind": "CASE WHEN o_totalprice > 100000 THEN 'm' ELSE 'f' END", "a": "'o' || o_orderkey", "b": "'p' || o_orderkey"})
+    lines = line.select("l_orderkey", "l_linenumber", "l_suppkey").distinct()
+    variables = made(lines, {"owner": "'s' || l_suppkey", "member": "'o' || l_orderkey", "kind": "CASE WHEN l_linenumber < 4 THEN 'ma' ELSE 'mv' END", "a": "l_linenumber", "b": "l_linenumber + 1"})
+    shut = made(c.where("c_acctbal <= 0"), {"owner": "CAST(NULL AS STRING)", "member": "CAST(NULL AS STRING)", "kind": "'c'", "side": "'a'", "id": "'c' || c_custkey"})
+    shut = shut.unionByName(made(o.where("o_orderstatus = 'F'"), {"owner": "'c' || o_custkey", "member": "CAST(NULL AS STRING)", "kind": "'m'", "side": "'b'", "id": "'p' || o_orderkey"}))
+    return matchfile.all_lines(owners, members, variables, shut).select(F.array_join("sort", "|").alias("sort"), "value")
+
+
+MATCH_LINES = """SELECT 'c' || c_custkey || '|||c' || c_custkey AS sort, concat_ws(chr(9), 'c', 'c' || c_custkey, 'd' || c_custkey) AS value FROM customer WHERE c_acctbal > 0
+UNION ALL SELECT 'c' || c_custkey || '|||a', concat_ws(chr(9), 'cu', 'a', 'c' || c_custkey) FROM customer WHERE c_acctbal <= 0
+UNION ALL SELECT 'c' || o_custkey || '|o' || o_orderkey || '||o' || o_orderkey, chr(9) || concat_ws(chr(9), CASE WHEN o_totalprice > 100000 THEN 'm' ELSE 'f' END, 'o' || o_orderkey, 'p' || o_orderkey) FROM orders WHERE o_orderstatus <> 'F'
+UNION ALL SELECT 'c' || o_custkey || '|p' || o_orderkey || '||b', chr(9) || concat_ws(chr(9), 'mu', 'b', 'p' || o_orderkey) FROM orders WHERE o_orderstatus = 'F'
+UNION ALL SELECT DISTINCT 's' || l_suppkey || '|o' || l_orderkey || '|' || CASE WHEN l_linenumber < 4 THEN 'ma' ELSE 'mv' END || '|' || l_linenumber, chr(9) || chr(9) || concat_ws(chr(9), CASE WHEN l_linenumber < 4 THEN 'ma' ELSE 'mv' END, l_linenumber, l_linenumber + 1) FROM lineitem"""
+
 QUERIES = {
     f.__name__: f
-    for f in (mapping_classes, mapping_members, mapping_statistics, mapping_clear, record_names, propagate_arguments, export_methods, export_variables, descriptor_names, renamed_references, variable_lookup, mapping_file)
+    for f in (mapping_classes, mapping_members, mapping_statistics, mapping_clear, record_names, propagate_arguments, export_methods, export_variables, descriptor_names, renamed_references, variable_lookup, mapping_file, match_resolution, match_lines)
 }
 ORACLES = {name: globals()[name.upper()] for name in QUERIES}

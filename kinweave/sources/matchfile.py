@@ -41,6 +41,33 @@ def parsed(lines: DataFrame) -> DataFrame:
     )
 
 
+def checked(lines: DataFrame) -> DataFrame:
+    """``lines`` (file, line, value) as they are; a line of an unknown form after the first line of content in its file is an error."""
+    body = F.ltrim("value", F.lit("\t"))
+    fields = F.split(body, "\t")
+    known = F.lit(False)
+    for depth, tags in enumerate(TAGS):
+        known = known | ((F.length("value") - F.length(body) == depth) & F.get(fields, F.lit(0)).isin(*tags) & (F.size(fields) == 3))
+    first = F.min(F.when(known, F.col("line"))).over(Window.partitionBy("file"))
+    wrong = F.raise_error(F.concat(F.lit("no line of a match file: "), F.col("value"))).cast("string")
+    marked = lines.withColumns({"_known": known, "_first": first})
+    return marked.withColumn("value", F.when(F.col("_known") | (F.col("value") == "") | F.col("_first").isNull() | (F.col("line") < F.col("_first")), F.col("value")).otherwise(wrong)).drop("_known", "_first")
+
+
+def resolved(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """(line, kind, a, b, state) of the pairs in ``rows`` (line, kind, a, b, side, id): "unknown" if an end isn't in ``known`` (side, kind, id), "void" if an earlier
+    row says that an end can't be matched, else "matched". A pair has a and b, a row of an unmatchable element has side and id."""
+    off = rows.where("id IS NOT NULL").groupBy("side", "kind", "id").agg(F.min("line").alias("since"))
+    pairs = rows.where("id IS NULL").select("line", "kind", "a", "b")
+    for side in ("a", "b"):
+        own = known.where(F.col("side") == side).select("kind", F.col("id").alias(side), F.lit(True).alias(f"_{side}")).distinct()
+        shut = off.where(F.col("side") == side).select("kind", F.col("id").alias(side), F.col("since").alias(f"_since_{side}"))
+        pairs = pairs.join(own, ["kind", side], "left").join(shut, ["kind", side], "left")
+    void = F.coalesce(F.col("_since_a") < F.col("line"), F.lit(False)) | F.coalesce(F.col("_since_b") < F.col("line"), F.lit(False))
+    state = F.when(F.col("_a").isNull() | F.col("_b").isNull(), "unknown").when(void, "void").otherwise("matched")
+    return pairs.select("line", "kind", "a", "b", state.alias("state"))
+
+
 def header(lines: DataFrame) -> DataFrame:
     """(file, section, ord, size, algorithm, hash, name) of the input files and patterns in the header, from (file, line, value).
 
@@ -79,7 +106,7 @@ def header_lines(saved_at: str, files: list[tuple], patterns: dict[str, str] | N
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Parsed lines of match files; each file is read whole, so its lines keep their order."""
     files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
-    return parsed(files)
+    return parsed(checked(files))
 
 
 def lines(owners: DataFrame, members: DataFrame) -> DataFrame:
@@ -89,6 +116,24 @@ def lines(owners: DataFrame, members: DataFrame) -> DataFrame:
     return top.unionByName(below)
 
 
+def all_lines(owners: DataFrame, members: DataFrame, variables: DataFrame, off: DataFrame) -> DataFrame:
+    """(sort, value): content lines of matched owners (a, b), members (owner, kind, a, b) and variables (owner, member, kind, a, b), kind being ma or mv, and of
+    what can't be matched, ``off`` (owner, member, kind, side, id): a class without owner, a member without member. Below a class come its members, below these their variables."""
+    none = F.lit("")
+
+    def line(rows: DataFrame, depth: int, owner, member, kind, first, second, tag) -> DataFrame:
+        sort = F.array(*[F.coalesce(x, none) for x in (owner, member, kind)], first.cast("string"))
+        return rows.select(sort.alias("sort"), F.concat(F.lit("\t" * depth), F.concat_ws("\t", tag, first, second)).alias("value"))
+
+    c, shut = F.col, F.concat(F.col("kind"), F.lit("u"))
+    out = line(owners, 0, c("a"), none, none, c("a"), c("b"), F.lit("c"))
+    out = out.unionByName(line(members, 1, c("owner"), c("a"), none, c("a"), c("b"), c("kind")))
+    out = out.unionByName(line(variables, 2, c("owner"), c("member"), c("kind"), c("a"), c("b"), c("kind")))
+    out = out.unionByName(line(off.where("owner IS NULL"), 0, c("id"), none, none, c("side"), c("id"), shut))
+    out = out.unionByName(line(off.where("owner IS NOT NULL AND member IS NULL"), 1, c("owner"), c("id"), none, c("side"), c("id"), shut))
+    return out.unionByName(line(off.where("member IS NOT NULL"), 2, c("owner"), c("member"), c("kind"), c("side"), c("id"), shut))
+
+
 def write(content: DataFrame, path: str) -> None:
     """Write ``lines`` as text files whose names follow their order."""
     content.orderBy("sort").select("value").write.text(path)
