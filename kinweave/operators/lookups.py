@@ -24,13 +24,26 @@ def by_unique_name(wanted: DataFrame, entities: DataFrame, owner: str, name: str
 def overlapping(wanted: DataFrame, ranges: DataFrame, slot: str, entity: str, width: int = 64) -> DataFrame:
     """``wanted`` (slot, start, stop) with the first entity of that slot whose range overlaps; null if none does.
 
-    Both sides are filed by slot and every step of ``width`` that they touch, so ranges meet only their neighbours, however many
-    a slot has; pairs that meet in several steps are one after the aggregation. An empty range overlaps nothing.
+    Steps are ``width`` places wide on the first level and four times as wide on each further one. A range touches two steps at most from the level of its
+    own length on, and is filed there and on all levels above; a pair meets on the level of the longer one. So long ranges make few rows, and
+    ranges meet only their neighbours, however many a slot has. An empty range overlaps nothing.
     """
-    steps = F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.greatest("stop", F.col("start") + 1) - 1) / width)))
-    left, right = wanted.withColumn("_step", steps), ranges.withColumn("_step", steps)
-    same = (F.col(f"w.{slot}") == F.col(f"r.{slot}")) & (F.col("w._step") == F.col("r._step"))
-    met = left.alias("w").join(right.alias("r"), same & (F.col("r.start") < F.col("w.stop")) & (F.col("r.stop") > F.col("w.start")))
+
+    def leveled(rows: DataFrame) -> DataFrame:
+        length = F.greatest(F.col("stop") - F.col("start"), F.lit(1))
+        return rows.withColumn("_own", F.greatest(F.ceil(F.log2(length / width) / 2), F.lit(0)).cast("int"))
+
+    left, right = leveled(wanted), leveled(ranges)
+    top = left.select("_own").unionByName(right.select("_own")).agg(F.max("_own")).first()[0] or 0
+
+    def filed(rows: DataFrame) -> DataFrame:
+        step = F.lit(width) * F.pow(F.lit(4), "_level")
+        rows = rows.withColumn("_level", F.explode(F.sequence("_own", F.lit(top))))
+        return rows.withColumn("_step", F.explode(F.sequence(F.floor(F.col("start") / step), F.floor((F.greatest("stop", F.col("start") + 1) - 1) / step))))
+
+    same = (F.col(f"w.{slot}") == F.col(f"r.{slot}")) & (F.col("w._level") == F.col("r._level")) & (F.col("w._step") == F.col("r._step"))
+    same = same & (F.col("w._level") == F.greatest("w._own", "r._own"))
+    met = filed(left).alias("w").join(filed(right).alias("r"), same & (F.col("r.start") < F.col("w.stop")) & (F.col("r.stop") > F.col("w.start")))
     met = met.where("w.start < w.stop AND r.start < r.stop")
     first = met.groupBy(*[F.col(f"w.{c}").alias(c) for c in wanted.columns]).agg(F.min_by(f"r.{entity}", F.struct("r.start", f"r.{entity}")).alias(entity))
     return wanted.join(first, wanted.columns, "left")

@@ -272,3 +272,9 @@ def test_header_of_match_files(spark):
     got = [tuple(r)[1:] for r in matchfile.header(frame).orderBy("ord").drop("ord").collect()]
     assert got == [("a", None, None, None, "old.jar"), ("a", 9, "SHA256", "YQ==", "older.jar"), *files, ("non-obf cls a", None, None, None, "a/.*"), ("non-obf mem b", None, None, None, "x\ty")]
     assert matchfile.parsed(frame).count() == 3
+
+
+def test_one_very_long_range_makes_few_rows(spark):
+    wanted = spark.createDataFrame([(1, 0, 2**40), (1, 2**39, 2**39 + 1), (2, 5, 6)], "slot int, start long, stop long")
+    ranges = spark.createDataFrame([(1, 2**39, 2**39 + 5, 7), (1, 2**41, 2**42, 8), (2, 0, 2**45, 9)], "slot int, start long, stop long, entity int")
+    assert [r.entity for r in lookups.overlapping(wanted, ranges, "slot", "entity").orderBy("slot", "start").collect()] == [7, 7, 9]
