@@ -41,17 +41,16 @@ def parsed(lines: DataFrame) -> DataFrame:
     )
 
 
-def checked(lines: DataFrame) -> DataFrame:
-    """``lines`` (file, line, value) as they are; a line of an unknown form after the first line of content in its file is an error."""
+def strays(lines: DataFrame) -> DataFrame:
+    """The rows of ``lines`` (file, line, value) that have an unknown form and come after the first line of content in their file."""
     body = F.ltrim("value", F.lit("\t"))
     fields = F.split(body, "\t")
     known = F.lit(False)
     for depth, tags in enumerate(TAGS):
         known = known | ((F.length("value") - F.length(body) == depth) & F.get(fields, F.lit(0)).isin(*tags) & (F.size(fields) == 3))
-    first = F.min(F.when(known, F.col("line"))).over(Window.partitionBy("file"))
-    wrong = F.raise_error(F.concat(F.lit("no line of a match file: "), F.col("value"))).cast("string")
-    marked = lines.withColumns({"_known": known, "_first": first})
-    return marked.withColumn("value", F.when(F.col("_known") | (F.col("value") == "") | F.col("_first").isNull() | (F.col("line") < F.col("_first")), F.col("value")).otherwise(wrong)).drop("_known", "_first")
+    marked = lines.withColumn("_known", known)
+    marked = marked.withColumn("_first", F.min(F.when(F.col("_known"), F.col("line"))).over(Window.partitionBy("file")))
+    return marked.where("NOT _known AND value <> '' AND line > _first").drop("_known", "_first")
 
 
 def resolved(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -103,10 +102,13 @@ def header_lines(saved_at: str, files: list[tuple], patterns: dict[str, str] | N
     return out + [f"\t{key}\t{value}" for key, value in (patterns or {}).items()]
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Parsed lines of match files; each file is read whole, so its lines keep their order."""
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
-    return parsed(checked(files))
+def read(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """Parsed lines of match files; each file is read whole, so its lines keep their order. Lines of an unknown form are left out, or an error if ``strict``."""
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
+    stray = strays(files).first() if strict else None
+    if stray:
+        raise ValueError(f"no line of a match file: {stray.file}, {stray.line}: {stray.value}")
+    return parsed(files)
 
 
 def lines(owners: DataFrame, members: DataFrame) -> DataFrame:

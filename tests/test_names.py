@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions import descriptors
 from kinweave.operators import cascade, equality, lookups, mapping
-from kinweave.sources import classfile, extraction, mappingfile
+from kinweave.sources import classfile, extraction, mappingfile, matchfile
 from kinweave.storage import fresh_path, scope, stored
 
 
@@ -110,6 +110,14 @@ def test_at_or_after_in_one_large_slot(spark):
     assert found.where("entity IS NULL OR entity < at OR entity - at >= 7").where("at <= 29995").count() == 0
 
 
+def test_strict_match_files(spark, tmp_path):
+    (tmp_path / "x").write_text("Matches saved\n\ta:\n\t\tone.jar\nc\tA\tB\n\tm\tx\ty\n")
+    assert [r.tag for r in matchfile.read(spark, f"file://{tmp_path}/x", strict=True).orderBy("line").collect()] == ["c", "m"]
+    (tmp_path / "x").write_text("Matches saved\nc\tA\tB\n\tm\tx\n")
+    with pytest.raises(Exception, match="no line of a match file"):
+        matchfile.read(spark, f"file://{tmp_path}/x", strict=True).collect()
+
+
 def test_scopes_free_their_tables(spark):
     outside = fresh_path(spark, "kept")
     with scope(spark):
