@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, decontam, jaccard, linededup, packing, pii, rules, sharding, sql, urlrules, warc
+from . import classifier, decontam, jaccard, linededup, minmax, negatives, packing, pii, rules, sharding, spelling, sql, urlrules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,9 +51,21 @@ def op10_urlrules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.report(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.report(table(spark, sf_dir, "documents"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_pii, op2_linededup, op3_decontam, op4_rules, op5_jaccard, op6_packing, op7_classifier, op8_warc, op9_sharding, op10_urlrules)
+    for f in (op1_pii, op2_linededup, op3_decontam, op4_rules, op5_jaccard, op6_packing, op7_classifier, op8_warc, op9_sharding, op10_urlrules, op11_minmax, op12_spelling, op13_negatives)
 }
 
 #: Not in SQL: tokens (op6), boosted trees (op7), the minimax partition (op9).
@@ -65,4 +77,7 @@ ORACLES: dict[str, str] = {
     "op5_jaccard": sql.JACCARD,
     "op8_warc": sql.WARC,
     "op10_urlrules": sql.URLS,
+    "op11_minmax": sql.MINMAX,
+    "op12_spelling": sql.SPELLING,
+    "op13_negatives": sql.NEGATIVES,
 }

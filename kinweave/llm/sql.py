@@ -103,3 +103,41 @@ mined AS (SELECT ante, verdict, k, k / c::DOUBLE AS conf, k / n::DOUBLE AS sup F
   WHERE k >= ceil(0.002 * n) AND k / c::DOUBLE >= 0.9),
 best AS (SELECT e.page_id, arg_min(verdict, {{'a': -round(conf, 9), 'b': -round(sup, 9), 'c': len(ante), 'd': verdict}}) AS said FROM e JOIN mined ON list_has_all(toks, ante) WHERE says IS NULL GROUP BY 1)
 SELECT page_id, host, path, rule, coalesce(says, said, 'allow') AS verdict FROM e LEFT JOIN best USING (page_id)"""
+
+
+#: Texts with the same shingles are one class, or all pairs of a group of copies would be made.
+MINMAX = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) AS sh FROM d WHERE len(w) > 0),
+c AS (SELECT sh, min(doc_id) AS low, len(sh) AS n FROM s GROUP BY sh),
+x AS (SELECT low, n, unnest(sh) AS h FROM c),
+p AS (SELECT a.low AS a, b.low AS b, a.n + b.n AS n, count(*) AS k FROM x a JOIN x b ON a.h = b.h AND a.low <> b.low GROUP BY 1, 2, 3),
+e AS (SELECT a, b FROM p WHERE 100 * k >= 85 * (n - k)),
+reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+g AS (SELECT a, min(least(a, b)) AS root FROM reach GROUP BY 1),
+o AS (SELECT s.doc_id, len(s.sh) AS n, coalesce(root, low) AS root FROM s JOIN c USING (sh) LEFT JOIN g ON low = g.a)
+SELECT d.doc_id, coalesce(o.n, 0)::BIGINT AS n_shingles, coalesce(root, d.doc_id) AS component_id, coalesce(root, d.doc_id) = d.doc_id AS kept FROM d LEFT JOIN o USING (doc_id)"""
+
+#: The checksum byte by byte, from a table that the polynomial gives; near words by the word without one code point.
+SPELLING = f"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(0, 256), lambda x: list_reduce(list_concat([x], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+r AS (SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')), '{UPPER}', '{LOWER}') AS run FROM documents) GROUP BY 1, 2),
+b AS (SELECT *, flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + (unicode(c) >> 6)::BIGINT, 128 + (unicode(c) & 63)::BIGINT] END)) AS bs FROM r),
+h AS (SELECT run, k, xor(list_reduce(list_concat([4294967295], bs), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM b, tab),
+v AS (SELECT word, sum(k)::BIGINT AS n FROM (SELECT k, CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word FROM h)
+  WHERE length(word) >= 6 GROUP BY 1 HAVING sum(k) >= 5),
+x AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM v)),
+one AS (SELECT a.word, b.word AS other FROM x a JOIN x b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word UNION SELECT x.word, v.word FROM x JOIN v ON cut = v.word UNION SELECT v.word, x.word FROM x JOIN v ON cut = v.word),
+f AS (SELECT one.word, count(*) AS n_near, max(o.n) AS top, min(other) FILTER (WHERE o.n = t.top) AS best FROM one JOIN v o ON other = o.word JOIN (SELECT one.word, max(n) AS top FROM one JOIN v ON other = v.word GROUP BY 1) t ON t.word = one.word GROUP BY 1),
+w AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * v.n THEN best END AS form, CASE WHEN top >= 5 * v.n THEN top END AS form_n FROM v LEFT JOIN f USING (word)),
+walk AS (SELECT word, word AS at_, form AS next_ FROM w UNION ALL SELECT walk.word, w.word, w.form FROM walk JOIN w ON next_ = w.word)
+SELECT w.word, form, at_ AS root, n, n_near, form_n FROM w JOIN walk ON walk.word = w.word AND next_ IS NULL"""
+
+NEGATIVES = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS alike, list_inner_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.*, id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""
