@@ -90,9 +90,9 @@ def matrix(table: pa.Table | pa.RecordBatch, dim: int) -> np.ndarray:
     return unpacked(table.column("vec").to_pylist(), np.asarray(table.column("n")), dim)
 
 
-def products(a: np.ndarray, b: np.ndarray, top: float) -> np.ndarray:
-    """Exact inner products of all rows of ``a`` and of ``b``: by floating point where they are exact, by 64-bit integers elsewhere."""
-    if top < EXACT:
+def products(a: np.ndarray, b: np.ndarray, exact: bool) -> np.ndarray:
+    """Exact inner products of all rows of ``a`` and of ``b``: by floating point where it is exact, by 64-bit integers elsewhere."""
+    if exact:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
     return np.einsum("id,jd->ij", a, b)
 
@@ -200,6 +200,7 @@ def first_k(keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 def local_join(cells: Cells, same: bool, k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """The first ``k`` rows of a unit for each interval of each of its anchors, exactly."""
     least = np.iinfo(np.int64).min
+    exact, cells_a_block = cells.top < EXACT, BLOCK_CELLS
 
     def join(anchors: pa.Table, rows: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, ...]] = []
@@ -214,11 +215,11 @@ def local_join(cells: Cells, same: bool, k: int) -> Callable[[pa.Table, pa.Table
                 windows.append((has, lows[ends[has] + j], highs[ends[has] + j]))
         if anchors.num_rows and rows.num_rows:
             rows = rows.take(pa.array(np.lexsort((np.asarray(rows["row"]), np.asarray(rows["ord"])))))
-        size = max(1, BLOCK_CELLS // max(1, len(a)))
+        size = max(1, cells_a_block // max(1, len(a)))
         for start in range(0, rows.num_rows if len(a) else 0, size):
             block = rows.slice(start, size)
             ids, row, label = (np.asarray(block[c]) for c in ("ord", "row", "label"))
-            scores = products(matrix(block, cells.dim), a, cells.top)
+            scores = products(matrix(block, cells.dim), a, exact)
             ok = (label[:, None] == a_label[None, :]) == same
             if same:
                 ok &= row[:, None] != a_row[None, :]
@@ -317,7 +318,8 @@ def mined(rows: DataFrame) -> DataFrame:
     everything = F.array(interval(F.lit(-LAST - 1), F.lit(LAST)))
     positives = stored(knn_join(anchors.withColumn("wanted", everything), rows, cells, True, N_POSITIVES, chunks).drop("wanted"), "positives")
     # the least and the largest integer in the interval, which is empty below a score of 0
-    low, high = (F.expr(f"({LOWEST} * score + 99) div 100"), F.expr(f"{HIGHEST} * score div 100"))
+    low = F.expr(f"{LOWEST} * (score div 100) + ({LOWEST} * (score % 100) + 99) div 100")
+    high = F.expr(f"{HIGHEST} * (score div 100) + {HIGHEST} * (score % 100) div 100")
     asked = positives.where("score >= 0").select("anchor", "rank", "ord", "score", interval(low, high).alias("w")).where("w.low <= w.high")
     asked = asked.groupBy(F.col("anchor").alias("row")).agg(F.sort_array(F.collect_list(F.struct("rank", "ord", "score", "w"))).alias("asked"))
     asked = stored(anchors.join(asked, "row").withColumn("wanted", F.col("asked.w")), "asked")
