@@ -4,7 +4,8 @@ Every word is the list of its bigrams with their positions. Bigrams are put in o
 position), and only the ``PREFIX`` first ones of each word are joined. One edit touches at most two bigrams of either word. So of the bigrams
 that both words keep, the first one in the order has at most two before it in each word: it is among the first three of both, whatever the words
 are. It may have moved by one place only, so a join meets words by bigram, length and position: words of one length at the
-same position, and a word with the ones that are one longer at its position or the next. What meets is verified by the edit distance.
+same position, and a word with the ones that are one longer at its position or the next. The edit lies on one side of that bigram, in one half of the side; what is outside of the half is
+equal, and part of the join's key, or frequent bigrams would meet too many words. What meets is verified by the edit distance.
 
 The order has to be one of bigrams, not of bigrams with positions: it must stay the same when a bigram moves by one place.
 
@@ -57,14 +58,42 @@ def prefixes(vocabulary: DataFrame) -> DataFrame:
     return ranked.select("word", F.length("word").alias("size"), F.explode("rarest").alias("g")).select("word", "size", "g.gram", "g.pos")
 
 
+def keys(rare: DataFrame, longer: bool) -> DataFrame:
+    """(word, key): what a near word has to share with each of a word's bigrams, as a hash.
+
+    The edit lies on one side of an equal bigram, and in one half of that side. All the rest of the word is equal: a key for each of the four
+    places. ``longer``: as the longer one of two words whose lengths differ, its side is cut as that of the shorter one.
+    """
+    more = int(longer)
+    size, pos = F.col("size"), F.col("pos")
+    # the other word's part before the bigram, and its part after it
+    before, after = pos - 1, size - pos - 1
+    halves = [F.floor((n - more) / 2).cast("int") for n in (before, after)]
+
+    def key(kind: int, side: Column, at: Column, length: Column) -> Column:
+        """The word without ``length`` code points from ``at`` on (from 0)."""
+        rest = F.concat(F.substring(F.col("word"), F.lit(1), at), F.lit(" "), F.substring(F.col("word"), at + length + 1, size))
+        # the bigram's place in the shorter word
+        place = pos - more if kind < 2 else pos
+        return F.when(side >= more, F.xxhash64(F.lit(kind), size - more, place, rest))
+
+    places = [
+        key(0, before, F.lit(0), halves[0] + more),
+        key(1, before, halves[0], before - halves[0]),
+        key(2, after, pos + 1, halves[1] + more),
+        key(3, after, pos + 1 + halves[1], after - halves[1]),
+    ]
+    return rare.select("word", "size", F.explode(F.array(*places)).alias("key")).where("key IS NOT NULL")
+
+
 def near_pairs(vocabulary: DataFrame) -> DataFrame:
     """(word, other): each pair of near words, both ways."""
     rare = stored(prefixes(vocabulary), "prefixes")
-    a, b = (rare.select(F.col("word").alias(w), "size", "gram", "pos") for w in ("word", "other"))
-    equal = a.join(b, ["gram", "pos", "size"]).where("word < other").select("word", "other")
-    moved = a.select("word", (F.col("size") + 1).alias("size"), "gram", F.explode(F.array(F.col("pos"), F.col("pos") + 1)).alias("pos"))
-    longer = moved.join(b, ["gram", "pos", "size"]).select("word", "other")
-    pairs = equal.unionByName(longer).where(F.levenshtein("word", "other", 1) == 1).distinct()
+    own = keys(rare, False)
+    a, b, longer = own.select("word", "key", "size"), own.select(F.col("word").alias("other"), "key", "size"), keys(rare, True).select(F.col("word").alias("other"), "key")
+    equal = a.join(b, ["key", "size"]).where("word < other").select("word", "other")
+    pairs = equal.unionByName(a.join(longer, "key").select("word", "other"))
+    pairs = pairs.where(F.levenshtein("word", "other", 1) == 1).distinct()
     return pairs.unionByName(pairs.select(F.col("other").alias("word"), F.col("word").alias("other")))
 
 
