@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import equality, hierarchy, linking, mappings, modelling, naming
+from . import equality, hierarchy, linking, mappings, modelling, naming, slicing
 
 FLAGSHIP = "link_suppliers"
-MODULES = (linking, hierarchy, naming, modelling, mappings, equality)
+MODULES = (linking, hierarchy, naming, modelling, mappings, equality, slicing)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: text for module in MODULES for name, text in module.ORACLES.items()}

@@ -6,8 +6,10 @@ gives one row of kind "rejected".
 
 Kinds: class (other is its parent), implements, outer, field, method, signature (value, of the class or member that is the owner), the constants string, int,
 long, float and double, calls, reads, writes and "class ref" (other), code (id is the place, flags the opcode, name the slot of an instruction on a
-variable, or what a dynamic call would call: then other is its maker, and value the maker's tag and whether it is an interface's), and local (id is the place in the table of
-variables, name and other the variable's name and type, flags its slot, value the number of instructions before its range).
+variable, or what a dynamic call would call: then other is its maker, and value the maker's tag and whether it is an interface's), jump (id is the place, value a place that may be next),
+site (id is the place of a dynamic call, value its descriptor), handler (id is the first place of a range, flags the one after its last, value the handler's), and local (id is the place in the table of
+variables, name and other the variable's name and type, flags its slot, value the number of instructions before its range). An instruction's value is what it is compared by: a constant with its type,
+the sign of a jump, the bounds or keys of a switch, an increment, or a number of dimensions. A wide instruction has the opcode of the one it widens.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ DYNAMIC = 186
 #: Instructions on variables with the slot behind them, and the first of each four that have it in themselves.
 SLOT_BEHIND = {*range(21, 26), *range(54, 59), 132, 169}
 SLOT_INSIDE = (*range(26, 46, 4), *range(59, 79, 4))
+JUMPS, WIDE_JUMPS, WIDE = {*range(153, 169), 198, 199}, {200, 201}, 196
 BATCH_ROWS = 20_000
 
 
@@ -140,6 +143,7 @@ def rows_of(archive: str, data: bytes) -> list[tuple]:
         size = struct.unpack_from(">I", body, 4)[0]
         code = body[8 : 8 + size]
         out += code_rows(archive, owner, code, pool, text, cls, makers)
+        out += handler_rows(archive, owner, code, body[8 + size :])
         rest = Reader(body)
         rest.at = 8 + size
         rest.at += 2 + 8 * struct.unpack_from(">H", body, rest.at)[0]
@@ -176,9 +180,33 @@ def local_rows(archive: str, owner: str, code: bytes, table: bytes, text) -> lis
     return out
 
 
+def handler_rows(archive: str, owner: str, code: bytes, table: bytes) -> list[tuple]:
+    """The ranges of places that a handler is for."""
+    starts = [at for at, _, _ in instructions(code)]
+    out = []
+    for entry in range(struct.unpack_from(">H", table)[0]):
+        first, end, handler = (bisect.bisect_left(starts, p) for p in struct.unpack_from(">HHH", table, 2 + 8 * entry))
+        out.append((archive, "handler", owner, str(first), None, None, end, str(handler)))
+    return out
+
+
+def targets_of(code: bytes, at: int, op: int, operands: int) -> tuple[list[int], str | None]:
+    """Bytes that a jump or a switch may lead to, and what it is compared by."""
+    if op in JUMPS or op in WIDE_JUMPS:
+        by = struct.unpack_from(">h" if op in JUMPS else ">i", code, operands)[0]
+        return [at + by], str((by > 0) - (by < 0))
+    base = (at + 4) & ~3
+    if op == 170:
+        default, low, high = struct.unpack_from(">iii", code, base)
+        return [at + by for by in (default, *struct.unpack_from(f">{high - low + 1}i", code, base + 12))], f"{low} {high}"
+    default, n = struct.unpack_from(">ii", code, base)
+    pairs = struct.unpack_from(f">{2 * n}i", code, base + 8)
+    return [at + by for by in (default, *pairs[1::2])], " ".join(map(str, pairs[::2]))
+
+
 def slot_of(code: bytes, op: int, operands: int) -> str | None:
     """The slot of an instruction on a variable."""
-    if op == 196:
+    if op == WIDE:
         return str(struct.unpack_from(">H", code, operands + 1)[0])
     if op in SLOT_BEHIND:
         return str(code[operands])
@@ -188,8 +216,16 @@ def slot_of(code: bytes, op: int, operands: int) -> str | None:
 def code_rows(archive: str, owner: str, code: bytes, pool: list, text, cls, makers: list[tuple] = ()) -> list[tuple]:
     """Instructions in order, and what they refer to."""
     out = []
-    for place, (_, op, operands) in enumerate(instructions(code)):
-        kind, other, value, name_ = None, None, None, slot_of(code, op, operands)
+    starts = {at: place for place, (at, _, _) in enumerate(instructions(code))}
+    for place, (at, op, operands) in enumerate(instructions(code)):
+        kind, other, value, name_, told = None, None, None, slot_of(code, op, operands), None
+        if op == WIDE:
+            op, told = code[operands], str(struct.unpack_from(">h", code, operands + 3)[0]) if code[operands] == 132 else None
+        elif op == 132:
+            told = str(struct.unpack_from(">b", code, operands + 1)[0])
+        elif op in JUMPS or op in WIDE_JUMPS or op in (170, 171):
+            to, told = targets_of(code, at, op, operands)
+            out += [(archive, "jump", owner, str(place), None, None, None, str(starts[t])) for t in to]
         if op in CALLS | READS | WRITES:
             holder, named = pool[struct.unpack_from(">H", code, operands)[0]][1]
             name, desc = pool[named][1]
@@ -197,16 +233,20 @@ def code_rows(archive: str, owner: str, code: bytes, pool: list, text, cls, make
             other = f"{cls(holder)}/{text(name)}{'' if op in CALLS else ';;'}{text(desc)}"
         elif op in TYPES:
             kind, other = "class ref", cls(struct.unpack_from(">H", code, operands)[0])
+            told = str(code[operands + 2]) if op == 197 else None
         elif op in (18, 19, 20):
             tag, raw = pool[code[operands] if op == 18 else struct.unpack_from(">H", code, operands)[0]]
             kind = "string" if tag == 8 else "class ref" if tag == 7 else NUMBERS.get(tag)
             other, value = (text(raw), None) if tag == 7 else (None, text(raw) if tag == 8 else str(raw))
+            told = f"{kind or tag} {value or ''}"
         elif op == DYNAMIC:
-            (tag, maker, interface), target = makers[pool[struct.unpack_from(">H", code, operands)[0]][1][0]]
+            entry, named = pool[struct.unpack_from(">H", code, operands)[0]][1]
+            (tag, maker, interface), target = makers[entry]
             name_, other, value = target, maker, f"{tag} {str(interface).lower()}"
+            out.append((archive, "site", owner, str(place), None, None, None, text(pool[named][1][1])))
         elif op in (16, 17, 188):
             kind, value = "int", str(struct.unpack_from(">h" if op == 17 else ">b", code, operands)[0])
-        out.append((archive, "code", owner, str(place), name_, other, op, value))
+        out.append((archive, "code", owner, str(place), name_, other, op, value if told is None else told))
         if kind:
             out.append((archive, kind, owner, None, None, other, None, value))
     return out

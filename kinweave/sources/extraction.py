@@ -18,6 +18,8 @@ from kinweave.operators import graph, lookups, structure
 from kinweave.operators.measures import Model
 from kinweave.storage import stored
 
+from . import initialisers
+
 # What names every class file agrees on.
 GIVEN_MEMBERS = ("<init>", "<clinit>")
 REFERENCES = ("calls", "reads", "writes")
@@ -109,7 +111,7 @@ def extract(rows: DataFrame, plain: str = r"(?!)", prefix: str = "", plain_membe
     apart = (F.col("flags").bitwiseAND(F.lit(PRIVATE_OR_STATIC)) != 0) | F.col("short").isin(*GIVEN_MEMBERS)
     members = stored(members.withColumn("apart", apart), "class_members")
 
-    code = of("code").select("owner", F.col("id").cast("int").alias("place"), F.col("flags").cast("string").alias("op"), "other", "value", "name")
+    code = of("code").select("owner", F.col("id").cast("int").alias("place"), initialisers.normal(F.col("flags")).cast("string").alias("op"), "other", "value", "name")
     refers = of(*REFERENCES).select("owner", "kind", "other").distinct()
     holder, name = split_member(F.col("other"))
     named = refers.select("other").distinct().select("other", holder.alias("owner"), name.alias("name"))
@@ -151,6 +153,13 @@ def extract(rows: DataFrame, plain: str = r"(?!)", prefix: str = "", plain_membe
 
     ops = code.join(target, "other", "left").withColumn("rel", F.when(c("op").isin("182", "183", "184", "185"), "calls").when(c("op").isin("178", "180"), "reads").when(c("op").isin("179", "181"), "writes"))
     ops = ops.withColumn("rel", F.when((c("op") == str(DYNAMIC)) & c("target").isNotNull(), "calls").otherwise(c("rel")))
+    objects = members.where("kind = 'field'").where(c("desc").rlike(r"^[L\[]")).select(c("member").alias("target"))
+    writes = ops.where("rel = 'writes'").join(objects, "target", "left_semi").select(c("target").alias("field"), c("owner").alias("method"), "place")
+    traced = stored(initialisers.initialisers(rows, writes, types_of), "initialisers")
+    steps = traced.join(ops.withColumnRenamed("owner", "method"), ["method", "place"])
+    inits = steps.select(c("field").alias("owner"), F.lit("init").alias("sort"), "place", F.concat_ws(" ", "op", "value").alias("value"), F.coalesce("target", "other").alias("target"), F.lit(None).cast("string").alias("rel"))
+    told = steps.where("op = '18'").where(c("value").startswith("string ")).select(c("field").alias("owner"), F.lit("init string").alias("sort"), F.substring(c("value"), F.lit(8), F.length("value")).alias("value"))
+    tokens = tokens.unionByName(told.distinct())
     if variables:
         vars_ = stored(variables_of(members, rows), "class_variables")
         # a local variable's range may begin with the instruction after the one that sets it
@@ -162,7 +171,7 @@ def extract(rows: DataFrame, plain: str = r"(?!)", prefix: str = "", plain_membe
         edges = stored(edges.unionByName(edge("type", c("member"), c("class"), typed_vars)).distinct(), "class_edges")
     ops = ops.select("owner", F.lit("code").alias("sort"), "place", F.concat_ws(" ", "op", "value").alias("value"), F.coalesce("target", "other").alias("target"), "rel")
     args = typed.where("kind = 'method' AND NOT last").select(c("member").alias("owner"), F.lit("arg type").alias("sort"), c("at").alias("place"), F.regexp_replace("type", "L[^;]+;", "L").alias("value"), c("class").alias("target"), F.lit(None).cast("string").alias("rel"))
-    seq = ops.unionByName(args)
+    seq = ops.unionByName(args).unionByName(inits)
 
     depth = graph.depths(graph.closure(edges.where("rel = 'extends'").select("src", "dst"))).select(c("node").alias("id"), "depth")
     children = edges.where("rel = 'extends'").groupBy(c("dst").alias("other")).agg(F.count("*").alias("siblings"))
@@ -184,19 +193,19 @@ def extract(rows: DataFrame, plain: str = r"(?!)", prefix: str = "", plain_membe
         c("member").alias("id"), "kind", "owner", c("short").alias("name"), (~of_plan & ~c("given")).alias("disguised"), "flags", "signature",
         F.lit(0).alias("depth"), F.lit(0).alias("siblings"), "ord", F.when(c("kind") == "field", c("init")).alias("value"), F.regexp_replace("desc", "L[^;]+;", "L").alias("shape"), "size",
     )
-    told = first.unionByName(second)
+    entities = first.unionByName(second)
     if variables:
         open_ = second.select(c("id").alias("owner"), c("disguised").alias("hidden"))
         fourth = vars_.join(open_, "owner").select(
             "id", "kind", "owner", c("name"), (c("hidden") | c("name").isNull()).alias("disguised"), F.lit(0).alias("flags"), none.cast("string").alias("signature"),
             F.lit(0).alias("depth"), F.lit(0).alias("siblings"), "ord", none.cast("string").alias("value"), F.regexp_replace("type", "L[^;]+;", "L").alias("shape"), none.cast("int").alias("size"),
         )
-        told = told.unionByName(fourth)
-    others = edges.select(c("dst").alias("id")).unionByName(seq.where("target IS NOT NULL").select(c("target").alias("id"))).distinct().join(told.select("id"), "id", "left_anti")
+        entities = entities.unionByName(fourth)
+    others = edges.select(c("dst").alias("id")).unionByName(seq.where("target IS NOT NULL").select(c("target").alias("id"))).distinct().join(entities.select("id"), "id", "left_anti")
     third = others.select("id", F.lit("placeholder").alias("kind"), none.cast("string").alias("owner"), c("id").alias("name"), F.lit(False).alias("disguised"), F.lit(0).alias("flags"), *[
         none.cast(t).alias(n) for n, t in (("signature", "string"), ("depth", "int"), ("siblings", "int"), ("ord", "int"), ("value", "string"), ("shape", "string"), ("size", "int"))
     ])
-    everything = told.unionByName(third)
+    everything = entities.unionByName(third)
     if variables:
         everything = everything.join(vars_.select("id", "slot"), "id", "left")
     marked = lambda frame, *columns: frame.withColumns({x: F.concat(F.lit(prefix), c(x)) for x in columns})
@@ -205,4 +214,5 @@ def extract(rows: DataFrame, plain: str = r"(?!)", prefix: str = "", plain_membe
         stored(marked(edges, "src", "dst"), "edge"),
         stored(marked(tokens, "owner"), "token"),
         stored(marked(seq, "owner", "target"), "seq"),
+        sorts=("code", "arg type", "init"),
     )
