@@ -16,6 +16,7 @@ from kinweave.storage import stored
 
 from . import measures, ranking, similarity, state
 from .measures import Model
+from .sequences import Alignments
 
 KINDS = {"argument": "variable"}
 
@@ -75,15 +76,15 @@ def member_pairs(kind: str, a: Model, b: Model, matches: DataFrame) -> DataFrame
     return matches.join(left, "x").join(right, "y").select("a", "b")
 
 
-def one_pass(kind: str, level: str, a: Model, b: Model, matches: DataFrame, absolute: float = ranking.ABSOLUTE, relative: float = ranking.RELATIVE) -> DataFrame:
-    """(x, y): the new matches of one pass."""
+def one_pass(kind: str, level: str, a: Model, b: Model, matches: DataFrame, absolute: float = ranking.ABSOLUTE, relative: float = ranking.RELATIVE, alignments: Alignments | None = None) -> DataFrame:
+    """(x, y): the new matches of one pass. ``alignments`` are those of the pass before."""
     named = KINDS.get(kind, kind)
     top = measures.usable_total(named, level, a, b)
     limit = ranking.cutoff(top, absolute, relative)
     pairs = stored(class_pairs(a, b, matches, limit) if kind == "class" else member_pairs(kind, a, b, matches), f"{kind}_pairs")
     if pairs.isEmpty():
         return matches.limit(0)
-    scored = stored(measures.scored(named, level, pairs, a, b, matches).where(F.col("missed") < limit), f"{kind}_scores")
+    scored = stored(measures.scored(named, level, pairs, a, b, matches, alignments=alignments).where(F.col("missed") < limit), f"{kind}_scores")
     found = ranking.one_to_one(ranking.accepted(scored, top, absolute, relative))
     return found.select(F.col("a").alias("x"), F.col("b").alias("y"))
 
@@ -98,10 +99,11 @@ def plain_members(new: DataFrame, a: Model, b: Model) -> DataFrame:
 def auto_match(a: Model, b: Model, matches: DataFrame | None = None) -> DataFrame:
     """(x, y): all matches, from plain names on, by the schedule of ``state.schedule``."""
     current = stored(matches if matches is not None else prematched(a, b), "matches")
+    alignments = Alignments()
 
     def run(kind: str, level: str) -> bool:
         nonlocal current
-        new = stored(one_pass(kind, level, a, b, current), "new_matches")
+        new = stored(one_pass(kind, level, a, b, current, alignments=alignments), "new_matches")
         if new.isEmpty():
             return False
         if kind == "class":
