@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinweave.storage import stored
+
 
 def local_then_shared(wanted: DataFrame, local: DataFrame, shared: DataFrame, key: str, value: str) -> DataFrame:
     """``wanted`` with the value of its own side, or else of the shared entities; found says which, or "placeholder"."""
@@ -78,3 +80,66 @@ def resolved_members(wanted: DataFrame, paths: DataFrame, members: DataFrame, in
     rank = F.struct(F.coalesce("face", F.lit(False)), "open", "distance", "member")
     best = found.groupBy("owner", "name").agg(F.min_by("member", rank).alias("member"))
     return wanted.join(best, ["owner", "name"], "left")
+
+
+def specific_methods(wanted: DataFrame, classes: DataFrame, interfaces: DataFrame, members: DataFrame, handles: DataFrame | None = None) -> DataFrame:
+    """``wanted`` (owner, name, faced) with the member that a reference to a method means; null if there is none.
+
+    ``classes`` (sub, sup, distance) are the ways up by parents, a class itself included; ``interfaces`` (sub, sup) all interfaces that a class or
+    interface has by any way. ``members`` have (owner, name, member, abstract, private, static, public). A class's own member counts first, then the nearest parent's. If it is an
+    interface that is referred to (``faced``), just its own one, or a public one of its parent that isn't static. Then come the
+    interfaces' members that are neither private nor static: those that aren't abstract, if there are some, and of these only the
+    maximal ones, whose interface is above no other's. Of several, the smallest counts.
+    ``handles`` (owner, name, member) are members that stand for every call of a name, before the owner's own ones.
+    """
+    asked = wanted.select("owner", "name", "faced").distinct()
+    told = members.select(F.col("owner").alias("holder"), "name", "member", "abstract", "private", "static", "public")
+    up = asked.join(classes.select(F.col("sub").alias("owner"), F.col("sup").alias("holder"), "distance"), "owner")
+    own = up.join(told, ["holder", "name"]).where("distance = 0 OR NOT faced OR (public AND NOT static)")
+    own = own.select("owner", "name", "faced", F.struct("distance", F.lit(1).alias("step"), "member").alias("found"))
+    if handles is not None:
+        general = up.where("NOT faced").join(handles.select(F.col("owner").alias("holder"), "name", "member"), ["holder", "name"])
+        own = own.unionByName(general.select("owner", "name", "faced", F.struct("distance", F.lit(0).alias("step"), "member").alias("found")))
+    own = own.groupBy("owner", "name", "faced").agg(F.min("found").alias("found"))
+    rest = asked.join(own, ["owner", "name", "faced"], "left_anti").select("owner", "name").distinct()
+    above = interfaces.select(F.col("sub").alias("owner"), F.col("sup").alias("holder"))
+    met = rest.join(above, "owner").join(told, ["holder", "name"]).where("NOT private AND NOT static")
+    real = met.groupBy("owner", "name").agg(F.bool_or(~F.col("abstract")).alias("real"))
+    met = met.join(real, ["owner", "name"]).where("NOT real OR NOT abstract").select("owner", "name", "holder", "member")
+    # an interface above that of another candidate isn't maximal
+    lower = met.select("owner", "name", F.col("holder").alias("sub")).join(interfaces.select("sub", F.col("sup").alias("holder")), "sub").where("sub <> holder")
+    best = met.join(lower.select("owner", "name", "holder").distinct(), ["owner", "name", "holder"], "left_anti").groupBy("owner", "name").agg(F.min("member").alias("_face"))
+    joined = wanted.join(own, ["owner", "name", "faced"], "left").join(best, ["owner", "name"], "left")
+    return joined.withColumn("member", F.coalesce("found.member", "_face")).drop("found", "_face")
+
+
+def interface_paths(implements: DataFrame) -> DataFrame:
+    """(sub, sup, path): the first way to each interface above, in the order of a search in depth; ``implements`` has (sub, sup, ord).
+
+    A path has the place of each step: of a class's interfaces the first one comes first, of an interface's own the last one. The first way to an interface goes by the
+    first way to the one before it, so one path for each pair is enough, and passes grow with the depth.
+    """
+    first = implements.select("sub", "sup", F.array("ord").alias("path"))
+    paths = stored(first.groupBy("sub", "sup").agg(F.min("path").alias("path")), "paths")
+    front = paths
+    steps = implements.select(F.col("sub").alias("sup"), F.col("sup").alias("next"), F.col("ord").alias("step"))
+    while True:
+        longer = front.join(steps, "sup").where("sub <> next").select("sub", F.col("next").alias("sup"), F.concat("path", F.array(-F.col("step"))).alias("path"))
+        longer = longer.groupBy("sub", "sup").agg(F.min("path").alias("path"))
+        old = paths.select("sub", "sup", F.col("path").alias("_old"))
+        front = stored(longer.join(old, ["sub", "sup"], "left").where("_old IS NULL OR path < _old").drop("_old"), "front")
+        if front.isEmpty():
+            return paths
+        paths = stored(paths.unionByName(front).groupBy("sub", "sup").agg(F.min("path").alias("path")), "paths")
+
+
+def resolved_fields(wanted: DataFrame, classes: DataFrame, paths: DataFrame, fields: DataFrame) -> DataFrame:
+    """``wanted`` (owner, name) with the field that a reference means: the owner's own, else the first of its interfaces by ``paths``, else the nearest parent's own."""
+    asked = wanted.select("owner", "name").distinct()
+    told = fields.select(F.col("owner").alias("holder"), "name", "member")
+    none = F.array().cast("array<int>")
+    own = classes.select(F.col("sub").alias("owner"), F.col("sup").alias("holder"), F.when(F.col("distance") == 0, 0).otherwise(2).alias("step"), F.array(F.col("distance").cast("int")).alias("way"))
+    faces = paths.select(F.col("sub").alias("owner"), F.col("sup").alias("holder"), F.lit(1).alias("step"), F.coalesce(F.col("path").cast("array<int>"), none).alias("way"))
+    found = asked.join(own.unionByName(faces), "owner").join(told, ["holder", "name"])
+    best = found.groupBy("owner", "name").agg(F.min_by("member", F.struct("step", "way", "member")).alias("member"))
+    return wanted.join(best, ["owner", "name"], "left")

@@ -284,7 +284,30 @@ n{i} AS MATERIALIZED (SELECT a, b FROM l{i} WHERE b IN (SELECT b FROM l{i} GROUP
     return ", ".join(ctes) + f" SELECT a, b FROM {known} WHERE CASE WHEN (SELECT count(*) FROM n{UNROLLED - 1}) > 0 THEN error('more passes are needed') ELSE true END"
 
 
+#: Costs row by row, each a list, and the way back through them, cell by cell.
+ALIGNED = """WITH RECURSIVE s AS (SELECT user_id, list(substr(event_type, 1, 1) ORDER BY ts, event_id) AS x FROM events GROUP BY 1),
+pr AS (SELECT p.user_id AS a, p.x AS x, q.x AS y FROM s p JOIN s q ON p.user_id = q.user_id - 1),
+fwd AS (SELECT a, x, y, 0 AS i, list_transform(range(0, len(y) + 1), lambda j: 2 * j) AS r FROM pr
+  UNION ALL SELECT a, x, y, i + 1, list_transform(range(1, len(d) + 1), lambda j: list_min(d[1:j]) + 2 * (j - 1)) FROM
+  (SELECT *, list_transform(range(0, len(y) + 1), lambda j: CASE WHEN j = 0 THEN 2 * (i + 1) ELSE least(r[j] + CASE WHEN x[i + 1] = y[j] THEN 0 ELSE 2 END, r[j + 1] + 2) - 2 * j END) AS d FROM fwd WHERE i < len(x))),
+cells AS MATERIALIZED (SELECT a, i, r FROM fwd),
+back AS (SELECT a, len(x) AS i, len(y) AS j, -1 AS place, -1 AS partner FROM pr
+  UNION ALL SELECT a, CASE WHEN diagonal OR dropped < added THEN i - 1 ELSE i END, CASE WHEN diagonal OR dropped >= added THEN j - 1 ELSE j END,
+    CASE WHEN diagonal OR dropped < added THEN i - 1 ELSE -1 END, CASE WHEN diagonal AND here - kept < 2 THEN j - 1 ELSE -1 END
+  FROM (SELECT *, kept <= dropped AND kept <= added AS diagonal FROM (SELECT b.a, b.i, b.j, h.r[b.j + 1] AS here, coalesce(u.r[b.j + 1], 1000000000) AS dropped, CASE WHEN b.j > 0 THEN h.r[b.j] ELSE 1000000000 END AS added,
+    CASE WHEN b.j > 0 THEN coalesce(u.r[b.j], 1000000000) ELSE 1000000000 END AS kept FROM back b JOIN cells h ON h.a = b.a AND h.i = b.i LEFT JOIN cells u ON u.a = b.a AND u.i = b.i - 1 WHERE b.i > 0))),
+places AS (SELECT a, place::INT AS place, partner::INT AS partner FROM back WHERE place >= 0)"""
+
 ORACLES = {
+    "sequence_alignment": f"{ALIGNED} SELECT a, place, partner FROM places",
+    "aligned_ratio": f"{ALIGNED} SELECT a, round(count(CASE WHEN partner >= 0 THEN 1 END) / count(*)::DOUBLE, 6) AS ratio FROM places GROUP BY a",
+    "aligned_reference_ratio": f"""{ALIGNED}, refs AS (SELECT user_id AS caller, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS place, floor(value / 50) AS target FROM events),
+known AS (SELECT * FROM refs WHERE target IS NOT NULL), pairs AS (SELECT DISTINCT target AS t FROM known), callers AS (SELECT DISTINCT target AS t, caller FROM known),
+met AS (SELECT c.t, c.caller, p.a IS NOT NULL AND o.t IS NOT NULL AS met FROM callers c LEFT JOIN (SELECT DISTINCT a FROM places) p ON p.a = c.caller LEFT JOIN callers o ON o.caller = c.caller + 1 AND o.t = c.t),
+at_ AS (SELECT m.t, coalesce(r.target = m.t, false) AS same FROM met m JOIN known k ON k.caller = m.caller AND k.target = m.t JOIN places p ON p.a = k.caller AND p.place = k.place AND p.partner >= 0 LEFT JOIN known r ON r.caller = m.caller + 1 AND r.place = p.partner WHERE m.met),
+n AS (SELECT t, count(CASE WHEN same THEN 1 END) AS kept, count(CASE WHEN NOT same THEN 1 END) AS lost FROM at_ GROUP BY 1), al AS (SELECT t, count(CASE WHEN NOT met THEN 1 END) AS alone FROM met GROUP BY 1)
+SELECT t::BIGINT AS a, t::BIGINT AS b, round(CASE WHEN coalesce(kept, 0) + coalesce(lost, 0) + coalesce(alone, 0) = 0 THEN 1e0 ELSE coalesce(kept, 0) / (coalesce(kept, 0) + coalesce(lost, 0) + coalesce(alone, 0))::DOUBLE END, 6) AS ratio
+FROM pairs LEFT JOIN n USING (t) LEFT JOIN al USING (t)""",
     "link_suppliers": f"""WITH {A_SUP},
 sp AS (SELECT a.id AS a, b.id AS b, 20 * (a.nation = b.nation)::INT + 8 * (a.balance = b.balance)::INT
   + 10 * (1e0 - abs(a.flags - b.flags) / greatest(a.flags, b.flags)::DOUBLE) + 3 * (1e0 - abs(a.lines - b.lines) / greatest(a.lines, b.lines)::DOUBLE)

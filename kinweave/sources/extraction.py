@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.functions.text import outer_of
-from kinweave.operators import graph, lookups, structure
+from kinweave.operators import graph, lookups, signatures, structure
 from kinweave.operators.measures import Model
 from kinweave.storage import stored
 
@@ -171,7 +171,10 @@ def extract(rows: DataFrame, plain: str = r"(?!)", prefix: str = "", plain_membe
         edges = stored(edges.unionByName(edge("type", c("member"), c("class"), typed_vars)).distinct(), "class_edges")
     ops = ops.select("owner", F.lit("code").alias("sort"), "place", F.concat_ws(" ", "op", "value").alias("value"), F.coalesce("target", "other").alias("target"), "rel")
     args = typed.where("kind = 'method' AND NOT last").select(c("member").alias("owner"), F.lit("arg type").alias("sort"), c("at").alias("place"), F.regexp_replace("type", "L[^;]+;", "L").alias("value"), c("class").alias("target"), F.lit(None).cast("string").alias("rel"))
-    seq = ops.unionByName(args).unionByName(inits)
+    kind = F.when(c("owner").contains(";;"), "field").when(c("owner").contains("("), "method").otherwise("class")
+    nodes = signatures.trees(of("signature").select("owner", kind.alias("kind"), c("value").alias("text")))
+    nodes = nodes.select("owner", F.lit("signature").alias("sort"), F.lit(0).alias("place"), c("label").alias("value"), c("class").alias("target"), c("path").alias("rel"))
+    seq = ops.unionByName(args).unionByName(inits).unionByName(nodes)
 
     depth = graph.depths(graph.closure(edges.where("rel = 'extends'").select("src", "dst"))).select(c("node").alias("id"), "depth")
     children = edges.where("rel = 'extends'").groupBy(c("dst").alias("other")).agg(F.count("*").alias("siblings"))
@@ -214,5 +217,5 @@ def extract(rows: DataFrame, plain: str = r"(?!)", prefix: str = "", plain_membe
         stored(marked(edges, "src", "dst"), "edge"),
         stored(marked(tokens, "owner"), "token"),
         stored(marked(seq, "owner", "target"), "seq"),
-        sorts=("code", "arg type", "init"),
+        sorts=("code", "arg type", "init", "signature"),
     )
