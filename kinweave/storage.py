@@ -6,11 +6,13 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
-_scopes: list[list[str]] = []
+#: The open scopes of this thread or task: what another one stores isn't theirs.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,8 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/kinweave/{name}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    if _scopes.get():
+        _scopes.get()[-1].append(path)
     return path
 
 
@@ -55,9 +57,11 @@ def emptied(spark: SparkSession, *paths: str) -> None:
 
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
-    """Tables that are written inside are emptied at the end: what they served for has to be written by then, to a path made outside."""
-    _scopes.append([])
+    """Tables that are written inside, by the same thread, are emptied at the end: what they served for has to be written by then, to a path made outside."""
+    own: list[str] = []
+    token = _scopes.set((*_scopes.get(), own))
     try:
         yield
     finally:
-        emptied(spark, *_scopes.pop())
+        _scopes.reset(token)
+        emptied(spark, *own)

@@ -126,3 +126,16 @@ def test_scopes_free_their_tables(spark):
     assert spark.read.parquet(outside).count() == 5
     spark.catalog.refreshByPath(inside.inputFiles()[0].rpartition("/")[0]) if inside.inputFiles() else None
     assert spark.read.parquet(outside).join(spark.range(9), "id").count() == 5
+
+
+def test_scopes_leave_other_threads_tables_alone(spark):
+    from threading import Thread
+
+    held = []
+    with scope(spark):
+        inner = stored(spark.range(5), "inner")
+        other = Thread(target=lambda: held.append(stored(spark.range(100), "other")))
+        other.start()
+        other.join()
+        assert inner.count() == 5
+    assert held[0].count() == 100 and spark.read.parquet(*inner.inputFiles()[0].rsplit("/", 1)[:1]).count() == 0
