@@ -120,7 +120,8 @@ def records(spark: SparkSession, path: str, above: int = -1, up_to: int = 2**62)
 
 
 def field(name: str) -> Column:
-    return F.regexp_extract("header", rf"(?m)^{name}: (.*?)\r?$", 1)
+    """A field of a header, whose lines end with CR and LF only: other characters that end lines elsewhere are parts of a value. (Without d, $ and . know them too.)"""
+    return F.regexp_extract("header", rf"(?md)^{name}: (.*?)\r?$", 1)
 
 
 def export(records: DataFrame, path: str, records_per_file: int = 10_000) -> None:
@@ -158,7 +159,7 @@ def report(pages: DataFrame) -> DataFrame:
         F.octet_length("block").cast("long").alias("bytes"),
         F.when(revisit, said).otherwise(true).alias("payload_digest"),
         field("WARC-Type").alias("record_type"),
-        page_of(field("WARC-Refers-To")).alias("refers_to"),
+        F.when(revisit, page_of(field("WARC-Refers-To"))).alias("refers_to"),
     )
     parsed = stored(parsed, "parsed")
     # a revisit's payload is that of the record it refers to, and has to have the same digest

@@ -484,3 +484,13 @@ def test_pipeline(spark, sf_dir):
     staged = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     total = lambda df: tuple(df.agg(F.sum("length"), F.countDistinct("doc_id")).first())
     assert total(corpus_pipeline.run(spark, sf_dir)) == total(staged)
+
+
+@pytest.mark.parametrize("end", ["\u0085", "\u2028", "\u2029", "\x0b", "\x0c"])
+def test_warc_headers_end_lines_with_cr_lf_only(spark, end):
+    """What looks like a header line of its own in a URL is a part of the URL."""
+    extra = ["WARC-Payload-Digest: sha256:00", "WARC-Refers-To: <urn:uuid:00000000-0000-8000-8200-000000000000>", "WARC-Type: revisit", "Content-Length: 7"]
+    rows = [(i, f"http://a/{end}{x}", "long enough " * 20 + x) for i, x in enumerate(extra)] + [(9, f"http://b/{end}", "long enough " * 20 + extra[0]), (10, f"http://c/\r\n{extra[2]}", "short")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_digest) for r in warc.report(pages).collect()}
+    assert got == {i: ("revisit" if i == 9 else "response", 0 if i == 9 else None, brute.sha(t)) for i, _, t in rows}
