@@ -7,7 +7,8 @@ verdicts of the explicit rules. Tokens are the labels of the host, all directori
 parameters, and the number of directories.
 
 Tokens that the same labelled URLs have are one to the miner, and one to the URLs that are judged: rules that differ in such
-tokens only are equally sure. So a long URL, or many copies of one, don't make a combination of each set of its tokens.
+tokens only are equally sure. So a long URL, or many copies of one, don't make a combination of each set of its tokens. Tokens all of whose labelled URLs have one label
+are rules by themselves and aren't mined further (``sure``).
 
 A rule is redundant, and goes, if one with a part of its tokens has at least its confidence: every URL that it fits is
 decided by the shorter rule. The other rules are kept in an inverted index, each filed under its rarest token, so a
@@ -87,6 +88,19 @@ def faced(rows: DataFrame, faces: DataFrame, key: str) -> DataFrame:
     return rows.select(key, F.explode("tokens").alias("token")).join(faces, "token").groupBy(key).agg(F.sort_array(F.collect_set("face")).alias("tokens"))
 
 
+def sure(labelled: DataFrame, faces: DataFrame, min_support: float = MIN_SUPPORT) -> DataFrame:
+    """Rules of single tokens all of whose labelled rows (n, tokens, verdict) have one verdict.
+
+    Every longer rule with such a token is redundant, so the token needn't be mined: tokens that come with one verdict only and
+    nearly always together, as parameters do, would make a frequent combination of each set of them.
+    """
+    total = labelled.count()
+    rows = labelled.select("n", "verdict", F.explode("tokens").alias("token")).join(faces, "token").select("n", "verdict", "face").distinct()
+    pure = rows.groupBy("face").agg(F.count("*").alias("k"), F.min("verdict").alias("verdict"), F.max("verdict").alias("other")).where(F.col("verdict") == F.col("other"))
+    often = pure.where(F.col("k") >= F.ceil(F.lit(min_support * total)))
+    return often.select(F.array("face").alias("antecedent"), "verdict", F.lit(1.0).alias("confidence"), F.round(F.col("k") / total, 9).alias("support"), F.col("face").alias("token"))
+
+
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules (antecedent, verdict, confidence, support) from rows (tokens, verdict), redundant ones included."""
     if labelled.isEmpty():
@@ -136,8 +150,12 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     own = tokens(url, F.col("host"), F.col("path")).alias("tokens")
     labelled = stored(seen.where("said IS NOT NULL").select(F.monotonically_increasing_id().alias("n"), own, F.col("said").alias("verdict")), "url_labels")
     faces = stored(alike(labelled), "url_faces")
-    known = stored(faced(labelled, faces, "n").join(labelled.select("n", "verdict"), "n").select("tokens", "verdict"), "url_baskets")
-    index = stored(pruned(stored(indexed(mine(known), known), "url_rules")), "url_index")
+    single = stored(sure(labelled, faces), "url_sure")
+    open_ = faces.join(single.select(F.col("token").alias("face")), "face", "left_anti")
+    # a row without a token left still counts for the support
+    baskets = labelled.select("n", "verdict").join(faced(labelled, open_, "n"), "n", "left")
+    known = stored(baskets.select(F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"), "verdict"), "url_baskets")
+    index = stored(pruned(stored(indexed(mine(known), known).unionByName(single), "url_rules")), "url_index")
     others = faced(seen.where("said IS NULL AND url IS NOT NULL").select("url", own).dropDuplicates(["url"]), faces, "url")
     mined = match(others, index).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = seen.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))

@@ -270,3 +270,15 @@ def test_null_ids_pass(spark):
     assert [r.n_words for r in rules.report(one).collect()] == [0]
     assert [r.slot for r in sharding.report(one).collect()] == [0]
     assert linededup.dedup_texts(one).select(F.col("text")).first()[0] is None
+
+
+@pytest.mark.parametrize("n", [12, 48])
+def test_parameters_that_nearly_always_come_together(spark, n):
+    """Each of the tracking parameters of one host is on 97 % of its URLs; all of them are blocked, so each decides alone."""
+    rng = random.Random(2)
+    urls = [f"http://a.example.org/en/2?{'&'.join(f'o{j}=1' for j in range(3) if rng.random() < 0.5)}" for _ in range(1500)]
+    urls += [f"http://b.com/de/x?{'&'.join(f'p{j}=1' for j in range(n) if rng.random() < 0.97)}" for _ in range(60)]
+    urls += [f"http://c.net/x?p{j}=2" for j in range(n)] + ["http://c.net/x?o1=2"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in urlrules.judge(pages).where("rule IS NULL").collect()}
+    assert got == {1560 + j: "block" for j in range(n)} | {1560 + n: "allow"}
