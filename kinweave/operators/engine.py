@@ -84,7 +84,7 @@ def one_pass(kind: str, level: str, a: Model, b: Model, matches: DataFrame, abso
     pairs = stored(class_pairs(a, b, matches, limit) if kind == "class" else member_pairs(kind, a, b, matches), f"{kind}_pairs")
     if pairs.isEmpty():
         return matches.limit(0)
-    scored = stored(measures.scored(named, level, pairs, a, b, matches, alignments=alignments).where(F.col("missed") < limit), f"{kind}_scores")
+    scored = stored(measures.scored(named, level, pairs, a, b, matches, alignments=alignments, limit=limit).where(F.col("missed") < limit), f"{kind}_scores")
     found = ranking.one_to_one(ranking.accepted(scored, top, absolute, relative))
     return found.select(F.col("a").alias("x"), F.col("b").alias("y"))
 

@@ -252,6 +252,14 @@ def code_rows(archive: str, owner: str, code: bytes, pool: list, text, cls, make
     return out
 
 
+def content_of(archive: zipfile.ZipFile, name: str) -> bytes | Exception:
+    """Bytes of an entry, or the error that keeps it from being read."""
+    try:
+        return archive.read(name)
+    except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, EOFError, KeyError) as error:
+        return error
+
+
 def entries(data: bytes) -> Iterator[tuple[str | None, bytes | Exception]]:
     """(name, bytes) of the class files in an archive, or of a single file; what can't be opened has its error in place of bytes."""
     if data[:2] != b"PK":
@@ -261,38 +269,41 @@ def entries(data: bytes) -> Iterator[tuple[str | None, bytes | Exception]]:
         with zipfile.ZipFile(io.BytesIO(data)) as archive:
             for name in archive.namelist():
                 if name.endswith(".class"):
-                    try:
-                        yield name, archive.read(name)
-                    except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, EOFError) as error:
-                        yield name, error
+                    yield name, content_of(archive, name)
     except zipfile.BadZipFile as error:
         yield None, error
 
 
+def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    names = [part.split()[0] for part in SCHEMA.split(", ")]
+    types = [pa.int32() if n == "flags" else pa.string() for n in names]
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+
+def batches_of(archive: str, found: Iterator[tuple[str | None, bytes | Exception]]) -> Iterator[pa.RecordBatch]:
+    """Rows of class files (name, bytes), in batches of about ``BATCH_ROWS``; one that can't be parsed is a row of kind "rejected"."""
+    rows: list[tuple] = []
+    for name, body in found:
+        try:
+            if isinstance(body, Exception):
+                raise ValueError(str(body))
+            rows += rows_of(archive, body)
+        except (ValueError, IndexError, KeyError, TypeError, struct.error) as error:
+            rows.append((archive, "rejected", None, name, None, None, None, str(error)))
+        if len(rows) > BATCH_ROWS:
+            yield batch_of(rows)
+            rows = []
+    yield batch_of(rows)
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Rows of all class files in archives or single files under ``path``."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path_, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                rows: list[tuple] = []
-                for name, body in entries(content.as_py()):
-                    try:
-                        if isinstance(body, Exception):
-                            raise ValueError(str(body))
-                        rows += rows_of(path_, body)
-                    except (ValueError, IndexError, KeyError, TypeError, struct.error) as error:
-                        rows.append((path_, "rejected", None, name, None, None, None, str(error)))
-                    if len(rows) > BATCH_ROWS:
-                        yield batch_of(rows)
-                        rows = []
-                yield batch_of(rows)
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        names = [part.split()[0] for part in SCHEMA.split(", ")]
-        types = [pa.int32() if n == "flags" else pa.string() for n in names]
-        columns = zip(*rows, strict=True) if rows else [()] * len(names)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+                yield from batches_of(path_, entries(content.as_py()))
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
     return files.mapInArrow(parse, SCHEMA)

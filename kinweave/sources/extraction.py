@@ -35,8 +35,12 @@ def split_member(reference: Column) -> tuple[Column, Column]:
     return F.regexp_extract(reference, pattern, 1), F.regexp_extract(reference, pattern, 2)
 
 
-def first_wins(rows: DataFrame) -> DataFrame:
-    """Without the rows of classes that an earlier archive has, by name of the archive."""
+def first_wins(rows: DataFrame, archives: list[str] | None = None) -> DataFrame:
+    """Without the rows of classes that an earlier archive has. ``archives`` are paths in their order, which archives are below; without them, and among those of one path, the name decides."""
+    if archives is not None:
+        place = reduce(lambda found, i: F.when(F.col("archive").startswith(archives[i]), i).otherwise(found), range(len(archives) - 1, -1, -1), F.lit(len(archives)))
+        ordered = first_wins(rows.withColumn("archive", F.concat(F.format_string("%09d ", place), "archive")))
+        return ordered.withColumn("archive", F.substring("archive", 11, 1 << 30))
     me = F.coalesce("owner", "id")
     in_class = F.when(F.col("kind").isin("class", "implements", "field", "method", "outer"), me)
     known = rows.where("kind = 'class'").groupBy(F.col("id").alias("_class")).agg(F.min("archive").alias("_first"))
@@ -95,13 +99,21 @@ def variables_of(members: DataFrame, rows: DataFrame) -> DataFrame:
     return named.unionByName(local)
 
 
-def extract(rows: DataFrame, plain: str = r"(?!)", prefix: str = "", plain_members: str | None = None, variables: bool = False) -> Model:
+def extract(rows: DataFrame, plain: str = r"(?!)", prefix: str = "", plain_members: str | None = None, variables: bool = False, archives: list[str] | None = None, path: DataFrame | None = None) -> Model:
     """The model of ``rows`` (see ``classfile``); ``prefix`` goes before each id, so the ids of two sides differ.
 
     ``plain`` is matched with whole names of classes. ``plain_members`` is matched with ``class/name(...)...`` of methods and ``class/name;;type`` of fields;
-    without it, ``plain`` is matched with members' short names. The main method and the two given methods of enums are never disguised.
+    without it, ``plain`` is matched with members' short names. The main method and the two given methods of enums are never disguised. ``archives`` is the order of inputs (see ``first_wins``).
+    ``path`` has rows of the class path (see ``classpath``): its classes are resolved like others, but are given: nothing in them is disguised. Those that the inputs have don't count.
     """
-    rows = stored(first_wins(rows), "class_rows")
+    rows = stored(first_wins(rows, archives), "class_rows")
+    if path is not None:
+        own = rows.where("kind = 'class'").select(F.col("id").alias("class"))
+        held = path.where("kind = 'class'").select("archive", F.col("id").alias("class")).join(own, "class", "left_anti")
+        holder = F.coalesce(F.when(F.col("kind") == "class", F.col("id")), F.when(F.col("kind").isin("implements", "field", "method", "outer"), F.col("owner")), F.when(split_member(F.col("owner"))[0] != "", split_member(F.col("owner"))[0]), "owner")
+        given = path.where("kind <> 'rejected'").withColumn("class", holder).join(held, ["archive", "class"], "left_semi").drop("class")
+        given_classes = stored(held.select("class").distinct(), "given")
+        rows = stored(rows.unionByName(given), "class_rows")
     rows = with_lambdas(rows)
     of = lambda *kinds: rows.where(F.col("kind").isin(*kinds))
     classes = of("class").select("id", "other", "flags")
@@ -197,6 +209,10 @@ def extract(rows: DataFrame, plain: str = r"(?!)", prefix: str = "", plain_membe
         F.lit(0).alias("depth"), F.lit(0).alias("siblings"), "ord", F.when(c("kind") == "field", c("init")).alias("value"), F.regexp_replace("desc", "L[^;]+;", "L").alias("shape"), "size",
     )
     entities = first.unionByName(second)
+    if path is not None:
+        holder = F.when(c("kind") == "class", c("id")).otherwise(c("owner"))
+        marks = given_classes.select(c("class").alias("_holder"), F.lit(True).alias("_given"))
+        entities = entities.withColumn("_holder", holder).join(marks, "_holder", "left").withColumn("disguised", c("disguised") & c("_given").isNull()).drop("_holder", "_given")
     if variables:
         open_ = second.select(c("id").alias("owner"), c("disguised").alias("hidden"))
         fourth = vars_.join(open_, "owner").select(
