@@ -7,6 +7,7 @@ members by their matched owners; nothing already matched is a candidate.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -14,17 +15,33 @@ from pyspark.sql import functions as F
 
 from kinweave.storage import stored
 
-from . import measures, ranking, similarity, state
+from . import equality, measures, ranking, similarity, state
+from .components import components
 from .measures import Model
 from .sequences import Alignments
 
 KINDS = {"argument": "variable"}
 
 
+def matchable(model: Model) -> DataFrame:
+    """Entities that may be matched: all, or those whose own flag (``matchable``) and whose owners' flags say so."""
+    if "matchable" not in model.entity.columns:
+        return model.entity
+    rows = model.entity.withColumn("own", F.coalesce("matchable", F.lit(True))).drop("matchable")
+    levels = rows.where("owner IS NULL").withColumn("matchable", F.col("own"))
+    # classes, their members, and the members' variables
+    below, found = rows.where("owner IS NOT NULL"), [levels]
+    for _ in range(2):
+        own = below.join(levels.select(F.col("id").alias("owner")), "owner", "left_semi")
+        levels = equality.matchable(own, levels.select("id", "matchable"))
+        found.append(levels)
+    return reduce(DataFrame.unionByName, [f.select(*model.entity.columns) for f in found]).where("matchable")
+
+
 def unnamed(model: Model, kind: str, matches: DataFrame, side: str) -> DataFrame:
-    """Disguised entities of ``kind`` without a match."""
+    """Disguised entities of ``kind`` without a match that may have one."""
     taken = matches.select(F.col(side).alias("id"))
-    return model.entity.where((F.col("kind") == kind) & F.col("disguised")).join(taken, "id", "left_anti")
+    return matchable(model).where((F.col("kind") == kind) & F.col("disguised")).join(taken, "id", "left_anti")
 
 
 def prematched(a: Model, b: Model) -> DataFrame:
@@ -69,19 +86,47 @@ def class_pairs(a: Model, b: Model, matches: DataFrame, limit: float) -> DataFra
     return left.join(right, (F.col("a_flags") == F.col("under")) & (missed < limit + 1e-6)).select("a", "b")
 
 
-def member_pairs(kind: str, a: Model, b: Model, matches: DataFrame) -> DataFrame:
-    """(a, b) of unmatched members of matched owners."""
+def override_groups(model: Model) -> DataFrame:
+    """(id, owner, grouped) of all methods: those that override each other, by any way, are one group."""
+    ties = components(model.edge.where("rel = 'overrides'"), "src", "dst")
+    methods = model.entity.where("kind = 'method'").select("id", "owner")
+    return stored(methods.join(ties.select(F.col("node").alias("id"), F.col("label").alias("grouped")), "id", "left").withColumn("grouped", F.coalesce("grouped", "id")), "groups")
+
+
+def group_pairs(matches: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a_group, b_group) of the hierarchies that matched methods tie, if a group is tied to one other only."""
+    tied = matches.join(left.select(F.col("id").alias("x"), F.col("grouped").alias("a_group")), "x").join(right.select(F.col("id").alias("y"), F.col("grouped").alias("b_group")), "y")
+    tied = tied.select("a_group", "b_group").distinct()
+    once = [tied.groupBy(g).agg(F.count("*").alias("n")).where("n = 1").select(g) for g in ("a_group", "b_group")]
+    return tied.join(once[0], "a_group", "left_semi").join(once[1], "b_group", "left_semi")
+
+
+def hierarchy_matches(matches: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(x, y): what follows from matched methods for the methods that override them, or that they override, in matched classes."""
+    owners = matches.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    found = ranking.one_to_one(state.fan_out(group_pairs(matches, left, right), left, right, owners))
+    once = found.groupBy("a").agg(F.min("b").alias("y"), F.count("*").alias("n")).where("n = 1").select(F.col("a").alias("x"), "y")
+    return once.join(matches.select("x"), "x", "left_anti").join(matches.select("y"), "y", "left_anti").select("x", "y")
+
+
+def member_pairs(kind: str, a: Model, b: Model, matches: DataFrame, groups: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(a, b) of unmatched members of matched owners; methods of a matched hierarchy meet only those of its partner."""
+    if kind == "method" and groups:
+        free = [u.select("id") for u in (unnamed(a, kind, matches, "x"), unnamed(b, kind, matches, "y"))]
+        own = [g.join(f, "id", "left_semi") for g, f in zip(groups, free, strict=True)]
+        met = matches.select(F.col("x").alias("a"), F.col("y").alias("b"))
+        return equality.method_candidates(met, *own, met, group_pairs(matches, *groups))
     left = unnamed(a, kind, matches, "x").select(F.col("id").alias("a"), F.col("owner").alias("x"))
     right = unnamed(b, kind, matches, "y").select(F.col("id").alias("b"), F.col("owner").alias("y"))
     return matches.join(left, "x").join(right, "y").select("a", "b")
 
 
-def one_pass(kind: str, level: str, a: Model, b: Model, matches: DataFrame, absolute: float = ranking.ABSOLUTE, relative: float = ranking.RELATIVE, alignments: Alignments | None = None) -> DataFrame:
-    """(x, y): the new matches of one pass. ``alignments`` are those of the pass before."""
+def one_pass(kind: str, level: str, a: Model, b: Model, matches: DataFrame, absolute: float = ranking.ABSOLUTE, relative: float = ranking.RELATIVE, alignments: Alignments | None = None, groups: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(x, y): the new matches of one pass. ``alignments`` are those of the pass before, ``groups`` both sides' hierarchies of methods."""
     named = KINDS.get(kind, kind)
     top = measures.usable_total(named, level, a, b)
     limit = ranking.cutoff(top, absolute, relative)
-    pairs = stored(class_pairs(a, b, matches, limit) if kind == "class" else member_pairs(kind, a, b, matches), f"{kind}_pairs")
+    pairs = stored(class_pairs(a, b, matches, limit) if kind == "class" else member_pairs(kind, a, b, matches, groups), f"{kind}_pairs")
     if pairs.isEmpty():
         return matches.limit(0)
     scored = stored(measures.scored(named, level, pairs, a, b, matches, alignments=alignments, limit=limit).where(F.col("missed") < limit), f"{kind}_scores")
@@ -99,18 +144,41 @@ def plain_members(new: DataFrame, a: Model, b: Model) -> DataFrame:
 def auto_match(a: Model, b: Model, matches: DataFrame | None = None) -> DataFrame:
     """(x, y): all matches, from plain names on, by the schedule of ``state.schedule``."""
     current = stored(matches if matches is not None else prematched(a, b), "matches")
-    alignments = Alignments()
+    alignments, groups = Alignments(), (override_groups(a), override_groups(b))
 
     def run(kind: str, level: str) -> bool:
         nonlocal current
-        new = stored(one_pass(kind, level, a, b, current, alignments=alignments), "new_matches")
+        new = stored(one_pass(kind, level, a, b, current, alignments=alignments, groups=groups), "new_matches")
         if new.isEmpty():
             return False
         if kind == "class":
             free = plain_members(new, a, b).join(current.select("x"), "x", "left_anti").join(current.select("y"), "y", "left_anti")
             new = new.unionByName(free)
         current = stored(current.unionByName(new), "matches")
+        if kind in ("class", "method"):
+            # a match of a method is one of its whole hierarchy, as far as the classes are matched
+            current = stored(current.unionByName(stored(hierarchy_matches(current, *groups), "hierarchy")), "matches")
         return True
 
     state.schedule(run)
     return current
+
+
+def ranking_of(element: str, a: Model, b: Model, matches: DataFrame, k: int = 20, level: str = "extra") -> tuple[DataFrame, list[int]]:
+    """(b, score, place): the ``k`` best partners of one element of side a, weak ones too, and the pairs visited.
+
+    Those of a class are all classes of side b. Those of a member are the members of its owner's partner; if the owner has none, its own ranking is
+    returned, or that of the nearest owner above whose owner has one.
+    """
+    row = a.entity.where(F.col("id") == element).select("id", "kind", "owner").first()
+    if row is None:
+        raise ValueError(f"no such element: {element}")
+    if row.owner is not None:
+        partner = matches.where(F.col("x") == row.owner).first()
+        if partner is None:
+            return ranking_of(row.owner, a, b, matches, k, level)
+        others = b.entity.where((F.col("kind") == row.kind) & (F.col("owner") == partner.y))
+    else:
+        others = b.entity.where(F.col("kind") == row.kind)
+    pairs = stored(others.select(F.lit(element).alias("a"), F.col("id").alias("b")), "pairs")
+    return measures.first_of(KINDS.get(row.kind, row.kind), pairs, a, b, matches, k, level)

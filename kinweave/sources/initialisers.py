@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.operators import slices
+from kinweave.storage import stored
 
 # Stack slots that instructions take and leave, as (first opcode, last opcode, taken, left), by the order of opcodes.
 # Those of fields, calls and arrays of several dimensions follow from their descriptors.
@@ -75,7 +76,9 @@ def initialisers(rows: DataFrame, writes: DataFrame, types_of) -> DataFrame:
     brings the call of its constructor along.
     """
     one = writes.groupBy("field").agg(F.min(F.struct("method", "place")).alias("first"), F.count_distinct("method").alias("n")).where("n = 1")
-    starts = one.select(F.col("field").alias("item"), "first.method", "first.place")
+    starts = stored(one.select(F.col("field").alias("item"), "first.method", "first.place"), "starts")
+    if starts.isEmpty():
+        return starts.withColumnRenamed("item", "field")
     own = rows.join(starts.select(F.col("method").alias("owner")).distinct(), "owner", "left_semi")
     insns = instructions(own, types_of)
     ranges = own.where("kind = 'handler'").select(F.col("owner").alias("method"), F.col("id").cast("int").alias("start"), F.col("flags").alias("stop"), F.col("value").cast("int").alias("handler"))
