@@ -37,7 +37,8 @@ def test_the_rest_runs_without_the_corpus_operators(tmp_path):
         if part.name != "llm":
             (tmp_path / "kinweave" / part.name).symlink_to(part)
     code = f"import sys; sys.path[0] = {str(tmp_path)!r}; sys.path = [p for p in sys.path if p != {str(ROOT)!r}]; import __spark_entry__ as e; assert not any(n.startswith('op') for n in e.queries()); assert 'pipeline' not in e.queries()"
-    subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, timeout=120)
+    code += "; from pyspark.sql import SparkSession as S; s = S.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate(); assert e.queries()['identity_prematch'](s, '/root/testdata/sf0.001').count() > 0"
+    subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, timeout=240)
 
 
 def test_nothing_else_imports_the_corpus_operators():
