@@ -105,10 +105,10 @@ SELECT a, b FROM x WHERE k = 1 AND NOT gone"""
 
 
 def unmatch_closure(spark, sf_dir):
-    """What goes when customers without a balance do: their orders, the orders' lines by part and supplier, and all other orders of the same clerk's day and price."""
+    """What goes when customers in debt do: their orders, the orders' lines by part and supplier, and all other orders of the same clerk's day and price."""
     customer, o, line = (table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
     name = lambda kind, *keys: F.concat_ws("-", F.lit(kind), *keys)
-    gone = customer.where("c_acctbal < -900").select(name("c", "c_custkey").alias("a"))
+    gone = customer.where("c_acctbal < 0").select(name("c", "c_custkey").alias("a"))
     one, other = o.select("o_orderdate", F.col("o_orderkey").alias("x")), o.select("o_orderdate", F.col("o_orderkey").alias("y"))
     twins = one.join(other, "o_orderdate").where("x <> y").select(name("o", "x").alias("a"), name("o", "y").alias("then"))
     owned = o.select(name("c", "o_custkey").alias("a"), name("o", "o_orderkey").alias("then"))
@@ -119,7 +119,7 @@ def unmatch_closure(spark, sf_dir):
 UNMATCH_CLOSURE = """
 WITH RECURSIVE f AS (SELECT 'c-' || o_custkey AS a, 'o-' || o_orderkey AS t FROM orders UNION SELECT 'o-' || l_orderkey, 'l-' || l_orderkey || '-' || l_partkey || '-' || l_suppkey FROM lineitem
   UNION SELECT 'o-' || x.o_orderkey, 'o-' || y.o_orderkey FROM orders x JOIN orders y ON x.o_orderdate = y.o_orderdate AND x.o_orderkey <> y.o_orderkey),
-g AS (SELECT 'c-' || c_custkey AS a FROM customer WHERE c_acctbal < -900), w AS (SELECT a FROM g UNION SELECT f.t FROM w JOIN f USING (a))
+g AS (SELECT 'c-' || c_custkey AS a FROM customer WHERE c_acctbal < 0), w AS (SELECT a FROM g UNION SELECT f.t FROM w JOIN f USING (a))
 SELECT a, a IN (SELECT a FROM g) AS first FROM w"""
 
 QUERIES = {f.__name__: f for f in (signature_equality, method_resolution, field_resolution, journal_state, unmatch_closure)}
