@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.storage import stored
+
+from .components import components
+
 
 def of_counts(a: Column, b: Column) -> Column:
     """1 if equal, else one less the relative difference; two nulls are equal, a null and a count aren't."""
@@ -54,3 +58,21 @@ def of_identities(pairs: DataFrame, a_sets: DataFrame, b_sets: DataFrame, matche
     n_a, n_b = F.coalesce("n_a", zero), F.coalesce("n_b", zero)
     score = F.when((n_a == 0) & (n_b == 0), 1.0).when((n_a == 0) | (n_b == 0), 0.0).otherwise((n_a + n_b - F.col("lost_a") - F.col("lost_b")) / (n_a + n_b))
     return pairs.join(lost_left, ["a", "b"], "left").join(lost_right, ["a", "b"], "left").select("a", "b", score.alias("similarity"))
+
+
+def by_shared_tokens(tokens: DataFrame) -> DataFrame:
+    """(a, b, common, similarity, class_id): sets that share tokens, from (id, token).
+
+    Each token ties the sets that have it to the smallest of them, so a token of any frequency gives rows in proportion to its sets, and a set has a
+    row for each such representative a that it shares a token with, with their exact Jaccard similarity. All sets that are connected by shared tokens have one class, its smallest id.
+    """
+    tokens = stored(tokens.where("id IS NOT NULL AND token IS NOT NULL").distinct(), "tokens")
+    first = tokens.groupBy("token").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("token", "a")
+    pairs = stored(tokens.join(first, "token").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "pairs")
+    # the tokens of b that a has too
+    own = pairs.join(tokens.select(F.col("id").alias("b"), "token"), "b")
+    common = own.join(tokens.select(F.col("id").alias("a"), "token"), ["a", "token"]).groupBy("a", "b").agg(F.count("*").alias("common"))
+    sizes = tokens.groupBy("id").agg(F.count("*").alias("n"))
+    rows = common.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("n_b")), "b")
+    classes = components(pairs).select(F.col("node").alias("b"), F.col("label").alias("class_id"))
+    return rows.join(classes, "b").select("a", "b", "common", (F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("similarity"), "class_id")

@@ -163,11 +163,9 @@ def file_identity(spark, sf_dir):
 
 
 def jaccard_docs(spark, sf_dir):
-    """Similarity of each document's set of lines to that of the next document of its source."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.array_distinct(F.split("text", "\n")).alias("lines"))
-    pairs = names.followed(d.select("doc_id", "source"), "source", "doc_id", "next").where("next IS NOT NULL").select("doc_id", "next")
-    both = pairs.join(d.select("doc_id", F.col("lines").alias("x")), "doc_id").join(d.select(F.col("doc_id").alias("next"), F.col("lines").alias("y")), "next")
-    return both.select("doc_id", "next", F.round(similarity.of_sets(F.col("x"), F.col("y")), 6).alias("similarity"))
+    """Documents that share lines of 40 characters or more, each with the first document of every such line, their similarity over all such lines, and their class."""
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(F.split("text", "\n")).alias("token")).where(F.length("token") >= 40)
+    return similarity.by_shared_tokens(lines).withColumn("similarity", F.round("similarity", 6))
 
 
 def _match_lines(spark, sf_dir) -> DataFrame:
@@ -231,8 +229,11 @@ CASE WHEN size & 8 <> 0 THEN 'static' END, CASE WHEN size >= 16 THEN '0x' || low
 FROM lineitem JOIN p ON l_partkey = id GROUP BY 1""",
     "sorted_name_list": "SELECT l_orderkey, string_agg(s_name, chr(10) ORDER BY s_name) AS names FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1",
     "file_identity": "SELECT doc_id, strlen(text)::BIGINT AS size, sha256(text) AS sha256, to_base64(unhex(md5(text))) AS hash FROM documents",
-    "jaccard_docs": """WITH d AS (SELECT doc_id, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS nxt, list_distinct(string_split(text, chr(10))) AS l FROM documents)
-SELECT x.doc_id, x.nxt AS next, round(len(list_intersect(x.l, y.l)) / len(list_distinct(list_concat(x.l, y.l)))::DOUBLE, 6) AS similarity FROM d x JOIN d y ON x.nxt = y.doc_id""",
+    "jaccard_docs": """WITH RECURSIVE t AS (SELECT DISTINCT doc_id AS id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) >= 40),
+p AS MATERIALIZED (SELECT DISTINCT f.a, t.id AS b FROM t JOIN (SELECT line, min(id) AS a FROM t GROUP BY 1) f USING (line) WHERE t.id <> f.a),
+l AS (SELECT id, list(line) AS v FROM t GROUP BY 1), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a), g AS (SELECT a, min(least(a, b)) AS class_id FROM reach GROUP BY 1)
+SELECT p.a, p.b, len(list_intersect(x.v, y.v)) AS common, round(len(list_intersect(x.v, y.v)) / (len(x.v) + len(y.v) - len(list_intersect(x.v, y.v)))::DOUBLE, 6) AS similarity, class_id
+FROM p JOIN l x ON x.id = p.a JOIN l y ON y.id = p.b JOIN g ON g.a = p.b""",
     "matchfile_lines": f"WITH {MATCH_LINES}, l AS (SELECT 'c' || chr(9) || a || chr(9) || b AS value FROM o UNION ALL SELECT chr(9) || kind || chr(9) || a || chr(9) || b FROM m) SELECT value, count(*) AS n FROM l GROUP BY 1",
     "matchfile_parse": f"""WITH {MATCH_LINES}, l AS (SELECT 'c' AS tag, a AS owner_a, b AS owner_b, a AS f FROM o UNION ALL SELECT kind, m.owner, o.b, m.a FROM m JOIN o ON m.owner = o.a)
 SELECT tag, owner_a, owner_b, count(*) AS n, min(f) AS first FROM l GROUP BY 1, 2, 3""",

@@ -278,3 +278,17 @@ def test_one_very_long_range_makes_few_rows(spark):
     wanted = spark.createDataFrame([(1, 0, 2**40), (1, 2**39, 2**39 + 1), (2, 5, 6)], "slot int, start long, stop long")
     ranges = spark.createDataFrame([(1, 2**39, 2**39 + 5, 7), (1, 2**41, 2**42, 8), (2, 0, 2**45, 9)], "slot int, start long, stop long, entity int")
     assert [r.entity for r in lookups.overlapping(wanted, ranges, "slot", "entity").orderBy("slot", "start").collect()] == [7, 7, 9]
+
+
+def test_sets_by_shared_tokens(spark):
+    """A token of all sets gives one row for each; classes join through any shared token."""
+    sets = {i: {f"t{i}", f"u{i // 2}"} | ({"hot"} if i < 20 else set()) for i in range(30)} | {40: {"alone"}, 41: set()}
+    rows = [(i, t) for i, ts in sets.items() for t in ts] * 2 + [(None, "hot"), (5, None)]
+    got = {(r.a, r.b): (r.common, r.similarity, r.class_id) for r in similarity.by_shared_tokens(spark.createDataFrame(rows, "id long, token string")).collect()}
+    want = {}
+    for token in {t for ts in sets.values() for t in ts}:
+        held = sorted(i for i, ts in sets.items() if token in ts)
+        for b in held[1:]:
+            a = held[0]
+            want[a, b] = (len(sets[a] & sets[b]), pytest.approx(len(sets[a] & sets[b]) / len(sets[a] | sets[b])), 0 if b < 20 else b - 1)
+    assert got == want and len(got) == 19 + 9 + 5
