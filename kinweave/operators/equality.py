@@ -69,9 +69,10 @@ def potential_lambdas(found: DataFrame, lambdas_a: DataFrame, lambdas_b: DataFra
     """
     both = found.join(lambdas_a.select(F.col("id").alias("a")), "a", "left_semi").join(lambdas_b.select(F.col("id").alias("b")), "b", "left_semi")
     both = both.where("potential").join(matches.select("a"), "a", "left_anti")
-    met = both.select("a", "b").join(calls_a.select(F.col("caller").alias("_ca"), F.col("callee").alias("a")), "a").join(calls_b.select(F.col("caller").alias("_cb"), F.col("callee").alias("b")), "b")
+    # the callers of a, what these could be, and whether that calls b: never all callers of the one with all of the other
+    met = both.select("a", "b").join(calls_a.select(F.col("caller").alias("_ca"), F.col("callee").alias("a")), "a")
     callers = found.where("potential").select(F.col("a").alias("_ca"), F.col("b").alias("_cb"))
-    held = met.join(callers, ["_ca", "_cb"], "left_semi").select("a", "b").distinct()
+    held = met.join(callers, "_ca").join(calls_b.select(F.col("caller").alias("_cb"), F.col("callee").alias("b")), ["_cb", "b"], "left_semi").select("a", "b").distinct()
     lost = both.select("a", "b").join(held, ["a", "b"], "left_anti").withColumn("_lost", F.lit(True))
     return found.join(lost, ["a", "b"], "left").select("a", "b", (F.col("potential") & F.col("_lost").isNull()).alias("potential"))
 

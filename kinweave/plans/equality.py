@@ -93,10 +93,11 @@ gm AS ({sql_of(GROUP_MATCH, "customer")} WHERE c_acctbal > 4000), am AS ({sql_of
 pr AS (SELECT l_orderkey AS a, l_suppkey + {SHIFT} AS b FROM lineitem UNION {sql_of(METHOD_MATCH, "orders")}),
 op AS (SELECT DISTINCT am.owner AS a, bm.owner AS b FROM pr JOIN am ON am.id = pr.a JOIN bm ON bm.id = pr.b),
 ow AS (SELECT p.a, p.b, {decided(names_sql(False))} AS ok FROM op p {ENDS.replace("av x", "ao x").replace("bv y", "bo y").replace("mt m", "om m")}), mt AS ({sql_of(METHOD_MATCH, "orders")} WHERE o_totalprice > 400000),
-f AS (SELECT p.a, p.b, mx.b IS NULL AS loose, {decided("coalesce(ow.ok, false) AND " + names_sql(False) + " AND (NOT starts_with(x.name, '<') AND NOT starts_with(y.name, '<') OR x.name = y.name) AND (ga.b_group IS NULL AND gb.a_group IS NULL OR coalesce(ga.b_group = y.grouped, false))")} AS plain
+f AS MATERIALIZED (SELECT p.a, p.b, mx.b IS NULL AS loose, {decided("coalesce(ow.ok, false) AND " + names_sql(False) + " AND (NOT starts_with(x.name, '<') AND NOT starts_with(y.name, '<') OR x.name = y.name) AND (ga.b_group IS NULL AND gb.a_group IS NULL OR coalesce(ga.b_group = y.grouped, false))")} AS plain
  FROM pr p {ENDS.replace("av x", "am x").replace("bv y", "bm y")} LEFT JOIN ow ON ow.a = x.owner AND ow.b = y.owner LEFT JOIN gm ga ON ga.a_group = x.grouped LEFT JOIN gm gb ON gb.b_group = y.grouped)"""
 POTENTIAL_METHODS = f"""WITH {METHOD_TABLES}, lo AS (SELECT o_orderkey AS k FROM orders WHERE o_orderpriority > '5'), cl AS (SELECT DISTINCT l_suppkey AS caller, l_orderkey AS callee FROM lineitem),
-kept AS (SELECT DISTINCT f.a, f.b FROM f JOIN cl ca ON ca.callee = f.a JOIN cl cb ON cb.callee = f.b - {SHIFT} JOIN f g ON g.a = ca.caller AND g.b = cb.caller + {SHIFT} AND g.plain)
+asked AS MATERIALIZED (SELECT f.a, f.b FROM f JOIN lo x ON x.k = f.a JOIN lo y ON y.k = f.b - {SHIFT} WHERE plain AND loose), met AS MATERIALIZED (SELECT asked.a, asked.b, ca.caller FROM asked JOIN cl ca ON ca.callee = asked.a),
+far AS MATERIALIZED (SELECT met.a, met.b, g.b - {SHIFT} AS caller FROM met JOIN f g ON g.a = met.caller AND g.plain), kept AS MATERIALIZED (SELECT DISTINCT far.a, far.b FROM far JOIN cl cb ON cb.callee = far.b - {SHIFT} AND cb.caller = far.caller)
 SELECT f.a, f.b, plain, plain AND NOT (loose AND f.a IN (SELECT k FROM lo) AND f.b - {SHIFT} IN (SELECT k FROM lo) AND kept.a IS NULL) AS potential FROM f LEFT JOIN kept ON kept.a = f.a AND kept.b = f.b"""
 
 
