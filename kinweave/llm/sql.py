@@ -36,12 +36,13 @@ SELECT d.doc_id, count(CASE WHEN kind = 'email' THEN 1 END) AS n_email, count(CA
  coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY ord, s), '') AS spans
 FROM d LEFT JOIN z ON d.doc_id = z.doc_id GROUP BY d.doc_id"""
 
+#: Rows are documents: those of one doc_id are counted each, as the operator does.
 LINES = f"""
-WITH l AS (SELECT doc_id, i, ls[i] AS line, translate(trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS k
-  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
-s AS (SELECT k, max(doc_id) AS keep FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+WITH l AS (SELECT row, doc_id, i, ls[i] AS line, translate(trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS k
+  FROM (SELECT row, doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
+s AS (SELECT k, max(doc_id) AS keep FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT row) >= 5),
 j AS (SELECT l.*, keep IS NOT NULL AND doc_id < keep AS gone FROM l LEFT JOIN s USING (k))
-SELECT doc_id, count(*) AS n_lines, count(CASE WHEN gone THEN 1 END) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM j GROUP BY doc_id"""
+SELECT doc_id, count(*) AS n_lines, count(CASE WHEN gone THEN 1 END) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM j GROUP BY row, doc_id"""
 
 DECONTAM = f"""
 WITH b AS (SELECT DISTINCT item_id, {LOW_WORDS} AS w FROM benchmark),
