@@ -4,7 +4,7 @@ Archives are read by the binary file source; each is opened and parsed in the ta
 name, other, flags, value): kind says which of the columns are used. A file that isn't a class file, or an archive that can't be opened,
 gives one row of kind "rejected".
 
-Kinds: class (other is its parent), implements, outer, field, method, signature (value, of the class or member that is the owner), the constants string, int,
+Kinds: class (other is its parent), implements (id is its place), outer, field, method, signature (value, of the class or member that is the owner), the constants string, int,
 long, float and double, calls, reads, writes and "class ref" (other), code (id is the place, flags the opcode, name the slot of an instruction on a
 variable, or what a dynamic call would call: then other is its maker, and value the maker's tag and whether it is an interface's), jump (id is the place, value a place that may be next),
 site (id is the place of a dynamic call, value its descriptor), handler (id is the first place of a range, flags the one after its last, value the handler's), and local (id is the place in the table of
@@ -121,8 +121,8 @@ def rows_of(archive: str, data: bytes) -> list[tuple]:
     flags, this, parent = r.take(">HHH")
     me = cls(this)
     out = [(archive, "class", None, me, me, cls(parent), flags, None)]
-    for _ in range(r.take(">H")):
-        out.append((archive, "implements", me, None, None, cls(r.take(">H")), None, None))
+    for place in range(r.take(">H")):
+        out.append((archive, "implements", me, str(place), None, cls(r.take(">H")), None, None))
     bodies = []
     for kind in ("field", "method"):
         for place in range(r.take(">H")):

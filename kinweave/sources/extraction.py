@@ -26,6 +26,8 @@ REFERENCES = ("calls", "reads", "writes")
 CONSTANTS = ("string", "int", "long", "float", "double")
 PRIVATE_OR_STATIC = 0x0002 | 0x0008
 STATIC, ENUM, DYNAMIC = 0x0008, 0x4000, 186
+INTERFACE, VARIED = 0x0200, 0x0080 | 0x0100
+HANDLE, HANDLE_CALL = "java/lang/invoke/MethodHandle", "([Ljava/lang/Object;)Ljava/lang/Object;"
 MAIN, MAIN_FLAGS = "main([Ljava/lang/String;)V", 0x0009
 
 
@@ -79,6 +81,27 @@ def with_lambdas(rows: DataFrame) -> DataFrame:
     return code.drop("_target").unionByName(calls)
 
 
+def meant(named: DataFrame, classes: DataFrame, implements: DataFrame, paths: DataFrame, members: DataFrame) -> DataFrame:
+    """``named`` (other, owner, name) with the member that the reference means, as the virtual machine resolves it (see ``lookups``)."""
+    flag = lambda bit: F.col("flags").bitwiseAND(F.lit(bit)) != 0
+    parents = classes.where("other IS NOT NULL").select(F.col("id").alias("src"), F.col("other").alias("dst"))
+    # what is referred to without being known, and what nothing is above, is only itself
+    alone = named.select(F.col("owner").alias("sub")).unionByName(classes.select(F.col("id").alias("sub"))).distinct()
+    up = graph.closure(parents)
+    up = stored(up.unionByName(alone.join(up.select("sub").distinct(), "sub", "left_anti").select("sub", F.col("sub").alias("sup"), F.lit(0).alias("distance"))), "parents")
+    faces = classes.where(flag(INTERFACE)).select(F.col("id").alias("sup"))
+    above = paths.where("sub <> sup").join(faces, "sup", "left_semi").select("sub", "sup")
+    told = members.select("owner", "name", "short", "desc", "member", "kind", *[flag(bit).alias(n) for n, bit in (("abstract", 0x0400), ("private", 0x0002), ("static", 0x0008), ("public", 0x0001))], (F.col("flags").bitwiseAND(F.lit(VARIED)) == VARIED).alias("varied"))
+    calls, accesses = named.where("NOT contains(name, ';;')"), named.where("contains(name, ';;')")
+    general = told.where((F.col("owner") == HANDLE) & (F.col("desc") == HANDLE_CALL) & F.col("varied")).select("owner", "short", "member")
+    handles = calls.select("name", F.substring_index("name", "(", 1).alias("short")).distinct().join(general, "short").select("owner", "name", "member")
+    faced = calls.join(faces.withColumnRenamed("sup", "owner").withColumn("faced", F.lit(True)), "owner", "left").withColumn("faced", F.coalesce("faced", F.lit(False)))
+    methods = lookups.specific_methods(faced, up, above, told.where("kind = 'method'"), handles)
+    ways = lookups.interface_paths(implements.select(F.col("owner").alias("sub"), F.col("other").alias("sup"), F.coalesce(F.col("id").try_cast("int"), F.lit(0)).alias("ord")))
+    fields = lookups.resolved_fields(accesses, up, ways, told.where("kind = 'field'"))
+    return methods.select("other", "member").unionByName(fields.select("other", "member"))
+
+
 def variables_of(members: DataFrame, rows: DataFrame) -> DataFrame:
     """(id, owner, kind, name, type, ord, slot, start) of the arguments and local variables of methods.
 
@@ -127,10 +150,7 @@ def extract(rows: DataFrame, plain: str = r"(?!)", prefix: str = "", plain_membe
     refers = of(*REFERENCES).select("owner", "kind", "other").distinct()
     holder, name = split_member(F.col("other"))
     named = refers.select("other").distinct().select("other", holder.alias("owner"), name.alias("name"))
-    # a class without anything above it isn't in the closure
-    alone = named.select(F.col("owner").alias("sub")).distinct().join(paths.select("sub").distinct(), "sub", "left_anti")
-    ways = paths.unionByName(alone.select("sub", F.col("sub").alias("sup"), F.lit(0).alias("distance")))
-    found = lookups.resolved_members(named, ways, members.select("owner", "name", "member"))
+    found = meant(named, classes, of("implements"), paths, members)
     target = stored(found.select("other", F.coalesce("member", "other").alias("target")), "class_targets")
 
     def edge(rel: str | Column, src: Column, dst: Column, frame: DataFrame) -> DataFrame:

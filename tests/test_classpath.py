@@ -97,3 +97,21 @@ def test_stages_lose_no_pair_within_the_limit(spark):
     staged = {(r.a, r.b): (r.score, r.missed) for r in measures.scored("class", "initial", pairs, a, b, matches, limit=11.0).where(F.col("missed") < 11.0).collect()}
     want = {k: pytest.approx(v, abs=1e-8) for k, v in whole.items() if v[1] < 11}
     assert staged == want and 12 <= len(want) < len(whole) / 2
+
+
+def test_references_are_resolved_as_by_the_virtual_machine(spark):
+    """C implements I and J, J extends K; D extends C. A handle's call has any descriptor."""
+    row = lambda kind, own=None, i=None, name=None, other=None, flags=None, value=None: ("x.jar", kind, own, i, name, other, flags, value)
+    method = lambda own, name, desc="()V", flags=1: row("method", own, name + desc, name, desc, flags, "0")
+    field = lambda own, name: row("field", own, f"{name};;I", name, "I", 9, "0")
+    obj, handle = "java/lang/Object", "java/lang/invoke/MethodHandle"
+    rows = [row("class", None, n, n, p, f) for n, p, f in (("C", obj, 1), ("D", "C", 1), ("I", obj, 0x600), ("J", obj, 0x600), ("K", obj, 0x600), (obj, None, 1), (handle, obj, 1))]
+    rows += [row("implements", "C", "0", other="I"), row("implements", "C", "1", other="J"), row("implements", "J", "0", other="K")]
+    rows += [method("I", "m", flags=0x401), method("K", "m"), method("J", "n", flags=0x401), method("K", "n", flags=0x401), method(obj, "hash"), method(obj, "clone", flags=4), method("D", "use"), method(handle, "invoke", "([Ljava/lang/Object;)Ljava/lang/Object;", 0x181)]
+    rows += [field("K", "f"), field("I", "f"), field("C", "g"), field("I", "g"), field(obj, "h"), field("J", "h")]
+    calls = {"D/m()V": "K/m()V", "D/n()V": "J/n()V", "I/hash()V": f"{obj}/hash()V", "I/clone()V": "I/clone()V", f"{handle}/invoke(I)J": f"{handle}/invoke([Ljava/lang/Object;)Ljava/lang/Object;", "Z/m()V": "Z/m()V"}
+    reads = {"C/f;;I": "I/f;;I", "C/g;;I": "C/g;;I", "D/g;;I": "C/g;;I", "C/h;;I": "J/h;;I", "D/h;;I": f"{obj}/h;;I"}
+    rows += [row("calls", "D/use()V", other=o) for o in calls] + [row("reads", "D/use()V", other=o) for o in reads]
+    model = extraction.extract(spark.createDataFrame(rows, classfile.SCHEMA))
+    got = {(r.rel, r.dst) for r in model.edge.where("src = 'D/use()V' AND rel IN ('calls', 'reads')").collect()}
+    assert got == {("calls", t) for t in calls.values()} | {("reads", t) for t in reads.values()}
