@@ -105,12 +105,14 @@ SELECT a, b FROM x WHERE k = 1 AND NOT gone"""
 
 
 def unmatch_closure(spark, sf_dir):
-    """What goes when customers in debt do: their orders, the orders' lines by part and supplier, and all other orders of the same clerk's day and price."""
+    """What goes when customers in debt do: their orders, the orders' lines by part and supplier, and all other orders of one day."""
     customer, o, line = (table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
     name = lambda kind, *keys: F.concat_ws("-", F.lit(kind), *keys)
     gone = customer.where("c_acctbal < 0").select(name("c", "c_custkey").alias("a"))
-    one, other = o.select("o_orderdate", F.col("o_orderkey").alias("x")), o.select("o_orderdate", F.col("o_orderkey").alias("y"))
-    twins = one.join(other, "o_orderdate").where("x <> y").select(name("o", "x").alias("a"), name("o", "y").alias("then"))
+    # those of one day by its first order, so a day gives rows in proportion to its orders
+    day = o.groupBy("o_orderdate").agg(F.min("o_orderkey").alias("first"))
+    tied = o.join(day, "o_orderdate").where("o_orderkey <> first").select(name("o", "o_orderkey").alias("a"), name("o", "first").alias("then"))
+    twins = tied.unionByName(tied.select(F.col("then").alias("a"), F.col("a").alias("then")))
     owned = o.select(name("c", "o_custkey").alias("a"), name("o", "o_orderkey").alias("then"))
     lines = line.select(name("o", "l_orderkey").alias("a"), name("l", "l_orderkey", "l_partkey", "l_suppkey").alias("then"))
     return journal.cascade(gone, owned.unionByName(lines).unionByName(twins)).select("a", F.col("cause").isNull().alias("first"))
