@@ -1,7 +1,7 @@
 """Linking two models from end to end: passes over classes, members and variables until nothing changes.
 
 The state is one table of matches (x, y). A pass reads it as it is, scores all candidates in one job, and its accepted pairs are
-written before the next pass. Candidates of classes are found by the flags that the cutoff lets differ and a bound from counts, those of
+written before the next pass. Candidates of classes are found by the flags that the cutoff lets differ, by rare features and a bound from counts, those of
 members by their matched owners; nothing already matched is a candidate.
 """
 
@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 
 from kinweave.storage import stored
 
-from . import equality, measures, ranking, similarity, state
+from . import equality, measures, prefixes, ranking, similarity, state
 from .components import components
 from .measures import Model
 from .sequences import Alignments
 
 KINDS = {"argument": "variable"}
+#: The sort of features that shapes of methods are.
+SHAPE = "method shape"
 
 
 def matchable(model: Model) -> DataFrame:
@@ -59,31 +61,55 @@ def prematched(a: Model, b: Model) -> DataFrame:
     return ranking.one_to_one(once).select(F.col("a").alias("x"), F.col("b").alias("y"))
 
 
-def class_pairs(a: Model, b: Model, matches: DataFrame, limit: float) -> DataFrame:
-    """(a, b) of unmatched classes that their flags and counts don't already cost ``limit``. No acceptable pair is lost.
+def class_features(model: Model, classes: DataFrame, used: list[measures.Declared]) -> DataFrame:
+    """``prefixes.features`` of classes: values of the token measures in ``used``, and shapes of methods, of which one may bring its measure's whole weight."""
+    weights: dict[str, float] = {}
+    for d in used:
+        sorts = {"tokens": d.what, "numbers": measures.NUMBERS, "greedy": (SHAPE,)}[d.how]
+        for s in sorts:
+            weights[s] = weights.get(s, 0) + d.weight / len(sorts)
+    values = model.token.select(F.col("owner").alias("id"), "sort", "value").where(F.col("sort") != SHAPE)
+    if SHAPE in weights:
+        # methods without a shape are alike
+        shape = F.coalesce(F.concat(F.lit("="), F.col("shape").cast("string")), F.lit("-"))
+        values = values.unionByName(model.entity.where("kind = 'method'").select(F.col("owner").alias("id"), F.lit(SHAPE).alias("sort"), shape.alias("value")))
+    return prefixes.features(classes, values.join(classes.select("id"), "id", "left_semi"), weights, frozenset({SHAPE}))
 
-    Each class of side b is filed under all flags that differ from its own in as few bits as the limit allows, so flags are
-    a join key, and the bound is part of the join's condition.
+
+def class_pairs(a: Model, b: Model, matches: DataFrame, limit: float, level: str = "initial") -> DataFrame:
+    """(a, b) of unmatched classes that don't already miss ``limit`` by flags, counts and what they have no values in common for. No acceptable pair is lost.
+
+    Each class of side b is filed under all flags that differ from its own in as few bits as the limit allows, and both sides under their rare features
+    (``prefixes``): more of them the fewer bits differ. Both are keys of the join, the bound from counts is part of its condition. Classes that have no rare
+    feature, and whose common ones would do, still meet all like them.
     """
     mask, divisor = measures.CLASS_FLAGS
     weight = {d.name: d.weight for d in measures.REGISTRY["class"]}
     bits = [1 << i for i in range(mask.bit_length()) if mask >> i & 1]
-    most = min(len(bits), int(limit / (weight["class type check"] / divisor)))
+    each = weight["class type check"] / divisor
+    most = min(len(bits), int(limit / each))
     masks = [sum(c) for n in range(most + 1) for c in combinations(bits, n)]
     own = F.coalesce("flags", F.lit(0)).bitwiseAND(F.lit(mask))
+    used = [d for d in measures.REGISTRY["class"] if level in d.levels and measures.usable(d, a, b) and (d.how in ("numbers", "greedy") or (d.how == "tokens" and len(d.what) == 1))]
+    need = sum(d.weight for d in used) - limit
 
     def described(model: Model, side: str, letter: str) -> DataFrame:
         rows = unnamed(model, "class", matches, side)
         for name, way in (("methods", "-method of"), ("fields", "-field of")):
             rows = rows.join(model.reached((way,)).groupBy("id").agg(F.count("*").alias(name)), "id", "left").na.fill(0, [name])
-        return rows.select(F.col("id").alias(letter), own.alias(f"{letter}_flags"), *[F.col(c).alias(f"{letter}_{c}") for c in ("depth", "siblings", "methods", "fields")])
+        return stored(rows.select("id", own.alias(f"{letter}_flags"), *[F.col(c).alias(f"{letter}_{c}") for c in ("depth", "siblings", "methods", "fields")]), "classes")
 
     left, right = described(a, "x", "a"), described(b, "y", "b")
-    right = right.withColumn("under", F.explode(F.array(*[F.col("b_flags").bitwiseXOR(F.lit(m)) for m in masks])))
+    filed = prefixes.indexed(class_features(a, left, used), class_features(b, right, used), need)
+    left = left.join(filed[0], "id").withColumnsRenamed({"id": "a", "reach": "a_reach"})
+    right = right.join(filed[1], "id").withColumnsRenamed({"id": "b", "reach": "b_reach", "key": "b_key"})
+    right = right.withColumn("under", F.explode(F.array(*[F.struct(F.lit(m).alias("mask"), F.lit(need + m.bit_count() * each - prefixes.SLACK).alias("need")) for m in masks])))
+    right = right.where(F.col("b_reach") >= F.col("under.need")).withColumn("b_under", F.col("b_flags").bitwiseXOR(F.col("under.mask")))
     missed = weight["class type check"] * (1 - similarity.of_flags(F.col("a_flags"), F.col("b_flags"), mask, divisor))
     for column, name in (("depth", "hierarchy depth"), ("siblings", "hierarchy siblings"), ("methods", "method count"), ("fields", "field count")):
         missed = missed + weight[name] * (1 - similarity.of_counts(F.col(f"a_{column}"), F.col(f"b_{column}")))
-    return left.join(right, (F.col("a_flags") == F.col("under")) & (missed < limit + 1e-6)).select("a", "b")
+    met = (F.col("a_flags") == F.col("b_under")) & (F.col("key") == F.col("b_key")) & (F.col("a_reach") >= F.col("under.need")) & (missed < limit + 1e-6)
+    return left.join(right, met).select("a", "b").distinct()
 
 
 def override_groups(model: Model) -> DataFrame:
@@ -126,7 +152,7 @@ def one_pass(kind: str, level: str, a: Model, b: Model, matches: DataFrame, abso
     named = KINDS.get(kind, kind)
     top = measures.usable_total(named, level, a, b)
     limit = ranking.cutoff(top, absolute, relative)
-    pairs = stored(class_pairs(a, b, matches, limit) if kind == "class" else member_pairs(kind, a, b, matches, groups), f"{kind}_pairs")
+    pairs = stored(class_pairs(a, b, matches, limit, level) if kind == "class" else member_pairs(kind, a, b, matches, groups), f"{kind}_pairs")
     if pairs.isEmpty():
         return matches.limit(0)
     scored = stored(measures.scored(named, level, pairs, a, b, matches, alignments=alignments, limit=limit).where(F.col("missed") < limit), f"{kind}_scores")
