@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.operators import mapping
-from kinweave.sources import mappingfile, matchfile
+from kinweave.sources import mappingfile, mappingformats, matchfile
+from kinweave.storage import fresh_path, stored
 
 from .tables import table
 
@@ -258,8 +261,34 @@ UNION ALL SELECT 'c' || o_custkey || '|o' || o_orderkey || '||o' || o_orderkey,
 UNION ALL SELECT 'c' || o_custkey || '|p' || o_orderkey || '||b', chr(9) || concat_ws(chr(9), 'mu', 'b', 'p' || o_orderkey) FROM orders WHERE o_orderstatus = 'F'
 UNION ALL SELECT DISTINCT 's' || l_suppkey || '|o' || l_orderkey || '|' || CASE WHEN l_linenumber < 4 THEN 'ma' ELSE 'mv' END || '|' || l_linenumber, chr(9) || chr(9) || concat_ws(chr(9), CASE WHEN l_linenumber < 4 THEN 'ma' ELSE 'mv' END, l_linenumber, l_linenumber + 1) FROM lineitem"""
 
+NAMED = """c AS (SELECT c_custkey AS k, 'n' || CAST(c_nationkey AS STRING) || '/N' AS outside, c_mktsegment AS seg FROM {customer}),
+r AS (SELECT 'class' AS kind, outside || '$C' || CAST(k AS STRING) AS class, CAST(NULL AS STRING) AS descriptor, CAST(NULL AS STRING) AS member, CAST(NULL AS INT) AS slot, outside || '$C' || CAST(k AS STRING) AS src, outside || '$' || seg || CAST(k AS STRING) AS dst FROM c
+UNION ALL SELECT 'method', outside || '$C' || CAST(k AS STRING), CASE o_orderstatus WHEN 'F' THEN '(I)V' WHEN 'O' THEN '()V' ELSE '([IJ)I' END, 'm' || CAST(o_orderkey AS STRING), NULL, 'm' || CAST(o_orderkey AS STRING), 'on' || CAST(year(o_orderdate) AS STRING) FROM {orders} JOIN c ON k = o_custkey
+UNION ALL SELECT DISTINCT 'field', outside || '$C' || CAST(k AS STRING), 'J', 'f' || substr(o_orderpriority, 1, 1), CAST(NULL AS INT), 'f' || substr(o_orderpriority, 1, 1), substr(o_orderpriority, 3, 3) FROM {orders} JOIN c ON k = o_custkey
+UNION ALL SELECT DISTINCT 'argument', outside || '$C' || CAST(k AS STRING), CASE o_orderstatus WHEN 'F' THEN '(I)V' WHEN 'O' THEN '()V' ELSE '([IJ)I' END, 'm' || CAST(o_orderkey AS STRING), l_linenumber, NULL, 'a' || l_returnflag
+  FROM (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag FROM {lineitem} GROUP BY 1, 2) x JOIN {orders} ON l_orderkey = o_orderkey JOIN c ON k = o_custkey)"""
+
+
+def mapping_formats(spark, sf_dir):
+    """Names of customers, orders and lines, written in four formats of mapping files and read from these."""
+    views = {t: table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem")}
+    rows = stored(spark.sql(f"WITH {NAMED} SELECT *, CAST(NULL AS STRING) AS comment FROM r", **views), "names")
+    found = []
+    for form in ("tiny", "srg", "tsrg", "enigma"):
+        path = fresh_path(spark, f"mapping-{form}")
+        mappingformats.write(rows, path, form)
+        read = mappingformats.read(spark, path, form)
+        found.append(read.select(F.lit(form).alias("form"), "kind", "class", "descriptor", "member", "slot", "src", "dst"))
+    return reduce(DataFrame.unionByName, found)
+
+
+MAPPING_FORMATS = f"""WITH {NAMED.format(customer="customer", orders="orders", lineitem="lineitem")}
+SELECT 'tiny' AS form, * FROM r WHERE kind <> 'argument' UNION ALL SELECT form, * REPLACE (CASE WHEN kind = 'method' THEN descriptor END AS descriptor) FROM r, (VALUES ('srg'), ('tsrg')) f (form) WHERE kind <> 'argument'
+UNION ALL SELECT 'enigma', * FROM r UNION ALL SELECT DISTINCT 'enigma', 'class', outside, NULL, NULL, NULL, outside, outside FROM c"""
+
+
 QUERIES = {
     f.__name__: f
-    for f in (mapping_classes, mapping_members, mapping_statistics, mapping_clear, record_names, propagate_arguments, export_methods, export_variables, descriptor_names, renamed_references, variable_lookup, mapping_file, match_resolution, match_lines)
+    for f in (mapping_classes, mapping_members, mapping_statistics, mapping_clear, record_names, propagate_arguments, export_methods, export_variables, descriptor_names, renamed_references, variable_lookup, mapping_file, mapping_formats, match_resolution, match_lines)
 }
 ORACLES = {name: globals()[name.upper()] for name in QUERIES}

@@ -8,9 +8,11 @@ first one may be empty.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import lines as numbering
+
 # Kinds by depth and tag, and the place of the first name.
 KINDS = {(0, "c"): ("class", 1), (1, "f"): ("field", 2), (1, "m"): ("method", 2), (2, "p"): ("argument", 2), (2, "v"): ("variable", 4)}
 
@@ -35,7 +37,6 @@ def parsed(lines: DataFrame, source: str, target: str) -> DataFrame:
     ``class`` and ``member`` are names in the first name space; ``src`` and ``dst`` those in the two asked for. A comment's row has
     the kind "comment" and its element's names. A file without either name space, or with a line that fits nowhere, is an error.
     """
-    so_far = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     spaces = lines.where(F.startswith("value", F.lit("tiny\t2\t"))).select("file", F.slice(F.split("value", "\t"), 4, 1000).alias("spaces"))
     body = F.ltrim("value", F.lit("\t"))
     rows = lines.where("value <> ''").where(~F.startswith("value", F.lit("tiny\t2\t"))).join(spaces, "file", "left")
@@ -57,19 +58,18 @@ def parsed(lines: DataFrame, source: str, target: str) -> DataFrame:
     plain = F.get("fields", F.col("at"))
     rows = rows.withColumns({"src": F.when(F.col("kind") != "comment", named(source)), "dst": F.when(F.col("kind") != "comment", named(target)), "plain": plain})
 
-    def last(depth: int, column: str) -> Column:
-        return F.last(F.when((F.col("depth") == depth) & (F.col("kind") != "comment"), F.col(column)), ignorenulls=True).over(so_far)
-
-    member = F.last(F.when((F.col("depth") == 0) & (F.col("kind") == "class"), F.struct(F.lit(None).cast("string").alias("n"))).when((F.col("depth") == 1) & (F.col("kind") != "comment"), F.struct(F.col("plain").alias("n"))), ignorenulls=True)
+    # a class's line ends the member before it
+    member = F.when((F.col("depth") == 0) & (F.col("kind") == "class"), F.struct(F.lit(None).cast("string").alias("n"))).when((F.col("depth") == 1) & (F.col("kind") != "comment"), F.struct(F.col("plain").alias("n")))
+    rows = numbering.carried(rows, {"class": F.when((F.col("depth") == 0) & (F.col("kind") != "comment"), F.col("plain")), "held": member})
     described = F.when(F.col("kind").isin("field", "method"), F.get("fields", F.lit(1)))
     slot = F.when(F.col("kind").isin("argument", "variable"), F.get("fields", F.lit(1)).try_cast("int"))
     return rows.select(
         "file",
         "line",
         "kind",
-        last(0, "plain").alias("class"),
+        "class",
         described.alias("descriptor"),
-        F.when(F.col("depth") > 0, member.over(so_far)["n"]).alias("member"),
+        F.when(F.col("depth") > 0, F.col("held.n")).alias("member"),
         slot.alias("slot"),
         "src",
         "dst",

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import lines as numbering
+
 # Tags by their depth of indentation.
 TAGS = (("c", "cu"), ("m", "f", "mu", "fu"), ("ma", "mv", "mau", "mvu"))
 
@@ -25,20 +27,9 @@ def parsed(lines: DataFrame) -> DataFrame:
     for depth, tags in enumerate(TAGS):
         known = known | ((F.col("depth") == depth) & F.col("tag").isin(*tags))
     rows = rows.where(known & F.col("second").isNotNull())
-    so_far = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-    def last(depth: int, tag: Column, column: str) -> Column:
-        return F.last(F.when((F.col("depth") == depth) & tag, F.col(column)), ignorenulls=True).over(so_far)
-
-    owner = F.lit(True)
-    return rows.withColumns(
-        {
-            "owner_a": last(0, owner, "first"),
-            "owner_b": last(0, owner, "second"),
-            "member_a": F.when(F.col("depth") == 2, last(1, owner, "first")),
-            "member_b": F.when(F.col("depth") == 2, last(1, owner, "second")),
-        }
-    )
+    ends = {f"{name}_{side}": F.when(F.col("depth") == depth, F.col(column)) for depth, name in enumerate(("owner", "member")) for side, column in (("a", "first"), ("b", "second"))}
+    found = numbering.carried(rows, ends)
+    return found.withColumns({c: F.when(F.col("depth") == 2, F.col(c)) for c in ("member_a", "member_b")})
 
 
 def strays(lines: DataFrame) -> DataFrame:
@@ -49,8 +40,8 @@ def strays(lines: DataFrame) -> DataFrame:
     for depth, tags in enumerate(TAGS):
         known = known | ((F.length("value") - F.length(body) == depth) & F.get(fields, F.lit(0)).isin(*tags) & (F.size(fields) == 3))
     marked = lines.withColumn("_known", known)
-    marked = marked.withColumn("_first", F.min(F.when(F.col("_known"), F.col("line"))).over(Window.partitionBy("file")))
-    return marked.where("NOT _known AND value <> '' AND line > _first").drop("_known", "_first")
+    first = marked.where("_known").groupBy("file").agg(F.min("line").alias("_first"))
+    return marked.join(first, "file").where("NOT _known AND value <> '' AND line > _first").drop("_known", "_first")
 
 
 def resolved(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -75,9 +66,11 @@ def header(lines: DataFrame) -> DataFrame:
     first line after the file's first one that isn't indented; hashes are base64.
     """
     whole = Window.partitionBy("file")
-    first = F.min("line").over(whole)
-    rows = lines.withColumn("first", first).withColumn("end", F.min(F.when((F.col("line") > F.col("first")) & (F.col("value") != "") & ~F.startswith("value", F.lit("\t")), F.col("line"))).over(whole))
-    rows = rows.where((F.col("line") > F.col("first")) & (F.col("end").isNull() | (F.col("line") < F.col("end"))))
+    first = lines.groupBy("file").agg(F.min("line").alias("first"))
+    below = (F.col("line") > F.col("first")) & (F.col("value") != "") & ~F.startswith("value", F.lit("\t"))
+    end = lines.join(first, "file").where(below).groupBy("file").agg(F.min("line").alias("end"))
+    # only lines of headers are left, so a file's are few
+    rows = lines.join(first, "file").join(end, "file", "left").where((F.col("line") > F.col("first")) & (F.col("end").isNull() | (F.col("line") < F.col("end"))))
     title = F.regexp_extract("value", "^\t(a|b|cp|cp a|cp b):$", 1)
     pattern = F.regexp_extract("value", "^\t(non-obf (?:cls|mem) [ab])\t", 1)
     so_far = whole.orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -103,8 +96,8 @@ def header_lines(saved_at: str, files: list[tuple], patterns: dict[str, str] | N
 
 
 def read(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """Parsed lines of match files; each file is read whole, so its lines keep their order. Lines of an unknown form are left out, or an error if ``strict``."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
+    """Parsed lines of match files, which are read in ranges. Lines of an unknown form are left out, or an error if ``strict``."""
+    files = numbering.numbered(spark, path)
     stray = strays(files).first() if strict else None
     if stray:
         raise ValueError(f"no line of a match file: {stray.file}, {stray.line}: {stray.value}")
