@@ -283,7 +283,7 @@ def mapping_formats(spark, sf_dir):
 
 
 MAPPING_FORMATS = f"""WITH {NAMED.format(customer="customer", orders="orders", lineitem="lineitem")}
-SELECT 'tiny' AS form, * FROM r WHERE kind <> 'argument' UNION ALL SELECT form, * REPLACE (CASE WHEN kind = 'method' THEN descriptor END AS descriptor) FROM r, (VALUES ('srg'), ('tsrg')) f (form) WHERE kind <> 'argument'
+SELECT 'tiny' AS form, * FROM r WHERE kind <> 'argument' UNION ALL SELECT form, r.* REPLACE (CASE WHEN kind = 'method' THEN descriptor END AS descriptor) FROM r, (VALUES ('srg'), ('tsrg')) f (form) WHERE kind <> 'argument'
 UNION ALL SELECT 'enigma', * FROM r UNION ALL SELECT DISTINCT 'enigma', 'class', outside, NULL, NULL, NULL, outside, outside FROM c"""
 
 
