@@ -95,3 +95,23 @@ def natural(name: Column) -> Column:
         return F.struct(digits, F.when(digits, F.length(run)).otherwise(0), run)
 
     return F.transform(runs, key)
+
+
+def natural_key(name: Column) -> Column:
+    """A binary sort key of paths of nested names: bytes in order are the natural order, so sorts and range partitions need no comparison of their own.
+
+    A name is cut into runs of digits, single separators (``.``, ``/`` and ``$``) and runs of what else there is. Names are compared run by run: one that lies
+    before another path separator comes after one that doesn't, so deeper paths are later; digits come by their number of digits, then by value;
+    others by code points, and a run before those that it starts. A name is smaller than those that go on after it. Whether a separator follows
+    is asked of the whole name, so the order is a total one for any names. Null stays null.
+    """
+    runs = F.regexp_extract_all(name, F.lit(r"[./$]|[0-9]+|[^0-9./$]+"), F.lit(0))
+    back = F.array_position(F.reverse(F.transform(runs, lambda x: x.isin(".", "/"))), F.lit(True))
+    last = F.when(back > 0, F.size(runs) - back).otherwise(-1)
+
+    def part(run: Column, i: Column) -> Column:
+        # a mark that is below all others ends a run; a zero in it is told from that mark
+        text = F.when(run.rlike("^[0-9]"), F.concat(F.lit("0"), F.lpad(F.length(run).cast("string"), 10, "0"), run)).otherwise(F.replace(run, F.lit("\0"), F.lit("\0\1")))
+        return F.concat(F.when(i <= last, "\2").otherwise("\1"), text, F.lit("\0\0"))
+
+    return F.array_join(F.transform(runs, part), "").cast("binary")

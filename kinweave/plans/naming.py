@@ -117,6 +117,15 @@ def natural_sort(spark, sf_dir):
     return _placed(p, names.natural(F.col("numbered")), "type")
 
 
+PATH = "replace(type, ' ', CASE WHEN size < 20 THEN '/' WHEN size < 40 THEN '.' ELSE '$' END) || CAST(size AS STRING) || CASE WHEN size % 3 = 0 THEN '/' WHEN size % 3 = 1 THEN '$' ELSE '' END || name"
+
+
+def natural_order(spark, sf_dir):
+    """Places of parts by the natural order of paths made of their types, sizes and names; the key is sorted as bytes."""
+    p = parts(spark, sf_dir)
+    return _placed(p.withColumn("path", F.expr(PATH)), names.natural_key(F.col("path")))
+
+
 def status_sort(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     status = F.when(F.col("o_orderstatus") == "O", 0).when(F.col("o_orderstatus") == "P", 1).otherwise(2)
@@ -216,6 +225,10 @@ SELECT id, row_number() OVER (PARTITION BY brand ORDER BY k, id)::INT AS place F
     "natural_sort": f"""WITH {PART}, n AS (SELECT id, type, list_transform(regexp_extract_all(brand || ' ' || name || ' ' || size, '[0-9]+|[^0-9]+'),
 lambda x: {{'d': regexp_matches(x, '^[0-9]'), 'l': CASE WHEN regexp_matches(x, '^[0-9]') THEN length(x) ELSE 0 END, 'x': x}}) AS k FROM p)
 SELECT id, row_number() OVER (PARTITION BY type ORDER BY k, id)::INT AS place FROM n""",
+    "natural_order": f"""WITH {PART}, n AS (SELECT id, brand, regexp_extract_all({PATH}, '[./$]|[0-9]+|[^0-9./$]+') AS runs FROM p),
+k AS (SELECT id, brand, list_transform(runs, lambda x, i: {{'inner': len(list_filter(runs[i:], lambda y: y IN ('.', '/'))) > 0, 'first': CASE WHEN regexp_matches(x, '^[0-9]') THEN '0' ELSE x END,
+  'l': CASE WHEN regexp_matches(x, '^[0-9]') THEN length(x) ELSE 0 END, 'x': x}}) AS k FROM n)
+SELECT id, row_number() OVER (PARTITION BY brand ORDER BY k, id)::INT AS place FROM k""",
     "status_sort": """SELECT o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'P' THEN 1 ELSE 2 END, o_totalprice DESC, o_orderkey)::INT AS place FROM orders""",
     "set_ops": """WITH a AS (SELECT l_partkey AS k FROM lineitem WHERE l_linenumber % 2 = 1), b AS (SELECT l_partkey AS k FROM lineitem WHERE l_linenumber % 2 = 0),
 s AS (SELECT 'union' AS name, k FROM (SELECT k FROM a UNION SELECT k FROM b) UNION ALL SELECT 'both', k FROM (SELECT k FROM a INTERSECT SELECT k FROM b) UNION ALL SELECT 'only_a', k FROM (SELECT k FROM a EXCEPT SELECT k FROM b)
@@ -243,6 +256,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         resolve_name, uid_min, uid_assign, temp_names, slot_offsets, propagate_names, mapping_upsert, mapping_export_once, link_components, display_filter, text_filter, postfix_filter,
-        short_first_sort, nest_aware_sort, natural_sort, status_sort, set_ops, name_parts, flag_names, descriptor_names, sorted_name_list, file_identity, jaccard_docs, matchfile_lines, matchfile_parse,
+        short_first_sort, nest_aware_sort, natural_sort, natural_order, status_sort, set_ops, name_parts, flag_names, descriptor_names, sorted_name_list, file_identity, jaccard_docs, matchfile_lines, matchfile_parse,
     )
 }
