@@ -179,7 +179,8 @@ def class_names(classes: DataFrame, t: NameType, prefix: str = "class_") -> Data
 
     A nested class follows its outer one, with a partner's name cut to what comes after its package if only the partner isn't
     nested. A class that isn't nested takes its nested partner's name with the package of the partner's outer class. Classes
-    wait for the name that they need, so there are as many passes as nesting is deep.
+    wait for the name that they need, so there are as many passes as nesting is deep. A class that is nested in an unknown one, in itself, or in one that is, has
+    only its own part.
     """
     if t == PLAIN:
         return classes.select("id", F.col("name").alias("full"))
@@ -194,6 +195,9 @@ def class_names(classes: DataFrame, t: NameType, prefix: str = "class_") -> Data
     need = F.when(whole.isNotNull() | F.col("choice.name").isNull(), None).when(nested, F.col("me.outer")).when(repackaged, F.col("it.outer"))
     simple = F.when(nested & F.col("choice.far") & ~far_nested, F.substring_index("choice.name", "/", -1)).otherwise(F.col("choice.name"))
     open_ = stored(both.select("me.id", need.alias("need"), F.coalesce(whole, simple).alias("simple"), nested.alias("nested")), "open_names")
+    # what is nested in an unknown class starts with its own part
+    known = open_.select(F.col("id").alias("need"), F.lit(True).alias("_known"))
+    open_ = open_.join(known, "need", "left").select("id", F.when(F.col("_known"), F.col("need")).alias("need"), "simple", "nested")
     done = stored(open_.where("need IS NULL").select("id", F.col("simple").alias("full")), "names")
     open_ = open_.where("need IS NOT NULL")
     while not open_.isEmpty():
@@ -203,7 +207,8 @@ def class_names(classes: DataFrame, t: NameType, prefix: str = "class_") -> Data
         full = F.when(F.col("nested"), F.concat_ws("$", "above", "simple")).otherwise(repacked)
         new = stored(ready.select("id", full.alias("full")), "names")
         if new.isEmpty():
-            raise ValueError("classes are nested in themselves or in unknown ones")
+            # only what is nested in itself is left, or in such a class
+            return done.unionByName(open_.select("id", F.col("simple").alias("full")))
         done = done.unionByName(new)
         open_ = stored(open_.join(new.select("id"), "id", "left_anti"), "open_names")
     return done

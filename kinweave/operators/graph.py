@@ -17,21 +17,21 @@ def inverse(edges: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, passes: int = 64) -> DataFrame:
     """(sub, sup, distance) of all ancestors, the node itself included, from (src, dst) edges upwards.
 
-    Paths are doubled in each pass, so the passes grow with the logarithm of the depth; cycles are harmless.
+    The longest known length doubles in each pass, so the passes grow with the logarithm of the depth. A longer path starts with one of just that length, so
+    only these meet the known ones, and each pass writes what is new. Cycles are harmless.
     """
     nodes = edges.select(F.col("src").alias("n")).union(edges.select("dst")).distinct()
-    paths = nodes.select(F.col("n").alias("sub"), F.col("n").alias("sup"), F.lit(0).alias("distance"))
-    paths = paths.unionByName(edges.where("src <> dst").select(F.col("src").alias("sub"), F.col("dst").alias("sup"), F.lit(1).alias("distance")).distinct())
-    paths = stored(paths, "paths")
-    known = paths.count()
+    steps = edges.where("src <> dst").select(F.col("src").alias("sub"), F.col("dst").alias("sup"), F.lit(1).alias("distance")).distinct()
+    longest, length = stored(steps, "paths"), 1
+    ways = longest
     for _ in range(passes):
-        more = paths.alias("p").join(paths.alias("q"), F.col("p.sup") == F.col("q.sub"))
-        more = more.select(F.col("p.sub").alias("sub"), F.col("q.sup").alias("sup"), (F.col("p.distance") + F.col("q.distance")).alias("distance"))
-        paths = stored(more.groupBy("sub", "sup").agg(F.min("distance").alias("distance")), "paths")
-        now = paths.count()
-        if now == known:
-            return paths
-        known = now
+        onward = ways.select(F.col("sub").alias("sup"), F.col("sup").alias("end"), F.col("distance").alias("rest"))
+        more = longest.where(F.col("distance") == length).join(onward, "sup").where("sub <> end")
+        more = more.groupBy("sub", F.col("end").alias("sup")).agg((F.lit(length) + F.min("rest")).cast("int").alias("distance"))
+        longest, length = stored(more.join(ways.select("sub", "sup"), ["sub", "sup"], "left_anti"), "paths"), 2 * length
+        if longest.isEmpty():
+            return nodes.select(F.col("n").alias("sub"), F.col("n").alias("sup"), F.lit(0).alias("distance")).unionByName(ways)
+        ways = ways.unionByName(longest)
     raise RuntimeError(f"the hierarchy is deeper than {passes} doublings")
 
 

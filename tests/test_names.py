@@ -24,8 +24,14 @@ def test_classes_nested_three_deep(spark):
     classes = spark.createDataFrame(rows, "id string, outer string, name string, disguised boolean, mapped string").withColumn("partner", F.lit(None).cast("string"))
     names = {r.id: r["full"] for r in cascade.class_names(classes, cascade.MAPPED_PLAIN).collect()}
     assert names == {"a": "x/New", "b": "x/New$Mid", "c": "x/New$Mid$C", "d": "p/D"}
-    with pytest.raises(ValueError):
-        cascade.class_names(classes.withColumn("outer", F.lit("b")), cascade.MAPPED_PLAIN)
+
+
+def test_classes_nested_in_unknown_ones_and_in_themselves(spark):
+    """These start with their own part; what is nested in them follows."""
+    rows = [("b", "gone", "p/A$B", True, "Mid"), ("c", "b", "p/A$B$C", True, None), ("u", "v", "p/V$U", True, None), ("v", "u", "p/U$V", True, None), ("w", "v", "p/U$V$W", True, None), ("d", None, "p/D", False, None)]
+    classes = spark.createDataFrame(rows, "id string, outer string, name string, disguised boolean, mapped string").withColumn("partner", F.lit(None).cast("string"))
+    names = {r.id: r["full"] for r in cascade.class_names(classes, cascade.MAPPED_PLAIN).collect()}
+    assert names == {"b": "Mid", "c": "Mid$C", "u": "U", "v": "V", "w": "W", "d": "p/D"}
 
 
 def test_mapping_files_keep_what_they_hold(spark):

@@ -97,12 +97,29 @@ def test_components_of_long_chains(spark):
     assert got == {n: min(c) for c in chains for n in c}
 
 
-def test_fixpoint_goes_on_while_it_finds_pairs_and_never_returns_early(spark):
+def test_fixpoint_goes_on_while_states_are_new_and_ends_where_one_comes_again(spark):
     start = spark.createDataFrame([(0, 0)], "a long, b long")
     grow = lambda s: s.groupBy().agg(F.max("a").alias("m")).where("m < 6").select((F.col("m") + 1).alias("a"), (F.col("m") + 1).alias("b"))
-    assert sorted(map(tuple, state.fixpoint(start, grow, passes=2).collect())) == [(i, i) for i in range(7)]
-    with pytest.raises(RuntimeError):
-        state.fixpoint(start, lambda s: s.select("a", (1 - F.col("b")).alias("b")), passes=2)
+    assert sorted(map(tuple, state.fixpoint(start, grow).collect())) == [(i, i) for i in range(7)]
+    assert list(map(tuple, state.fixpoint(start, lambda s: s.select("a", (1 - F.col("b")).alias("b"))).collect())) == [(0, 0)]
+    steps = {0: 1, 1: 2, 2: 3, 3: 1}
+    onward = F.create_map(*[F.lit(x).cast("long") for p in steps.items() for x in p])
+    assert list(map(tuple, state.fixpoint(start, lambda s: s.select("a", onward[F.col("b")].alias("b"))).collect())) == [(0, 1)]
+
+
+def test_closure_is_that_of_a_walk_from_each_node(spark):
+    rng = random.Random(8)
+    edges = {(rng.randrange(60), rng.randrange(60)) for _ in range(75)} | {(100 + i, 101 + i) for i in range(37)}
+    want = {}
+    for start in {n for e in edges for n in e}:
+        reached, front, far = {start: 0}, {start}, 0
+        while front:
+            far += 1
+            front = {b for a, b in edges if a in front} - set(reached)
+            reached |= dict.fromkeys(front, far)
+        want |= {(start, n): d for n, d in reached.items()}
+    rows = graph.closure(spark.createDataFrame(sorted(edges), "src int, dst int")).collect()
+    assert {(r.sub, r.sup): r.distance for r in rows} == want and len(rows) == len(want)
 
 
 def test_closure_of_a_diamond_and_a_cycle(spark):
