@@ -10,7 +10,7 @@ equal, and part of the join's key, or frequent bigrams would meet too many words
 The order has to be one of bigrams, not of bigrams with positions: it must stay the same when a bigram moves by one place.
 
 Runs, words and counts are built-in expressions; counts are aggregated before the shuffle. The bigrams' frequencies are a table of at most
-90 * 90 rows (the word rule's letters), so they are broadcast. Forms are followed by doubling, without gathering anything.
+90 * 90 rows (the word rule's letters), so they are broadcast; words, their keys and pairs never are, whatever size they are judged to have. Forms are followed by doubling, without gathering anything.
 
 Defined cases: a null or empty text has no words; a null doc_id counts as an empty one; repeated rows count each; a run is read whole whatever its length; words of equal
 count are variants without a form; an empty table gives no rows; other columns are dropped.
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.operators.components import flattened
-from kinweave.storage import stored
+from kinweave.storage import shuffled, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_LENGTH = 6
@@ -91,8 +91,8 @@ def near_pairs(vocabulary: DataFrame) -> DataFrame:
     rare = stored(prefixes(vocabulary), "prefixes")
     own = keys(rare, False)
     a, b, longer = own.select("word", "key", "size"), own.select(F.col("word").alias("other"), "key", "size"), keys(rare, True).select(F.col("word").alias("other"), "key")
-    equal = a.join(b, ["key", "size"]).where("word < other").select("word", "other")
-    pairs = equal.unionByName(a.join(longer, "key").select("word", "other"))
+    equal = a.join(shuffled(b), ["key", "size"]).where("word < other").select("word", "other")
+    pairs = equal.unionByName(a.join(shuffled(longer), "key").select("word", "other"))
     pairs = pairs.where(F.levenshtein("word", "other", 1) == 1).distinct()
     return pairs.unionByName(pairs.select(F.col("other").alias("word"), F.col("word").alias("other")))
 
@@ -100,16 +100,16 @@ def near_pairs(vocabulary: DataFrame) -> DataFrame:
 def variants(docs: DataFrame) -> DataFrame:
     """(word, n, n_near, form, form_n, root) of every word."""
     vocabulary = stored(words(docs), "words")
-    counted = near_pairs(vocabulary).join(vocabulary.select(F.col("word").alias("other"), F.col("n").alias("other_n")), "other")
+    counted = near_pairs(vocabulary).join(shuffled(vocabulary.select(F.col("word").alias("other"), F.col("n").alias("other_n"))), "other")
     first = F.min(F.struct((-F.col("other_n")).alias("minus_n"), F.col("other").alias("word")))
     best = counted.groupBy("word").agg(F.count("*").alias("n_near"), first.alias("best"))
-    joined = vocabulary.join(best, "word", "left")
+    joined = vocabulary.join(shuffled(best), "word", "left")
     good = -F.col("best.minus_n") >= RATIO * F.col("n")
     joined = stored(
         joined.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(good, F.col("best.word")).alias("form"), F.when(good, -F.col("best.minus_n")).alias("form_n")), "forms"
     )
     roots = flattened(joined.select(F.col("word").alias("node"), F.coalesce("form", "word").alias("label")))
-    return joined.join(roots.select(F.col("node").alias("word"), F.col("label").alias("root")), "word")
+    return joined.join(shuffled(roots.select(F.col("node").alias("word"), F.col("label").alias("root"))), "word")
 
 
 def grouped(docs: DataFrame) -> DataFrame:

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.storage import stored
+from kinweave.storage import shuffled, stored
 
 
 def flattened(labels: DataFrame) -> DataFrame:
     """``labels`` (node, label) with every label replaced by its own label, until nothing moves."""
     while True:
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
-        jumped = labels.join(jump, "label").select("node", F.col("beyond").alias("label"), (F.col("beyond") != F.col("label")).alias("moved"))
+        jumped = labels.join(shuffled(jump), "label").select("node", F.col("beyond").alias("label"), (F.col("beyond") != F.col("label")).alias("moved"))
         jumped = stored(jumped, "labels")
         labels = jumped.select("node", "label")
         if jumped.where("moved").isEmpty():
