@@ -1,6 +1,8 @@
 """Plans of joins between tables that grow with the input: none of them is broadcast because its size is judged too low."""
 
 from kinweave.llm import spelling
+from kinweave.operators import equality
+from kinweave.plans import equality as plans
 
 
 def plan(df) -> str:
@@ -14,3 +16,19 @@ def test_words_and_their_keys_are_never_broadcast(spark):
     assert {tuple(r) for r in pairs.collect()} == {("spelling", "speling"), ("speling", "spelling")}
     docs = spark.createDataFrame([(i, "spelling speling") for i in range(5)], "doc_id long, text string")
     assert "Broadcast" not in plan(spelling.variants(docs))
+
+
+def test_sides_of_potential_pairs_are_never_broadcast(spark, sf_dir):
+    a = spark.createDataFrame([(1, "n", True, True, None), (2, "m", False, True, 1)], "id long, name string, disguised boolean, matchable boolean, element long")
+    pairs = spark.createDataFrame([(1, 1), (1, 2), (2, 2)], "a long, b long")
+    found = equality.class_verdicts(pairs, a, a, pairs.where("a = 3"), {"loose": False, "strict": True})
+    assert "Broadcast" not in plan(found)
+    assert {tuple(r) for r in found.collect()} == {(1, 1, True, True), (1, 2, False, False), (2, 2, True, True)}
+
+
+def test_pairs_of_methods_meet_before_no_shuffle_but_their_own(spark, sf_dir):
+    """Matches and hierarchies are met by methods: after the join that makes pairs, nothing is shuffled."""
+    text = plan(plans.method_candidates(spark, sf_dir)).split("== Initial Plan ==")[0]
+    assert "Broadcast" not in text
+    above = text[: text.index("SortMergeJoin")]
+    assert "Exchange" not in above and "[_ob" in text[text.index("SortMergeJoin") :].split("\n")[0]
