@@ -1,7 +1,7 @@
 """Plans of joins between tables that grow with the input: none of them is broadcast because its size is judged too low."""
 
 from kinweave.llm import spelling
-from kinweave.operators import equality
+from kinweave.operators import equality, measures, signatures
 from kinweave.plans import equality as plans
 
 
@@ -32,3 +32,19 @@ def test_pairs_of_methods_meet_before_no_shuffle_but_their_own(spark, sf_dir):
     assert "Broadcast" not in text
     above = text[: text.index("SortMergeJoin")]
     assert "Exchange" not in above and "[_ob" in text[text.index("SortMergeJoin") :].split("\n")[0]
+
+
+def test_sets_of_pairs_are_never_broadcast(spark):
+    pairs = spark.createDataFrame([("a1", "b1")], "a string, b string")
+    sets = [spark.createDataFrame([(f"{s}1", f"{s}2", False, "n")], f"{s} string, {i} string, disguised boolean, name string") for s, i in (("a", "x"), ("b", "y"))]
+    found = measures.of_disguised_sets(pairs, *sets, spark.createDataFrame([], "x string, y string"))
+    assert "Broadcast" not in plan(found)
+    assert found.first().similarity == 1.0
+
+
+def test_nodes_of_signatures_are_never_broadcast(spark):
+    node = "path string, label string, key string, name string, disguised boolean"
+    left, right = (spark.createDataFrame([(1, "t", "I", None, None, False)], f"{c} long, {node}") for c in "ab")
+    found = signatures.could_be(spark.createDataFrame([(1, 1)], "a long, b long"), left, right)
+    assert "Broadcast" not in plan(found)
+    assert found.first().similarity == 1.0
