@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions import descriptors
 from kinweave.functions.text import inner_of
+from kinweave.storage import shuffled
 
 
 def chosen(rows: DataFrame, key: str, replace: bool) -> DataFrame:
@@ -141,16 +142,39 @@ def descriptors_in(rows: DataFrame, names: DataFrame, key: str, descriptor: str
 
     A class without a name there makes the whole null if ``strict``; else, as in a renamed view of references, it stays as it is.
     """
-    parts = F.regexp_extract_all(F.col(descriptor), F.lit(f"([()]|{descriptors.TYPE})"), F.lit(1))
-    cut = rows.select(key, F.posexplode(parts).alias("at", "part"))
-    element = descriptors.element_of(F.col("part"))
-    cut = cut.withColumn("name", F.when(element.startswith("L"), descriptors.name_of(element)))
-    joined = cut.join(names.select("name", "full"), "name", "left")
-    full = F.col("full") if strict else F.coalesce("full", "name")
-    piece = F.when(F.col("name").isNull(), F.col("part")).otherwise(F.concat(F.repeat(F.lit("["), descriptors.dimensions(F.col("part"))), descriptors.id_of(full)))
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("at", piece.alias("piece")))), lambda x: x["piece"])
-    out = joined.groupBy(key).agg(listed.alias("pieces"))
-    return out.select(key, F.when(~F.exists("pieces", lambda p: p.isNull()), F.array_join("pieces", "")).alias("renamed"))
+    return descriptors_both(rows, names, key, descriptor).select(key, F.col("strict" if strict else "view").alias("renamed"))
+
+
+def descriptors_both(rows: DataFrame, names: DataFrame, key: str, descriptor: str = "descriptor") -> DataFrame:
+    """(key, strict, view): as ``descriptors_in`` gives them, strict and not, by one way to the names and back. The key isn't null.
+
+    Only a descriptor's different classes go to the names, with the key and their place among these. Names found come back by a window, which sorts
+    by key and holds one descriptor at a time, and meet the rows where these are. Of several names of a class the smallest counts.
+    """
+    token = f"([()]|{descriptors.TYPE})"
+    rows = rows.where(F.col(descriptor).rlike(token))
+    # what is no token is left out
+    text = F.array_join(F.regexp_extract_all(F.col(descriptor), F.lit(token), F.lit(1)), "")
+    named = F.regexp_extract_all(text, F.lit("L([^;]*);"), F.lit(1))
+    # an outer explode filters nothing below it, so both sides read one shuffle of the rows
+    asked = rows.select(F.col(key).alias("_key"), F.posexplode_outer(F.array_distinct(named)).alias("_at", "name")).where("name IS NOT NULL")
+    known = names.where("full IS NOT NULL").groupBy("name").agg(F.min("full").alias("full"))
+    met = asked.join(shuffled(known), "name").select("_key", "_at", "full")
+    of_row = Window.partitionBy("_key").orderBy("_at")
+    listed = F.collect_list(F.struct("_at", "full")).over(of_row.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    found = met.select("_key", F.row_number().over(of_row).alias("_n"), listed.alias("_found")).where("_n = 1").drop("_n")
+    joined = rows.select(key, text.alias("_text"), named.alias("_named")).join(shuffled(found), F.col(key) == F.col("_key"), "left")
+    joined = joined.withColumns({"_places": F.array_distinct("_named"), "_full": F.map_from_entries("_found"), "_between": F.split("_text", "L[^;]*;")})
+
+    def renamed(plain: bool) -> Column:
+        def new(name: Column) -> Column:
+            full = F.try_element_at("_full", (F.array_position("_places", name) - 1).cast("int"))
+            return descriptors.id_of(F.coalesce(full, name) if plain else full)
+
+        ids = F.transform("_named", new)
+        return F.when(F.size(F.array_compact(ids)) == F.size("_named"), F.array_join(F.zip_with("_between", ids, lambda b, i: F.concat(b, F.coalesce(i, F.lit("")))), ""))
+
+    return joined.select(key, renamed(False).alias("strict"), renamed(True).alias("view"))
 
 
 def renamed_references(references: DataFrame, names: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Plans of joins between tables that grow with the input: none of them is broadcast because its size is judged too low."""
 
 from kinweave.llm import spelling
-from kinweave.operators import equality, measures, signatures
+from kinweave.operators import equality, mapping, measures, signatures
 from kinweave.plans import equality as plans
 
 
@@ -48,3 +48,13 @@ def test_nodes_of_signatures_are_never_broadcast(spark):
     found = signatures.could_be(spark.createDataFrame([(1, 1)], "a long, b long"), left, right)
     assert "Broadcast" not in plan(found)
     assert found.first().similarity == 1.0
+
+
+def test_descriptors_meet_names_by_shuffles_and_are_never_collected_piece_by_piece(spark):
+    rows = spark.createDataFrame([(1, "([[Lx;ILy;Lx;)V"), (2, "(Lx;Ly;)[Lx;"), (3, "(IJ)V"), (4, "")], "id long, descriptor string")
+    names = spark.createDataFrame([("x", "q/X"), ("y", None), ("z", "q/Z")], "name string, full string")
+    found = mapping.descriptors_both(rows, names, "id")
+    assert "Broadcast" not in plan(found) and "ObjectHashAggregate" not in plan(found)
+    assert {tuple(r) for r in found.collect()} == {(1, None, "([[Lq/X;ILy;Lq/X;)V"), (2, None, "(Lq/X;Ly;)[Lq/X;"), (3, "(IJ)V", "(IJ)V")}
+    strict = mapping.descriptors_in(rows, names.unionByName(names.selectExpr("name", "'r/Y' AS full").where("name = 'y'")), "id")
+    assert "Broadcast" not in plan(strict) and {tuple(r) for r in strict.collect()} == {(1, "([[Lq/X;ILr/Y;Lq/X;)V"), (2, "(Lq/X;Lr/Y;)[Lq/X;"), (3, "(IJ)V")}
