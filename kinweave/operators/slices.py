@@ -21,7 +21,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.storage import fresh_path, stored
+from kinweave.storage import emptied, fresh_path, shuffled, stored
+
+NODE = ["method", "at_entry", "p", "q"]
+#: Edges in a bucket.
+BUCKET_EDGES = 200_000
 
 
 def cell(number: Column) -> Column:
@@ -164,19 +168,41 @@ class Graph:
 
     def slices(self, starts: DataFrame) -> DataFrame:
         """(item, method, place) of all instructions that those of ``starts`` (item, method, place) come from, and of these themselves."""
-        spark, path = starts.sparkSession, fresh_path(starts.sparkSession, "slices")
+        spark = starts.sparkSession
+        # as many buckets as an exchange has partitions, but fewer for few edges
+        buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + self.edges.count() // BUCKET_EDGES)
+        walked, asked = ["item", *NODE], fresh_path(spark, "bucketed_edges")
+        path = fresh_path(spark, "slices")
         front = starts.select("item", "method", F.lit(False).alias("at_entry"), F.col("place").cast("long").alias("p"), F.lit(-1).cast("long").alias("q")).distinct()
-        node = front.columns
-        front = stored(front, "front")
-        front.write.parquet(path)
-        seen = spark.read.schema(front.schema).parquet(path)
-        while True:
-            found = front.join(self.edges, ["method", "at_entry", "p", "q"]).select("item", "method", F.col("entry").alias("at_entry"), F.col("to_p").alias("p"), F.col("to_q").alias("q")).distinct()
-            front = stored(found.join(seen, node, "left_anti"), "front")
-            if front.isEmpty():
-                return seen.where("NOT at_entry AND q = -1").select("item", "method", F.col("p").alias("place"))
-            front.write.mode("append").parquet(path)
-            seen = spark.read.schema(front.schema).parquet(path)
+        schema = front.withColumn("pass", F.lit(0)).schema
+        try:
+            edges = bucketed(self.edges.repartition(buckets, *NODE), asked, NODE, buckets)
+            seen = bucketed(front.repartition(buckets, *walked).withColumn("pass", F.lit(0)), path, walked, buckets)
+            last = 0
+            while True:
+                # only what the last pass found moves, once to its edges and once to what is seen
+                front = seen.where(F.col("pass") == last).select(*walked).repartition(buckets, *NODE).hint("shuffle_hash")
+                found = edges.join(front, NODE).select("item", "method", F.col("entry").alias("at_entry"), F.col("to_p").alias("p"), F.col("to_q").alias("q"))
+                new = found.repartition(buckets, *walked).distinct().join(shuffled(seen), walked, "left_anti")
+                last += 1
+                seen = bucketed(new.withColumn("pass", F.lit(last)), path, walked, buckets)
+                if seen.where(F.col("pass") == last).isEmpty():
+                    break
+        finally:
+            for table in (asked, path):
+                spark.sql(f"DROP TABLE IF EXISTS {table_name(table)}")
+        emptied(spark, asked)
+        return spark.read.schema(schema).parquet(path).where("NOT at_entry AND q = -1").select("item", "method", F.col("p").alias("place"))
+
+
+def table_name(path: str) -> str:
+    return path.rpartition("/")[2].replace("-", "_")
+
+
+def bucketed(rows: DataFrame, path: str, keys: list[str], buckets: int) -> DataFrame:
+    """``rows``, already dealt by ``keys``, added to the bucketed table at ``path``; only tables of the catalog have buckets."""
+    rows.write.mode("append").bucketBy(buckets, *keys).option("path", path).saveAsTable(table_name(path))
+    return rows.sparkSession.table(table_name(path))
 
 
 def shortened(edges: DataFrame) -> DataFrame:

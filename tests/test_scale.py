@@ -1,7 +1,7 @@
 """Plans of joins between tables that grow with the input: none of them is broadcast because its size is judged too low."""
 
 from kinweave.llm import spelling
-from kinweave.operators import equality, mapping, measures, signatures
+from kinweave.operators import equality, mapping, measures, signatures, slices
 from kinweave.plans import equality as plans
 
 
@@ -58,3 +58,18 @@ def test_descriptors_meet_names_by_shuffles_and_are_never_collected_piece_by_pie
     assert {tuple(r) for r in found.collect()} == {(1, None, "([[Lq/X;ILy;Lq/X;)V"), (2, None, "(Lq/X;Ly;)[Lq/X;"), (3, "(IJ)V", "(IJ)V")}
     strict = mapping.descriptors_in(rows, names.unionByName(names.selectExpr("name", "'r/Y' AS full").where("name = 'y'")), "id")
     assert "Broadcast" not in plan(strict) and {tuple(r) for r in strict.collect()} == {(1, "([[Lq/X;ILr/Y;Lq/X;)V"), (2, "(Lq/X;Lr/Y;)[Lq/X;"), (3, "(IJ)V")}
+
+
+def test_passes_of_slices_shuffle_only_what_the_last_one_found(spark, monkeypatch):
+    """Edges and what is seen are read in buckets: a pass has the two exchanges of its front."""
+    plans, write = [], slices.bucketed
+    monkeypatch.setattr(slices, "bucketed", lambda rows, *rest: plans.append(plan(rows)) or write(rows, *rest))
+    insns = spark.range(4).selectExpr(
+        "1 AS method", "id AS place", "CAST(id > 0 AS INT) AS height", "CAST(id > 0 AS INT) AS pops", "1 AS pushes", "CAST(NULL AS ARRAY<INT>) AS moves",
+        "CAST(NULL AS INT) AS load", "CAST(ARRAY() AS ARRAY<INT>) AS stores", "CAST(ARRAY() AS ARRAY<INT>) AS jumps", "TRUE AS falls",
+    )
+    found = slices.Graph(insns).slices(spark.createDataFrame([(7, 1, 3)], "item int, method int, place long"))
+    assert sorted(r.place for r in found.collect()) == [0, 1, 2, 3]
+    assert len(plans) == 6
+    for text in plans[2:]:
+        assert text.count("Bucketed: true") == 2 and text.count("Exchange") == 2 and "Broadcast" not in text
