@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinweave.storage import stored
+
 #: Lines in a block within which values are carried on; blocks of one file are tied by one row each.
 BLOCK = 100_000
 
@@ -23,13 +25,30 @@ def numbered(spark: SparkSession, path: str) -> DataFrame:
 
 
 def carried(rows: DataFrame, values: dict[str, Column], block: int = BLOCK) -> DataFrame:
-    """``rows`` (file, line, ...) with columns of the last value so far in their file that isn't null."""
+    """``rows`` (file, line, ...) with columns of the last value so far in their file that isn't null.
+
+    Line numbers may have gaps of any size: blocks are tied in blocks of blocks, so no window holds more rows than a block has lines.
+    """
     here = {f"_own_{name}": value for name, value in values.items()}
     rows = rows.withColumns({**here, "_block": F.floor(F.col("line") / block)})
     so_far = Window.partitionBy("file", "_block").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = rows.groupBy("file", "_block").agg(*[F.max(F.when(F.col(c).isNotNull(), F.struct("line", F.col(c).alias("v")))).alias(c) for c in here])
-    earlier = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    before = ends.select("file", "_block", *[F.last(F.col(c), ignorenulls=True).over(earlier)["v"].alias(f"_before{c}") for c in here])
-    both = rows.join(before, ["file", "_block"])
+    before = before_blocks(stored(ends, "ends"), list(here), max(block, 2))
+    both = rows.join(before.select("file", "_block", *[F.col(c)["v"].alias(f"_before{c}") for c in here]), ["file", "_block"])
     both = both.withColumns({name: F.coalesce(F.last(F.col(f"_own_{name}"), ignorenulls=True).over(so_far), F.col(f"_before_own_{name}")) for name in values})
     return both.drop("_block", *here, *[f"_before{c}" for c in here])
+
+
+def before_blocks(ends: DataFrame, columns: list[str], block: int) -> DataFrame:
+    """(file, _block, columns): the last value in the blocks of the file before, from (file, _block, columns), the last value in each block."""
+    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    first, last = ends.agg(F.min("_block"), F.max("_block")).first()
+    if first is None or last - first < block:
+        within = earlier.partitionBy("file")
+        return ends.select("file", "_block", *[F.last(c, ignorenulls=True).over(within).alias(c) for c in columns])
+    ends = ends.withColumn("_above", F.floor(F.col("_block") / block))
+    above = ends.groupBy("file", F.col("_above").alias("_block")).agg(*[F.max(c).alias(c) for c in columns])
+    outside = before_blocks(stored(above, "ends"), columns, block).select("file", F.col("_block").alias("_above"), *[F.col(c).alias(f"_outside{c}") for c in columns])
+    within = earlier.partitionBy("file", "_above")
+    inside = ends.select("file", "_block", "_above", *[F.last(c, ignorenulls=True).over(within).alias(c) for c in columns])
+    return inside.join(outside, ["file", "_above"]).select("file", "_block", *[F.coalesce(c, f"_outside{c}").alias(c) for c in columns])

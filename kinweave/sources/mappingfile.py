@@ -39,7 +39,8 @@ def parsed(lines: DataFrame, source: str, target: str) -> DataFrame:
     """
     spaces = lines.where(F.startswith("value", F.lit("tiny\t2\t"))).select("file", F.slice(F.split("value", "\t"), 4, 1000).alias("spaces"))
     body = F.ltrim("value", F.lit("\t"))
-    rows = lines.where("value <> ''").where(~F.startswith("value", F.lit("tiny\t2\t"))).join(spaces, "file", "left")
+    # one row a file: met by its name, all lines of a file would be in one task
+    rows = lines.where("value <> ''").where(~F.startswith("value", F.lit("tiny\t2\t"))).join(F.broadcast(spaces), "file", "left")
     rows = rows.withColumns({"depth": F.length("value") - F.length(body), "fields": F.split(body, "\t")}).withColumn("tag", F.get("fields", F.lit(0)))
     kind, first = F.lit(None).cast("string"), F.lit(0)
     for (depth, tag), (name, at) in KINDS.items():

@@ -1,8 +1,11 @@
 """Plans of joins between tables that grow with the input: none of them is broadcast because its size is judged too low."""
 
+from pyspark.sql import functions as F
+
 from kinweave.llm import spelling
 from kinweave.operators import equality, mapping, measures, signatures, slices
 from kinweave.plans import equality as plans
+from kinweave.sources import lines, mappingfile
 
 
 def plan(df) -> str:
@@ -73,3 +76,24 @@ def test_passes_of_slices_shuffle_only_what_the_last_one_found(spark, monkeypatc
     assert len(plans) == 6
     for text in plans[2:]:
         assert text.count("Bucketed: true") == 2 and text.count("Exchange") == 2 and "Broadcast" not in text
+
+
+def test_lines_with_gaps_are_tied_by_windows_of_a_block_at_most(spark, monkeypatch):
+    """Each line is a block of its own here: no window of blocks holds all of them."""
+    sizes, tie = [], lines.before_blocks
+    monkeypatch.setattr(lines, "before_blocks", lambda ends, *rest: sizes.append(ends.count()) or tie(ends, *rest))
+    rows = spark.range(30).selectExpr("'f' AS file", "id * id * 100 - 5000 AS line", "id")
+    found = lines.carried(rows, {"last": F.when(F.col("id") % 7 == 3, F.col("id"))}, block=10)
+    assert {r.id: r.last for r in found.collect()} == {i: max((j for j in range(i + 1) if j % 7 == 3), default=None) for i in range(30)}
+    assert sizes[0] == 30 and len(sizes) > 3 and sizes[-1] < 10
+
+
+def test_a_files_header_meets_its_lines_where_they_are(spark):
+    rows = spark.createDataFrame([("f", -1, "tiny\t2\t0\ta\tb"), ("f", 1, "c\tx\ty"), ("f", 5 * 10**13, "\tf\tI\tm\tn")], "file string, line long, value string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = mappingfile.parsed(rows, "a", "b")
+        assert "BroadcastHashJoin [file" in plan(found)
+        assert {(r.kind, r["class"], r.member, r.src, r.dst) for r in found.collect()} == {("class", "x", None, "x", "y"), ("field", "x", "m", "m", "n")}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
