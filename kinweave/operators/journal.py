@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.storage import stored
+from kinweave.storage import bucketed, buckets_for, emptied, fresh_path, shuffled, stored, unregistered
 
 ENTRY = "time long, kind string, a string, b string, cause string"
 
@@ -50,16 +50,29 @@ def cascade(gone: DataFrame, follows: DataFrame) -> DataFrame:
     """(a, cause): everything that goes with ``gone`` (a), by ``follows`` (a, then), each with the element that it goes by; the first ones have none.
 
     A fixpoint over new elements only: members go with their class, variables with their method, a hierarchy's members with each other, arrays and their elements with each other.
+    Steps lie in buckets of their causes and found elements in buckets of their own, so a pass shuffles only what it finds, and writes only what is new.
     """
-    steps = stored(follows.select(F.col("a").cast("string").alias("cause"), F.col("then").cast("string").alias("a")).where("a <> cause").distinct(), "follows")
-    found = stored(gone.select(F.col("a").cast("string").alias("a"), F.lit(None).cast("string").alias("cause")).distinct(), "cascade")
-    front = found
-    while True:
-        new = steps.join(front.select(F.col("a").alias("cause")), "cause").groupBy("a").agg(F.min("cause").alias("cause"))
-        front = stored(new.join(found, "a", "left_anti").select("a", "cause"), "front")
-        if front.isEmpty():
-            return found
-        found = stored(found.unionByName(front), "cascade")
+    spark, buckets = gone.sparkSession, buckets_for(follows)
+    ways, path = fresh_path(spark, "follows"), fresh_path(spark, "cascade")
+    steps = follows.select(F.col("a").cast("string").alias("cause"), F.col("then").cast("string").alias("a")).where("a <> cause")
+    first = gone.select(F.col("a").cast("string").alias("a"), F.lit(None).cast("string").alias("cause"), F.lit(0).alias("pass"))
+    try:
+        steps = bucketed(steps.repartition(buckets, "cause").distinct(), ways, ["cause"], buckets)
+        found = bucketed(first.repartition(buckets, "a").distinct(), path, ["a"], buckets)
+        last = 0
+        while True:
+            front = found.where(F.col("pass") == last).select(F.col("a").alias("cause"))
+            new = steps.join(shuffled(front), "cause").repartition(buckets, "a").groupBy("a").agg(F.min("cause").alias("cause"))
+            last += 1
+            # an anti join would be moved below the other join, where all steps are shuffled for it
+            met = new.join(shuffled(found.select("a", F.lit(True).alias("_known"))), "a", "left").where("_known IS NULL")
+            found = bucketed(met.select("a", "cause", F.lit(last).alias("pass")), path, ["a"], buckets)
+            if found.where(F.col("pass") == last).isEmpty():
+                break
+    finally:
+        unregistered(spark, ways, path)
+    emptied(spark, ways)
+    return spark.read.schema(first.schema).parquet(path).drop("pass")
 
 
 def unmatched(journal: DataFrame, gone: DataFrame, follows: DataFrame, time: int) -> DataFrame:

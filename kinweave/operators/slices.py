@@ -21,11 +21,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.storage import emptied, fresh_path, shuffled, stored
+from kinweave.storage import bucketed, buckets_for, emptied, fresh_path, shuffled, stored, unregistered
 
 NODE = ["method", "at_entry", "p", "q"]
-#: Edges in a bucket.
-BUCKET_EDGES = 200_000
 
 
 def cell(number: Column) -> Column:
@@ -169,8 +167,7 @@ class Graph:
     def slices(self, starts: DataFrame) -> DataFrame:
         """(item, method, place) of all instructions that those of ``starts`` (item, method, place) come from, and of these themselves."""
         spark = starts.sparkSession
-        # as many buckets as an exchange has partitions, but fewer for few edges
-        buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + self.edges.count() // BUCKET_EDGES)
+        buckets = buckets_for(self.edges)
         walked, asked = ["item", *NODE], fresh_path(spark, "bucketed_edges")
         path = fresh_path(spark, "slices")
         front = starts.select("item", "method", F.lit(False).alias("at_entry"), F.col("place").cast("long").alias("p"), F.lit(-1).cast("long").alias("q")).distinct()
@@ -189,22 +186,11 @@ class Graph:
                 if seen.where(F.col("pass") == last).isEmpty():
                     break
         finally:
-            for table in (asked, path):
-                spark.sql(f"DROP TABLE IF EXISTS {table_name(table)}")
+            unregistered(spark, asked, path)
         emptied(spark, asked)
         return spark.read.schema(schema).parquet(path).where("NOT at_entry AND q = -1").select("item", "method", F.col("p").alias("place"))
 
 
-def table_name(path: str) -> str:
-    return path.rpartition("/")[2].replace("-", "_")
-
-
-def bucketed(rows: DataFrame, path: str, keys: list[str], buckets: int) -> DataFrame:
-    """``rows``, already dealt by ``keys``, added to the bucketed table at ``path``; only tables of the catalog have buckets."""
-    rows.write.mode("append").bucketBy(buckets, *keys).option("path", path).saveAsTable(table_name(path))
-    return rows.sparkSession.table(table_name(path))
-
-
 def shortened(edges: DataFrame) -> DataFrame:
     """Edges of entries, where a chain of entries that each ask just one other is one edge. Its inner entries are in no slice, so none is lost."""
     edges = stored(edges, "edges")

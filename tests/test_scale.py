@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from kinweave.llm import spelling
-from kinweave.operators import equality, mapping, measures, signatures, slices
+from kinweave.operators import equality, journal, mapping, measures, signatures, slices
 from kinweave.plans import equality as plans
 from kinweave.sources import lines, mappingfile
 
@@ -97,3 +97,14 @@ def test_a_files_header_meets_its_lines_where_they_are(spark):
         assert {(r.kind, r["class"], r.member, r.src, r.dst) for r in found.collect()} == {("class", "x", None, "x", "y"), ("field", "x", "m", "m", "n")}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_passes_of_a_cascade_shuffle_only_what_they_find(spark, monkeypatch):
+    plans, write = [], journal.bucketed
+    monkeypatch.setattr(journal, "bucketed", lambda rows, *rest: plans.append(plan(rows)) or write(rows, *rest))
+    follows = spark.createDataFrame([("c", "m"), ("m", "v"), ("v", "c"), ("x", "y"), ("d", "m")], "a string, then string")
+    found = journal.cascade(spark.createDataFrame([("c",), ("d",)], "a string"), follows)
+    assert {tuple(r) for r in found.collect()} == {("c", None), ("d", None), ("m", "c"), ("v", "m")}
+    assert len(plans) == 5
+    for text in plans[2:]:
+        assert text.count("Bucketed: true") == 3 and text.count("Exchange") == 1 and "Broadcast" not in text
