@@ -22,6 +22,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinweave.storage import shuffled
+
 from . import lines, mappingfile
 
 COLUMNS = ("file", "line", "kind", "class", "descriptor", "member", "slot", "src", "dst", "comment")
@@ -46,7 +48,7 @@ def body(rows: DataFrame, separator: str) -> DataFrame:
     """``rows`` with the depth of their indentation by tabs and their fields."""
     text = F.ltrim("value", F.lit("\t"))
     rows = rows.where((F.trim("value") != "") & ~F.startswith(F.ltrim("value"), F.lit("#")))
-    return rows.withColumns({"depth": F.length("value") - F.length(text), "fields": F.split(text, separator)}).withColumn("tag", at(0))
+    return rows.withColumns({"depth": F.length("value") - F.length(text), "fields": F.split(text, separator), "tag": F.substring_index(text, separator, 1)})
 
 
 def finished(rows: DataFrame) -> DataFrame:
@@ -86,12 +88,15 @@ def srg(rows: DataFrame) -> DataFrame:
 
 def tsrg(rows: DataFrame) -> DataFrame:
     """With more than two name spaces the first two count. The second form may tell a field's descriptor, as a method's; a name with one is a method if it starts with a bracket."""
-    rows = body(rows, " ").where("NOT (tag = 'tsrg2' AND line = 0)").where("NOT (depth = 2 AND tag = 'static' AND size(fields) = 1)")
     described = F.substring(at(1), 1, 1) == "("
     typed = (F.size("fields") >= 3) & at(1).rlike(r"^\[*([ZBCSIJFD]|L.*;)$")
     cases = {"class": (F.col("depth") == 0) & (F.size("fields") >= 2), "method": (F.col("depth") == 1) & described, "field": (F.col("depth") == 1) & (F.size("fields") >= 2), "argument": (F.col("depth") == 2) & (F.size("fields") >= 3)}
-    rows = rows.withColumn("kind", chosen(cases)).withColumn("longer", (F.col("depth") == 1) & (described | typed))
-    rows = lines.carried(rows, {"class": F.when(F.col("depth") == 0, at(0)), "held": F.when(F.col("depth") == 1, F.struct(at(0).alias("name"), F.when(F.col("longer"), at(1)).alias("described")))})
+
+    def made(rows: DataFrame) -> DataFrame:
+        rows = body(rows, " ").where("NOT (tag = 'tsrg2' AND line = 0)").where("NOT (depth = 2 AND tag = 'static' AND size(fields) = 1)")
+        return rows.withColumn("kind", chosen(cases)).withColumn("longer", (F.col("depth") == 1) & (described | typed))
+
+    rows = lines.carried(rows, {"class": (F.col("depth") == 0, F.col("tag")), "held": (F.col("depth") == 1, F.struct(at(0).alias("name"), F.when(F.col("longer"), at(1)).alias("described")))}, made=made, gaps=False)
     return finished(rows.select("file", "line", "value", "kind", "class", F.when(F.col("depth") > 0, F.col("held.described")).alias("descriptor"), F.when(F.col("depth") > 0, F.col("held.name")).alias("member"),
         F.when(F.col("depth") == 2, at(0).try_cast("int")).alias("slot"), F.when(F.col("depth") == 2, at(1)).otherwise(at(0)).alias("src"),
         F.when(F.col("longer") | (F.col("depth") == 2), at(2)).otherwise(at(1)).alias("dst"), none().alias("comment")))
@@ -99,12 +104,15 @@ def tsrg(rows: DataFrame) -> DataFrame:
 
 def enigma(rows: DataFrame) -> DataFrame:
     """A nested class's name is put behind its outer one's on both sides. An access in front of the line's end (``ACC:``) is left out."""
-    rows = body(rows, " ").withColumn("fields", F.filter("fields", lambda f: ~f.startswith("ACC:")))
-    deepest = rows.where("tag = 'CLASS'").agg(F.max("depth")).first()[0] or 0
+
+    def made(rows: DataFrame) -> DataFrame:
+        return body(rows, " ").withColumn("fields", F.when(F.contains("value", F.lit("ACC:")), F.filter("fields", lambda f: ~f.startswith("ACC:"))).otherwise(F.col("fields")))
+
+    deepest = body(rows, " ").where("tag = 'CLASS'").agg(F.max("depth")).first()[0] or 0
     is_class, n = F.col("tag") == "CLASS", F.size("fields")
     new = F.coalesce(at(2), at(1))
-    values = {f"level{d}": F.when(is_class & (F.col("depth") == d), F.struct(at(1).alias("a"), new.alias("b"), F.col("line").alias("at"))) for d in range(deepest + 1)}
-    rows = lines.carried(rows, values | {"held": F.when(F.col("tag").isin("METHOD", "FIELD"), F.struct(at(1).alias("name"), F.element_at("fields", -1).alias("described"), F.col("depth").alias("d"), F.col("line").alias("at"))), "opened": F.when(is_class, F.col("line"))})
+    values = {f"level{d}": (is_class & (F.col("depth") == d), F.struct(at(1).alias("a"), new.alias("b"), F.col("line").alias("at"))) for d in range(deepest + 1)}
+    rows = lines.carried(rows, values | {"held": (F.col("tag").isin("METHOD", "FIELD"), F.struct(at(1).alias("name"), F.element_at("fields", -1).alias("described"), F.col("depth").alias("d"), F.col("line").alias("at"))), "opened": (is_class, F.col("line"))}, made=made, gaps=False)
     # members of a class are one deeper than it; what is below a member is two deeper
     above = F.when(is_class, F.col("depth")).when(F.col("tag").isin("METHOD", "FIELD"), F.col("depth") - 1)
     below = (F.col("held.d") < F.col("depth")) & (F.col("held.at") > F.col("opened"))
@@ -136,7 +144,7 @@ def proguard(rows: DataFrame) -> DataFrame:
     is_class = F.col("value").rlike(r"^\S+ -> \S+:$")
     part = lambda i: F.regexp_extract("value", r"^\s+(?:\d+:\d+:)?(\S+) ([^\s(]+)(\([^)]*\))?(?::\d+)*? -> (\S+)$", i)
     rows = rows.withColumns({"kind": F.when(is_class, "class").when(part(3) != "", "method").when(part(2) != "", "field"), "own": F.replace(F.split("value", " -> ")[0], F.lit("."), F.lit("/"))})
-    rows = lines.carried(rows, {"class": F.when(is_class, F.col("own"))}).where(~F.contains(part(2), F.lit(".")) | F.col("kind").isNull() | is_class)
+    rows = lines.carried(rows, {"class": (is_class, F.col("own"))}, gaps=False).where(~F.contains(part(2), F.lit(".")) | F.col("kind").isNull() | is_class)
     inside = F.regexp_extract(part(3), r"^\((.*)\)$", 1)
     arguments = F.when(inside == "", F.lit("")).otherwise(F.array_join(F.transform(F.split(inside, ","), lambda t: descriptor_of(F.trim(t))), ""))
     described = F.when(F.col("kind") == "field", descriptor_of(part(1))).when(F.col("kind") == "method", F.concat(F.lit("("), arguments, F.lit(")"), descriptor_of(part(1))))
@@ -170,8 +178,10 @@ def written(rows: DataFrame, form: str) -> DataFrame:
     """
     kinds = {"tiny": ("class", "field", "method"), "srg": ("class", "field", "method"), "tsrg": ("class", "field", "method"), "enigma": ("class", "field", "method", "argument", "comment")}[form]
     rows = (with_outers(rows) if form == "enigma" else rows).where(F.col("kind").isin(*kinds))
-    named = rows.where("kind = 'class'").groupBy("class").agg(F.min("dst").alias("owner"))
-    rows = rows.join(named, "class", "left").withColumn("owner", F.coalesce("owner", "class"))
+    if form == "srg":
+        # the only format whose members have their owner's name on both sides
+        named = rows.where("kind = 'class'").groupBy("class").agg(F.min("dst").alias("owner"))
+        rows = rows.join(shuffled(named), "class", "left").withColumn("owner", F.coalesce("owner", "class"))
     of = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) and not p.startswith("=") else F.coalesce(F.col(p[1:]).cast("string"), F.lit("")) for p in parts])
     kind = F.col("kind")
     if form == "tiny":
@@ -200,10 +210,10 @@ def written(rows: DataFrame, form: str) -> DataFrame:
 def write(rows: DataFrame, path: str, form: str) -> None:
     """Write ``written`` lines as text files whose names follow their order; a class and what is below it may be cut by a file's end only in flat formats.
 
-    Nested formats are written in one file for each range of outermost classes.
+    TSRG files have a range of classes each, Enigma files one of outermost classes.
     """
     found = written(rows, form)
     if form in ("tiny", "srg"):
         found.orderBy("order").select("value").write.text(path)
     else:
-        found.repartitionByRange(F.col("order.path")[0]).sortWithinPartitions("order").select("value").write.text(path)
+        found.repartitionByRange(F.col("order.path")[0] if form == "enigma" else F.col("order.path")).sortWithinPartitions("order").select("value").write.text(path)

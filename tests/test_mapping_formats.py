@@ -91,3 +91,28 @@ def test_values_are_carried_over_blocks(spark):
     for r in found.collect():
         at = max((i for i in range(r.line + 1) if i % 13 == 5), default=None)
         assert r.last == (f"p{at}" if r.file == "p" and at is not None else None)
+
+
+def test_values_are_carried_over_blocks_without_gaps(spark):
+    """The same with and without pairs of condition and value; blocks without any value pass on what came before, what is left out by ``made`` gives nothing."""
+    rows = spark.createDataFrame([(f, i, str(i)) for f in "pq" for i in range(60)], "file string, line long, value string")
+    here = (F.col("line") % 23 == 5) & (F.col("file") == "p")
+    made = lambda rows: rows.where("line NOT BETWEEN 30 AND 40").withColumn("twice", F.concat("value", "value"))
+    for last in ((here, F.col("twice")), F.when(here, F.col("twice"))):
+        found = {(r.file, r.line): r["last"] for r in lines.carried(rows, {"last": last}, block=4, made=made, gaps=False).collect()}
+        want = {("p", i): next((f"{j}{j}" for j in range(i, -1, -1) if j % 23 == 5), None) for i in range(60)} | {("q", i): None for i in range(60)}
+        assert found == {k: v for k, v in want.items() if not 30 <= k[1] <= 40}
+
+
+def test_lines_of_a_range_are_never_shuffled_to_their_range(spark, tmp_path):
+    """Only names of classes meet others before lines are written, and only in the format that needs them; numbers come to lines without a shuffle of these."""
+    (tmp_path / "x").write_text("a b\n\tf g\n" * 20)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert "SortMergeJoin" not in lines.numbered(spark, f"file://{tmp_path}")._jdf.queryExecution().executedPlan().toString()
+        names = spark.createDataFrame(NAMES, ROWS)
+        joined = {form: "Join" in mappingformats.written(names, form)._jdf.queryExecution().executedPlan().toString() for form in ("tiny", "srg", "tsrg")}
+        assert joined == {"tiny": False, "srg": True, "tsrg": False}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
