@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions import descriptors
 from kinweave.functions.text import inner_of
-from kinweave.storage import shuffled
+from kinweave.storage import shuffled, tasks_for
 
 
 def chosen(rows: DataFrame, key: str, replace: bool) -> DataFrame:
@@ -58,25 +58,29 @@ def named_members(members: DataFrame, rows: DataFrame, column: str = "mapped", r
     return members.join(new, "grouped", "left").join(has, "grouped", "left").withColumn(column, value).drop("_new", "_has")
 
 
-def variable_rows(rows: DataFrame, variables: DataFrame) -> DataFrame:
+def variable_rows(rows: DataFrame, variables: DataFrame, tasks: int | None = None) -> DataFrame:
     """(line, id): the variable that each row (line, owner, argument, index, slot, entry) means, null if none does.
 
     An argument is known by its index if that isn't -1. Others are known by their entry in the table of variables, or else by their slot.
     A row is void if an index or slot is out of range, or if slot or entry contradict the variable found. ``variables`` are
     (id, owner, argument, index, slot, entry).
+
+    Both tables are dealt to as many ``tasks`` as their rows need, by owner to be counted and by place to meet; tables that are dealt by owner already aren't shuffled for the first.
     """
-    counts = variables.groupBy(F.col("owner").alias("owner"), F.col("argument").alias("argument")).agg(F.count("*").alias("n"))
-    args = counts.where("argument").select("owner", F.col("n").alias("n_args"))
-    rows = rows.join(counts, ["owner", "argument"], "left").join(args, "owner", "left")
-    n, n_args = F.coalesce("n", F.lit(0)), F.coalesce("n_args", F.lit(0))
+    tasks = tasks or tasks_for(rows.sparkSession, rows.count() + variables.count())
+    rows, place = rows.repartition(tasks, "owner"), ["owner", "argument", "how", "at"]
+    counts = variables.repartition(tasks, "owner").groupBy("owner").agg(F.count_if("argument").alias("n_args"), F.count_if(~F.col("argument")).alias("n_others"))
+    rows = rows.join(shuffled(counts), "owner", "left")
+    n = F.coalesce(F.when(F.col("argument"), F.col("n_args")).when(~F.col("argument"), F.col("n_others")), F.lit(0))
+    n_args = F.coalesce("n_args", F.lit(0))
     void = (F.col("index") >= n_args) | (F.col("argument") & (F.col("index") < -1)) | (F.col("slot") < -1) | (F.col("slot") >= 2 * n + 1) | (F.col("entry") < -1)
     by_index = F.col("argument") & (F.col("index") != -1)
     how = F.when(void, None).when(by_index, "index").when(F.col("entry") >= 0, "entry").when(F.col("slot") >= 0, "slot")
     at = F.when(how == "index", F.col("index")).when(how == "entry", F.col("entry")).when(how == "slot", F.col("slot"))
     keyed = rows.select("line", "owner", "argument", F.col("slot").alias("want_slot"), F.col("entry").alias("want_entry"), how.alias("how"), at.alias("at"))
     held = variables.select("id", "owner", "argument", "slot", "entry", F.explode(F.create_map(F.lit("index"), "index", F.lit("entry"), "entry", F.lit("slot"), "slot")).alias("how", "at"))
-    first = held.groupBy("owner", "argument", "how", "at").agg(F.min_by(F.struct("id", "slot", "entry"), "id").alias("v"))
-    joined = keyed.join(first, ["owner", "argument", "how", "at"], "left")
+    first = held.repartition(tasks, *place).groupBy(*place).agg(F.min_by(F.struct("id", "slot", "entry"), "id").alias("v"))
+    joined = keyed.repartition(tasks, *place).join(shuffled(first), place, "left")
     fits = ((F.col("want_slot") == -1) | (F.col("v.slot") == F.col("want_slot"))) & ((F.col("want_entry") == -1) | (F.col("v.entry") == F.col("want_entry")))
     return joined.select("line", F.when(fits, F.col("v.id")).alias("id"))
 

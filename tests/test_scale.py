@@ -1,10 +1,14 @@
 """Plans of joins between tables that grow with the input: none of them is broadcast because its size is judged too low."""
 
+import re
+
 from pyspark.sql import functions as F
 
+from kinweave import storage
 from kinweave.llm import spelling
 from kinweave.operators import equality, journal, mapping, measures, signatures, slices
 from kinweave.plans import equality as plans
+from kinweave.plans import mappings
 from kinweave.sources import lines, mappingfile
 
 
@@ -108,3 +112,20 @@ def test_passes_of_a_cascade_shuffle_only_what_they_find(spark, monkeypatch):
     assert len(plans) == 5
     for text in plans[2:]:
         assert text.count("Bucketed: true") == 3 and text.count("Exchange") == 1 and "Broadcast" not in text
+
+
+def test_variables_are_looked_up_in_more_tasks_where_there_are_more(spark, sf_dir, monkeypatch):
+    """No exchange has the session's number of partitions, whatever the rows, and none is broadcast; contradictions and places out of range find nothing."""
+    assert storage.tasks_for(spark, 0) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(storage, "TASK_ROWS", 2)
+    columns = "owner long, argument boolean, index int, slot int, entry int"
+    variables = spark.createDataFrame([(i, i // 4, i % 4 < 2, i % 2, i % 4, i % 4 + 1) for i in range(40)], f"id long, {columns}")
+    rows = spark.createDataFrame([(1, 0, True, 1, -1, -1), (2, 1, False, -1, 2, -1), (3, 2, False, -1, -1, 4), (4, 3, True, 2, -1, -1), (5, 4, True, 0, 3, -1), (6, 99, False, -1, 0, -1), (7, 5, None, -1, 0, -1)], f"line long, {columns}")
+    found = mapping.variable_rows(rows, variables)
+    assert {r.line: r.id for r in found.collect()} == {1: 1, 2: 6, 3: 11, 4: None, 5: None, 6: None, 7: None}
+    assert "Broadcast" not in plan(found)
+    monkeypatch.setattr(storage, "TASK_ROWS", 200)
+    query = plan(mappings.variable_lookup(spark, sf_dir))
+    tasks = storage.tasks_for(spark, spark.read.parquet(f"{sf_dir}/lineitem.parquet").count())
+    dealt = re.findall(r"Exchange hashpartitioning\(.*, (\d+)\), (\w+)", query)
+    assert dealt and {(int(n), origin) for n, origin in dealt} == {(tasks, "REPARTITION_BY_NUM")}
