@@ -82,6 +82,18 @@ def resolved_members(wanted: DataFrame, paths: DataFrame, members: DataFrame, in
     return wanted.join(best, ["owner", "name"], "left")
 
 
+def alike(rows: DataFrame, owner: str) -> DataFrame:
+    """(owner, like): for each owner the smallest one that has the same ``rows`` but for the owner's column."""
+    sets = stored(rows.groupBy(owner).agg(F.sort_array(F.collect_set(F.struct(*[c for c in rows.columns if c != owner]))).alias("_set")), "sets")
+    return sets.join(sets.groupBy("_set").agg(F.min(owner).alias("like")), "_set").select(owner, "like")
+
+
+def ways_to_members(classes: DataFrame, told: DataFrame) -> DataFrame:
+    """(owner, holder, distance) of those ``classes`` (sub, sup, distance) whose holder has any of the members ``told``."""
+    ways = classes.select(F.col("sub").alias("owner"), F.col("sup").alias("holder"), "distance")
+    return ways.join(told.select("holder").distinct(), "holder", "left_semi")
+
+
 def specific_methods(wanted: DataFrame, classes: DataFrame, interfaces: DataFrame, members: DataFrame, handles: DataFrame | None = None) -> DataFrame:
     """``wanted`` (owner, name, faced) with the member that a reference to a method means; null if there is none.
 
@@ -91,24 +103,28 @@ def specific_methods(wanted: DataFrame, classes: DataFrame, interfaces: DataFram
     interfaces' members that are neither private nor static: those that aren't abstract, if there are some, and of these only the
     maximal ones, whose interface is above no other's. Of several, the smallest counts.
     ``handles`` (owner, name, member) are members that stand for every call of a name, before the owner's own ones.
+
+    Owners with the same interfaces find the same member in these, so one of them stands for all: no interface above most classes meets all of them.
     """
     asked = wanted.select("owner", "name", "faced").distinct()
     told = members.select(F.col("owner").alias("holder"), "name", "member", "abstract", "private", "static", "public")
-    up = asked.join(classes.select(F.col("sub").alias("owner"), F.col("sup").alias("holder"), "distance"), "owner")
-    own = up.join(told, ["holder", "name"]).where("distance = 0 OR NOT faced OR (public AND NOT static)")
+    own = asked.join(ways_to_members(classes, told), "owner").join(told, ["holder", "name"]).where("distance = 0 OR NOT faced OR (public AND NOT static)")
     own = own.select("owner", "name", "faced", F.struct("distance", F.lit(1).alias("step"), "member").alias("found"))
     if handles is not None:
-        general = up.where("NOT faced").join(handles.select(F.col("owner").alias("holder"), "name", "member"), ["holder", "name"])
+        general = handles.select(F.col("owner").alias("holder"), "name", "member")
+        general = asked.where("NOT faced").join(ways_to_members(classes, general), "owner").join(general, ["holder", "name"])
         own = own.unionByName(general.select("owner", "name", "faced", F.struct("distance", F.lit(0).alias("step"), "member").alias("found")))
     own = own.groupBy("owner", "name", "faced").agg(F.min("found").alias("found"))
     rest = asked.join(own, ["owner", "name", "faced"], "left_anti").select("owner", "name").distinct()
     above = interfaces.select(F.col("sub").alias("owner"), F.col("sup").alias("holder"))
-    met = rest.join(above, "owner").join(told, ["holder", "name"]).where("NOT private AND NOT static")
+    rest = rest.join(alike(above, "owner"), "owner")
+    met = rest.select(F.col("like").alias("owner"), "name").distinct().join(above, "owner").join(told, ["holder", "name"]).where("NOT private AND NOT static")
     real = met.groupBy("owner", "name").agg(F.bool_or(~F.col("abstract")).alias("real"))
     met = met.join(real, ["owner", "name"]).where("NOT real OR NOT abstract").select("owner", "name", "holder", "member")
     # an interface above that of another candidate isn't maximal
     lower = met.select("owner", "name", F.col("holder").alias("sub")).join(interfaces.select("sub", F.col("sup").alias("holder")), "sub").where("sub <> holder")
-    best = met.join(lower.select("owner", "name", "holder").distinct(), ["owner", "name", "holder"], "left_anti").groupBy("owner", "name").agg(F.min("member").alias("_face"))
+    best = met.join(lower.select("owner", "name", "holder").distinct(), ["owner", "name", "holder"], "left_anti").groupBy(F.col("owner").alias("like"), "name").agg(F.min("member").alias("_face"))
+    best = rest.join(best, ["like", "name"]).drop("like")
     joined = wanted.join(own, ["owner", "name", "faced"], "left").join(best, ["owner", "name"], "left")
     return joined.withColumn("member", F.coalesce("found.member", "_face")).drop("found", "_face")
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from kinweave.operators import graph, journal, lookups, signatures
 
+from kinweave.storage import stored
+
 from .tables import table
 
 #: A part's generic type on either side: what it is of, and its argument by size or price.
@@ -43,9 +45,12 @@ MEMBERS = """SELECT 'p' || k AS owner, 'q' || q AS name, false AS abstract FROM
 
 def program(spark, sf_dir):
     """(wanted, ways up by parents, interfaces with their order, members)."""
-    table(spark, sf_dir, "part").createOrReplaceTempView("kinweave_part")
-    supers = SUPERS.replace("p_size // 10", "p_size div 10").replace("FROM part", "FROM kinweave_part")
-    run = lambda body: spark.sql(f"WITH s AS ({supers}) {body}")
+    p = table(spark, sf_dir, "part")
+    # the first of a brand by a join: a window would take all of a brand's parts into one task
+    first = p.groupBy(F.col("p_brand").alias("of")).agg(F.min("p_partkey").alias("first"))
+    s = p.join(first, p["p_brand"].eqNullSafe(first["of"])).selectExpr("p_partkey AS k", "p_brand AS brand", "p_type AS type", "p_size div 10 AS q", "p_retailprice AS price", "first")
+    s = stored(s, "supers")
+    run = lambda body: spark.sql(f"WITH s AS (SELECT * FROM {{supers}}) {body}", supers=s)
     wanted = run("SELECT 'p' || k AS owner, 'q' || n AS name FROM s LATERAL VIEW explode(sequence(0, 5)) AS n")
     classes = run("SELECT 'p' || k AS sub, 'p' || k AS sup, 0 AS distance FROM s UNION ALL SELECT 'p' || k, 'p' || first, 1 FROM s WHERE k <> first")
     members = run(f"SELECT *, owner || '.' || name AS member FROM ({MEMBERS})")

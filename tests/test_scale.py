@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from kinweave import storage
 from kinweave.llm import spelling
-from kinweave.operators import equality, journal, mapping, measures, signatures, slices
+from kinweave.operators import equality, journal, lookups, mapping, measures, signatures, slices
 from kinweave.plans import equality as plans
-from kinweave.plans import mappings
+from kinweave.plans import changes, mappings
 from kinweave.sources import lines, mappingfile
 
 
@@ -129,3 +129,11 @@ def test_variables_are_looked_up_in_more_tasks_where_there_are_more(spark, sf_di
     tasks = storage.tasks_for(spark, spark.read.parquet(f"{sf_dir}/lineitem.parquet").count())
     dealt = re.findall(r"Exchange hashpartitioning\(.*, (\d+)\), (\w+)", query)
     assert dealt and {(int(n), origin) for n, origin in dealt} == {(tasks, "REPARTITION_BY_NUM")}
+
+
+def test_owners_with_the_same_interfaces_are_one(spark, sf_dir):
+    """Only one of them meets members, and a brand's parts aren't gathered for its first one."""
+    faces = spark.createDataFrame([(o, s) for o, all_ in {"a": "xy", "b": "yx", "c": "x", "d": "xyz"}.items() for s in all_], "sub string, sup string")
+    assert {tuple(r) for r in lookups.alike(faces, "sub").collect()} == {("a", "a"), ("b", "a"), ("c", "c"), ("d", "d")}
+    wanted, classes, faces, members = changes.program(spark, sf_dir)
+    assert not any("Window" in plan(df) for df in (wanted, classes, faces, members))
