@@ -150,12 +150,19 @@ def interface_paths(implements: DataFrame) -> DataFrame:
 
 
 def resolved_fields(wanted: DataFrame, classes: DataFrame, paths: DataFrame, fields: DataFrame) -> DataFrame:
-    """``wanted`` (owner, name) with the field that a reference means: the owner's own, else the first of its interfaces by ``paths``, else the nearest parent's own."""
+    """``wanted`` (owner, name) with the field that a reference means: the owner's own, else the first of its interfaces by ``paths``, else the nearest parent's own.
+
+    Owners with the same paths to the same interfaces find the same field in these, so one of them stands for all.
+    """
     asked = wanted.select("owner", "name").distinct()
     told = fields.select(F.col("owner").alias("holder"), "name", "member")
     none = F.array().cast("array<int>")
-    own = classes.select(F.col("sub").alias("owner"), F.col("sup").alias("holder"), F.when(F.col("distance") == 0, 0).otherwise(2).alias("step"), F.array(F.col("distance").cast("int")).alias("way"))
-    faces = paths.select(F.col("sub").alias("owner"), F.col("sup").alias("holder"), F.lit(1).alias("step"), F.coalesce(F.col("path").cast("array<int>"), none).alias("way"))
-    found = asked.join(own.unionByName(faces), "owner").join(told, ["holder", "name"])
-    best = found.groupBy("owner", "name").agg(F.min_by("member", F.struct("step", "way", "member")).alias("member"))
+    own = asked.join(ways_to_members(classes, told), "owner").join(told, ["holder", "name"])
+    own = own.select("owner", "name", F.struct(F.when(F.col("distance") == 0, 0).otherwise(2).alias("step"), F.array(F.col("distance").cast("int")).alias("way"), "member").alias("found"))
+    faces = paths.select(F.col("sub").alias("owner"), F.col("sup").alias("holder"), F.coalesce(F.col("path").cast("array<int>"), none).alias("way"))
+    rest = asked.join(alike(faces, "owner"), "owner")
+    met = rest.select(F.col("like").alias("owner"), "name").distinct().join(faces, "owner").join(told, ["holder", "name"])
+    met = met.groupBy(F.col("owner").alias("like"), "name").agg(F.min(F.struct(F.lit(1).alias("step"), "way", "member")).alias("found"))
+    found = own.unionByName(rest.join(met, ["like", "name"]).drop("like"))
+    best = found.groupBy("owner", "name").agg(F.min("found").alias("found")).select("owner", "name", "found.member")
     return wanted.join(best, ["owner", "name"], "left")
