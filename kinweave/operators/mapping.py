@@ -123,17 +123,21 @@ def exported_methods(methods: DataFrame, verbosity: str) -> DataFrame:
     A method without a source name never is. One with a comment, or with arguments or variables to write, always is. Others need a name that
     differs from the source name, and then "full" writes all, "roots" those at the root of their hierarchy or alone in it,
     and "minimal" of a hierarchy of several the first root only, in the order of ``ord``. Methods written for other reasons don't use up their hierarchy.
+
+    Methods are dealt by hierarchy to as many tasks as their rows need, and all is done inside these.
     """
+    columns = methods.columns
+    methods = methods.repartition(tasks_for(methods.sparkSession, methods.count()), "grouped")
     differs = F.exists("names", lambda n: n.isNotNull() & (n != F.col("src")))
     forced = F.col("comment").isNotNull() | (F.col("n_variables") > 0)
-    sized = methods.where("src IS NOT NULL").join(methods.groupBy("grouped").agg(F.count("*").alias("_size")), "grouped")
+    sized = methods.where("src IS NOT NULL").join(shuffled(methods.groupBy("grouped").agg(F.count("*").alias("_size"))), "grouped")
     sized = sized.withColumns({"_named": differs, "_forced": forced})
     by_name = F.lit(True) if verbosity == "full" else (F.col("_size") == 1) | F.col("root")
     if verbosity == "minimal":
         first = sized.where("_named AND NOT _forced AND _size > 1 AND root").groupBy("grouped").agg(F.min("ord").alias("_first"))
-        sized = sized.join(first, "grouped", "left")
+        sized = sized.join(shuffled(first), "grouped", "left")
         by_name = (F.col("_size") == 1) | (F.col("ord") == F.col("_first"))
-    return sized.where(F.col("_forced") | (F.col("_named") & F.coalesce(by_name, F.lit(False)))).select(*methods.columns)
+    return sized.where(F.col("_forced") | (F.col("_named") & F.coalesce(by_name, F.lit(False)))).select(*columns)
 
 
 def exported_variables(variables: DataFrame) -> DataFrame:

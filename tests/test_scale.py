@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kinweave import storage
 from kinweave.llm import spelling
-from kinweave.operators import equality, journal, lookups, mapping, measures, signatures, slices
+from kinweave.operators import cascade, equality, journal, lookups, mapping, measures, signatures, slices
 from kinweave.plans import equality as plans
 from kinweave.plans import changes, mappings
 from kinweave.sources import lines, mappingfile
@@ -137,3 +137,20 @@ def test_owners_with_the_same_interfaces_are_one(spark, sf_dir):
     assert {tuple(r) for r in lookups.alike(faces, "sub").collect()} == {("a", "a"), ("b", "a"), ("c", "c"), ("d", "d")}
     wanted, classes, faces, members = changes.program(spark, sf_dir)
     assert not any("Window" in plan(df) for df in (wanted, classes, faces, members))
+
+
+def test_methods_are_written_inside_the_tasks_of_their_hierarchies(spark, monkeypatch):
+    monkeypatch.setattr(storage, "TASK_ROWS", 1)
+    columns = "id long, grouped long, root boolean, src string, names array<string>, comment string, n_variables int, ord long"
+    methods = spark.createDataFrame([(i, i // 3, i % 3 > 0, "m", ["n" if i % 2 else "m"], None, 0, i) for i in range(12)], columns)
+    found = {v: mapping.exported_methods(methods, v) for v in ("minimal", "roots", "full")}
+    assert {v: sorted(r.id for r in f.collect()) for v, f in found.items()} == {"minimal": [1, 5, 7, 11], "roots": [1, 5, 7, 11], "full": [1, 3, 5, 7, 9, 11]}
+    for f in found.values():
+        assert "Broadcast" not in plan(f) and set(re.findall(r"hashpartitioning\(grouped#\d+L, (\d+)\)", plan(f))) == {"13"}
+
+
+def test_partners_and_outer_classes_are_never_broadcast(spark):
+    classes = spark.createDataFrame([(1, 3, "p/A", False, None, "a"), (2, None, "p/A$B", True, 1, "b"), (3, 1, "q/C", True, None, "c")], "id long, partner long, name string, disguised boolean, outer long, mapped string")
+    assert "Broadcast" not in plan(cascade.beside_partner(classes))
+    found = cascade.class_names(classes, cascade.MAPPED)
+    assert {r.id: r.full for r in found.collect()} == {1: "a", 2: "a$b", 3: "c"}
