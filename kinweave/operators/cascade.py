@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions.descriptors import is_identifier
 from kinweave.functions.text import inner_of, package_of
-from kinweave.storage import stored
+from kinweave.storage import shuffled, stored
 
 
 @dataclass(frozen=True)
@@ -126,7 +126,7 @@ def beside_partner(elements: DataFrame) -> DataFrame:
     rows = elements.withColumns({c: F.lit(None).cast(kind) for c, kind in OPTIONAL.items() if c not in elements.columns})
     me = rows.select(F.struct(*rows.columns).alias("me"))
     it = rows.select(F.struct(*rows.columns).alias("it"))
-    return me.join(it, F.col("me.partner") == F.col("it.id"), "left")
+    return me.join(shuffled(it), F.col("me.partner") == F.col("it.id"), "left")
 
 
 def is_known(side: str) -> Column:
@@ -197,11 +197,11 @@ def class_names(classes: DataFrame, t: NameType, prefix: str = "class_") -> Data
     open_ = stored(both.select("me.id", need.alias("need"), F.coalesce(whole, simple).alias("simple"), nested.alias("nested")), "open_names")
     # what is nested in an unknown class starts with its own part
     known = open_.select(F.col("id").alias("need"), F.lit(True).alias("_known"))
-    open_ = open_.join(known, "need", "left").select("id", F.when(F.col("_known"), F.col("need")).alias("need"), "simple", "nested")
+    open_ = open_.join(shuffled(known), "need", "left").select("id", F.when(F.col("_known"), F.col("need")).alias("need"), "simple", "nested")
     done = stored(open_.where("need IS NULL").select("id", F.col("simple").alias("full")), "names")
     open_ = open_.where("need IS NOT NULL")
     while not open_.isEmpty():
-        ready = open_.join(done.select(F.col("id").alias("need"), F.col("full").alias("above")), "need")
+        ready = open_.join(shuffled(done.select(F.col("id").alias("need"), F.col("full").alias("above"))), "need")
         package = F.coalesce(package_of(F.col("above")), F.lit(""))  # an outer class without a name gives none
         repacked = F.when(package == "", F.col("simple")).otherwise(F.concat(package, F.lit("/"), F.col("simple")))
         full = F.when(F.col("nested"), F.concat_ws("$", "above", "simple")).otherwise(repacked)
@@ -210,7 +210,7 @@ def class_names(classes: DataFrame, t: NameType, prefix: str = "class_") -> Data
             # only what is nested in itself is left, or in such a class
             return done.unionByName(open_.select("id", F.col("simple").alias("full")))
         done = done.unionByName(new)
-        open_ = stored(open_.join(new.select("id"), "id", "left_anti"), "open_names")
+        open_ = stored(open_.join(shuffled(new.select("id")), "id", "left_anti"), "open_names")
     return done
 
 
