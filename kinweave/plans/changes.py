@@ -25,8 +25,7 @@ def signature_equality(spark, sf_dir):
         for n, letter in zip(nodes, "ab", strict=True)
     )
     sides = [p.select(F.col("p_partkey").alias(letter), "p_brand", "p_size") for letter in "ab"]
-    pairs = sides[0].join(sides[1], ["p_brand", "p_size"]).select("a", "b")
-    return signatures.could_be(pairs, left, right)
+    return signatures.could_be_within(["p_brand", "p_size"], *sides, left, right)
 
 
 SIGNATURE_EQUALITY = f"""

@@ -186,3 +186,26 @@ def test_shared_features_meet_by_the_cheaper_way_and_pairs_never_copy_sets(spark
         assert "set =" in seen[-1][3] and "set =" in seen[-1][2]
         # what is met as rows is less than all members in all pairs
         assert seen[-1][0].count() <= len(pairs)
+
+
+def test_pairs_of_methods_decide_about_their_owners_without_a_table_of_owner_pairs(spark, sf_dir):
+    found, _ = plans.method_parts(spark, sf_dir)
+    text = plan(found).split("== Initial Plan ==")[0]
+    # pairs move to their a and to their b, and methods, matches, groups and owners to each other on each side; owner pairs would be joined again
+    assert "Broadcast" not in text and "_oa" not in text and text.count("SortMergeJoin") == 10
+    kept = {(r.a, r.b): r.potential for r in found.collect()}
+    assert any(kept.values()) and not all(kept.values())
+
+
+def test_trees_are_compared_once_for_all_owners_that_have_them(spark, monkeypatch):
+    node = "path string, label string, key string, name string, disguised boolean"
+    tree = lambda i: [] if i == 9 else [("", "L", None, f"n{i % 3}", False), ("a", "*" if i % 2 else "T", None, None, False)]
+    left, right = ([(i, *t) for i in range(10) for t in tree(i + n)] for n in (0, 1))
+    sides = [spark.createDataFrame(rows, f"{c} long, {node}") for rows, c in ((left, "a"), (right, "b"))]
+    owners = [spark.createDataFrame([(i, i % 2) for i in range(10)], f"{c} long, g long") for c in "ab"]
+    want = {tuple(r) for r in signatures.could_be(owners[0].join(owners[1], "g").select("a", "b"), *sides).collect()}
+    compared, compare = [], signatures.could_be
+    monkeypatch.setattr(signatures, "could_be", lambda pairs, *rest: compared.append(pairs.count()) or compare(pairs, *rest))
+    found = signatures.could_be_within(["g"], *owners, *sides)
+    assert {tuple(r) for r in found.collect()} == want and len(want) == 50
+    assert compared[0] < 50 and "Broadcast" not in plan(found)
